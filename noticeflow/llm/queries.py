@@ -24,6 +24,27 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_report(_table(spark, sf_dir, "documents"))
 
 
+def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors linked at a cosine of 0.93 or more within equal labels."""
+    from noticeflow.llm.lattice import near_vectors
+
+    return near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, cleaned of runs of lines that stand earlier."""
+    from noticeflow.llm.linededup import dedup_lines
+
+    return dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents' fingerprints and groups at 3 or fewer differing bits."""
+    from noticeflow.llm.simhash import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op6_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as read back from written sequence files."""
     from noticeflow.llm.tokenbin import token_documents
@@ -31,6 +52,14 @@ def op6_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_documents(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
 
 
+def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest found for each vector whose id is divisible by 20."""
+    from noticeflow.llm.ann import nearest
+
+    vectors = _table(spark, sf_dir, "embeddings")
+    return nearest(vectors.where("vec_id % 20 = 0"), vectors)
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of at most 4096 tokens."""
     from noticeflow.llm.packing import pack
@@ -38,6 +67,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mix_sources, op6_token_binary, op10_packing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
+    op1_mix_sources, op3_embedding_near_dedup, op4_line_dedup, op5_simhash_near_dedup, op6_token_binary, op8_nearest_neighbours, op10_packing)}
 
 ORACLE_SQL: dict[str, str] = {}
