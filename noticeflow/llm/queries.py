@@ -24,6 +24,13 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_report(_table(spark, sf_dir, "documents"))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, by a model of three quarters of them."""
+    from noticeflow.llm.langid import predict_languages
+
+    return predict_languages(_table(spark, sf_dir, "documents"))
+
+
 def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors linked at a cosine of 0.93 or more within equal labels."""
     from noticeflow.llm.lattice import near_vectors
@@ -52,6 +59,13 @@ def op6_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_documents(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document."""
+    from noticeflow.llm.secret_scan import find_secrets
+
+    return find_secrets(_table(spark, sf_dir, "documents"))
+
+
 def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest found for each vector whose id is divisible by 20."""
     from noticeflow.llm.ann import nearest
@@ -68,6 +82,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_mix_sources, op3_embedding_near_dedup, op4_line_dedup, op5_simhash_near_dedup, op6_token_binary, op8_nearest_neighbours, op10_packing)}
+    op1_mix_sources, op2_language_id, op3_embedding_near_dedup, op4_line_dedup, op5_simhash_near_dedup, op6_token_binary, op7_secret_scan,
+    op8_nearest_neighbours, op10_packing)}
 
 ORACLE_SQL: dict[str, str] = {}
