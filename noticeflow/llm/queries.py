@@ -74,6 +74,13 @@ def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(vectors.where("vec_id % 20 = 0"), vectors)
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's quality, by a model of four fifths of the labelled ones."""
+    from noticeflow.llm.quality import score_documents
+
+    return score_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of at most 4096 tokens."""
     from noticeflow.llm.packing import pack
@@ -83,6 +90,6 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_mix_sources, op2_language_id, op3_embedding_near_dedup, op4_line_dedup, op5_simhash_near_dedup, op6_token_binary, op7_secret_scan,
-    op8_nearest_neighbours, op10_packing)}
+    op8_nearest_neighbours, op9_quality, op10_packing)}
 
 ORACLE_SQL: dict[str, str] = {}
