@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -109,16 +108,16 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 2,
     groups = int(((total[0] or 0) + total[1]) // group_chars) + 1
     dealt = narrow.withColumn("group", F.pmod(F.xxhash64(F.lit(seed), "doc_id", F.pmod(F.monotonically_increasing_id(), F.lit(1 << 20))), F.lit(groups)))
 
-    def pack_one(key, pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    def pack_one(key, pdf: pd.DataFrame) -> pd.DataFrame:
         enc = encoder(tokenizer)
         end = np.array([end_id], enc.dtype).tobytes()
         pdf = pdf.sort_values(["doc_id", "text"], kind="stable")
-        ids = [np.frombuffer(enc.encode(t) + end, enc.dtype) for t in pdf.pop("text").where(lambda s: s.notna(), "")]
+        ids = [np.frombuffer(x + end, enc.dtype) for x in enc.encode_each(t if isinstance(t, str) else None for t in pdf.pop("text"))]
         pieces = pack_group([len(x) for x in ids], capacity)
         crcs = [zlib.crc32(ids[d][s : s + n].astype("<u4").tobytes()) for d, s, n, _, _ in pieces]
         d, start, length, at, offset = (np.array(x, np.int64) for x in zip(*pieces))
-        yield pd.DataFrame({
+        return pd.DataFrame({
             "doc_id": pdf["doc_id"].array[d], "start": start, "length": length, "ids_crc32": np.array(crcs, np.int64),
             "doc_tokens": np.array([len(x) for x in ids], np.int64)[d], "sequence_id": (int(key[0]) << 32) + at, "offset": offset})
 
-    return dealt.groupBy("group").applyInPandas(lambda key, pdf: next(pack_one(key, pdf)), _SCHEMA)
+    return dealt.groupBy("group").applyInPandas(pack_one, _SCHEMA)

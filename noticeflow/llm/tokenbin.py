@@ -121,10 +121,11 @@ def write_sequences(docs: DataFrame, tokenizer: str, root: str, length: int = 20
         enc, out, first = encoder(tokenizer), None, None
         end = np.array([end_id], enc.dtype).tobytes()
         for batch in batches:
-            for key, value in zip(batch.column(0), batch.column(1)):
+            keys = batch.column(0).to_pylist()
+            for key, ids in zip(keys, enc.encode_each(x.as_py() for x in batch.column(1))):
                 if out is None:
-                    out, first = _SequenceFile(root, length, enc.dtype), key.as_py()
-                out.add(key.as_py(), enc.encode(value.as_py()) + end)
+                    out, first = _SequenceFile(root, length, enc.dtype), key
+                out.add(key, ids + end)
         if out is not None:
             name, index = out.close()
             yield pa.record_batch([pa.array([name]), pa.array([index]), pa.array([first], pa.int64()), pa.array([out.docs]), pa.array([out.total])], names=["file", "index_file", "first_id", "n_docs", "n_tokens"])

@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import os
 import re
+from array import array
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 
 #: White space by Unicode's White_Space property (Python's \s also takes U+001C to U+001F).
 _PIECE = re.compile(r"[^\S\x1c-\x1f]*[\S\x1c-\x1f]+|[^\S\x1c-\x1f]+")
-_MOST_PIECES = 400_000
-_LONGEST_KEPT = 64
+#: Newline, word of Latin letters, punctuation.
+_WORD = re.compile(r"(\n?)( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:]*)")
+_MOST_PIECES, _MOST_WORDS, _LONGEST_KEPT = 400_000, 900_000, 64
+#: Characters of text that are encoded together.
+_TOGETHER = 500_000
 _loaded: dict[str, "Encoder"] = {}
 
 
@@ -27,32 +33,59 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 65_536 else "<u4")
-        self.known: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {"": b""}  # parts of plain pieces
 
     def encode(self, text: str | None) -> bytes:
-        """The ids as packed little-endian integers of ``dtype``."""
-        pieces = _PIECE.findall(text or "")
-        known = self.known
-        found = [known.get(x) for x in pieces]
-        if None in found:
-            missing = list({x for x, ids in zip(pieces, found) if ids is None})
-            if len(known) > _MOST_PIECES:
-                known.clear()
-            new = {}
-            for i in range(0, len(missing), 2048):
-                part = missing[i : i + 2048]
-                for x, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                    new[x] = np.array(e.ids, self.dtype).tobytes()
-            found = [new[x] if ids is None else ids for x, ids in zip(pieces, found)]
-            known.update((x, ids) for x, ids in new.items() if len(x) <= _LONGEST_KEPT)
-        return b"".join(found)
+        """The ids as packed integers of ``dtype``."""
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: Iterable[str | None]) -> list[bytes]:
+        """The ids of each text; null is empty."""
+        split = [_PIECE.findall(t or "") for t in texts]
+        pieces = self.pieces
+        if len(pieces) > _MOST_PIECES:
+            pieces.clear()
+        missing = set().union(*split).difference(pieces)
+        self._learn(missing)
+        out = [b"".join(map(pieces.__getitem__, x)) for x in split]
+        for x in missing:
+            if len(x) > _LONGEST_KEPT:
+                del pieces[x]
+        return out
+
+    def encode_each(self, texts: Iterable[str | None]) -> Iterator[bytes]:
+        """As ``encode_all``, for any number of texts: about ``_TOGETHER`` characters are held at a time."""
+        held, size = [], 0
+        for t in texts:
+            held.append(t)
+            size += len(t or "")
+            if size >= _TOGETHER:
+                yield from self.encode_all(held)
+                held, size = [], 0
+        yield from self.encode_all(held)
+
+    def _learn(self, missing: set[str]) -> None:
+        """Ids of new pieces; a plain one is put together from its newline, word and punctuation, between which
+        pre-tokens part."""
+        words = self.words
+        if len(words) > _MOST_WORDS:
+            self.words = words = {"": b""}
+        parts = {x: m.groups() for x in missing if (m := _WORD.fullmatch(x)) and len(x) <= _LONGEST_KEPT}
+        self._encode({p for x in parts.values() for p in x}.difference(words), words)
+        self._encode(missing.difference(parts), self.pieces)
+        self.pieces.update((x, words[a] + words[b] + words[c]) for x, (a, b, c) in parts.items())
+
+    def _encode(self, strings: set[str], into: dict[str, bytes]) -> None:
+        kind, strings = "H" if self.dtype.itemsize == 2 else "I", list(strings)
+        for i in range(0, len(strings), 1024):
+            part = strings[i : i + 1024]
+            into.update((x, array(kind, e.ids).tobytes()) for x, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)))
 
 
 def encoder(path: str) -> Encoder:
     """The worker's encoder of a tokenizer file, loaded once."""
     if path not in _loaded:
-        import os
-
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         _loaded[path] = Encoder(path)
     return _loaded[path]
