@@ -8,36 +8,33 @@ from itertools import product
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from noticeflow.llm.graph import connected_components, spanning_edges
 from noticeflow.llm.staging import stage
 
-#: Fingerprints that a tile holds on average at most.
-TILE = 2048
+#: Fingerprints that a tile holds on average at most: where quarters are told apart, and where whole counts are.
+TILE, WIDE_TILE = 2048, 32_768
 
 
-def fingerprint(text: str | None, shingle: int = 3) -> int:
-    """64 bits: bit b is 1 if it is set in over half of the XXH64 hashes (seed 42) of the word shingles.
-
-    A-Z become lower case, words part at ASCII white space, shingles repeat; fewer words give the whole sequence
-    as one shingle, no words (or null) the fingerprint zero.
-    """
+def hashes_of(text: str | None, shingle: int = 3) -> np.ndarray:
+    """XXH64 (seed 42) of the word shingles: A-Z become lower case, words part at ASCII white space, shingles repeat;
+    fewer words give the whole sequence as one shingle, no words (or null) none."""
     words = (text or "").encode().lower().split()
     if not words:
-        return 0
+        return np.zeros(0, "<u8")
     joined = b" ".join(words)
     if len(words) <= shingle:
-        return xxhash.xxh64_intdigest(joined, 42)
+        return np.array([xxhash.xxh64_intdigest(joined, 42)], "<u8")
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[: -shingle] + 1)).tolist()
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[s:e], 42) for s, e in zip(starts, ends[shingle - 1 :].tolist())], "<u8")
-    return _majority(hashes)
+    return np.array([digest(joined[s:e], 42) for s, e in zip(starts, ends[shingle - 1 :].tolist())], "<u8")
 
 
-def _majority(hashes: np.ndarray) -> int:
+def majority(hashes: np.ndarray) -> int:
+    """64 bits: bit b is 1 if it is set in over half of the hashes; zero of none."""
     votes = np.zeros(64, np.int64)
     for i in range(0, len(hashes), 4096):
         part = hashes[i : i + 4096]
@@ -45,111 +42,149 @@ def _majority(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * votes > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, text_key (a hash of the text) and fp (the fingerprint as a signed long) of every row, as a table."""
+def fingerprint(text: str | None, shingle: int = 3) -> int:
+    """The SimHash of a text."""
+    return majority(hashes_of(text, shingle))
+
+
+def _remixed(hashes: np.ndarray) -> np.ndarray:
+    """Other bits of the same shingles, for a second fingerprint."""
+    x = (hashes ^ (hashes >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def fingerprints(docs: DataFrame, shingle: int = 3, second: bool = False, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, text_key (a hash of the text), fp (the fingerprint as a signed long), more (a second one, else 0) and
+    node (a name of both) of every row, as a table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = np.fromiter((fingerprint(t.as_py(), shingle) for t in batch.column(2)), np.uint64, batch.num_rows)
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(values.view(np.int64))], names=["doc_id", "text_key", "fp"])
+            fps, more = np.zeros(batch.num_rows, np.uint64), np.zeros(batch.num_rows, np.uint64)
+            for i, t in enumerate(batch.column(2)):
+                hashes = hashes_of(t.as_py(), shingle)
+                fps[i] = majority(hashes)
+                if second:
+                    more[i] = majority(_remixed(hashes))
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(fps.view(np.int64)), pa.array(more.view(np.int64))], names=["doc_id", "text_key", "fp", "more"])
 
     narrow = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), F.col(text).alias("text"))
-    return stage(narrow.mapInArrow(run, "doc_id long, text_key long, fp long"), "fingerprints")
-
+    found = narrow.mapInArrow(run, "doc_id long, text_key long, fp long, more long")
+    return stage(found.withColumn("node", F.xxhash64("fp", "more") if second else F.col("fp")), "fingerprints")
 
-def _quarters(fp: Column) -> list[Column]:
-    return [F.bit_count(F.shiftrightunsigned(fp, 16 * i).bitwiseAND(0xFFFF)).cast("int") for i in range(4)]
 
+def links(prints: DataFrame, radius: int = 3, both_radius: int | None = None, tile: int | None = None) -> DataFrame:
+    """Edges (u, v) that connect the distinct nodes of ``prints(node, fp, more)`` whose fingerprints differ in
+    ``radius`` or fewer bits, and with ``both_radius`` in so many or fewer of the bits of both.
 
-def links(prints: DataFrame, radius: int = 3, tile: int = TILE) -> DataFrame:
-    """Edges (u, v) that connect the distinct fingerprints of ``prints(fp)`` at ``radius`` or fewer differing bits.
-
-    Tiles hold fingerprints with equal bit counts in each 16-bit quarter, cut by a hash where there are more than
-    ``tile``. Quarters' counts that differ by more than the radius in sum prove more differing bits, so a tile
-    meets only tiles within that distance; all pairs of two such tiles are compared. What a pair of tiles finds is
-    reported as edges that connect the same fingerprints, fewer than it holds. The table of counts has at most
-    17**4 rows, so it may be broadcast.
+    Tiles hold fingerprints with equal bit counts: of each 16-bit quarter at a radius of up to 4, of the whole above,
+    where quarters would tell hardly any tiles apart. A tile is cut by a hash where it holds more than ``tile``.
+    Counts that differ by more than the radius (summed over quarters) prove more differing bits, so tiles meet only
+    within that distance; all pairs of two such tiles are compared. What a pair of tiles finds is reported as edges
+    that connect the same nodes, fewer than it holds. The table of counts has at most 17**4 rows, so it may be
+    broadcast.
     """
-    keyed = prints.select("fp").distinct().withColumns({f"q{i}": q for i, q in enumerate(_quarters(F.col("fp")))})
-    keyed = stage(keyed.withColumn("key", F.expr("((q0 * 17 + q1) * 17 + q2) * 17 + q3")).select("fp", "key"), "simhash-keys")
+    blocks = 4 if radius <= 4 else 1
+    tile = tile or (TILE if blocks == 4 else WIDE_TILE)
+    width = 64 // blocks
+    base = width + 1
+    counts = [F.bit_count(F.shiftrightunsigned("fp", width * i).bitwiseAND(F.lit((1 << width) - 1 if blocks > 1 else -1))).cast("int") for i in range(blocks)]
+    key = F.lit(0)
+    for c in counts:
+        key = key * base + c
+    keyed = stage(prints.select("node", "fp", "more").distinct().withColumn("key", key), "simhash-keys")
     parts = keyed.groupBy("key").agg(F.ceil(F.count("*") / tile).alias("parts"))
-    cut = keyed.join(F.broadcast(parts), "key").withColumn("part", F.pmod(F.xxhash64(F.lit(5), "fp"), F.col("parts")))
-    tiles = stage(cut.groupBy("key", "part").agg(F.collect_list("fp").alias("fps")), "simhash-tiles")
-    steps = [d for d in product(range(-radius, radius + 1), repeat=4) if sum(map(abs, d)) <= radius and d >= (0, 0, 0, 0)]
-    step = F.explode(F.array(*[F.struct(*[F.lit(x).alias(f"d{i}") for i, x in enumerate(d)]) for d in steps])).alias("d")
-    quarters = [F.expr(f"key div {17 ** (3 - i)} % 17") for i in range(4)]
-    reach = tiles.select("key", "part", *[q.alias(f"q{i}") for i, q in enumerate(quarters)]).select("key", "part", "q0", "q1", "q2", "q3", step)
-    moved = [F.col(f"q{i}") + F.col(f"d.d{i}") for i in range(4)]
-    inside = F.lit(True)
-    for m in moved:
-        inside = inside & m.between(0, 16)
-    reach = reach.where(inside).select("key", "part", (((moved[0] * 17 + moved[1]) * 17 + moved[2]) * 17 + moved[3]).alias("other"))
-    met = reach.join(tiles.select(F.col("key").alias("other"), F.col("part").alias("other_part"), F.col("fps").alias("other_fps")), "other")
-    met = met.where("key <> other or part <= other_part").withColumn("same", F.expr("key = other and part = other_part"))
-    pairs = met.join(tiles, ["key", "part"]).select("fps", F.when(~F.col("same"), F.col("other_fps")).alias("other_fps"))
+    cut = keyed.join(F.broadcast(parts), "key").withColumn("part", F.pmod(F.xxhash64(F.lit(5), "node"), F.col("parts")))
+    grouped = cut.groupBy("key", "part").agg(F.collect_list(F.struct("node", "fp", "more")).alias("g"))
+    tiles = stage(grouped.select("key", "part", F.struct(*[F.col(f"g.{c}").alias(c) for c in ("node", "fp", "more")]).alias("g")), "simhash-tiles")
+    steps = [d for d in product(range(-radius, radius + 1), repeat=blocks) if sum(map(abs, d)) <= radius and d >= (0,) * blocks]
+    step = F.explode(F.array(*[F.array(*map(F.lit, d)) for d in steps])).alias("d")
+    places = [F.expr(f"key div {base ** (blocks - 1 - i)} % {base}") for i in range(blocks)]
+    reach = tiles.select("key", "part", F.array(*places).alias("q"), step).withColumn("q", F.zip_with("q", "d", lambda a, b: a + b))
+    reach = reach.where(F.forall("q", lambda x: x.between(0, width))).select("key", "part", F.aggregate("q", F.lit(0).cast("bigint"), lambda acc, x: acc * base + x).alias("other"))
+    met = reach.join(tiles.select(F.col("key").cast("bigint").alias("other"), F.col("part").alias("other_part"), F.col("g").alias("h")), "other")
+    met = met.where("key <> other or part <= other_part").withColumn("h", F.when((F.col("key") != F.col("other")) | (F.col("part") != F.col("other_part")), F.col("h")))
+    pairs = met.join(tiles, ["key", "part"]).select("g", "h")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             u, v = [], []
             for a, b in zip(batch.column(0), batch.column(1)):
-                left = a.values.to_numpy().view(np.uint64)
-                for x, y in _near(left, b.values.to_numpy().view(np.uint64) if b.is_valid else None, radius):
-                    u.append(x)
-                    v.append(y)
-            if u:
-                yield pa.record_batch([pa.array(np.concatenate(u).view(np.int64)), pa.array(np.concatenate(v).view(np.int64))], names=["u", "v"])
+                left, right = _tile(a), _tile(b) if b.is_valid else None
+                x, y = _near(left, right, radius, both_radius)
+                u.append(x)
+                v.append(y)
+            yield pa.record_batch([pa.array(np.concatenate(u)), pa.array(np.concatenate(v))], names=["u", "v"])
 
     return pairs.mapInArrow(compare, "u long, v long")
 
 
-def _near(left: np.ndarray, right: np.ndarray | None, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _tile(g: pa.StructScalar) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    node, fp, more = (g[k].values.to_numpy() for k in ("node", "fp", "more"))
+    return node, fp.view(np.uint64), more.view(np.uint64)
+
+
+def _near(left: tuple, right: tuple | None, radius: int, both_radius: int | None) -> tuple[np.ndarray, np.ndarray]:
     """Connecting edges between near fingerprints of two tiles, or within one."""
-    both = left if right is None else np.concatenate([left, right])
-    other, shift = (left, 0) if right is None else (right, len(left))
-    i, j = [], []
-    for k in range(0, len(left), 256):
-        rows, columns = np.nonzero(np.bitwise_count(left[k : k + 256, None] ^ other[None, :]) <= radius)
-        i.append(rows + k)
-        j.append(columns + shift)
-    i, j = np.concatenate(i), np.concatenate(j)
-    if right is None:
-        keep = i < j
-        i, j = i[keep], j[keep]
-    if len(i):
-        node, root = spanning_edges(len(both), i, j)
-        yield both[node], both[root]
-
-
-def _components(prints: DataFrame, radius: int) -> DataFrame:
-    """fp, component_id (smallest doc_id) and component (a fingerprint of it) of every distinct fingerprint."""
-    joined = connected_components(links(prints, radius), "simhash")
-    first = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    placed = first.join(joined, first.fp == joined.node, "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
+    other, shift = (left, 0) if right is None else (right, len(left[0]))
+    nodes = left[0] if right is None else np.concatenate([left[0], right[0]])
+    found, held = [], 0
+    for k in range(0, len(left[1]), 256):
+        for m in range(k if right is None else 0, len(other[1]), 8192):
+            rows, columns = np.nonzero(np.bitwise_count(left[1][k : k + 256, None] ^ other[1][None, m : m + 8192]) <= radius)
+            rows, columns = rows + k, columns + m
+            keep = rows < columns if right is None else np.ones(len(rows), bool)
+            if both_radius is not None:
+                a, b = rows[keep], columns[keep]
+                keep[keep] = np.bitwise_count(left[1][a] ^ other[1][b]).astype(int) + np.bitwise_count(left[2][a] ^ other[2][b]) <= both_radius
+            if keep.any():
+                found.append((rows[keep], columns[keep] + shift))
+                held += int(keep.sum())
+            if held > 1_000_000:  # a group of copies: its links so far become fewer edges than it has members
+                found = [spanning_edges(len(nodes), *(np.concatenate(x) for x in zip(*found)))]
+                held = len(found[0][0])
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    node, root = spanning_edges(len(nodes), *(np.concatenate(x) for x in zip(*found)))
+    return nodes[node], nodes[root]
+
+
+def _components(prints: DataFrame, radius: int, both_radius: int | None) -> DataFrame:
+    """node, component (a node of it) and component_id (its smallest doc_id) of every distinct node."""
+    joined = connected_components(links(prints, radius, both_radius), "simhash").withColumnRenamed("node", "n")
+    first = prints.groupBy("node").agg(F.min("doc_id").alias("first"))
+    placed = first.join(joined, F.col("node") == F.col("n"), "left").select("node", "first", F.coalesce("component", "node").alias("component"))
     placed = stage(placed, "simhash-classes")
     low = placed.groupBy("component").agg(F.min("first").alias("component_id"))
-    return placed.join(low, "component").select("fp", "component", "component_id")
+    return placed.join(low, "component").select("node", "component", "component_id")
 
 
-def near_duplicates(docs: DataFrame, radius: int = 3, shingle: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, radius: int = 3, shingle: int = 3, both_radius: int | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, fingerprint, component_id of every row of ``docs``.
 
     Exact copies share a fingerprint and are compared once. Null and empty texts have the fingerprint zero and link
     like any other; repeated rows stay; ids may be null (a component of null ids only has a null component_id).
-    Empty table: no rows. Other columns play no part.
+    Empty table: no rows. Other columns play no part. With ``both_radius`` fingerprints have 128 bits, of which the
+    first 64 are compared tile by tile and all of those that pass.
     """
-    prints = fingerprints(docs, shingle, doc_id, text)
-    found = prints.join(_components(prints, radius), "fp")
+    prints = fingerprints(docs, shingle, both_radius is not None, doc_id, text)
+    found = prints.join(_components(prints, radius, both_radius), "node")
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, radius: int = 3, shingle: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+#: Differing bits, of the first 64 and of 128, up to which two documents of five-word shingles count as similar by
+#: 0.8: at that Jaccard similarity 19 of 128 differ in the mean (README); two unrelated texts differ in 64.
+SIMILAR = {"shingle": 5, "radius": 15, "both_radius": 24}
+
+
+def drop_near_duplicates(docs: DataFrame, radius: int = SIMILAR["radius"], shingle: int = SIMILAR["shingle"], both_radius: int | None = SIMILAR["both_radius"], doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows of ``docs``, all columns, with one document of each group of near-duplicates: that of the smallest id.
 
     Among rows with that id the one of the smallest text key stays, and of rows equal in id and text one.
     Groups of null ids keep one row.
     """
-    prints = fingerprints(docs, shingle, doc_id, text)
-    members = prints.join(_components(prints, radius), "fp")
+    prints = fingerprints(docs, shingle, both_radius is not None, doc_id, text)
+    members = prints.join(_components(prints, radius, both_radius), "node")
     kept = members.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key")).alias("k"))
     kept = kept.select(F.col("k.doc_id").alias("__kept_id"), F.col("k.text_key").alias("__kept_text"))
     keyed = docs.withColumns({"__id": F.col(doc_id).cast("long"), "__text": F.xxhash64(text)})
