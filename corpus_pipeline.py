@@ -23,8 +23,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: five-word shingles, fingerprints of 3 or fewer differing bits."""
-    return drop_near_duplicates(docs, shingle=5)
+    """One document of each group of near-duplicates: five-word shingles, a similarity of about 0.8 or more."""
+    return drop_near_duplicates(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
