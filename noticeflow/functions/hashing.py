@@ -28,13 +28,21 @@ def fingerprint(fields: Sequence[Column], lists: Sequence[Column] = ()) -> Colum
     return F.sha2(F.concat(*parts), 256)
 
 
+def _numbered(name: str):
+    """The line of a list's entry at its place."""
+
+    def line(x: Column, i: Column) -> Column:
+        return F.concat(framed(F.concat(F.lit(f"{name}["), i.cast("string"), F.lit("]"))), F.lit("="), framed(x), F.lit("\n"))
+
+    return line
+
+
 def content_hash(named: Sequence[tuple[str, Column]], lists: Sequence[tuple[str, Column]] = ()) -> Column:
     """SHA-256 of lines name=value, both framed; lists give name[i] lines in sorted order."""
     lines = [F.concat(framed(F.lit(n)), F.lit("="), framed(c), F.lit("\n")) for n, c in named]
     for name, entries in lists:
         entries = F.array_sort(F.coalesce(entries, F.array().cast("array<string>")))
-        line = lambda x, i, name=name: F.concat(framed(F.concat(F.lit(f"{name}["), i.cast("string"), F.lit("]"))), F.lit("="), framed(x), F.lit("\n"))
-        lines.append(F.array_join(F.transform(entries, line), ""))
+        lines.append(F.array_join(F.transform(entries, _numbered(name)), ""))
     return F.sha2(F.concat(*lines), 256)
 
 

@@ -1,5 +1,10 @@
-"""Registered queries and their SQL."""
+"""All registered queries and their SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
-FLAGSHIP = None
+from __future__ import annotations
+
+from noticeflow.plans import histories, listings, texts  # noqa: F401  (importing registers)
+from noticeflow.plans.registry import ORACLE_SQL, QUERIES
+
+FLAGSHIP = QUERIES["run_scoped_page"]
+
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]
