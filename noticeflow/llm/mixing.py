@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from noticeflow.llm.staging import stage
+from noticeflow.llm.staging import free_prefix, stage
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: A step of the search for a source's cut fixes so many bits of the drawing order; steps; bits of an order.
@@ -114,7 +114,7 @@ def mix(docs: DataFrame, seed: int = 7, doc_id: str = "doc_id", text: str = "tex
     taken by whole repetitions only. A column n_chars, where there is one, follows the cut text.
     """
     columns = docs.columns
-    p = "__mix_"
+    p = free_prefix(docs, "__mix_")
     keyed = docs.withColumns({p + "key": F.col(source), p + "size": word_count(F.col(text)), p + "u": draw_order(seed, F.col(doc_id), F.col(text))})
     rows = stage(keyed.select(F.col(p + "key").alias("source"), F.col(p + "size").alias("size"), F.col(p + "u").alias("u")), "mix-rows")
     decided = _with_extra(keyed, plan_mix(rows, **plan), p)

@@ -254,4 +254,4 @@ def score_documents(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id",
 def keep_good(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", model: LineModel | None = None) -> DataFrame:
     """Rows of ``docs``, all columns, whose score is at least the threshold."""
     model = model or train(docs, labels, doc_id, text)
-    return docs.withColumn("__score", score_column(model, docs, text)).where(F.col("__score") >= THRESHOLD).drop("__score")
+    return docs.where(score_column(model, docs, text) >= THRESHOLD)

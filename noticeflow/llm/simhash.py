@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from noticeflow.llm.graph import connected_components, spanning_edges
-from noticeflow.llm.staging import stage
+from noticeflow.llm.staging import free_prefix, stage
 
 #: Fingerprints that a tile holds on average at most: where quarters are told apart, and where whole counts are.
 TILE, WIDE_TILE = 2048, 32_768
@@ -186,7 +186,8 @@ def drop_near_duplicates(docs: DataFrame, radius: int = SIMILAR["radius"], shing
     prints = fingerprints(docs, shingle, both_radius is not None, doc_id, text)
     members = prints.join(_components(prints, radius, both_radius), "node")
     kept = members.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key")).alias("k"))
-    kept = kept.select(F.col("k.doc_id").alias("__kept_id"), F.col("k.text_key").alias("__kept_text"))
-    keyed = docs.withColumns({"__id": F.col(doc_id).cast("long"), "__text": F.xxhash64(text)})
-    stay = keyed.join(kept, F.col("__id").eqNullSafe(F.col("__kept_id")) & (F.col("__text") == F.col("__kept_text")), "left_semi")
-    return stay.dropDuplicates(["__id", "__text"]).drop("__id", "__text")
+    p = free_prefix(docs, "__dup_")
+    kept = kept.select(F.col("k.doc_id").alias(p + "kept_id"), F.col("k.text_key").alias(p + "kept_text"))
+    keyed = docs.withColumns({p + "id": F.col(doc_id).cast("long"), p + "text": F.xxhash64(text)})
+    stay = keyed.join(kept, F.col(p + "id").eqNullSafe(F.col(p + "kept_id")) & (F.col(p + "text") == F.col(p + "kept_text")), "left_semi")
+    return stay.dropDuplicates([p + "id", p + "text"]).drop(p + "id", p + "text")

@@ -53,3 +53,10 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: later plans start from the table,
     so an executor's loss costs at most the tasks that ran since."""
     return stage_at(df, name)[0]
+
+
+def free_prefix(df: DataFrame, wish: str) -> str:
+    """A prefix for working columns that no column of ``df`` begins with."""
+    while any(c.lower().startswith(wish) for c in df.columns):
+        wish = "_" + wish
+    return wish
