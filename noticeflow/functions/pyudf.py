@@ -9,9 +9,10 @@ from urllib.parse import urlsplit, urlunsplit
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def compact_nfkc(values: pd.Series) -> pd.Series:
     """NFKC, lower case, letters and numbers only."""
 
@@ -23,7 +24,7 @@ def compact_nfkc(values: pd.Series) -> pd.Series:
     return values.map(one)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def canonical_url(values: pd.Series) -> pd.Series:
     """Scheme and host in lower case, host in IDNA, no default port, no fragment; null for other schemes, user
     parts and private or local hosts."""
@@ -49,7 +50,7 @@ def split_items(bullets: str, starts: Sequence[str]):
     """A column function: a merged list line in parts, at bullets and before known item starts outside parentheses."""
     at_start = re.compile("|".join(map(re.escape, sorted(starts, key=len, reverse=True)))) if starts else None
 
-    @F.pandas_udf("array<string>")
+    @F.pandas_udf(T.ArrayType(T.StringType()))
     def split(values: pd.Series) -> pd.Series:
         def one(x):
             if x is None:
@@ -82,7 +83,7 @@ def person_name(labels: Sequence[str], surnames: Sequence[str]):
     labels, longest first, are taken out; null if there is none or more than one."""
     ordered = sorted(labels, key=len, reverse=True)
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(T.StringType())
     def name(values: pd.Series) -> pd.Series:
         def one(x):
             stem = re.sub(r"\.[^.]*$", "", x or "")

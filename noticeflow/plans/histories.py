@@ -70,7 +70,7 @@ def upsert_rows(t: Tables) -> DataFrame:
     return changes.upsert(rows, incoming, ["s_suppkey"])
 
 
-@query("""select c_custkey, c_nationkey, c_mktsegment from customer where c_nationkey <> 3 union all select c_custkey, c_nationkey, 'NEW' from customer where c_nationkey = 3 and c_custkey % 2 = 0""")
+@query("""select c_custkey, c_nationkey, c_mktsegment from customer where c_nationkey not in (select c_nationkey from customer where c_nationkey = 3 and c_custkey % 2 = 0) union all select c_custkey, c_nationkey, 'NEW' from customer where c_nationkey = 3 and c_custkey % 2 = 0""")
 def replaced_scopes(t: Tables) -> DataFrame:
     rows = t.customer.select("c_custkey", "c_nationkey", "c_mktsegment")
     return changes.replace_scopes(rows, rows.where("c_nationkey = 3 and c_custkey % 2 = 0").withColumn("c_mktsegment", F.lit("NEW")), ["c_nationkey"])
@@ -232,7 +232,7 @@ def violations(t: Tables) -> DataFrame:
 
 
 @query("""select o_orderkey, sha256(concat(length('status') || ':status=', length(o_orderstatus) || ':' || o_orderstatus, chr(10), '8:priority=', length(o_orderpriority) || ':' || o_orderpriority, chr(10),
-coalesce((select string_agg('7:line[' || i || ']=' || length(x) || ':' || x || chr(10), '' order by i) from (select x, row_number() over (order by x) - 1 as i from (select unnest(l.flags) as x))), ''))) as digest
+array_to_string(list_transform(flags, lambda x, i: length('line[' || (i - 1) || ']') || ':line[' || (i - 1) || ']=' || length(x) || ':' || x || chr(10)), ''))) as digest
 from orders join (select l_orderkey, list_sort(list(l_returnflag || l_linenumber)) as flags from lineitem group by 1) l on l_orderkey = o_orderkey""")
 def content_digest(t: Tables) -> DataFrame:
     flags = t.lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.collect_list(F.concat("l_returnflag", F.col("l_linenumber").cast("string"))).alias("flags"))
@@ -240,10 +240,10 @@ def content_digest(t: Tables) -> DataFrame:
     return joined.select("o_orderkey", content_hash([("status", F.col("o_orderstatus")), ("priority", F.col("o_orderpriority"))], [("line", F.col("flags"))]).alias("digest"))
 
 
-@query("""with d as (select cast(unnest(generate_series(timestamp '1995-01-31', timestamp '1996-01-10', interval 1 month)) as date) as first)
+@query("""with d as (select cast(unnest(generate_series(timestamp '1995-01-15', timestamp '1996-01-10', interval 1 month)) as date) as first)
 select first, least(cast(first + interval 1 month as date) - 1, date '1996-01-10') as last from d""")
 def month_windows(t: Tables) -> DataFrame:
-    one = t.spark.range(1).select(F.explode(month_chunks(F.lit("1995-01-31").cast("date"), F.lit("1996-01-10").cast("date"))).alias("c"))
+    one = t.spark.range(1).select(F.explode(month_chunks(F.lit("1995-01-15").cast("date"), F.lit("1996-01-10").cast("date"))).alias("c"))
     return one.select("c.first", "c.last")
 
 

@@ -229,7 +229,7 @@ def derived_ids(t: Tables) -> DataFrame:
 
 
 @query("""select c_custkey, case when contains(c_name, '#') then split_part(c_name, '#', 2) else '' end as after, lower(regexp_replace(c_name, '\\s+', '', 'g')) as squeezed,
-case when length(c_name) > 12 then substr(c_name, 1, 9) || '...' else c_name end as short, array_to_string(list_distinct([c_name, c_mktsegment]), ', ') as joined, regexp_replace(lower(c_name), '[^0-9a-z가-힣]', '', 'g') as key from customer""")
+case when length(c_name) > 12 then substr(c_name, 1, 9) || '...' else c_name end as short, case when c_name = c_mktsegment then c_name else c_name || ', ' || c_mktsegment end as joined, regexp_replace(lower(c_name), '[^0-9a-z가-힣]', '', 'g') as key from customer""")
 def text_forms(t: Tables) -> DataFrame:
     n = F.col("c_name")
     return t.customer.select("c_custkey", text.after_last(n, "#").alias("after"), text.squeeze(n).alias("squeezed"), text.abbreviate(n, 12, dots=True).alias("short"), text.join_distinct(n, F.col("c_mktsegment")).alias("joined"), text.name_key(n).alias("key"))

@@ -7,6 +7,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 class _Reader(HTMLParser):
@@ -66,13 +67,13 @@ def _read(text) -> _Reader:
     return reader
 
 
-@F.pandas_udf("array<array<string>>")
+@F.pandas_udf(T.ArrayType(T.ArrayType(T.StringType())))
 def table_rows(pages: pd.Series) -> pd.Series:
     """Cells of every table row that has any."""
     return pages.map(lambda x: _read(x).rows)
 
 
-@F.pandas_udf("array<struct<href:string,text:string>>")
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("href", T.StringType()), T.StructField("text", T.StringType())])))
 def links(pages: pd.Series) -> pd.Series:
     """Links with white space in their text collapsed, in order."""
     return pages.map(lambda x: [{"href": h, "text": t} for h, t in _read(x).links])

@@ -10,11 +10,12 @@ from xml.etree import ElementTree
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from noticeflow.functions.text import squeeze
 from noticeflow.sources.html import _read
 
-_KIND = "array<struct<row:int,cells:array<string>,error:string>>"
+_KIND = T.ArrayType(T.StructType([T.StructField("row", T.IntegerType()), T.StructField("cells", T.ArrayType(T.StringType())), T.StructField("error", T.StringType())]))
 
 
 def _quoted_rows(text: str) -> list[tuple[list[str], str | None]]:
