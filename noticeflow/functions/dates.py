@@ -62,9 +62,11 @@ def period_status(period: Column, today: Column, explicit: Column | None = None,
 
 
 def month_chunks(start: Column, end: Column) -> Column:
-    """array<struct<first, last>>: [d, d + 1 month - 1 day] steps that cover start to end."""
-    starts = F.sequence(start, end, F.expr("interval 1 month"))
-    return F.transform(starts, lambda d: F.struct(d.alias("first"), F.least(F.date_sub(F.add_months(d, 1), 1), end).alias("last")))
+    """array<struct<first, last>>: [d, d + 1 month - 1 day] steps that cover start to end, each month counted from the
+    step before."""
+    most = F.ceil(F.months_between(end, start)).cast("int") + 1
+    starts = F.aggregate(F.sequence(F.lit(1), F.greatest(most, F.lit(1))), F.array(start), lambda acc, _: F.concat(acc, F.array(F.add_months(F.element_at(acc, -1), 1))))
+    return F.transform(F.filter(starts, lambda d: d <= end), lambda d: F.struct(d.alias("first"), F.least(F.date_sub(F.add_months(d, 1), 1), end).alias("last")))
 
 
 def days_left(deadline: Column, today: Column) -> Column:

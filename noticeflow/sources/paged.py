@@ -84,5 +84,5 @@ def name_value_map(entries) -> object:
 
 def xml_items(df: DataFrame, raw: str, schema: str) -> DataFrame:
     """One row per item of an XML listing page, by a declared schema."""
-    body = F.from_xml(F.col(raw), f"struct<body:struct<items:struct<item:array<struct<{schema}>>>,totalCount:bigint>>".removeprefix("struct<").removesuffix(">"))
+    body = F.from_xml(F.col(raw), f"body struct<items:struct<item:array<struct<{schema}>>>,totalCount:bigint>")
     return df.withColumn("__x", body).select("*", F.col("__x.body.totalCount").alias("total"), F.explode_outer("__x.body.items.item").alias("item")).drop("__x")
