@@ -96,3 +96,59 @@ def column_by_header(rows: Column, header: str) -> Column:
     at = F.array_position(F.transform(F.get(rows, F.lit(0)), squeeze), F.lit(header))
     body = F.slice(rows, F.lit(2), F.greatest(F.size(rows) - 1, F.lit(0)))
     return F.when(at > 0, F.transform(body, lambda r: F.get(r, (at - 1).cast("int"))))
+
+
+def mapped_rows(mapping: dict[str, str]):
+    """A column function: one map per table row of a page, by a mapping of field to place.
+
+    Places: ``column(n)`` the text of the n-th cell, ``link@href`` and ``link::text`` of the row's first link, and an
+    address template with {name} places that stand for the row's other fields. Rows without any field are left out.
+    """
+    direct = {f: p for f, p in mapping.items() if "{" not in p}
+    templates = {f: p for f, p in mapping.items() if "{" in p}
+
+    @F.pandas_udf(T.ArrayType(T.MapType(T.StringType(), T.StringType())))
+    def rows(pages: pd.Series) -> pd.Series:
+        def one(x):
+            reader, out = _RowReader(), []
+            reader.feed(x or "")
+            reader.close()
+            for cells, first in reader.found:
+                fields = {}
+                for field, place in direct.items():
+                    if place.startswith("column("):
+                        n = int(place[7:-1])
+                        fields[field] = cells[n - 1] if n <= len(cells) else None
+                    else:
+                        fields[field] = (first or (None, None))[place == "link::text"]
+                for field, template in templates.items():
+                    known = {k: v for k, v in fields.items() if v}
+                    fields[field] = template.format(**known) if all("{%s}" % k not in template or k in known for k in direct) else None
+                if any(fields.values()):
+                    out.append(fields)
+            return out
+
+        return pages.map(one)
+
+    return rows
+
+
+class _RowReader(_Reader):
+    """Rows that have data cells, each with its first link."""
+
+    def __init__(self):
+        super().__init__()
+        self.found, self.heads, self.before = [], False, 0
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "tr":
+            self.heads, self.before = True, len(self.links)
+        elif tag == "td":
+            self.heads = False
+        super().handle_starttag(tag, attrs)
+
+    def handle_endtag(self, tag):
+        row = self.row
+        super().handle_endtag(tag)
+        if tag == "tr" and row and not self.heads:
+            self.found.append((row, self.links[self.before] if len(self.links) > self.before else None))

@@ -127,3 +127,12 @@ def test_stream_equals_batch_and_survives_reruns(spark, tmp_path):
     stream = spark.readStream.schema(calls.schema).parquet(f"{tmp_path}/calls")
     quota_stream(stream, "source", "at", "id", 3).writeStream.format("memory").queryName("quota").outputMode("append").option("checkpointLocation", f"{tmp_path}/cp2").trigger(availableNow=True).start().awaitTermination()
     assert [r.id for r in spark.table("quota").where("accepted").orderBy("id").collect()] == [0, 1, 2, 4, 5, 6]
+
+
+def test_declared_extraction(spark):
+    from noticeflow.sources.html import mapped_rows
+
+    page = "<table><tr><th>no</th><th>title</th></tr><tr><td>7</td><td><a href='/v/7'>One</a></td></tr><tr><td></td><td>x</td></tr></table>"
+    get = mapped_rows({"id": "column(1)", "title": "link::text", "href": "link@href", "url": "https://a.kr/v/{id}"})
+    got = spark.createDataFrame([(page,)], "p string").select(get("p").alias("r")).first().r
+    assert got == [{"id": "7", "title": "One", "href": "/v/7", "url": "https://a.kr/v/7"}]
