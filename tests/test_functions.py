@@ -40,7 +40,7 @@ def test_text(spark):
 def test_urls(spark):
     v = lambda c: val(spark, c)
     assert v(urls.extract_urls(F.lit("see https://a.go.kr/x?y=1. and (http://b.com), https://a.go.kr/x?y=1"), ["b.com"])) == ["https://a.go.kr/x?y=1"]
-    assert v(urls.is_host(F.lit("https://WWW.g2b.go.kr/x"), ["g2b.go.kr"])) and not v(urls.is_host(F.lit("https://notg2b.go.kr"), ["g2b.go.kr"])) and not v(urls.is_host(F.lit("::bad"), ["x"]))
+    assert v(urls.is_host(F.lit("https://www.notice.go.kr/x"), ["notice.go.kr"])) and not v(urls.is_host(F.lit("https://notnotice.go.kr"), ["notice.go.kr"])) and not v(urls.is_host(F.lit("::bad"), ["x"]))
     assert v(urls.url_pattern(F.lit("https://a.kr/n/123/4?id=55&q=x"))) == "https://a.kr/n/{key}/4?id={value}&q={value}"
     assert v(urls.match_template(F.lit("https://a.kr/v/77?x=1"), "https://a.kr/v/{id}?x={x}")) == {"id": "77", "x": "1"} and v(urls.match_template(F.lit("https://b"), "https://a.kr/{id}")) is None
     assert v(urls.fill_template("https://a.kr/{id}/z", F.create_map(F.lit("id"), F.lit("9")))) == "https://a.kr/9/z" and v(urls.fill_template("{no}", F.create_map(F.lit("id"), F.lit("9")))) is None
