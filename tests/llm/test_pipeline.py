@@ -70,3 +70,22 @@ def test_packing_holds_every_document(tables):
 
 def test_run_gives_the_last_stage(spark, tables):
     assert corpus_pipeline.run(spark, DATA).count() == tables[-1][2].count()
+
+
+def test_stages_take_edge_cases(spark):
+    """Nulls in every column, empty and very long texts, repeated rows, clashing extra columns, and no rows at all."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, size long, target string, `group` string, cells string"
+    long_text = "one two three four five six seven " * 20_000
+    rows = [
+        (1, "Some good words stand here.\nAnd more.", "en", "a", 37, 1, "x", "y", "z"), (1, "Some good words stand here.\nAnd more.", "en", "a", 37, 1, "x", "y", "z"), (2, None, None, None, None, None, None, None, None),
+        (3, "", "en", "", 0, 2, "", "", ""), (4, long_text, "en", "a", len(long_text), 3, "x", "y", "z"), (None, "No id has this text at all.", "en", "b", 26, 4, "x", "y", "z"), (5, " \n \n", "en", "b", 4, 5, "x", "y", "z")]
+    docs = spark.createDataFrame(rows, schema).repartition(3)
+    for name, step in corpus_pipeline.STAGES[1:]:
+        after = step(spark, docs, DATA)
+        if name != "packing":
+            assert after.columns == docs.columns, name
+        n = after.count()
+        assert n == {"line_dedup": 7, "near_dedup": 4}.get(name, n) and n > 0, (name, n)
+        assert step(spark, docs.where("false"), DATA).count() == 0, name
+    kept = corpus_pipeline.quality(spark, docs, DATA)
+    assert kept.columns == docs.columns and kept.count() <= 7
