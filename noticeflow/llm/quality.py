@@ -197,7 +197,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     """A model from the labelled documents whose crc32(id as text) mod 5 is not 0.
 
     About ``sample_per_label`` documents of each label teach it (expected, by a seeded hash of the id); the shares of
-    the labels are counted over all. Null labels and texts teach nothing. Without labelled documents every score is
+    the labels are counted over all. The sample's ids are bounded so, which lets them be broadcast. Null labels and texts teach nothing. Without labelled documents every score is
     one half or near it.
     """
     marks = labels.select(F.col(doc_id).alias("id"), F.col(label).cast("int").alias("good")).where("id is not null and good in (0, 1)").where(remainder(F.col("id"), 5) != 0)
@@ -207,7 +207,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
         share = F.when(F.col("good") == k, min(1.0, sample_per_label / n)).otherwise(share)
     place = F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1 << 30)) / float(1 << 30)
     picked = marks.withColumn("share", share).where(place < F.col("share"))
-    taught = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).where("text is not null").join(picked, "id").select("id", "text", "good")
+    taught = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).where("text is not null").join(F.broadcast(picked), "id").select("id", "text", "good")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
