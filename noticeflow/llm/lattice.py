@@ -139,11 +139,12 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.93, tables: int = TABLES,
     reps = stage(keyed.where("v is not null").groupBy("label", "v").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("copies")).select("vec_id", "label", "copies", "v"), "lattice-vectors")
     hashed = stage(_hashed(reps, tables, probes, scale, seed), "lattice-cells")
     width = 1 + probes
-    spread = hashed.select("vec_id", "label", "copies", "v", "cells", F.posexplode("cells").alias("at", "cell"))
-    spread = spread.select("vec_id", "label", "copies", "v", "cells", "cell", F.expr(f"at div {width}").cast("int").alias("tbl"), (F.col("at") % width == 0).alias("own"))
-    sizes = hashed.select("label", F.posexplode("cells").alias("at", "cell")).select("label", "cell", F.expr(f"at div {width}").cast("int").alias("tbl"), (F.col("at") % width == 0).cast("int").alias("own"))
-    sizes = sizes.groupBy("label", "tbl", "cell").agg(F.count("*").alias("n"), F.max("own").alias("any_own")).where("n > 1 and any_own = 1").select("label", "tbl", "cell", F.ceil(F.col("n") / tile).cast("int").alias("parts"))
-    cut = spread.join(sizes, ["label", "tbl", "cell"]).withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int"))
+    place = F.posexplode("cells").alias("at", "cell")
+    keys = hashed.select("vec_id", "label", place).select("vec_id", "label", "cell", F.expr(f"at div {width}").cast("int").alias("tbl"), (F.col("at") % width == 0).alias("own"))
+    sizes = keys.groupBy("label", "tbl", "cell").agg(F.count("*").alias("n"), F.bool_or("own").alias("any_own")).where("n > 1 and any_own")
+    sizes = stage(sizes.select("label", "tbl", "cell", F.ceil(F.col("n") / tile).cast("int").alias("parts")), "lattice-sizes")
+    cut = keys.join(sizes, ["label", "tbl", "cell"]).withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int"))
+    cut = cut.join(hashed.select("vec_id", "label", "copies", "v", "cells"), ["vec_id", "label"])
     met = cut.withColumn("beside", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     met = met.withColumns({"a": F.least("part", "beside"), "b": F.greatest("part", "beside")})
     groups = met.groupBy("label", "tbl", "cell", "a", "b").agg(F.collect_list(F.struct("vec_id", "own", "copies", "part", "v", "cells")).alias("g"))
