@@ -35,24 +35,25 @@ def spanning_edges(count: int, left: np.ndarray, right: np.ndarray) -> tuple[np.
     return moved, label[moved]
 
 
-def _toward_minimum(pairs: DataFrame, keep_self: bool) -> DataFrame:
-    """Link every neighbour ``v`` of ``u`` to the smallest of ``u``'s neighbours and ``u``."""
-    low = pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+def _toward_minimum(pairs: DataFrame, keep_self: bool, name: str) -> tuple[DataFrame, list[str]]:
+    """Link every neighbour ``v`` of ``u`` to the smallest of ``u``'s neighbours and ``u``; and the folders used."""
+    low, path = stage_at(pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), name)
     joined = pairs.join(low, "u")
     if keep_self:
         out = joined.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
         out = out.select("e.u", "e.v")
     else:
         out = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return out.where("u <> v").distinct()
+    linked, its_path = stage_at(out.where("u <> v").distinct(), name)
+    return linked, [path, its_path]
 
 
 def connected_components(edges: DataFrame, name: str = "components", most_rounds: int = 60) -> DataFrame:
     """(node, component) for each node of ``edges(u, v)``; component is its smallest reachable node.
 
     Each round is one large-star and one small-star step over the edge table: aggregations with map-side combine
-    and joins against a table with one row per node, so a hub's rows may be split by adaptive skew handling.
-    Rounds grow with the logarithm of the path lengths. The table of each round is written to the shared folder.
+    and joins against a written table with one row per node, so a hub's rows may be split by adaptive skew handling.
+    Rounds grow with the logarithm of the path lengths. The tables of each round are written to the shared folder.
     Edges with a null end and self-links give nothing; no edges give no rows.
     """
     spark = edges.sparkSession
@@ -62,11 +63,12 @@ def connected_components(edges: DataFrame, name: str = "components", most_rounds
         if not seen[0]:
             break
         both = now.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.u", "e.v")
-        large = _toward_minimum(both, keep_self=False)
-        small = _toward_minimum(large, keep_self=True)
-        following, its_path = stage_at(small, name)
-        remove(spark, path)
-        now, path = following, its_path
+        large, used = _toward_minimum(both, False, name)
+        small, more = _toward_minimum(large, True, name)
+        now = small
+        for old in (path, *used, more[0]):
+            remove(spark, old)
+        path = more[1]
         digest = _digest(now)
         if digest == seen:
             break

@@ -155,7 +155,7 @@ def _components(prints: DataFrame, radius: int, both_radius: int | None) -> Data
     first = prints.groupBy("node").agg(F.min("doc_id").alias("first"))
     placed = first.join(joined, F.col("node") == F.col("n"), "left").select("node", "first", F.coalesce("component", "node").alias("component"))
     placed = stage(placed, "simhash-classes")
-    low = placed.groupBy("component").agg(F.min("first").alias("component_id"))
+    low = stage(placed.groupBy("component").agg(F.min("first").alias("component_id")), "simhash-lowest")
     return placed.join(low, "component").select("node", "component", "component_id")
 
 
