@@ -13,7 +13,7 @@ from noticeflow.llm.tokens import encoder
 
 #: Characters of text that a group holds on average.
 GROUP_CHARS = 4_000_000
-_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+_SCHEMA = "doc_id string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
 class Tournament:
@@ -103,12 +103,12 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 2,
     its own, so nothing grows with the corpus but the number of groups. A null text is empty: one sequence piece
     with the end id. Repeated rows are documents of their own. Empty table: no rows. Other columns play no part.
     """
-    narrow = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    narrow = docs.select(F.col(doc_id).cast("string").alias("doc_id"), F.col(text).alias("text"))  # pandas has no null integers
     total = narrow.agg(F.sum(F.length("text")), F.count("*")).first()
     groups = int(((total[0] or 0) + total[1]) // group_chars) + 1
     dealt = narrow.withColumn("group", F.pmod(F.xxhash64(F.lit(seed), "doc_id", F.pmod(F.monotonically_increasing_id(), F.lit(1 << 20))), F.lit(groups)))
 
-    def pack_one(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def pack_one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         enc = encoder(tokenizer)
         end = np.array([end_id], enc.dtype).tobytes()
         pdf = pdf.sort_values(["doc_id", "text"], kind="stable")
@@ -120,4 +120,5 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 2,
             "doc_id": pdf["doc_id"].array[d], "start": start, "length": length, "ids_crc32": np.array(crcs, np.int64),
             "doc_tokens": np.array([len(x) for x in ids], np.int64)[d], "sequence_id": (int(key[0]) << 32) + at, "offset": offset})
 
-    return dealt.groupBy("group").applyInPandas(pack_one, _SCHEMA)
+    packed = dealt.groupBy("group").applyInPandas(pack_one, _SCHEMA)
+    return packed.withColumn("doc_id", F.col("doc_id").cast("long"))
