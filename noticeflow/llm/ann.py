@@ -68,10 +68,11 @@ def _cells(vectors: DataFrame, tables: int, probes: int, seed: int) -> DataFrame
 
 
 def _tiled(cells: DataFrame, tile: int, name: str) -> DataFrame:
-    """(cell, part) tiles of about ``tile`` vectors: every cell is cut by a hash into as many parts as it needs."""
+    """(cell, part) tiles of about ``tile`` vectors: every cell is cut by a hash into as many parts as it needs. There
+    are twice as many cells in a table as the vectors have dimensions, so their counts may be broadcast."""
     rows = cells.select("vec_id", "v", F.explode("cells").alias("cell"))
     parts = rows.groupBy("cell").agg(F.ceil(F.count("*") / tile).alias("parts"))
-    cut = rows.join(parts, "cell").withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")))
+    cut = rows.join(F.broadcast(parts), "cell").withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")))
     return cut.groupBy("cell", "part").agg(F.collect_list(F.struct("vec_id", "v")).alias(name)).select("cell", F.col(f"{name}.vec_id").alias(f"{name}_ids"), F.flatten(f"{name}.v").alias(f"{name}_v"))
 
 
@@ -97,15 +98,18 @@ def nearest(queries: DataFrame, candidates: DataFrame, k: int = 20, tables: int
             for row in range(batch.num_rows):
                 q_ids, c_ids = (batch.column(i)[row].values.to_numpy() for i in (0, 2))
                 q, c = (batch.column(i)[row].values.to_numpy().reshape(len(ids), -1) for i, ids in ((1, q_ids), (3, c_ids)))
-                yield _best(q_ids, q, c_ids, c, k)
+                yield pa.record_batch([pa.array(x) for x in _best(q_ids, q, c_ids, c, k)], names=["query_id", "vec_id", "score"])
 
     met = asked.join(held, "cell").select("q_ids", "q_v", "c_ids", "c_v")
-    best = stage(met.mapInArrow(rank, "query_id long, vec_id long, score double"), "ann-best").distinct()
+    best = met.mapInArrow(rank, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    # A vector has one cell in a table, so the k best are among the first k * tables; this limit holds before the shuffle.
+    some = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k * tables)
+    once = some.dropDuplicates(["query_id", "vec_id", "score"])
+    return once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _best(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int) -> pa.RecordBatch:
+def _best(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Each query's k best of one tile. A fast product finds all that may be among them; their scores are then
     summed in one fixed order, so equal vectors score equal wherever they stand."""
     ids, found, scores = [], [], []
@@ -118,9 +122,12 @@ def _best(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k:
         exact = (q[i + rows] * c[columns]).sum(axis=1)
         order = np.lexsort((c_ids[columns], -exact, rows))
         rows, columns, exact = rows[order], columns[order], exact[order]
+        new = np.ones(len(rows), bool)  # repeated rows count once
+        new[1:] = (rows[1:] != rows[:-1]) | (c_ids[columns[1:]] != c_ids[columns[:-1]]) | (exact[1:] != exact[:-1])
+        rows, columns, exact = rows[new], columns[new], exact[new]
         place = np.arange(len(rows)) - np.searchsorted(rows, rows)
         top = place < k
         ids.append(q_ids[i + rows[top]])
         found.append(c_ids[columns[top]])
         scores.append(exact[top])
-    return pa.record_batch([pa.array(np.concatenate(x)) for x in (ids, found, scores)], names=["query_id", "vec_id", "score"])
+    return np.concatenate(ids), np.concatenate(found), np.concatenate(scores)
