@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 #: n-grams of 1 to GRAMS characters, hashed to BUCKETS features.
 GRAMS, BUCKETS = 3, 1 << 16
 #: Labelled documents (expected) that teach each language; passes over them; share kept for the temperature.
-SAMPLE_PER_LANG, PASSES, CALIBRATION = 1200, 2, 0.2
+SAMPLE_PER_LANG, PASSES, CALIBRATION = 800, 2, 0.2
 #: Fixed values of the training: learning rate, smoothing, and the penalties of absolute and of squared weights.
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 2e-4, 1e-4
 
@@ -153,8 +153,8 @@ def train(labelled: DataFrame, key: Column, sample_per_lang: int = SAMPLE_PER_LA
     # Places order the rows of one language only up to its share, so they are spread over the unit interval first.
     spread = (sample["place"] / sample["lang"].map({x: min(1.0, sample_per_lang / n) for x, n in counts.items()})).to_numpy()
     sample = sample.iloc[np.argsort(spread, kind="stable")]
-    features_of = [(np.asarray(i), _weighed(np.asarray(i), np.asarray(c), idf)) for i, c in zip(sample["i"], sample["c"])]
     labels = sample["lang"].map({x: k for k, x in enumerate(langs)}).to_numpy(np.int64)
+    features_of = [(np.array(i, np.int32), _weighed(np.asarray(i), np.asarray(c), idf).astype(np.float32)) for i, c in zip(sample.pop("i"), sample.pop("c"))]
     cut = int(len(labels) * (1 - CALIBRATION))
     weights, bias = train_ftrl(features_of[:cut], labels[:cut], max(1, len(langs)))
     scores = np.array([x @ weights[i] + bias for i, x in features_of[cut:]]).reshape(-1, max(1, len(langs)))
