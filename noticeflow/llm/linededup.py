@@ -53,6 +53,17 @@ def runs(hashes: np.ndarray, words: np.ndarray, least: int) -> tuple[np.ndarray,
     return starts, ends[starts], _run_hashes(hashes[full], starts, ends[starts])
 
 
+def ending_runs(hashes: np.ndarray, words: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same of the shortest runs with ``least`` words that end at each line, without those of ``runs``."""
+    full = np.flatnonzero(words)
+    through = np.concatenate(([0], np.cumsum(words[full])))
+    ends = np.flatnonzero(through >= max(least, 1))
+    starts = np.searchsorted(through, through[ends] - least, side="right") - 1
+    new = _ends(words[full], least)[starts] != ends
+    starts, ends = starts[new], ends[new]
+    return starts, ends, _run_hashes(hashes[full], starts, ends)
+
+
 def winnow(hashes: np.ndarray, words: np.ndarray, run_words: int = RUN_WORDS, gram_words: int = GRAM_WORDS) -> np.ndarray:
     """Fingerprints of a document: of the grams inside each window of ``run_words`` words the smallest hash.
 
@@ -93,15 +104,17 @@ def _marks(docs: DataFrame, run_words: int, gram_words: int) -> DataFrame:
 
 
 def _spread(marks: DataFrame, run_words: int) -> DataFrame:
-    """The extension's grid: (code, id, key, first, end) for every shortest run of ``run_words`` words of a document;
-    first and end are places among all its lines."""
+    """The extension's grid: (code, id, key, first, end) for every shortest run of ``run_words`` words from a line on
+    and up to a line of a document; first and end are places among all its lines."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = [[], [], [], [], []]
             for i, key, h, w in zip(*(batch.column(k) for k in range(4))):
                 words = w.values.to_numpy()
-                starts, ends, codes = runs(h.values.to_numpy().view(np.uint64), words, run_words)
+                hashes = h.values.to_numpy().view(np.uint64)
+                both = (runs(hashes, words, run_words), ending_runs(hashes, words, run_words))
+                starts, ends, codes = (np.concatenate(x) for x in zip(*both))
                 if len(starts):
                     full = np.flatnonzero(words)
                     starts, ends = full[starts], full[ends - 1] + 1
@@ -119,9 +132,10 @@ def repeated_runs(docs: DataFrame, run_words: int = RUN_WORDS, gram_words: int =
 
     1. Every document is winnowed; fingerprints that stand in two documents, or in a document of which a window
        repeats, name the documents that can share a run.
-    2. In these a match is extended both ways line by line: each shortest run of ``run_words`` words is compared
-       with the first document and position (ids in order, null last) that has it. Later ones are marked; marks
-       that overlap fuse to the whole repeated run.
+    2. In these a match is extended both ways line by line: each shortest run of ``run_words`` words, from a line on
+       and up to a line, is compared with the first document and position (ids in order, null last) that has it.
+       Later ones are marked; marks that overlap fuse to the whole repeated run: each of its lines stands in the
+       shortest run from it, in that up to it, or in that from the repeated run's first line.
     The counts and minima combine before the shuffle, so a passage in a third of all documents is one row per task.
     """
     marks = _marks(docs.select("id", "key", "text"), run_words, gram_words)
@@ -144,7 +158,7 @@ def _fused(later: DataFrame) -> DataFrame:
     reached = F.max("end").over(own.rowsBetween(Window.unboundedPreceding, -1))
     islands = later.withColumn("starts", (F.col("first") > F.coalesce(reached, F.lit(-1))).cast("int"))
     islands = islands.withColumn("island", F.sum("starts").over(own))
-    fused = islands.groupBy("id", "key", "island").agg(F.min("first").alias("first"), F.max("end").alias("end"), F.min_by("origin", "first").alias("origin"))
+    fused = islands.groupBy("id", "key", "island").agg(F.min("first").alias("first"), F.max("end").alias("end"), F.min_by("origin", F.struct("first", "end")).alias("origin"))
     run = F.struct("first", "end", F.col("origin.id").alias("origin_id"))
     return fused.groupBy("id", "key").agg(F.array_sort(F.collect_list(run)).alias("runs"))
 

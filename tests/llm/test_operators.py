@@ -237,6 +237,33 @@ def test_line_dedup_equals_brute_force(spark, edge_docs, no_docs):
     assert dedup_lines(no_docs).count() == 0
 
 
+def test_repeated_runs_go_to_their_last_line(spark):
+    """Against maximal equal runs: every run of 50 words or more, of any length, that stands earlier goes whole."""
+    from noticeflow.llm.linededup import dedup_lines
+
+    r = random.Random(9)
+    docs = [(1, "\n".join([words(1, 60), words(2, 10), words(3, 10), words(4, 7)])), (2, "\n".join([words(5, 9), words(1, 60), "", words(2, 10), words(3, 10), words(6, 80)])), (3, "\n".join([words(2, 10), words(3, 10), words(7, 80)]))]
+    passages = [[words(100 * k + i, r.choice([3, 10, 20, 60])) for i in range(6)] for k in range(5)]
+    for d in range(10, 60):
+        p, q = r.choice(passages), r.choice(passages)
+        docs.append((d, "\n".join([words(10**6 + d, 9), *p[r.randint(0, 2) : r.randint(3, 6)], words(2 * 10**6 + d, 9), *q[r.randint(0, 3) :]])))
+    seen, want = set(), {}
+    for key, text in docs:
+        lines = text.split("\n")
+        full = [i for i, x in enumerate(lines) if x]
+        gone = set()
+        for a in range(len(full)):
+            for b in range(a, len(full)):
+                run = tuple(lines[i] for i in full[a : b + 1])
+                if sum(len(x.split()) for x in run) >= 50:
+                    if run in seen:
+                        gone.update(range(full[a], full[b] + 1))
+                    seen.add(run)
+        want[key] = "\n".join(x for i, x in enumerate(lines) if i not in gone)
+    assert want[2] == words(5, 9) + "\n" + words(6, 80)
+    assert {x.doc_id: x.text for x in dedup_lines(frame(spark, [(i, t, "en", "s") for i, t in docs]).repartition(4)).collect()} == want
+
+
 # --- 5 SimHash
 
 
