@@ -8,7 +8,7 @@ from noticeflow.llm.linededup import dedup_lines
 from noticeflow.llm.mixing import mix
 from noticeflow.llm.packing import pack
 from noticeflow.llm.quality import keep_good
-from noticeflow.llm.simhash import drop_near_duplicates
+from noticeflow.llm.simhash import drop_similar
 from noticeflow.llm.staging import stage
 
 
@@ -23,8 +23,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: five-word shingles, a similarity of about 0.8 or more."""
-    return drop_near_duplicates(docs)
+    """One document of each group of near-duplicates: five-word shingles, a Jaccard similarity of 0.8 or more."""
+    return drop_similar(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -73,7 +73,23 @@ def fingerprints(docs: DataFrame, shingle: int = 3, second: bool = False, doc_id
     return stage(found.withColumn("node", F.xxhash64("fp", "more") if second else F.col("fp")), "fingerprints")
 
 
-def links(prints: DataFrame, radius: int = 3, both_radius: int | None = None, tile: int | None = None) -> DataFrame:
+def set_prints(docs: DataFrame, shingle: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``fingerprints`` of the sets of shingles (repeats count once), with n, the set's size, and as node a name of the
+    set itself, as a table."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = np.zeros((4, batch.num_rows), np.uint64)
+            for i, t in enumerate(batch.column(2)):
+                own = np.unique(hashes_of(t.as_py(), shingle))
+                out[:, i] = majority(own), majority(_remixed(own)), len(own), xxhash.xxh64_intdigest(own.tobytes())
+            yield pa.record_batch([batch.column(0), batch.column(1), *(pa.array(x.view(np.int64)) for x in out)], names=["doc_id", "text_key", "fp", "more", "n", "node"])
+
+    narrow = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), F.col(text).alias("text"))
+    return stage(narrow.mapInArrow(run, "doc_id long, text_key long, fp long, more long, n long, node long"), "set-prints")
+
+
+def links(prints: DataFrame, radius: int = 3, both_radius: int | None = None, tile: int | None = None, ratio: float | None = None) -> DataFrame:
     """Edges (u, v) that connect the distinct nodes of ``prints(node, fp, more)`` whose fingerprints differ in
     ``radius`` or fewer bits, and with ``both_radius`` in so many or fewer of the bits of both.
 
@@ -81,7 +97,8 @@ def links(prints: DataFrame, radius: int = 3, both_radius: int | None = None, ti
     where quarters would tell hardly any tiles apart. A tile is cut by a hash where it holds more than ``tile``.
     Counts that differ by more than the radius (summed over quarters) prove more differing bits, so tiles meet only
     within that distance; all pairs of two such tiles are compared. What a pair of tiles finds is reported as edges
-    that connect the same nodes, fewer than it holds. The table of counts has at most 17**4 rows, so it may be
+    that connect the same nodes, fewer than it holds; with ``ratio`` all pairs are reported in which the smaller n (a
+    column of ``prints`` then) is at least that part of the larger. The table of counts has at most 17**4 rows, so it may be
     broadcast.
     """
     blocks = 4 if radius <= 4 else 1
@@ -92,11 +109,12 @@ def links(prints: DataFrame, radius: int = 3, both_radius: int | None = None, ti
     key = F.lit(0)
     for c in counts:
         key = key * base + c
-    keyed = stage(prints.select("node", "fp", "more").distinct().withColumn("key", key), "simhash-keys")
+    held = ["node", "fp", "more", *(["n"] if ratio is not None else [])]
+    keyed = stage(prints.select(*held).distinct().withColumn("key", key), "simhash-keys")
     parts = keyed.groupBy("key").agg(F.ceil(F.count("*") / tile).alias("parts"))
     cut = keyed.join(F.broadcast(parts), "key").withColumn("part", F.pmod(F.xxhash64(F.lit(5), "node"), F.col("parts")))
-    grouped = cut.groupBy("key", "part").agg(F.collect_list(F.struct("node", "fp", "more")).alias("g"))
-    tiles = stage(grouped.select("key", "part", F.struct(*[F.col(f"g.{c}").alias(c) for c in ("node", "fp", "more")]).alias("g")), "simhash-tiles")
+    grouped = cut.groupBy("key", "part").agg(F.collect_list(F.struct(*held)).alias("g"))
+    tiles = stage(grouped.select("key", "part", F.struct(*[F.col(f"g.{c}").alias(c) for c in held]).alias("g")), "simhash-tiles")
     steps = [d for d in product(range(-radius, radius + 1), repeat=blocks) if sum(map(abs, d)) <= radius and d >= (0,) * blocks]
     step = F.explode(F.array(*[F.array(*map(F.lit, d)) for d in steps])).alias("d")
     places = [F.expr(f"key div {base ** (blocks - 1 - i)} % {base}") for i in range(blocks)]
@@ -116,7 +134,16 @@ def links(prints: DataFrame, radius: int = 3, both_radius: int | None = None, ti
                 v.append(y)
             yield pa.record_batch([pa.array(np.concatenate(u)), pa.array(np.concatenate(v))], names=["u", "v"])
 
-    return pairs.mapInArrow(compare, "u long, v long")
+    def compare_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in zip(batch.column(0), batch.column(1)):
+                left = (*_tile(a), a["n"].values.to_numpy())
+                right = (*_tile(b), b["n"].values.to_numpy()) if b.is_valid else left
+                for rows, columns in _pairs(left, right, radius, both_radius, not b.is_valid):
+                    keep = np.minimum(left[3][rows], right[3][columns]) >= ratio * np.maximum(left[3][rows], right[3][columns])
+                    yield pa.record_batch([pa.array(left[0][rows[keep]]), pa.array(right[0][columns[keep]])], names=["u", "v"])
+
+    return pairs.mapInArrow(compare if ratio is None else compare_all, "u long, v long")
 
 
 def _tile(g: pa.StructScalar) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -124,34 +151,40 @@ def _tile(g: pa.StructScalar) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return node, fp.view(np.uint64), more.view(np.uint64)
 
 
-def _near(left: tuple, right: tuple | None, radius: int, both_radius: int | None) -> tuple[np.ndarray, np.ndarray]:
-    """Connecting edges between near fingerprints of two tiles, or within one."""
-    other, shift = (left, 0) if right is None else (right, len(left[0]))
-    nodes = left[0] if right is None else np.concatenate([left[0], right[0]])
-    found, held = [], 0
+def _pairs(left: tuple, other: tuple, radius: int, both_radius: int | None, within: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of all near fingerprints of two tiles, or of each two within one, block by block."""
     for k in range(0, len(left[1]), 256):
-        for m in range(k if right is None else 0, len(other[1]), 8192):
+        for m in range(k if within else 0, len(other[1]), 8192):
             rows, columns = np.nonzero(np.bitwise_count(left[1][k : k + 256, None] ^ other[1][None, m : m + 8192]) <= radius)
             rows, columns = rows + k, columns + m
-            keep = rows < columns if right is None else np.ones(len(rows), bool)
+            keep = rows < columns if within else np.ones(len(rows), bool)
             if both_radius is not None:
                 a, b = rows[keep], columns[keep]
                 keep[keep] = np.bitwise_count(left[1][a] ^ other[1][b]).astype(int) + np.bitwise_count(left[2][a] ^ other[2][b]) <= both_radius
             if keep.any():
-                found.append((rows[keep], columns[keep] + shift))
-                held += int(keep.sum())
-            if held > 1_000_000:  # a group of copies: its links so far become fewer edges than it has members
-                found = [spanning_edges(len(nodes), *(np.concatenate(x) for x in zip(*found)))]
-                held = len(found[0][0])
+                yield rows[keep], columns[keep]
+
+
+def _near(left: tuple, right: tuple | None, radius: int, both_radius: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """Connecting edges between near fingerprints of two tiles, or within one."""
+    other, shift = (left, 0) if right is None else (right, len(left[0]))
+    nodes = left[0] if right is None else np.concatenate([left[0], right[0]])
+    found, held = [], 0
+    for rows, columns in _pairs(left, other, radius, both_radius, right is None):
+        found.append((rows, columns + shift))
+        held += len(rows)
+        if held > 1_000_000:  # a group of copies: its links so far become fewer edges than it has members
+            found = [spanning_edges(len(nodes), *(np.concatenate(x) for x in zip(*found)))]
+            held = len(found[0][0])
     if not found:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     node, root = spanning_edges(len(nodes), *(np.concatenate(x) for x in zip(*found)))
     return nodes[node], nodes[root]
 
 
-def _components(prints: DataFrame, radius: int, both_radius: int | None) -> DataFrame:
+def _components(prints: DataFrame, edges: DataFrame) -> DataFrame:
     """node, component (a node of it) and component_id (its smallest doc_id) of every distinct node."""
-    joined = connected_components(links(prints, radius, both_radius), "simhash").withColumnRenamed("node", "n")
+    joined = connected_components(edges, "simhash").withColumnRenamed("node", "n")
     first = prints.groupBy("node").agg(F.min("doc_id").alias("first"))
     placed = first.join(joined, F.col("node") == F.col("n"), "left").select("node", "first", F.coalesce("component", "node").alias("component"))
     placed = stage(placed, "simhash-classes")
@@ -168,7 +201,7 @@ def near_duplicates(docs: DataFrame, radius: int = 3, shingle: int = 3, both_rad
     first 64 are compared tile by tile and all of those that pass.
     """
     prints = fingerprints(docs, shingle, both_radius is not None, doc_id, text)
-    found = prints.join(_components(prints, radius, both_radius), "node")
+    found = prints.join(_components(prints, links(prints, radius, both_radius)), "node")
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -184,10 +217,56 @@ def drop_near_duplicates(docs: DataFrame, radius: int = SIMILAR["radius"], shing
     Groups of null ids keep one row.
     """
     prints = fingerprints(docs, shingle, both_radius is not None, doc_id, text)
-    members = prints.join(_components(prints, radius, both_radius), "node")
+    members = prints.join(_components(prints, links(prints, radius, both_radius)), "node")
+    return _one_of_each(docs, members, doc_id, text)
+
+
+def _one_of_each(docs: DataFrame, members: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """Rows of ``docs`` with the first of each component of ``members(component, doc_id, text_key)``."""
     kept = members.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key")).alias("k"))
     p = free_prefix(docs, "__dup_")
     kept = kept.select(F.col("k.doc_id").alias(p + "kept_id"), F.col("k.text_key").alias(p + "kept_text"))
     keyed = docs.withColumns({p + "id": F.col(doc_id).cast("long"), p + "text": F.xxhash64(text)})
     stay = keyed.join(kept, F.col(p + "id").eqNullSafe(F.col(p + "kept_id")) & (F.col(p + "text") == F.col(p + "kept_text")), "left_semi")
     return stay.dropDuplicates([p + "id", p + "text"]).drop(p + "id", p + "text")
+
+
+#: Jaccard similarity of near-duplicates as a fraction, words of a shingle, and the differing bits, of the first 64 and
+#: of 128, up to which a pair is verified. At just 0.8 a bit differs with probability 0.15 (sets of 4 and 5: 0.19), so
+#: of 128 it is 19 in the mean (24), and less than 1 pair in 2500 has more than 24 of 64 or 40 of 128.
+JACCARD, SET_SHINGLE, CANDIDATE_BITS = (4, 5), 5, (24, 40)
+
+
+def similar_links(docs: DataFrame, prints: DataFrame, shingle: int = SET_SHINGLE, text: str = "text") -> DataFrame:
+    """Pairs (u, v) of nodes of ``set_prints`` whose sets have a Jaccard similarity of ``JACCARD`` or more.
+
+    Copies are one node before. Near fingerprints and sizes choose the pairs; the sets of these nodes alone are made
+    again from the texts, and each pair's are intersected.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(hashes_of(t.as_py(), shingle)) for t in batch.column(0)]
+            names = np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in sets], np.uint64)
+            offsets = pa.array(np.cumsum([0, *map(len, sets)]).astype(np.int32))
+            values = pa.array(np.concatenate([np.zeros(0, np.int64), *(x.view(np.int64) for x in sets)]))
+            yield pa.record_batch([pa.array(names.view(np.int64)), pa.ListArray.from_arrays(offsets, values)], names=["node", "hashes"])
+
+    part, whole = JACCARD
+    pairs = stage(links(prints, *CANDIDATE_BITS, ratio=part / whole - 1e-9), "similar-pairs")
+    nodes = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    chosen = prints.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("text_key").alias("key")).select("key")
+    texts = docs.where(F.col(text).isNotNull()).select(F.col(text).alias("text")).withColumn("key", F.xxhash64("text"))
+    found = texts.join(chosen, "key", "left_semi").dropDuplicates(["key"]).select("text")
+    sets = stage(found.mapInArrow(run, "node long, hashes array<long>"), "similar-sets")
+    of = lambda end, name: sets.select(F.col("node").alias(end), F.col("hashes").alias(name))
+    both = pairs.join(of("u", "a"), "u").join(of("v", "b"), "v")
+    return both.where((part + whole) * F.size(F.array_intersect("a", "b")) >= part * (F.size("a") + F.size("b"))).select("u", "v")
+
+
+def drop_similar(docs: DataFrame, shingle: int = SET_SHINGLE, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``drop_near_duplicates`` with groups linked by the Jaccard similarity of the sets of shingles, ``JACCARD`` or
+    more. Texts without words are equal."""
+    prints = set_prints(docs, shingle, doc_id, text)
+    members = prints.join(_components(prints, similar_links(docs, prints, shingle, text)), "node")
+    return _one_of_each(docs, members, doc_id, text)

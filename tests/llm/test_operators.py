@@ -304,6 +304,30 @@ def test_simhash_equals_brute_force(spark, edge_docs, no_docs, wide):
     assert simhash.near_duplicates(no_docs).count() == 0 and simhash.drop_near_duplicates(no_docs).count() == 0
 
 
+def test_similar_documents_equal_brute_force_jaccard(spark):
+    """Copies with more and more words replaced: those below 0.8 stay, those at 0.8 or above go."""
+    from corpus_pipeline import near_dedup
+
+    docs, r = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), random.Random(3)
+    more = []
+    for k in range(60):
+        w = words(700 + k, r.choice([12, 60, 300])).split()
+        more.append((10**6 + 2 * k, " ".join(w)))
+        for at in r.sample(range(len(w)), max(1, len(w) * (k % 6) // 100)):
+            w[at] = f"new{k}x{at}"
+        more.append((10**6 + 2 * k + 1, " ".join(w)))
+    more += [(2 * 10**6, "a b c d e f g h"), (2 * 10**6 + 1, "a b c d e f g h i")]  # 4 of 5 shingles
+    extra = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in more], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.unionByName(extra.select(*[F.col(c).cast(t) for c, t in docs.dtypes]))
+    rows = sorted(docs.collect(), key=lambda x: x.doc_id)
+    split = [re.sub("[A-Z]", lambda m: m[0].lower(), x.text or "").encode().split() for x in rows]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in split]
+    pairs = [(i, j) for i, a in enumerate(sets) for j in range(i) if 5 * min(len(a), len(sets[j])) >= 4 * max(len(a), len(sets[j])) and 9 * len(a & sets[j]) >= 4 * (len(a) + len(sets[j]))]
+    want = sorted(rows[c].doc_id for c in set(components(len(rows), pairs)))
+    assert sorted(x.doc_id for x in near_dedup(spark, docs, "").collect()) == want
+    assert 2 * 10**6 + 1 not in want and any(x >= 10**6 and x % 2 for x in want)
+
+
 def test_simhash_tiles_are_all_compared(spark):
     from noticeflow.llm.simhash import links
 
