@@ -84,11 +84,11 @@ def nearest(queries: DataFrame, candidates: DataFrame, k: int = 20, tables: int
     precision on the original vectors (a cell is cut into tiles, not capped), so vectors should be of about equal
     length for the cells to fit the inner product. A query is no candidate of itself; ties go to the smaller id.
     Null, zero, non-finite or empty vectors and null ids take no part; all vectors have one dimension. A repeated
-    id counts once per distinct score. No queries or candidates: no rows. Other columns play no part.
+    id counts once per distinct score, and repeated rows, of queries or candidates, change nothing. No queries or candidates: no rows. Other columns play no part.
     """
 
     def narrow(df: DataFrame) -> DataFrame:
-        return df.where(usable(F.col(vector)) & F.col(vec_id).isNotNull()).select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("v"))
+        return df.where(usable(F.col(vector)) & F.col(vec_id).isNotNull()).select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("v")).dropDuplicates(["vec_id", "v"])
 
     asked = stage(_tiled(_cells(narrow(queries), tables, probes, seed), TILE // 2, "q"), "ann-queries")
     held = stage(_tiled(_cells(narrow(candidates), tables, 1, seed), TILE, "c"), "ann-cells")
@@ -103,8 +103,8 @@ def nearest(queries: DataFrame, candidates: DataFrame, k: int = 20, tables: int
     met = asked.join(held, "cell").select("q_ids", "q_v", "c_ids", "c_v")
     best = met.mapInArrow(rank, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    # A vector has one cell in a table, so the k best are among the first k * tables; this limit holds before the shuffle.
-    some = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k * tables)
+    # Equal rows, of several tables or of several vectors of an id, share a dense rank; this limit holds before the shuffle.
+    some = best.withColumn("rank", F.dense_rank().over(order)).where(F.col("rank") <= k)
     once = some.dropDuplicates(["query_id", "vec_id", "score"])
     return once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -441,6 +441,21 @@ def test_nearest_is_exact_with_all_cells_and_good_with_few(spark):
     assert nearest(df.where("false"), df).count() == 0 and nearest(queries, df.where("false")).count() == 0
 
 
+def test_repeated_vectors_take_no_places(spark):
+    from noticeflow.llm.ann import nearest
+
+    rows, _ = vector_rows(seed=6, n=400, dims=24)
+    df = spark.createDataFrame([(i, (np.array(v) / np.linalg.norm(v)).tolist()) for i, v, _ in rows], "vec_id long, embedding array<double>")
+    queries = df.where("vec_id % 50 = 0")
+    three = lambda x: x.unionByName(x).unionByName(x)
+    whole = dict(tables=3, probes=64)
+    want = sorted(map(tuple, nearest(queries, df, **whole).collect()))
+    assert len(want) == 20 * queries.count()
+    assert sorted(map(tuple, nearest(three(queries), three(df), **whole).collect())) == want
+    one = df.where("vec_id in (0, 50)").select(F.lit(-1).cast("long").alias("vec_id"), "embedding")  # two vectors under one id
+    assert nearest(three(one), df, **whole).count() == 20
+
+
 # --- 9 quality
 
 
