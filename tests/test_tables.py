@@ -58,6 +58,15 @@ def test_ranking_rules(spark):
     assert [r.file_id for r in got] == [5, 4, 2] and abs(got[2].score - (2 / 3 * 0.8 + 0.2)) < 1e-6
 
 
+def test_candidates_by_substring(spark):
+    from noticeflow.operators.rollup import rank_candidates
+
+    entries = spark.createDataFrame([(1, "하천 정비", "서울시"), (2, "사업 2020", ""), (3, "Blue River Park", None), (4, "--", "x"), (5, None, None), (6, "가", "")], "entry_id long, name string, client string")
+    files = spark.createDataFrame([(1, "서울시하천정비계획.pdf", "a", 1), (2, "강하천정비공사.hwp", "a", 2), (3, "우리사업2020결과", "a", 3), (4, "blueriverpark.zip", "a", 4), (5, "parks of blueish rivers", "a", 5), (6, "river only", "a", 6), (7, None, "a", 7), (8, "가나", "a", 8)], "file_id long, file_name string, path string, modified long")
+    got = {(x.entry_id, x.file_id): x.score for x in rank_candidates(entries, files).collect()}
+    assert got == {(1, 1): 1.0, (1, 2): 0.8, (2, 3): 0.8, (3, 4): 0.8, (3, 5): 0.8, (6, 8): 0.8}
+
+
 def test_document_lines(spark):
     text = "head\nH: a\nx\n\ny\nB end\nz\nH: b\n1. one\nmore\n2. two"
     df = lines.to_lines(spark.createDataFrame([(1, text)], "id int, text string"), "id", "text")
