@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from noticeflow.llm.tokens import encoder
+from noticeflow.llm.tokens import Encoder, encoder
 
 #: Characters of text that a group holds on average.
 GROUP_CHARS = 4_000_000
-_SCHEMA = "doc_id string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+_COLUMNS = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
 
 class Tournament:
@@ -95,30 +97,57 @@ def pack_group(lengths: list[int], capacity: int) -> list[tuple[int, int, int, i
     return pieces
 
 
+def _blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[int, list[pa.Array], list[pa.Array]]]:
+    """(group, keys, texts) of rows (group, key, text) that come group by group; a new block begins with each group,
+    and inside one as soon as the block holds ``most`` characters."""
+    now, keys, texts, held = None, [], [], 0
+    for batch in batches:
+        sizes, a = pc.utf8_length(batch.column(2)).fill_null(0).to_pylist(), 0
+        for i, (group, n) in enumerate(zip(batch.column(0).to_pylist(), sizes)):
+            if held and (group != now or held >= most):
+                yield now, [*keys, batch.column(1)[a:i]], [*texts, batch.column(2)[a:i]]
+                keys, texts, held, a = [], [], 0, i
+            now, held = group, held + n + 1
+        keys.append(batch.column(1)[a:])
+        texts.append(batch.column(2)[a:])
+    if held:
+        yield now, keys, texts
+
+
+def _block(keys: list[pa.Array], texts: list[pa.Array], group: int, bins: int, enc: Encoder, end: np.ndarray, capacity: int) -> tuple[pa.RecordBatch, int]:
+    """The pieces of a block, and the number of the group's sequences after it (``bins`` before)."""
+    ids = [np.concatenate([x, end]) for part in texts for x in enc.encode_column(part)]
+    pieces = pack_group([len(x) for x in ids], capacity)
+    crcs = [zlib.crc32(ids[d][s : s + n].astype("<u4").tobytes()) for d, s, n, _, _ in pieces]
+    d, start, length, at, offset = (np.array(x, np.int64) for x in zip(*pieces))
+    numbers = (start, length, np.array(crcs, np.int64), np.array([len(x) for x in ids], np.int64)[d], (group << 32) + bins + at, offset)
+    return pa.record_batch([pa.concat_arrays(keys).take(pa.array(d)), *map(pa.array, numbers)], names=_COLUMNS), bins + int(at.max()) + 1
+
+
 def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 2, seed: int = 11, group_chars: int = GROUP_CHARS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Pieces of all ``docs`` in sequences of at most ``capacity`` tokens.
 
-    Rows are dealt at random (by a seeded hash of id and text, and of the row's place among its partition's rows,
-    which parts repeated rows) into groups of about ``group_chars`` characters; a group is packed in one task of
-    its own, so nothing grows with the corpus but the number of groups. A null text is empty: one sequence piece
-    with the end id. Repeated rows are documents of their own. Empty table: no rows. Other columns play no part.
+    Rows are dealt at random (by a seeded hash of id and text, so a task that runs again deals alike) into groups of
+    about ``group_chars`` characters, sorted by the same hash and packed group by group as they stream by; what a
+    group holds beyond twice that size is a block of its own, so no task holds more than a block, however many equal
+    rows there are. Sequences depend on the rows alone, not on their partitions. A null text is empty: one sequence
+    piece with the end id. Repeated rows are documents of their own. Empty table: no rows. Other columns play no part.
     """
-    narrow = docs.select(F.col(doc_id).cast("string").alias("doc_id"), F.col(text).alias("text"))  # pandas has no null integers
+    narrow = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     total = narrow.agg(F.sum(F.length("text")), F.count("*")).first()
     groups = int(((total[0] or 0) + total[1]) // group_chars) + 1
-    dealt = narrow.withColumn("group", F.pmod(F.xxhash64(F.lit(seed), "doc_id", F.pmod(F.monotonically_increasing_id(), F.lit(1 << 20))), F.lit(groups)))
+    dealt = narrow.withColumn("place", F.xxhash64(F.lit(seed), "doc_id", "text")).withColumn("group", F.pmod("place", F.lit(groups)))
+    ordered = dealt.repartition("group").sortWithinPartitions("group", "place", "doc_id").select("group", "doc_id", "text")
 
-    def pack_one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
-        end = np.array([end_id], enc.dtype).tobytes()
-        pdf = pdf.sort_values(["doc_id", "text"], kind="stable")
-        ids = [np.frombuffer(x + end, enc.dtype) for x in enc.encode_each(t if isinstance(t, str) else None for t in pdf.pop("text"))]
-        pieces = pack_group([len(x) for x in ids], capacity)
-        crcs = [zlib.crc32(ids[d][s : s + n].astype("<u4").tobytes()) for d, s, n, _, _ in pieces]
-        d, start, length, at, offset = (np.array(x, np.int64) for x in zip(*pieces))
-        return pd.DataFrame({
-            "doc_id": pdf["doc_id"].array[d], "start": start, "length": length, "ids_crc32": np.array(crcs, np.int64),
-            "doc_tokens": np.array([len(x) for x in ids], np.int64)[d], "sequence_id": (int(key[0]) << 32) + at, "offset": offset})
-
-    packed = dealt.groupBy("group").applyInPandas(pack_one, _SCHEMA)
-    return packed.withColumn("doc_id", F.col("doc_id").cast("long"))
+        end = np.array([end_id], enc.dtype)
+        last, bins = None, 0
+        for group, keys, texts in _blocks(batches, 2 * group_chars):
+            bins = bins if group == last else 0
+            out, bins = _block(keys, texts, group, bins, enc, end, capacity)
+            last = group
+            yield out
+
+    kind = dict(narrow.dtypes)["doc_id"]
+    return ordered.mapInArrow(run, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")

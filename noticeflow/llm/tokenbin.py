@@ -26,30 +26,33 @@ def _place(path: str):
 
 
 class _SequenceFile:
-    """Writes ids as sequences of ``length`` ids with a mask (1 token, 0 padding), and an index of documents beside."""
+    """Writes ids as sequences of ``length`` ids with a mask, and an index of documents beside. A mask is ``length`` bits
+    (1 token, 0 padding; the lowest of a byte first) in bytes, so that numpy can show it without a copy."""
 
     def __init__(self, root: str, length: int, dtype: np.dtype):
+        if length % 8:
+            raise ValueError("the length of a sequence must be a multiple of 8")
         self.length, self.dtype, self.width = length, dtype, length * _BATCH
         self.fs, folder = _place(root)
         self.fs.create_dir(folder, recursive=True)
         self.name = f"{folder}/{uuid.uuid4().hex}"
         kind = pa.from_numpy_dtype(dtype)
-        self.schema = pa.schema([("ids", pa.list_(kind, length)), ("mask", pa.list_(pa.bool_(), length))])
+        self.schema = pa.schema([("ids", pa.list_(kind, length)), ("mask", pa.list_(pa.uint8(), length // 8))])
         self.index_schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
         self.out = self.fs.open_output_stream(self.name + ".part")
         self.index_out = self.fs.open_output_stream(self.name + ".index.part")
         self.writer = pa.ipc.new_file(self.out, self.schema)
         self.index_writer = pa.ipc.new_file(self.index_out, self.index_schema)
-        self.held: list[bytes] = []
+        self.held: list[np.ndarray] = []
         self.held_ids = self.total = self.docs = 0
         self.index: list[tuple] = []
 
-    def add(self, doc_id, ids: bytes) -> None:
-        n = len(ids) // self.dtype.itemsize
+    def add(self, doc_id, ids: np.ndarray, end: np.ndarray) -> None:
+        n = len(ids) + len(end)
         self.index.append((doc_id, self.total, n))
         self.total += n
         self.docs += 1
-        self.held.append(ids)
+        self.held += [ids, end]
         self.held_ids += n
         if self.held_ids >= self.width:
             self._write(self.held_ids // self.length * self.length)
@@ -57,14 +60,14 @@ class _SequenceFile:
             self._write_index()
 
     def _write(self, count: int) -> None:
-        flat = np.frombuffer(b"".join(self.held), self.dtype)
-        self.held, self.held_ids = [flat[count:].tobytes()], len(flat) - count
+        flat = np.concatenate([np.zeros(0, self.dtype), *self.held])
+        self.held, self.held_ids = [flat[count:].copy()], len(flat) - count
         for i in range(0, count, self.width):
-            self._batch(flat[i : min(i + self.width, count)], None)
+            part = flat[i : min(i + self.width, count)]
+            self._batch(part, np.full(len(part) // 8, 255, np.uint8))
 
-    def _batch(self, flat: np.ndarray, mask: np.ndarray | None) -> None:
-        bits = pa.array(np.ones(len(flat), bool) if mask is None else mask)
-        lists = [pa.FixedSizeListArray.from_arrays(pa.array(flat), self.length), pa.FixedSizeListArray.from_arrays(bits, self.length)]
+    def _batch(self, flat: np.ndarray, bits: np.ndarray) -> None:
+        lists = [pa.FixedSizeListArray.from_arrays(pa.array(flat), self.length), pa.FixedSizeListArray.from_arrays(pa.array(bits), self.length // 8)]
         self.writer.write_batch(pa.record_batch(lists, schema=self.schema))
 
     def _write_index(self) -> None:
@@ -76,8 +79,8 @@ class _SequenceFile:
         self._write(self.held_ids // self.length * self.length)
         if self.held_ids:
             last = np.zeros(self.length, self.dtype)
-            last[: self.held_ids] = np.frombuffer(b"".join(self.held), self.dtype)
-            self._batch(last, np.arange(self.length) < self.held_ids)
+            last[: self.held_ids] = np.concatenate(self.held)
+            self._batch(last, np.packbits(np.arange(self.length) < self.held_ids, bitorder="little"))
         self._write_index()
         for x in (self.writer, self.index_writer, self.out, self.index_out):
             x.close()
@@ -87,25 +90,31 @@ class _SequenceFile:
 
 
 class SequenceReader:
-    """Random access to a written file. Where the store is a local or mounted folder, ``sequence`` is a view of
-    the mapped file: nothing is copied or decoded."""
+    """Random access to a written file. Where the store is a local or mounted folder, ``sequence`` gives views of the
+    mapped file: nothing is copied or decoded."""
 
     def __init__(self, root: str, name: str):
         fs, _ = _place(root)
         self.source = pa.memory_map(name) if isinstance(fs, pafs.LocalFileSystem) else fs.open_input_file(name)
         self.file = pa.ipc.open_file(self.source)
 
-    def batches(self) -> Iterator[tuple[np.ndarray, pa.Array]]:
-        for i in range(self.file.num_record_batches):
-            batch = self.file.get_batch(i)
-            yield batch.column(0).flatten().to_numpy(zero_copy_only=True), batch.column(1).flatten()
+    def __len__(self) -> int:
+        last = self.file.num_record_batches - 1
+        return last * _BATCH + self.file.get_batch(last).num_rows if last >= 0 else 0
 
     def sequence(self, i: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and mask of the i-th sequence."""
-        batch = self.file.get_batch(i // _BATCH)
-        length = batch.schema.field(0).type.list_size
-        k = i % _BATCH * length
-        return batch.column(0).flatten()[k : k + length].to_numpy(zero_copy_only=True), batch.column(1).flatten()[k : k + length].to_numpy(zero_copy_only=False)
+        """Ids and mask (bits in bytes; ``unpack_mask`` gives one value per id) of the i-th sequence."""
+        batch, k = self.file.get_batch(i // _BATCH), i % _BATCH
+        views = []
+        for column in (batch.column(0), batch.column(1)):
+            n = column.type.list_size
+            views.append(column.flatten()[k * n : (k + 1) * n].to_numpy(zero_copy_only=True))
+        return views[0], views[1]
+
+
+def unpack_mask(bits: np.ndarray) -> np.ndarray:
+    """A mask with one boolean per id."""
+    return np.unpackbits(bits, bitorder="little").view(bool)
 
 
 def write_sequences(docs: DataFrame, tokenizer: str, root: str, length: int = 2048, end_id: int = 2, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -119,18 +128,17 @@ def write_sequences(docs: DataFrame, tokenizer: str, root: str, length: int = 20
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, out, first = encoder(tokenizer), None, None
-        end = np.array([end_id], enc.dtype).tobytes()
+        end = np.array([end_id], enc.dtype)
         for batch in batches:
-            keys = batch.column(0).to_pylist()
-            for key, ids in zip(keys, enc.encode_each(x.as_py() for x in batch.column(1))):
+            for key, ids in zip(batch.column(0).to_pylist(), enc.encode_column(batch.column(1))):
                 if out is None:
                     out, first = _SequenceFile(root, length, enc.dtype), key
-                out.add(key, ids + end)
+                out.add(key, ids, end)
         if out is not None:
             name, index = out.close()
             yield pa.record_batch([pa.array([name]), pa.array([index]), pa.array([first], pa.int64()), pa.array([out.docs]), pa.array([out.total])], names=["file", "index_file", "first_id", "n_docs", "n_tokens"])
 
-    narrow = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    narrow = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     ordered = narrow.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
     return stage(ordered.mapInArrow(write, _MANIFEST), "token-manifest")
 
@@ -156,21 +164,30 @@ def read_documents(manifest: DataFrame, root: str) -> DataFrame:
     return dealt.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
+def _stored_ids(root: str, name: str) -> Iterator[np.ndarray]:
+    """Ids of a file where the mask is set, batch by batch."""
+    fs, _ = _place(root)
+    with fs.open_input_file(name) as f:
+        file = pa.ipc.open_file(f)
+        for i in range(file.num_record_batches):
+            batch = file.get_batch(i)
+            ids, bits = (batch.column(k).flatten().to_numpy(zero_copy_only=True) for k in (0, 1))
+            yield ids if (bits == 255).all() else ids[unpack_mask(bits)]
+
+
 def _read_file(root: str, name: str, index_name: str, before: int) -> Iterator[pa.RecordBatch]:
-    flats = SequenceReader(root, name).batches()
-    held = np.zeros(0, "<u4")
+    stored, held = _stored_ids(root, name), np.zeros(0, "<u4")
     fs, _ = _place(root)
     with fs.open_input_file(index_name) as f:
         index = pa.ipc.open_file(f)
         for i in range(index.num_record_batches):
             part = index.get_batch(i)
             crcs = []
-            for n in part.column(2).to_numpy():
-                crc, left = 0, int(n)
+            for n in part.column(2).to_numpy().tolist():
+                crc, left = 0, n
                 while left:
                     if not len(held):
-                        ids, mask = next(flats)
-                        held = ids if mask.false_count == 0 else ids[mask.to_numpy(zero_copy_only=False)]
+                        held = next(stored)
                     crc = zlib.crc32(held[:left].astype("<u4").tobytes(), crc)
                     left, held = left - min(left, len(held)), held[left:]
                 crcs.append(crc)

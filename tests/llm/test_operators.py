@@ -341,6 +341,30 @@ def test_simhash_tiles_are_all_compared(spark):
     assert components(len(fps), [(at[u], at[v]) for u, v in found]) == components(len(fps), zip(*np.nonzero(near)))
 
 
+# --- tokens
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_ids_equal_the_librarys(monkeypatch, name):
+    """Random texts with the strings of special tokens, odd white space, combining marks and contractions."""
+    import public_tokenizers
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from noticeflow.llm import tokens
+
+    path = public_tokenizers.path(name)
+    plain, mine, r = Tokenizer.from_file(path), tokens.Encoder(path), random.Random(3)
+    parts = ["a", "B", "don't", "it's", ".", ",", "!?", " ", "  ", "\n", "\t", "\u00a0", "\u3000", "é", "É", "T\u0308", "\u0308", "日本", "1", "23", "<|endoftext|>", "<|ENDOFTEXT|>", "<|startoftext|>", "<|", "İ", "ſ", "\x1c", "\x85", "x.y", "»", "«;", "é.", "×.", "÷,", "ç;", "\u2009", "word", " the", "'", "'S", "\U0001f600", "ΑΣ", "\u212a", "\x0b", "\u200b", "'ll", "_", "-", "\0"]
+    texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 25))) for _ in range(3000)] + ["".join(r.choice([*parts, "abc ", " de"]) for _ in range(5000))]
+    want = [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    for together in (50, 1000, 2_000_000):
+        monkeypatch.setattr(tokens, "TOGETHER", together)
+        monkeypatch.setattr(tokens, "MEMORY", 100 * together)
+        assert [x.tolist() for x in mine.encode_column(pa.array([*texts, None]))] == [*want, []]
+    assert mine.encode("x <|endoftext|> y").tolist() == plain.encode("x <|endoftext|> y", add_special_tokens=False).ids
+
+
 # --- 6 token files
 
 
@@ -348,11 +372,10 @@ def test_token_files_round_trip(edge_docs, no_docs, tmp_path):
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    from noticeflow.llm.tokenbin import SequenceReader, read_documents, write_sequences
+    from noticeflow.llm.tokenbin import SequenceReader, read_documents, unpack_mask, write_sequences
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     plain = Tokenizer.from_file(path)
-    plain.encode_special_tokens = True
     root = f"file://{tmp_path}/out"
     manifest = write_sequences(edge_docs, path, root, length=64)
     got = sorted(read_documents(manifest, root).collect(), key=lambda x: x.start)
@@ -364,9 +387,13 @@ def test_token_files_round_trip(edge_docs, no_docs, tmp_path):
         start += len(ids)
         everything.append(ids)
     first = manifest.orderBy("first_id").first()
-    ids, mask = SequenceReader(root, first["file"]).sequence(0)
-    assert len(ids) == len(mask) == 64 and mask.all() and (ids == np.concatenate(everything)[:64]).all()
-    assert not ids.flags.owndata
+    reader = SequenceReader(root, first["file"])
+    ids, mask = reader.sequence(0)
+    assert len(ids) == len(unpack_mask(mask)) == 64 and unpack_mask(mask).all() and (ids == np.concatenate(everything)[:64]).all()
+    assert not ids.flags.owndata and not mask.flags.owndata
+    whole = [reader.sequence(i) for i in range(len(reader))]
+    stored = np.concatenate([x[unpack_mask(m)] for x, m in whole])
+    assert (stored == np.concatenate(everything)[: first["n_tokens"]]).all() and len(stored) == first["n_tokens"]
     assert read_documents(write_sequences(no_docs, path, root + "0"), root + "0").count() == 0
 
 
@@ -525,7 +552,6 @@ def test_packing_covers_every_id_once(edge_docs, no_docs):
 
     path = public_tokenizers.path("word_bpe_49k.json")
     plain = Tokenizer.from_file(path)
-    plain.encode_special_tokens = True
     got = pack(edge_docs, path, group_chars=60_000).collect()
     want: dict = {}
     for x in edge_docs.select("doc_id", "text").collect():
@@ -542,4 +568,5 @@ def test_packing_covers_every_id_once(edge_docs, no_docs):
         assert [o for o, _ in own] == [0, *np.cumsum([n for _, n in own])[:-1].tolist()]
         full = sum(n for _, n in own)
         assert full <= 4096 and (full == 4096 or full & (full - 1) == 0)
+    assert sorted(map(tuple, pack(edge_docs.repartition(2), path, group_chars=60_000).collect()), key=repr) == sorted(map(tuple, got), key=repr)
     assert pack(no_docs, path).count() == 0
