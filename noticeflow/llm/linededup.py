@@ -64,21 +64,23 @@ def ending_runs(hashes: np.ndarray, words: np.ndarray, least: int) -> tuple[np.n
     return starts, ends, _run_hashes(hashes[full], starts, ends)
 
 
-def winnow(hashes: np.ndarray, words: np.ndarray, run_words: int = RUN_WORDS, gram_words: int = GRAM_WORDS) -> np.ndarray:
-    """Fingerprints of a document: of the grams inside each window of ``run_words`` words the smallest hash.
+def winnow(hashes: np.ndarray, words: np.ndarray, run_words: int = RUN_WORDS, gram_words: int = GRAM_WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """Fingerprints of a document and their positions (among the lines that have words): of the grams inside each
+    window, the shortest run with ``run_words`` words from a line on, the smallest hash, the first of equals.
 
     What a window holds depends on its lines alone, so two documents that share a run of ``run_words`` words or
-    more share a fingerprint.
+    more share a fingerprint inside each window of the run.
     """
     starts, ends, codes = runs(hashes, words, gram_words)
     window_ends = _ends(words[np.flatnonzero(words)], run_words)
-    low = []
     last = np.searchsorted(ends, window_ends, side="right")  # grams that end inside
-    for s in np.flatnonzero(window_ends):
+    chosen = set()
+    for s in np.flatnonzero(window_ends).tolist():
         a = np.searchsorted(starts, s)
         if last[s] > a:
-            low.append(codes[a : last[s]].min())
-    return np.unique(np.array(low, np.uint64))
+            chosen.add(int(a + codes[a : last[s]].argmin()))
+    chosen = np.array(sorted(chosen), np.int64)
+    return codes[chosen], starts[chosen]
 
 
 def _lists(values: list[np.ndarray]) -> pa.Array:
@@ -87,67 +89,76 @@ def _lists(values: list[np.ndarray]) -> pa.Array:
 
 
 def _marks(docs: DataFrame, run_words: int, gram_words: int) -> DataFrame:
-    """One row per distinct (id, text): hashes and words of its lines, and its fingerprints."""
+    """One row per (id, text): hashes and words of its lines, and its fingerprints with their positions."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hs, ws, fs = [], [], []
+            columns = [[], [], [], []]
             for t in batch.column(2):
                 hashes, words = line_marks(t.as_py())
-                hs.append(hashes.view(np.int64))
-                ws.append(words)
-                fs.append(winnow(hashes, words, run_words, gram_words).view(np.int64))
-            yield pa.record_batch([batch.column(0), batch.column(1), _lists(hs), _lists(ws), _lists(fs)], names=["id", "key", "hashes", "words", "prints"])
+                prints, at = winnow(hashes, words, run_words, gram_words)
+                for held, x in zip(columns, (hashes.view(np.int64), words, prints.view(np.int64), at)):
+                    held.append(x)
+            yield pa.record_batch([batch.column(0), batch.column(1), *map(_lists, columns)], names=["id", "key", "hashes", "words", "prints", "places"])
 
-    found = docs.mapInArrow(run, "id long, key long, hashes array<long>, words array<long>, prints array<long>")
+    found = docs.mapInArrow(run, "id long, key long, hashes array<long>, words array<long>, prints array<long>, places array<long>")
     return stage(found, "line-marks")
 
 
-def _spread(marks: DataFrame, run_words: int) -> DataFrame:
-    """The extension's grid: (code, id, key, first, end) for every shortest run of ``run_words`` words from a line on
-    and up to a line of a document; first and end are places among all its lines."""
+def _around(places: np.ndarray, words: np.ndarray, starts: np.ndarray, ends: np.ndarray, gram_words: int) -> np.ndarray:
+    """Which runs of lines hold one of the grams at ``places`` (sorted), all as positions among lines with words."""
+    reach = _ends(words, gram_words)[places]
+    at = np.searchsorted(places, starts)
+    return (at < len(places)) & (np.append(reach, 0)[at] <= ends) & (np.append(reach, 0)[at] > 0)
+
+
+def _extended(shared: DataFrame, run_words: int, gram_words: int) -> DataFrame:
+    """(code, id, key, first, end): each shared position extended line by line both ways, to every shortest run of
+    ``run_words`` words around it (from a line on, or up to a line); first and end are places among all lines."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = [[], [], [], [], []]
-            for i, key, h, w in zip(*(batch.column(k) for k in range(4))):
+            for i, key, h, w, p in zip(*(batch.column(k) for k in range(5))):
                 words = w.values.to_numpy()
                 hashes = h.values.to_numpy().view(np.uint64)
+                full = np.flatnonzero(words)
                 both = (runs(hashes, words, run_words), ending_runs(hashes, words, run_words))
                 starts, ends, codes = (np.concatenate(x) for x in zip(*both))
-                if len(starts):
-                    full = np.flatnonzero(words)
-                    starts, ends = full[starts], full[ends - 1] + 1
-                    for part, values in zip(out, (codes.view(np.int64), [i.as_py()] * len(starts), np.full(len(starts), key.as_py()), starts, ends)):
-                        part.append(pa.array(values, pa.int64()))
+                near = _around(np.sort(p.values.to_numpy()), words[full], starts, ends, gram_words)
+                starts, ends = full[starts[near]], full[ends[near] - 1] + 1
+                for part, values in zip(out, (codes[near].view(np.int64), [i.as_py()] * len(starts), np.full(len(starts), key.as_py()), starts, ends)):
+                    part.append(pa.array(values, pa.int64()))
             if out[0]:
                 yield pa.record_batch([pa.concat_arrays(x) for x in out], names=["code", "id", "key", "first", "end"])
 
-    return marks.select("id", "key", "hashes", "words").mapInArrow(run, "code long, id long, key long, first long, end long")
+    return shared.select("id", "key", "hashes", "words", "places").mapInArrow(run, "code long, id long, key long, first long, end long")
 
 
 def repeated_runs(docs: DataFrame, run_words: int = RUN_WORDS, gram_words: int = GRAM_WORDS) -> DataFrame:
     """(id, key, runs) of the documents ``docs(id, key, text)`` that repeat earlier runs; runs holds (first, end) of
     lines, fused where they meet.
 
-    1. Every document is winnowed; fingerprints that stand in two documents, or in a document of which a window
-       repeats, name the documents that can share a run.
-    2. In these a match is extended both ways line by line: each shortest run of ``run_words`` words, from a line on
-       and up to a line, is compared with the first document and position (ids in order, null last) that has it.
-       Later ones are marked; marks that overlap fuse to the whole repeated run: each of its lines stands in the
-       shortest run from it, in that up to it, or in that from the repeated run's first line.
-    The counts and minima combine before the shuffle, so a passage in a third of all documents is one row per task.
+    1. Every document is winnowed: (fingerprint, id, position) of the smallest gram of each window.
+    2. Positions meet by fingerprint; those whose fingerprint stands at one position only go.
+    3. A position is extended both ways line by line, to each shortest run of ``run_words`` words around it. Runs of
+       other positions with the same lines are found by a hash, and compared with the first of them (ids in
+       order, null last; then position): later ones are marked.
+    4. Marks that overlap fuse to the whole match: each line of a repeated run stands in the shortest run from it, in
+       that up to it, or in that from the run's first line, and each of these holds a shared fingerprint. Whichever
+       earlier documents have parts of it, the match goes as far as any of them does.
+    Counts and minima combine before the shuffle, so a passage in a third of all documents is one row per task.
     """
     marks = _marks(docs.select("id", "key", "text"), run_words, gram_words)
-    prints = marks.select("id", "key", F.size("words").alias("n"), F.explode("prints").alias("print"))
-    shared = prints.groupBy("print").agg(F.count("*").alias("n")).where("n > 1").select("print")
-    touched = prints.join(shared, "print", "left_semi").select("id", "key").distinct().select(F.col("id").alias("t_id"), F.col("key").alias("t_key"), F.lit(True).alias("shared"))
-    looped = F.size(F.array_distinct("hashes")) < F.size("hashes")
-    joined = marks.join(touched, F.col("id").eqNullSafe(F.col("t_id")) & (F.col("key") == F.col("t_key")), "left")
-    grid = stage(_spread(joined.where(F.coalesce("shared", looped)), run_words), "line-runs")
+    positions = marks.select("id", "key", F.explode(F.arrays_zip("prints", "places")).alias("p")).select("id", "key", F.col("p.prints").alias("print"), F.col("p.places").alias("at"))
+    shared = positions.groupBy("print").agg(F.count("*").alias("n")).where("n > 1").select("print")
+    shared = stage(shared, "line-prints")  # a table of one row per fingerprint: rows of a frequent one may then be split
+    met = positions.join(shared, "print").groupBy(F.col("id").alias("t_id"), F.col("key").alias("t_key")).agg(F.collect_set("at").alias("places"))
+    touched = marks.drop("prints", "places").join(met, F.col("id").eqNullSafe(F.col("t_id")) & (F.col("key") == F.col("t_key")))
+    grid = stage(_extended(touched, run_words, gram_words), "line-runs")
     place = F.struct(F.col("id").isNull().alias("last"), "id", "key", "first")
     firsts = grid.groupBy("code").agg(F.min(place).alias("origin"), F.count("*").alias("n")).where("n > 1").select("code", "origin")
-    firsts = stage(firsts, "line-firsts")  # a table of one row per code: rows of a frequent code may then be split
+    firsts = stage(firsts, "line-firsts")
     later = grid.join(firsts, "code").where(place != F.col("origin"))
     return _fused(later)
 

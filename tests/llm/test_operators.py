@@ -191,21 +191,21 @@ def test_near_vectors_equal_brute_force(spark):
 
 
 def plain_dedup(docs, least=50):
+    """Every run of whole lines with ``least`` words or more, of any length, that stands earlier goes."""
     seen, out = set(), {}
     for key, text in sorted(docs, key=lambda d: (d[0] is None, d[0] or 0)):
         lines = text.split("\n")
         full = [i for i, x in enumerate(lines) if x.split()]
         gone = set()
         for a in range(len(full)):
-            n = 0
+            n, run = 0, ()
             for b in range(a, len(full)):
                 n += len(lines[full[b]].split())
+                run += (" ".join(lines[full[b]].split()),)
                 if n >= least:
-                    run = tuple(" ".join(lines[i].split()) for i in full[a : b + 1])
                     if run in seen:
                         gone.update(range(full[a], full[b] + 1))
                     seen.add(run)
-                    break
         out[key] = "\n".join(x for i, x in enumerate(lines) if i not in gone)
     return out
 
@@ -229,7 +229,7 @@ def test_line_dedup_equals_brute_force(spark, edge_docs, no_docs):
     want = plain_dedup(docs)
     assert {k: x.text for k, x in got.items()} == want
     assert sum(x.line_removed for x in got.values()) > 20
-    assert got[71].line_count == 4 and all(x.line_count - x.line_removed == (x.text.count("\n") + 1 if x.text or not x.line_removed else 0) for x in got.values())
+    assert got[71].line_count == 4 and all(x.line_count - x.line_removed in ((x.text.count("\n") + 1,) if x.text or not x.line_removed else (0, 1)) for x in got.values())
     edge = dedup_lines(edge_docs, report=False)
     assert edge.columns == edge_docs.columns and edge.count() == edge_docs.count()
     by = {x.doc_id: x.text for x in edge.collect()}
@@ -247,19 +247,7 @@ def test_repeated_runs_go_to_their_last_line(spark):
     for d in range(10, 60):
         p, q = r.choice(passages), r.choice(passages)
         docs.append((d, "\n".join([words(10**6 + d, 9), *p[r.randint(0, 2) : r.randint(3, 6)], words(2 * 10**6 + d, 9), *q[r.randint(0, 3) :]])))
-    seen, want = set(), {}
-    for key, text in docs:
-        lines = text.split("\n")
-        full = [i for i, x in enumerate(lines) if x]
-        gone = set()
-        for a in range(len(full)):
-            for b in range(a, len(full)):
-                run = tuple(lines[i] for i in full[a : b + 1])
-                if sum(len(x.split()) for x in run) >= 50:
-                    if run in seen:
-                        gone.update(range(full[a], full[b] + 1))
-                    seen.add(run)
-        want[key] = "\n".join(x for i, x in enumerate(lines) if i not in gone)
+    want = plain_dedup(docs)
     assert want[2] == words(5, 9) + "\n" + words(6, 80)
     assert {x.doc_id: x.text for x in dedup_lines(frame(spark, [(i, t, "en", "s") for i, t in docs]).repartition(4)).collect()} == want
 
