@@ -17,9 +17,11 @@ BASE_KINDS = (
     ("hex", r"[0-9a-f]+", 0, 24),
 )
 #: The same, for the cheap test of whether a text has a match that passes.
-_PASSING = {"assign": BASE_KINDS[0][1][:-1] .replace("]+", "]{6,}") + ")", "access": r"AKIA[A-Z0-9]{16,}", "hex": r"[0-9a-f]{24,}"}
+_PASSING = {"assign": BASE_KINDS[0][1].replace("-]+)", "-]{6,})"), "access": r"AKIA[A-Z0-9]{16,}", "hex": r"[0-9a-f]{24,}"}
+#: Where runs of one class are long enough, these give the matches that pass, and no others: one greedy class ends alike.
+_FOUND = {"assign": BASE_KINDS[0][1], "access": _PASSING["access"], "hex": _PASSING["hex"]}
 #: Strings that the models judge.
-CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+CANDIDATE, SHORTEST = r"[A-Za-z0-9+/_=-]{16,}", 16
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+"
 #: A character stands as itself; / _ = - stand as +; the start of a string is the last state.
 _STATES = len(ALPHABET) + 1
@@ -27,6 +29,8 @@ _STATES = len(ALPHABET) + 1
 SAMPLE_DOCS, SAMPLE_STRINGS = 2000, 3000
 #: A string is a secret if its log-likelihood ratio is at least so many nats in all, and per character.
 LEAST_TOTAL, LEAST_MEAN = 12.0, 0.5
+#: Matches of a text whose places are summed together.
+_TOGETHER = 256
 
 
 def _states(token: Column) -> Column:
@@ -74,19 +78,29 @@ def labelled_samples(docs: DataFrame, text: str = "text", sample_docs: int = SAM
 
 
 def _spans(text: Column, pattern: str, group: int, least: int, kind: int) -> Column:
-    """(start, end, kind) of leftmost matches that do not overlap and whose group is long enough."""
+    """(start, end, kind) of leftmost matches that do not overlap and whose group is long enough.
+
+    Places are running sums, block by block, so the work grows with the number of matches and not with its square."""
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     counted = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
     between = F.split(text, pattern, -1)
     sizes = F.zip_with(F.slice(between, F.lit(1), F.size(whole)), F.zip_with(whole, counted, lambda m, g: F.struct(F.length(m).alias("m"), F.length(g).alias("g"))), lambda p, x: F.struct(F.length(p).alias("p"), x["m"].alias("m"), x["g"].alias("g")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,kind:int,g:int>>").alias("out"))
+    blocks = F.transform(F.sequence(F.lit(1), F.greatest(F.size(sizes), F.lit(1)), F.lit(_TOGETHER)), lambda k: F.slice(sizes, k, F.lit(_TOGETHER)))
+    lengths = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda acc, x: acc + x["p"] + x["m"]))
+    begins = F.aggregate(lengths, F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
+
+    def places(block: Column, begin: Column) -> Column:
+        start = F.struct(begin.alias("at"), F.array().cast("array<struct<start:int,end:int,kind:int>>").alias("out"))
+
+        def step(acc: Column, x: Column) -> Column:
+            first = acc["at"] + x["p"]
+            end = first + x["m"]
+            span = F.struct(first.alias("start"), end.alias("end"), F.lit(kind).alias("kind"))
+            return F.struct(end.alias("at"), F.when(x["g"] >= least, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
-        first = acc["at"] + x["p"]
-        return F.struct((first + x["m"]).alias("at"), F.concat(acc["out"], F.array(F.struct(first.alias("start"), (first + x["m"]).alias("end"), F.lit(kind).alias("kind"), x["g"].alias("g")))).alias("out"))
+        return F.aggregate(block, start, step)["out"]
 
-    found = F.filter(F.aggregate(sizes, start, step)["out"], lambda x: x["g"] >= least)
-    return F.transform(found, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind")))
+    return F.flatten(F.zip_with(blocks, F.slice(begins, F.lit(1), F.size(blocks)), places))
 
 
 def log_likelihood_ratio(token: Column, table: list[float]) -> Column:
@@ -100,25 +114,25 @@ def find_secrets(docs: DataFrame, table: list[float] | None = None, doc_id: str
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans of every row.
 
     ``spans`` joins kind:start:end (code points, end exclusive) by start, then kind: the fixed patterns' spans, and
-    as kind ``markov`` strings with letters and digits that overlap none of these and that the models hold for
-    random. ``base_sha256`` is the digest of the fixed patterns' part. A null text is empty: no spans. Repeated rows
+    as kind ``markov`` strings of ``SHORTEST`` characters or more with a letter that overlap none of these and that the
+    models hold for random (numbers are not judged; a string that overlaps a fixed pattern's span is not judged again). ``base_sha256`` is the digest of the fixed patterns' part. A null text is empty: no spans. Repeated rows
     give repeated results; an empty table none. Other columns play no part. Without ``table`` the models are trained
     on ``labelled_samples`` of the rows.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     table = train(labelled_samples(rows)) if table is None else table
     none = F.array().cast("array<struct<start:int,end:int,kind:int>>")
-    for k, (name, pattern, group, least) in enumerate(BASE_KINDS):
-        rows = rows.withColumn(name, F.when(F.col("text").rlike(_PASSING[name]), _spans(F.col("text"), pattern, group, least, k)).otherwise(none))
+    for k, (name, _, group, least) in enumerate(BASE_KINDS):
+        rows = rows.withColumn(name, F.when(F.col("text").rlike(_PASSING[name]), _spans(F.col("text"), _FOUND[name], group, least, k)).otherwise(none))
     rows = rows.withColumn("base", F.array_sort(F.concat("assign", "access", "hex")))
     judged = F.col("text").rlike(CANDIDATE)
-    rows = rows.withColumn("near", F.when(judged, _spans(F.col("text"), CANDIDATE, 0, 20, len(BASE_KINDS))).otherwise(none))
+    rows = rows.withColumn("near", F.when(judged, _spans(F.col("text"), CANDIDATE, 0, SHORTEST, len(BASE_KINDS))).otherwise(none))
     rows = rows.withColumn("near", F.filter("near", lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))))
 
     def holds(c: Column) -> Column:
         token = F.substr("text", c["start"] + 1, c["end"] - c["start"])
         ratio = log_likelihood_ratio(token, table)
-        return token.rlike("[0-9]") & token.rlike("[A-Za-z]") & (ratio >= LEAST_TOTAL) & (ratio >= LEAST_MEAN * F.length(token))
+        return token.rlike("[A-Za-z]") & (ratio >= LEAST_TOTAL) & (ratio >= LEAST_MEAN * F.length(token))
 
     rows = rows.withColumn("markov", F.when(F.size("near") > 0, F.filter("near", holds)).otherwise(none))
     names = F.array(*[F.lit(name) for name, *_ in BASE_KINDS], F.lit("markov"))

@@ -414,6 +414,55 @@ def test_secrets_equal_plain_patterns(spark, no_docs):
     assert find_secrets(no_docs).count() == 0
 
 
+def test_markov_spans_equal_plain_python(spark):
+    """Random strings and identifiers, repeated rows, and a very long text with a thousand matches of each kind."""
+    import time
+
+    from noticeflow.llm import secret_scan as S
+
+    r = random.Random(12)
+    mixed = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-="
+    def piece():
+        kind = r.randrange(5)
+        if kind == 0:
+            return "".join(r.choice(mixed) for _ in range(r.randint(12, 40)))
+        if kind == 1:
+            return "_".join(words(r.randrange(10**6), 3).split())
+        if kind == 2:
+            return r.choice(["token=", "secret: ", "passwd='"]) + "".join(r.choice("abcXYZ09") for _ in range(r.randint(2, 12)))
+        return words(r.randrange(10**6), r.randint(1, 9)) if kind == 3 else str(r.randrange(10**19))
+    rows = [(i, " ".join(piece() for _ in range(12)), "en", "s") for i in range(60)]
+    rows += [rows[0], rows[0], (900, "secret=token:abcdef", "en", "s")]
+    long_text = "".join(f"{words(k, 900)} token=abc{k} {k % 7} {hashlib.md5(str(k).encode()).hexdigest()} " for k in range(1000))
+    rows.append((901, long_text, "en", "s"))
+    docs = frame(spark, rows)
+    table = S.train(S.labelled_samples(docs))
+    began = time.time()
+    got = sorted(map(tuple, S.find_secrets(docs, table).collect()))
+    assert len(long_text) > 4_000_000 and time.time() - began < 120
+    base = [("assign", re.compile(S.BASE_KINDS[0][1][1:].replace("(?i:", "(").replace("password|passwd|secret|token|api_?key))", "(?i:password|passwd|secret|token|api_?key))", 1), re.ASCII), 2, 6), ("access", re.compile("AKIA[A-Z0-9]+"), 0, 20), ("hex", re.compile("[0-9a-f]+"), 0, 24)]
+
+    def ratio(token):
+        states = [S._STATES - 1, *(S.ALPHABET.index("+" if c in "/_=-" else c) for c in token)]
+        return sum(float(f"{table[a * S._STATES + b]:.6f}") for a, b in zip(states, states[1:]))
+
+    want, judged = [], 0
+    for i, text, *_ in rows:
+        spans = [(m.start(), k, m.end()) for k, (_, rx, g, n) in enumerate(base) for m in rx.finditer(text) if len(m[g]) >= n]
+        counts = [sum(k == x for _, k, _ in spans) for x in range(3)]
+        written = lambda s: ",".join(f"{['assign', 'access', 'hex', 'markov'][k]}:{a}:{b}" for a, k, b in sorted(s))
+        digest = hashlib.sha256(written(spans).encode()).hexdigest()
+        taken = sorted((a, b) for a, _, b in spans)
+        for m in re.finditer(S.CANDIDATE, text):
+            if not any(a < m.end() and m.start() < b for a, b in taken) and re.search("[A-Za-z]", m[0]):
+                judged += 1
+                if ratio(m[0]) >= max(S.LEAST_TOTAL, S.LEAST_MEAN * len(m[0])):
+                    spans.append((m.start(), 3, m.end()))
+        want.append((i, *counts, digest, written(spans)))
+    assert got == sorted(want)
+    assert 20 < sum(w[5].count("markov") for w in want) < judged
+
+
 def test_secret_scan_runs_no_python(spark, edge_docs, capsys):
     from noticeflow.llm.secret_scan import find_secrets
 
