@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import product
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from noticeflow.llm.graph import connected_components, spanning_edges
 from noticeflow.llm.staging import free_prefix, stage
 
 #: Fingerprints that a tile holds on average at most: where quarters are told apart, and where whole counts are.
-TILE, WIDE_TILE = 2048, 32_768
+TILE, WIDE_TILE = 2048, 16_384
+#: Tiles that a tile meets in one task, about.
+LANE = 128
+#: Fingerprints of a set of shingles beside the first.
+MORE_WORDS = 3
 
 
 def hashes_of(text: str | None, shingle: int = 3) -> np.ndarray:
@@ -33,13 +37,26 @@ def hashes_of(text: str | None, shingle: int = 3) -> np.ndarray:
     return np.array([digest(joined[s:e], 42) for s, e in zip(starts, ends[shingle - 1 :].tolist())], "<u8")
 
 
+_BITS_OF = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
+
+
 def majority(hashes: np.ndarray) -> int:
     """64 bits: bit b is 1 if it is set in over half of the hashes; zero of none."""
-    votes = np.zeros(64, np.int64)
-    for i in range(0, len(hashes), 4096):
-        part = hashes[i : i + 4096]
-        votes += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * votes > len(hashes), bitorder="little").view("<u8")[0])
+    return int(majorities(hashes[:, None])[0])
+
+
+def majorities(words: np.ndarray) -> np.ndarray:
+    """``majority`` of each column."""
+    n, columns = words.shape
+    votes = np.zeros((8 * columns, 8), np.int64)
+    for i in range(0, n, 65_536):
+        part = np.ascontiguousarray(words[i : i + 65_536]).view(np.uint8).reshape(-1, 8 * columns)
+        if len(part) < 600:
+            votes += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64).reshape(-1, 8)
+        else:  # how often each byte stands at its place, then the bits of bytes
+            counts = np.bincount((part + (np.arange(8 * columns) << 8)).ravel(), minlength=2048 * columns)
+            votes += counts.reshape(-1, 256) @ _BITS_OF
+    return np.packbits((2 * votes > n).ravel(), bitorder="little").view("<u8")
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
@@ -54,123 +71,133 @@ def _remixed(hashes: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3, second: bool = False, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, text_key (a hash of the text), fp (the fingerprint as a signed long), more (a second one, else 0) and
-    node (a name of both) of every row, as a table."""
+def fingerprints(docs: DataFrame, shingle: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, text_key (a hash of the text) and node (the fingerprint as a signed long) of every row, as a table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps, more = np.zeros(batch.num_rows, np.uint64), np.zeros(batch.num_rows, np.uint64)
-            for i, t in enumerate(batch.column(2)):
-                hashes = hashes_of(t.as_py(), shingle)
-                fps[i] = majority(hashes)
-                if second:
-                    more[i] = majority(_remixed(hashes))
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(fps.view(np.int64)), pa.array(more.view(np.int64))], names=["doc_id", "text_key", "fp", "more"])
+            fps = np.fromiter((fingerprint(t.as_py(), shingle) for t in batch.column(2)), np.uint64, batch.num_rows)
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(fps.view(np.int64))], names=["doc_id", "text_key", "node"])
+
+    return stage(_keyed(docs, doc_id, text).mapInArrow(run, "doc_id long, text_key long, node long"), "fingerprints")
 
-    narrow = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), F.col(text).alias("text"))
-    found = narrow.mapInArrow(run, "doc_id long, text_key long, fp long, more long")
-    return stage(found.withColumn("node", F.xxhash64("fp", "more") if second else F.col("fp")), "fingerprints")
+
+def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), F.col(text).alias("text"))
 
 
 def set_prints(docs: DataFrame, shingle: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``fingerprints`` of the sets of shingles (repeats count once), with n, the set's size, and as node a name of the
-    set itself, as a table."""
+    """doc_id, text_key, node (a name of the set of shingles), n (its size), fp (the set's fingerprint) and more (further
+    ``MORE_WORDS`` ones, of other bits of the same shingles) of every row, as a table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = np.zeros((4, batch.num_rows), np.uint64)
+            out, more = np.zeros((3, batch.num_rows), np.uint64), np.zeros((batch.num_rows, MORE_WORDS), np.uint64)
             for i, t in enumerate(batch.column(2)):
                 own = np.unique(hashes_of(t.as_py(), shingle))
-                out[:, i] = majority(own), majority(_remixed(own)), len(own), xxhash.xxh64_intdigest(own.tobytes())
-            yield pa.record_batch([batch.column(0), batch.column(1), *(pa.array(x.view(np.int64)) for x in out)], names=["doc_id", "text_key", "fp", "more", "n", "node"])
+                words = [own]
+                for _ in range(MORE_WORDS):
+                    words.append(_remixed(words[-1]))
+                found = majorities(np.stack(words, axis=1))
+                out[:, i], more[i] = (xxhash.xxh64_intdigest(own.tobytes()), len(own), found[0]), found[1:]
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, more.size + 1, MORE_WORDS, dtype=np.int32)), pa.array(more.view(np.int64).ravel()))
+            yield pa.record_batch([batch.column(0), batch.column(1), *(pa.array(x.view(np.int64)) for x in out), lists], names=["doc_id", "text_key", "node", "n", "fp", "more"])
+
+    return stage(_keyed(docs, doc_id, text).mapInArrow(run, "doc_id long, text_key long, node long, n long, fp long, more array<long>"), "set-prints")
 
-    narrow = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), F.col(text).alias("text"))
-    return stage(narrow.mapInArrow(run, "doc_id long, text_key long, fp long, more long, n long, node long"), "set-prints")
 
+def _columnar(columns: Iterable[str]) -> Column:
+    """A list ``g`` of rows as a row of lists."""
+    return F.struct(*[(F.flatten(f"g.{c}") if c == "more" else F.col(f"g.{c}")).alias(c) for c in columns])
 
-def links(prints: DataFrame, radius: int = 3, both_radius: int | None = None, tile: int | None = None, ratio: float | None = None) -> DataFrame:
-    """Edges (u, v) that connect the distinct nodes of ``prints(node, fp, more)`` whose fingerprints differ in
-    ``radius`` or fewer bits, and with ``both_radius`` in so many or fewer of the bits of both.
 
-    Tiles hold fingerprints with equal bit counts: of each 16-bit quarter at a radius of up to 4, of the whole above,
-    where quarters would tell hardly any tiles apart. A tile is cut by a hash where it holds more than ``tile``.
-    Counts that differ by more than the radius (summed over quarters) prove more differing bits, so tiles meet only
-    within that distance; all pairs of two such tiles are compared. What a pair of tiles finds is reported as edges
-    that connect the same nodes, fewer than it holds; with ``ratio`` all pairs are reported in which the smaller n (a
-    column of ``prints`` then) is at least that part of the larger. The table of counts has at most 17**4 rows, so it may be
-    broadcast.
+class _Tiles:
+    """Distinct rows of ``prints(node, fp, *held)`` in tiles of equal bit counts, and the pairs of tiles within reach.
+
+    The counts are those of each 16-bit quarter at a radius of up to 4, and of the whole above, where quarters would
+    tell hardly any tiles apart. A tile is cut by a hash where it holds more than ``tile``. Counts that differ by more
+    than the radius (summed over quarters) prove more differing bits, so tiles meet only within that distance.
+    """
+
+    def __init__(self, prints: DataFrame, radius: int, tile: int | None, held: tuple[str, ...] = ()):
+        self.blocks = 4 if radius <= 4 else 1
+        self.width = 64 // self.blocks
+        tile, base = tile or (TILE if self.blocks == 4 else WIDE_TILE), self.width + 1
+        quarter = (1 << self.width) - 1 if self.blocks > 1 else -1
+        key = F.lit(0)
+        for i in range(self.blocks):
+            key = key * base + F.bit_count(F.shiftrightunsigned("fp", self.width * i).bitwiseAND(F.lit(quarter))).cast("int")
+        columns = ["node", "fp", *held]
+        keyed = stage(prints.select(*columns).dropDuplicates(["node"]).withColumn("key", key), "simhash-keys")
+        parts = keyed.groupBy("key").agg(F.ceil(F.count("*") / tile).cast("int").alias("parts"))
+        self.parts = stage(parts, "simhash-parts")  # at most 17**4 rows, so it may be broadcast
+        cut = keyed.join(F.broadcast(self.parts), "key").withColumn("part", F.pmod(F.xxhash64(F.lit(5), "node"), F.col("parts")).cast("int"))
+        grouped = cut.groupBy("key", "part").agg(F.collect_list(F.struct(*columns)).alias("g"))
+        self.rows = stage(grouped.select("key", "part", _columnar(columns).alias("g")), "simhash-tiles")
+        self.steps = [d for d in product(range(-radius, radius + 1), repeat=self.blocks) if sum(map(abs, d)) <= radius and d >= (0,) * self.blocks]
+        self.lanes = -(-len(self.steps) * (self.parts.agg(F.max("parts")).first()[0] or 1) // LANE)
+
+    def _named(self) -> DataFrame:
+        """(key, part, other, other_part): each pair of tiles within reach once."""
+        base = self.width + 1
+        places = [F.expr(f"key div {base ** (self.blocks - 1 - i)} % {base}") for i in range(self.blocks)]
+        step = F.explode(F.array(*[F.array(*map(F.lit, d)) for d in self.steps])).alias("d")
+        reach = self.rows.select("key", "part", F.array(*places).alias("q"), step).withColumn("q", F.zip_with("q", "d", lambda a, b: a + b))
+        reach = reach.where(F.forall("q", lambda x: x.between(0, self.width))).select("key", "part", F.aggregate("q", F.lit(0).cast("bigint"), lambda acc, x: acc * base + x).cast("int").alias("other"))
+        met = reach.join(F.broadcast(self.parts.select(F.col("key").alias("other"), "parts")), "other")
+        met = met.withColumn("other_part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        return met.where("key <> other or part <= other_part").select("key", "part", "other", "other_part")
+
+    def pairs(self) -> DataFrame:
+        """(key, part, other, other_part, g, h): the two tiles of each pair; h is null where they are one.
+
+        A tile that meets many goes to several lanes, by a hash of the tile it meets, so that no task holds them all.
+        """
+        lane = lambda *c: F.pmod(F.xxhash64(*c), F.lit(self.lanes)).cast("int")
+        spread = self.rows.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(self.lanes - 1))))
+        names = self._named().withColumns({"lane": lane("key", "part"), "other_lane": lane("other", "other_part")})
+        right = spread.select(F.col("key").alias("other"), F.col("part").alias("other_part"), "lane", F.col("g").alias("h"))
+        met = names.join(right, ["other", "other_part", "lane"]).drop("lane").withColumnRenamed("other_lane", "lane")
+        met = met.withColumn("h", F.when((F.col("key") != F.col("other")) | (F.col("part") != F.col("other_part")), F.col("h")))
+        return met.join(spread, ["key", "part", "lane"]).select("key", "part", "other", "other_part", "g", "h")
+
+
+def links(prints: DataFrame, radius: int = 3, tile: int | None = None) -> DataFrame:
+    """Edges (u, v) that connect the distinct nodes of ``prints(node)``, fingerprints, that differ in ``radius`` or fewer
+    bits. All pairs of two tiles within reach are compared; what a pair of tiles finds is reported as edges that
+    connect the same nodes, fewer than it holds.
     """
-    blocks = 4 if radius <= 4 else 1
-    tile = tile or (TILE if blocks == 4 else WIDE_TILE)
-    width = 64 // blocks
-    base = width + 1
-    counts = [F.bit_count(F.shiftrightunsigned("fp", width * i).bitwiseAND(F.lit((1 << width) - 1 if blocks > 1 else -1))).cast("int") for i in range(blocks)]
-    key = F.lit(0)
-    for c in counts:
-        key = key * base + c
-    held = ["node", "fp", "more", *(["n"] if ratio is not None else [])]
-    keyed = stage(prints.select(*held).distinct().withColumn("key", key), "simhash-keys")
-    parts = keyed.groupBy("key").agg(F.ceil(F.count("*") / tile).alias("parts"))
-    cut = keyed.join(F.broadcast(parts), "key").withColumn("part", F.pmod(F.xxhash64(F.lit(5), "node"), F.col("parts")))
-    grouped = cut.groupBy("key", "part").agg(F.collect_list(F.struct(*held)).alias("g"))
-    tiles = stage(grouped.select("key", "part", F.struct(*[F.col(f"g.{c}").alias(c) for c in held]).alias("g")), "simhash-tiles")
-    steps = [d for d in product(range(-radius, radius + 1), repeat=blocks) if sum(map(abs, d)) <= radius and d >= (0,) * blocks]
-    step = F.explode(F.array(*[F.array(*map(F.lit, d)) for d in steps])).alias("d")
-    places = [F.expr(f"key div {base ** (blocks - 1 - i)} % {base}") for i in range(blocks)]
-    reach = tiles.select("key", "part", F.array(*places).alias("q"), step).withColumn("q", F.zip_with("q", "d", lambda a, b: a + b))
-    reach = reach.where(F.forall("q", lambda x: x.between(0, width))).select("key", "part", F.aggregate("q", F.lit(0).cast("bigint"), lambda acc, x: acc * base + x).alias("other"))
-    met = reach.join(tiles.select(F.col("key").cast("bigint").alias("other"), F.col("part").alias("other_part"), F.col("g").alias("h")), "other")
-    met = met.where("key <> other or part <= other_part").withColumn("h", F.when((F.col("key") != F.col("other")) | (F.col("part") != F.col("other_part")), F.col("h")))
-    pairs = met.join(tiles, ["key", "part"]).select("g", "h")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             u, v = [], []
             for a, b in zip(batch.column(0), batch.column(1)):
-                left, right = _tile(a), _tile(b) if b.is_valid else None
-                x, y = _near(left, right, radius, both_radius)
+                x, y = _near(a["node"].values.to_numpy(), b["node"].values.to_numpy() if b.is_valid else None, radius)
                 u.append(x)
                 v.append(y)
             yield pa.record_batch([pa.array(np.concatenate(u)), pa.array(np.concatenate(v))], names=["u", "v"])
 
-    def compare_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, b in zip(batch.column(0), batch.column(1)):
-                left = (*_tile(a), a["n"].values.to_numpy())
-                right = (*_tile(b), b["n"].values.to_numpy()) if b.is_valid else left
-                for rows, columns in _pairs(left, right, radius, both_radius, not b.is_valid):
-                    keep = np.minimum(left[3][rows], right[3][columns]) >= ratio * np.maximum(left[3][rows], right[3][columns])
-                    yield pa.record_batch([pa.array(left[0][rows[keep]]), pa.array(right[0][columns[keep]])], names=["u", "v"])
-
-    return pairs.mapInArrow(compare if ratio is None else compare_all, "u long, v long")
-
+    tiles = _Tiles(prints.select("node", F.col("node").alias("fp")), radius, tile)
+    return tiles.pairs().select("g", "h").mapInArrow(compare, "u long, v long")
 
-def _tile(g: pa.StructScalar) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    node, fp, more = (g[k].values.to_numpy() for k in ("node", "fp", "more"))
-    return node, fp.view(np.uint64), more.view(np.uint64)
 
-
-def _pairs(left: tuple, other: tuple, radius: int, both_radius: int | None, within: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _pairs(left: np.ndarray, other: np.ndarray, radius: int, within: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Places of all near fingerprints of two tiles, or of each two within one, block by block."""
-    for k in range(0, len(left[1]), 256):
-        for m in range(k if within else 0, len(other[1]), 8192):
-            rows, columns = np.nonzero(np.bitwise_count(left[1][k : k + 256, None] ^ other[1][None, m : m + 8192]) <= radius)
+    for k in range(0, len(left), 256):
+        for m in range(k if within else 0, len(other), 8192):
+            rows, columns = np.nonzero(np.bitwise_count(left[k : k + 256, None] ^ other[None, m : m + 8192]) <= radius)
             rows, columns = rows + k, columns + m
             keep = rows < columns if within else np.ones(len(rows), bool)
-            if both_radius is not None:
-                a, b = rows[keep], columns[keep]
-                keep[keep] = np.bitwise_count(left[1][a] ^ other[1][b]).astype(int) + np.bitwise_count(left[2][a] ^ other[2][b]) <= both_radius
             if keep.any():
                 yield rows[keep], columns[keep]
 
 
-def _near(left: tuple, right: tuple | None, radius: int, both_radius: int | None) -> tuple[np.ndarray, np.ndarray]:
+def _near(left: np.ndarray, right: np.ndarray | None, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Connecting edges between near fingerprints of two tiles, or within one."""
-    other, shift = (left, 0) if right is None else (right, len(left[0]))
-    nodes = left[0] if right is None else np.concatenate([left[0], right[0]])
+    other, shift = (left, 0) if right is None else (right, len(left))
+    nodes = left if right is None else np.concatenate([left, right])
     found, held = [], 0
-    for rows, columns in _pairs(left, other, radius, both_radius, right is None):
+    for rows, columns in _pairs(left.view(np.uint64), other.view(np.uint64), radius, right is None):
         found.append((rows, columns + shift))
         held += len(rows)
         if held > 1_000_000:  # a group of copies: its links so far become fewer edges than it has members
@@ -192,32 +219,26 @@ def _components(prints: DataFrame, edges: DataFrame) -> DataFrame:
     return placed.join(low, "component").select("node", "component", "component_id")
 
 
-def near_duplicates(docs: DataFrame, radius: int = 3, shingle: int = 3, both_radius: int | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, radius: int = 3, shingle: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, fingerprint, component_id of every row of ``docs``.
 
     Exact copies share a fingerprint and are compared once. Null and empty texts have the fingerprint zero and link
-    like any other; repeated rows stay; ids may be null (a component of null ids only has a null component_id).
-    Empty table: no rows. Other columns play no part. With ``both_radius`` fingerprints have 128 bits, of which the
-    first 64 are compared tile by tile and all of those that pass.
+    like any other; repeated rows stay; ids are cast to long and may be null (a component of null ids only has a null
+    component_id). Empty table: no rows. Other columns play no part.
     """
-    prints = fingerprints(docs, shingle, both_radius is not None, doc_id, text)
-    found = prints.join(_components(prints, links(prints, radius, both_radius)), "node")
-    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
+    prints = fingerprints(docs, shingle, doc_id, text)
+    found = prints.join(_components(prints, links(prints, radius)), "node")
+    return found.select("doc_id", F.lower(F.lpad(F.hex("node"), 16, "0")).alias("fingerprint"), "component_id")
 
-#: Differing bits, of the first 64 and of 128, up to which two documents of five-word shingles count as similar by
-#: 0.8: at that Jaccard similarity 19 of 128 differ in the mean (README); two unrelated texts differ in 64.
-SIMILAR = {"shingle": 5, "radius": 15, "both_radius": 24}
 
-
-def drop_near_duplicates(docs: DataFrame, radius: int = SIMILAR["radius"], shingle: int = SIMILAR["shingle"], both_radius: int | None = SIMILAR["both_radius"], doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows of ``docs``, all columns, with one document of each group of near-duplicates: that of the smallest id.
+def drop_near_duplicates(docs: DataFrame, radius: int = 3, shingle: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Rows of ``docs``, all columns, with one document of each group of ``near_duplicates``: that of the smallest id.
 
     Among rows with that id the one of the smallest text key stays, and of rows equal in id and text one.
     Groups of null ids keep one row.
     """
-    prints = fingerprints(docs, shingle, both_radius is not None, doc_id, text)
-    members = prints.join(_components(prints, links(prints, radius, both_radius)), "node")
+    prints = fingerprints(docs, shingle, doc_id, text)
+    members = prints.join(_components(prints, links(prints, radius)), "node")
     return _one_of_each(docs, members, doc_id, text)
 
 
@@ -231,18 +252,72 @@ def _one_of_each(docs: DataFrame, members: DataFrame, doc_id: str, text: str) ->
     return stay.dropDuplicates([p + "id", p + "text"]).drop(p + "id", p + "text")
 
 
-#: Jaccard similarity of near-duplicates as a fraction, words of a shingle, and the differing bits, of the first 64 and
-#: of 128, up to which a pair is verified. At just 0.8 a bit differs with probability 0.15 (sets of 4 and 5: 0.19), so
-#: of 128 it is 19 in the mean (24), and less than 1 pair in 2500 has more than 24 of 64 or 40 of 128.
-JACCARD, SET_SHINGLE, CANDIDATE_BITS = (4, 5), 5, (24, 40)
+#: Jaccard similarity of near-duplicates as a fraction, and words of a shingle.
+JACCARD, SET_SHINGLE = (4, 5), 5
+#: Differing bits up to which a pair is verified: of the first 64, and of all 256 where both sets have ``LARGE`` shingles
+#: or more, and where one has fewer. At just 0.8 a bit differs with probability 0.155 (sets of 4 and 5: 0.19), so of 256
+#: it is 40 in the mean with a deviation of 5.8 (49, 6.3): less than 1 pair in 2500 at just 0.8 has more.
+FIRST_BITS, ALL_BITS, SMALL_BITS, LARGE = 24, 62, 74, 64
+#: Partners of a document that one pair of tiles gives at first, the most alike; the rest follow where they could join
+#: documents that are not joined yet.
+PARTNERS = 4
 
 
-def similar_links(docs: DataFrame, prints: DataFrame, shingle: int = SET_SHINGLE, text: str = "text") -> DataFrame:
-    """Pairs (u, v) of nodes of ``set_prints`` whose sets have a Jaccard similarity of ``JACCARD`` or more.
+def _candidates(left: tuple, right: tuple, partners: int | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Blocks of (rows, columns, rows that have more) of sets that may be as similar as ``JACCARD``.
 
-    Copies are one node before. Near fingerprints and sizes choose the pairs; the sets of these nodes alone are made
-    again from the texts, and each pair's are intersected.
+    A tile is (node, fp, n, more, component). A set is no partner of itself or of its component. With ``partners`` each
+    row gives so many, those whose prints differ least.
     """
+    part, whole = JACCARD
+    for k in range(0, len(left[0]), 256):
+        found = [(np.zeros(0, np.int64),) * 3]
+        for m in range(0, len(right[0]), 8192):
+            rows, columns = np.nonzero(np.bitwise_count(left[1][k : k + 256, None] ^ right[1][None, m : m + 8192]) <= FIRST_BITS)
+            rows, columns = rows + k, columns + m
+            low, high = np.minimum(left[2][rows], right[2][columns]), np.maximum(left[2][rows], right[2][columns])
+            keep = (whole * low >= part * high) & (left[4][rows] != right[4][columns])
+            rows, columns, low = rows[keep], columns[keep], low[keep]
+            differ = np.bitwise_count(left[1][rows] ^ right[1][columns]) + np.bitwise_count(left[3][rows] ^ right[3][columns]).sum(axis=1, dtype=np.int64)
+            keep = differ <= np.where(low >= LARGE, ALL_BITS, SMALL_BITS)
+            found.append((rows[keep], columns[keep], differ[keep]))
+        rows, columns, differ = (np.concatenate(x) for x in zip(*found))
+        more = np.zeros(0, np.int64)
+        if partners is not None:
+            order = np.lexsort((differ, rows))
+            rows, columns = rows[order], columns[order]
+            place = np.arange(len(rows)) - np.searchsorted(rows, rows)
+            more = np.unique(rows[place >= partners])
+            rows, columns = rows[place < partners], columns[place < partners]
+        if len(rows):
+            yield rows, columns, more
+
+
+def _set_tile(g: pa.StructScalar) -> tuple:
+    node, fp, n, more, component = (g[c].values.to_numpy() for c in ("node", "fp", "n", "more", "component"))
+    return node, fp.view(np.uint64), n, more.view(np.uint64).reshape(len(node), MORE_WORDS), component
+
+
+def _suspected(pairs: DataFrame, partners: int | None) -> DataFrame:
+    """(u, v) that may be similar, of ``_Tiles.pairs``; with v null, u and the pair of tiles where it has more partners."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                left = _set_tile(batch.column(4)[at])
+                right = _set_tile(batch.column(5)[at]) if batch.column(5)[at].is_valid else left
+                name = [batch.column(i)[at].as_py() for i in range(4)]
+                for rows, columns, more in _candidates(left, right, partners):
+                    u = np.concatenate([left[0][rows], left[0][more]])
+                    v = pa.concat_arrays([pa.array(right[0][columns]), pa.nulls(len(more), pa.int64())])
+                    yield pa.record_batch([pa.array(u), v, *(pa.array(np.full(len(u), x, np.int32)) for x in name)], names=["u", "v", "key", "part", "other", "other_part"])
+
+    return pairs.mapInArrow(run, "u long, v long, key int, part int, other int, other_part int")
+
+
+def _verified(docs: DataFrame, prints: DataFrame, pairs: DataFrame, shingle: int, text: str) -> DataFrame:
+    """Those of ``pairs(u, v)`` whose sets have a Jaccard similarity of ``JACCARD`` or more: the sets of their nodes are
+    made again from the texts, and each pair's are intersected."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -253,7 +328,6 @@ def similar_links(docs: DataFrame, prints: DataFrame, shingle: int = SET_SHINGLE
             yield pa.record_batch([pa.array(names.view(np.int64)), pa.ListArray.from_arrays(offsets, values)], names=["node", "hashes"])
 
     part, whole = JACCARD
-    pairs = stage(links(prints, *CANDIDATE_BITS, ratio=part / whole - 1e-9), "similar-pairs")
     nodes = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
     chosen = prints.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("text_key").alias("key")).select("key")
     texts = docs.where(F.col(text).isNotNull()).select(F.col(text).alias("text")).withColumn("key", F.xxhash64("text"))
@@ -261,7 +335,32 @@ def similar_links(docs: DataFrame, prints: DataFrame, shingle: int = SET_SHINGLE
     sets = stage(found.mapInArrow(run, "node long, hashes array<long>"), "similar-sets")
     of = lambda end, name: sets.select(F.col("node").alias(end), F.col("hashes").alias(name))
     both = pairs.join(of("u", "a"), "u").join(of("v", "b"), "v")
-    return both.where((part + whole) * F.size(F.array_intersect("a", "b")) >= part * (F.size("a") + F.size("b"))).select("u", "v")
+    alike = (part + whole) * F.size(F.array_intersect("a", "b")) >= part * (F.size("a") + F.size("b"))
+    return stage(both.where(alike).select("u", "v"), "similar-links")
+
+
+def similar_links(docs: DataFrame, prints: DataFrame, shingle: int = SET_SHINGLE, text: str = "text", tile: int | None = None, partners: int = PARTNERS) -> DataFrame:
+    """Edges (u, v) that connect the nodes of ``set_prints`` whose sets have a Jaccard similarity of ``JACCARD`` or more.
+
+    Copies are one node before. Tiles of fingerprints are compared whole; near prints and sizes name the pairs to verify.
+    A document first gives its ``partners`` most alike ones per pair of tiles; what these join is one component. Then
+    documents that had more are compared again, and give every partner outside their component: a group of near
+    copies is joined by few of its pairs, and no pair that could join two components is left out.
+    """
+    first = _Tiles(prints.withColumn("component", F.col("node")), FIRST_BITS, tile, ("n", "more", "component"))
+    found = stage(_suspected(first.pairs(), partners), "similar-first")
+    joined = _verified(docs, prints, found.where("v is not null").select("u", "v").distinct(), shingle, text)
+    open_ = found.where("v is null").drop("v").withColumnRenamed("u", "node")
+    component = stage(connected_components(joined, "similar"), "similar-components").withColumnRenamed("component", "c")
+    placed = prints.select("node", "fp", "n", "more").dropDuplicates(["node"]).join(component, "node", "left").withColumn("component", F.coalesce("c", "node")).drop("c")
+    placed = stage(placed, "similar-placed")
+    again = _Tiles(placed, FIRST_BITS, tile, ("n", "more", "component"))
+    held = F.struct("node", "fp", "n", "more", "component")
+    rows = open_.join(placed, "node").groupBy("key", "part", "other", "other_part").agg(F.collect_list(held).alias("g"))
+    rows = rows.select("key", "part", "other", "other_part", _columnar(("node", "fp", "n", "more", "component")).alias("g"))
+    right = again.rows.select(F.col("key").alias("other"), F.col("part").alias("other_part"), F.col("g").alias("h"))
+    rest = stage(_suspected(rows.join(right, ["other", "other_part"]).select("key", "part", "other", "other_part", "g", "h"), None), "similar-rest")
+    return joined.unionByName(_verified(docs, prints, rest.select("u", "v").distinct(), shingle, text))
 
 
 def drop_similar(docs: DataFrame, shingle: int = SET_SHINGLE, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -301,27 +301,33 @@ def test_simhash_equals_brute_force(spark, edge_docs, no_docs, wide):
     base = words(50, 400).split()
     more = [(300 + k, " ".join([*base[:k], f"new{k}", *base[k + 1 :]]), "en", "s") for k in range(40)]
     docs = edge_docs.unionByName(frame(spark, more))
-    kind = dict(radius=15, shingle=5, both_radius=24) if wide else {}
+    kind = dict(radius=15, shingle=5) if wide else {}
     got = sorted(simhash.near_duplicates(docs, **kind).collect(), key=lambda x: (x.doc_id is None, x.doc_id))
     rows = sorted(docs.select("doc_id", "text").collect(), key=lambda x: (x.doc_id is None, x.doc_id))
     n = 5 if wide else 3
     assert [x.fingerprint for x in got] == [f"{plain_fingerprint(x.text, n):016x}" for x in rows]
     hashes = [simhash.hashes_of(x.text, n) for x in rows]
     a = np.array([simhash.majority(h) for h in hashes], np.uint64)
-    b = np.array([simhash.majority(simhash._remixed(h)) for h in hashes], np.uint64)
-    d = np.bitwise_count(a[:, None] ^ a[None]).astype(int)
-    near = d <= 3 if not wide else (d <= 15) & (d + np.bitwise_count(b[:, None] ^ b[None]) <= 24)
+    near = np.bitwise_count(a[:, None] ^ a[None]) <= (15 if wide else 3)
     comp = components(len(rows), zip(*np.nonzero(near)))
     low: dict = {}
     for x, c in zip(rows, comp):
         if x.doc_id is not None:
             low[c] = min(low.get(c, x.doc_id), x.doc_id)
     assert [x.component_id for x in got] == [low.get(c) for c in comp]
-    kept = simhash.drop_near_duplicates(docs, **({"radius": 3, "shingle": 3, "both_radius": None} if not wide else {}))
+    kept = simhash.drop_near_duplicates(docs, **kind)
     assert kept.columns == docs.columns and kept.count() == len(set(comp))
     assert simhash.near_duplicates(no_docs).count() == 0 and simhash.drop_near_duplicates(no_docs).count() == 0
 
 
+def similar_groups(rows):
+    """Component of each (id, text) by a Jaccard similarity of 0.8 of five-word shingles."""
+    split = [re.sub("[A-Z]", lambda m: m[0].lower(), t or "").encode().split() for _, t in rows]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in split]
+    pairs = [(i, j) for i, a in enumerate(sets) for j in range(i) if 5 * min(len(a), len(sets[j])) >= 4 * max(len(a), len(sets[j])) and 9 * len(a & sets[j]) >= 4 * (len(a) + len(sets[j]))]
+    return components(len(rows), pairs)
+
+
 def test_similar_documents_equal_brute_force_jaccard(spark):
     """Copies with more and more words replaced: those below 0.8 stay, those at 0.8 or above go."""
     from corpus_pipeline import near_dedup
@@ -337,15 +343,39 @@ def test_similar_documents_equal_brute_force_jaccard(spark):
     more += [(2 * 10**6, "a b c d e f g h"), (2 * 10**6 + 1, "a b c d e f g h i")]  # 4 of 5 shingles
     extra = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in more], "doc_id long, text string, lang string, source string, n_chars long")
     docs = docs.unionByName(extra.select(*[F.col(c).cast(t) for c, t in docs.dtypes]))
-    rows = sorted(docs.collect(), key=lambda x: x.doc_id)
-    split = [re.sub("[A-Z]", lambda m: m[0].lower(), x.text or "").encode().split() for x in rows]
-    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in split]
-    pairs = [(i, j) for i, a in enumerate(sets) for j in range(i) if 5 * min(len(a), len(sets[j])) >= 4 * max(len(a), len(sets[j])) and 9 * len(a & sets[j]) >= 4 * (len(a) + len(sets[j]))]
-    want = sorted(rows[c].doc_id for c in set(components(len(rows), pairs)))
+    rows = sorted((x.doc_id, x.text) for x in docs.collect())
+    want = sorted(rows[c][0] for c in set(similar_groups(rows)))
     assert sorted(x.doc_id for x in near_dedup(spark, docs, "").collect()) == want
     assert 2 * 10**6 + 1 not in want and any(x >= 10**6 and x % 2 for x in want)
 
 
+def test_a_group_of_near_copies_is_joined_by_few_pairs(spark, monkeypatch):
+    """A large group of near copies, most pairs of which are below 0.8: as brute force, in small tiles, with far fewer pairs."""
+    from noticeflow.llm import simhash
+
+    r, base = random.Random(5), words(900, 120).split()
+    rows = []
+    for i in range(160):
+        w = list(base)
+        for at in r.sample(range(len(w)), r.choice([0, 1, 2, 3, 5])):
+            w[at] = f"x{r.randrange(40)}"
+        rows.append((i, " ".join(w)))
+    rows += [(500 + i, words(5000 + i, 100)) for i in range(40)]
+    docs = frame(spark, [(i, t, "en", "s") for i, t in rows])
+    prints = simhash.set_prints(docs, 5)
+    verified = []
+    plain = simhash._verified
+    monkeypatch.setattr(simhash, "_verified", lambda docs, prints, pairs, *rest: verified.append(pairs.count()) or plain(docs, prints, pairs, *rest))
+    want, nodes = similar_groups(rows), {x.doc_id: x.node for x in prints.collect()}
+    at = {n: k for k, n in enumerate(sorted(set(nodes.values())))}
+    for tile, partners in ((32, 1), (1000, 2)):
+        found = [(at[x.u], at[x.v]) for x in simhash.similar_links(docs, prints, tile=tile, partners=partners).collect()]
+        comp = components(len(at), found)
+        got = {i: comp[at[nodes[i]]] for i, _ in rows}
+        assert {(i, j) for i, a in got.items() for j, b in got.items() if a == b} == {(rows[i][0], rows[j][0]) for i, a in enumerate(want) for j, b in enumerate(want) if a == b}
+    assert sum(verified) / 2 < 160 * 159 / 4
+
+
 def test_simhash_tiles_are_all_compared(spark):
     from noticeflow.llm.simhash import links
 

@@ -1,6 +1,5 @@
 """The pipeline's stages, each on what the one before kept, against plain Python where it is exact."""
 
-import numpy as np
 import pytest
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
@@ -48,17 +47,11 @@ def test_lines_are_deduplicated_as_by_brute_force(tables):
 
 
 def test_one_document_of_each_group_stays(tables):
-    from noticeflow.llm import simhash
-    from tests.llm.test_operators import components
+    from tests.llm.test_operators import similar_groups
 
     _, before, after = tables[2]
-    rows = sorted(before.collect(), key=lambda x: x.doc_id)
-    hashes = [simhash.hashes_of(x.text, 5) for x in rows]
-    a = np.array([simhash.majority(h) for h in hashes], np.uint64)
-    b = np.array([simhash.majority(simhash._remixed(h)) for h in hashes], np.uint64)
-    d = np.bitwise_count(a[:, None] ^ a[None]).astype(int)
-    comp = components(len(rows), zip(*np.nonzero((d <= 15) & (d + np.bitwise_count(b[:, None] ^ b[None]) <= 24))))
-    assert sorted(x.doc_id for x in after.collect()) == sorted(rows[c].doc_id for c in set(comp))
+    rows = sorted((x.doc_id, x.text) for x in before.collect())
+    assert sorted(x.doc_id for x in after.collect()) == sorted(rows[c][0] for c in set(similar_groups(rows)))
 
 
 def test_packing_holds_every_document(tables):
