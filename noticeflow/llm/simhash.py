@@ -15,7 +15,7 @@ from noticeflow.llm.graph import connected_components, spanning_edges
 from noticeflow.llm.staging import free_prefix, stage
 
 #: Fingerprints that a tile holds on average at most: where quarters are told apart, and where whole counts are.
-TILE, WIDE_TILE = 2048, 16_384
+TILE, WIDE_TILE = 2048, 8192
 #: Tiles that a tile meets in one task, about.
 LANE = 128
 #: Fingerprints of a set of shingles beside the first.
@@ -258,66 +258,48 @@ JACCARD, SET_SHINGLE = (4, 5), 5
 #: or more, and where one has fewer. At just 0.8 a bit differs with probability 0.155 (sets of 4 and 5: 0.19), so of 256
 #: it is 40 in the mean with a deviation of 5.8 (49, 6.3): less than 1 pair in 2500 at just 0.8 has more.
 FIRST_BITS, ALL_BITS, SMALL_BITS, LARGE = 24, 62, 74, 64
-#: Partners of a document that one pair of tiles gives at first, the most alike; the rest follow where they could join
-#: documents that are not joined yet.
-PARTNERS = 4
 
 
-def _candidates(left: tuple, right: tuple, partners: int | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Blocks of (rows, columns, rows that have more) of sets that may be as similar as ``JACCARD``.
-
-    A tile is (node, fp, n, more, component). A set is no partner of itself or of its component. With ``partners`` each
-    row gives so many, those whose prints differ least.
-    """
+def _candidates(left: tuple, right: tuple, within: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Blocks of (rows, columns, differing bits) of sets of two tiles (fp, more, n), or within one, that may be similar."""
     part, whole = JACCARD
-    for k in range(0, len(left[0]), 256):
-        found = [(np.zeros(0, np.int64),) * 3]
-        for m in range(0, len(right[0]), 8192):
-            rows, columns = np.nonzero(np.bitwise_count(left[1][k : k + 256, None] ^ right[1][None, m : m + 8192]) <= FIRST_BITS)
-            rows, columns = rows + k, columns + m
-            low, high = np.minimum(left[2][rows], right[2][columns]), np.maximum(left[2][rows], right[2][columns])
-            keep = (whole * low >= part * high) & (left[4][rows] != right[4][columns])
-            rows, columns, low = rows[keep], columns[keep], low[keep]
-            differ = np.bitwise_count(left[1][rows] ^ right[1][columns]) + np.bitwise_count(left[3][rows] ^ right[3][columns]).sum(axis=1, dtype=np.int64)
-            keep = differ <= np.where(low >= LARGE, ALL_BITS, SMALL_BITS)
-            found.append((rows[keep], columns[keep], differ[keep]))
-        rows, columns, differ = (np.concatenate(x) for x in zip(*found))
-        more = np.zeros(0, np.int64)
-        if partners is not None:
-            order = np.lexsort((differ, rows))
-            rows, columns = rows[order], columns[order]
-            place = np.arange(len(rows)) - np.searchsorted(rows, rows)
-            more = np.unique(rows[place >= partners])
-            rows, columns = rows[place < partners], columns[place < partners]
-        if len(rows):
-            yield rows, columns, more
-
-
-def _set_tile(g: pa.StructScalar) -> tuple:
-    node, fp, n, more, component = (g[c].values.to_numpy() for c in ("node", "fp", "n", "more", "component"))
-    return node, fp.view(np.uint64), n, more.view(np.uint64).reshape(len(node), MORE_WORDS), component
-
-
-def _suspected(pairs: DataFrame, partners: int | None) -> DataFrame:
-    """(u, v) that may be similar, of ``_Tiles.pairs``; with v null, u and the pair of tiles where it has more partners."""
+    for rows, columns in _pairs(left[0], right[0], FIRST_BITS, within):
+        low, high = np.minimum(left[2][rows], right[2][columns]), np.maximum(left[2][rows], right[2][columns])
+        keep = whole * low >= part * high
+        rows, columns, low = rows[keep], columns[keep], low[keep]
+        differ = np.bitwise_count(left[0][rows] ^ right[0][columns]) + np.bitwise_count(left[1][rows] ^ right[1][columns]).sum(axis=1, dtype=np.int64)
+        keep = differ <= np.where(low >= LARGE, ALL_BITS, SMALL_BITS)
+        yield rows[keep], columns[keep], differ[keep]
+
+
+def _prints_of(fp: np.ndarray, more: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return fp.view(np.uint64), more.view(np.uint64).reshape(len(fp), MORE_WORDS), n
+
+
+def _suspects(pairs: DataFrame) -> DataFrame:
+    """(key, part, other, other_part, side, node): the sets of each pair of tiles that may have a similar one there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(batch.num_rows):
-                left = _set_tile(batch.column(4)[at])
-                right = _set_tile(batch.column(5)[at]) if batch.column(5)[at].is_valid else left
-                name = [batch.column(i)[at].as_py() for i in range(4)]
-                for rows, columns, more in _candidates(left, right, partners):
-                    u = np.concatenate([left[0][rows], left[0][more]])
-                    v = pa.concat_arrays([pa.array(right[0][columns]), pa.nulls(len(more), pa.int64())])
-                    yield pa.record_batch([pa.array(u), v, *(pa.array(np.full(len(u), x, np.int32)) for x in name)], names=["u", "v", "key", "part", "other", "other_part"])
+                g, h = batch.column(4)[at], batch.column(5)[at]
+                within = not h.is_valid
+                h = g if within else h
+                left, right = (_prints_of(*(x[c].values.to_numpy() for c in ("fp", "more", "n"))) for x in (g, h))
+                hit = [np.zeros(len(left[0]), bool), np.zeros(len(right[0]), bool)]
+                for rows, columns, _ in _candidates(left, right, within):
+                    hit[0][rows] = hit[0 if within else 1][columns] = True
+                for side, x in enumerate((g, h)):
+                    nodes = x["node"].values.to_numpy()[hit[side]]
+                    if len(nodes):
+                        name = [pa.array(np.full(len(nodes), v, np.int32)) for v in (*(batch.column(i)[at].as_py() for i in range(4)), side)]
+                        yield pa.record_batch([*name, pa.array(nodes)], names=["key", "part", "other", "other_part", "side", "node"])
 
-    return pairs.mapInArrow(run, "u long, v long, key int, part int, other int, other_part int")
+    return pairs.mapInArrow(run, "key int, part int, other int, other_part int, side int, node long")
 
 
-def _verified(docs: DataFrame, prints: DataFrame, pairs: DataFrame, shingle: int, text: str) -> DataFrame:
-    """Those of ``pairs(u, v)`` whose sets have a Jaccard similarity of ``JACCARD`` or more: the sets of their nodes are
-    made again from the texts, and each pair's are intersected."""
+def _sets(docs: DataFrame, prints: DataFrame, nodes: DataFrame, shingle: int, text: str) -> DataFrame:
+    """(node, n, hashes): the sets of ``nodes``, made again from a text of each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -327,40 +309,70 @@ def _verified(docs: DataFrame, prints: DataFrame, pairs: DataFrame, shingle: int
             values = pa.array(np.concatenate([np.zeros(0, np.int64), *(x.view(np.int64) for x in sets)]))
             yield pa.record_batch([pa.array(names.view(np.int64)), pa.ListArray.from_arrays(offsets, values)], names=["node", "hashes"])
 
-    part, whole = JACCARD
-    nodes = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    chosen = prints.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("text_key").alias("key")).select("key")
+    chosen = prints.groupBy("node").agg(F.min("text_key").alias("key")).join(nodes, "node", "left_semi").select("key")
     texts = docs.where(F.col(text).isNotNull()).select(F.col(text).alias("text")).withColumn("key", F.xxhash64("text"))
     found = texts.join(chosen, "key", "left_semi").dropDuplicates(["key"]).select("text")
-    sets = stage(found.mapInArrow(run, "node long, hashes array<long>"), "similar-sets")
-    of = lambda end, name: sets.select(F.col("node").alias(end), F.col("hashes").alias(name))
-    both = pairs.join(of("u", "a"), "u").join(of("v", "b"), "v")
-    alike = (part + whole) * F.size(F.array_intersect("a", "b")) >= part * (F.size("a") + F.size("b"))
-    return stage(both.where(alike).select("u", "v"), "similar-links")
+    return stage(found.mapInArrow(run, "node long, hashes array<long>"), "similar-sets")
 
 
-def similar_links(docs: DataFrame, prints: DataFrame, shingle: int = SET_SHINGLE, text: str = "text", tile: int | None = None, partners: int = PARTNERS) -> DataFrame:
+def _alike(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sorted sets have a Jaccard similarity of ``JACCARD`` or more."""
+    part, whole = JACCARD
+    shared = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum()) if len(b) else 0
+    return (part + whole) * shared >= part * (len(a) + len(b))
+
+
+def _similar_edges(left: tuple, right: tuple, within: bool, of_left: list[np.ndarray], of_right: list[np.ndarray]) -> tuple[list[int], list[int]]:
+    """Edges (place left, place right) that connect what similar sets of two tiles connect. The likeliest pairs come
+    first, and pairs that are connected already are not looked at again."""
+    shift = 0 if within else len(of_left)
+    up = list(range(shift + len(of_right)))
+
+    def root(x: int) -> int:
+        while up[x] != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    u, v = [], []
+    found = list(_candidates(left, right, within))
+    rows, columns, differ = (np.concatenate(x) for x in zip(*found)) if found else [np.zeros(0, np.int64)] * 3
+    order = np.argsort(differ, kind="stable")
+    for i, j in zip(rows[order].tolist(), columns[order].tolist()):
+        a, b = root(i), root(j + shift)
+        if a != b and _alike(of_left[i], of_right[j]):
+            up[max(a, b)] = min(a, b)
+            u.append(i)
+            v.append(j)
+    return u, v
+
+
+def similar_links(docs: DataFrame, prints: DataFrame, shingle: int = SET_SHINGLE, text: str = "text", tile: int | None = None) -> DataFrame:
     """Edges (u, v) that connect the nodes of ``set_prints`` whose sets have a Jaccard similarity of ``JACCARD`` or more.
 
-    Copies are one node before. Tiles of fingerprints are compared whole; near prints and sizes name the pairs to verify.
-    A document first gives its ``partners`` most alike ones per pair of tiles; what these join is one component. Then
-    documents that had more are compared again, and give every partner outside their component: a group of near
-    copies is joined by few of its pairs, and no pair that could join two components is left out.
+    Copies are one node before. Tiles of fingerprints are compared whole; those sets of a pair of tiles that may have a
+    similar one there are made again from the texts and go to the pair of tiles, where pairs are verified on the sets
+    until what is similar is connected. Edges come out, fewer than a pair of tiles has sets: never all pairs.
     """
-    first = _Tiles(prints.withColumn("component", F.col("node")), FIRST_BITS, tile, ("n", "more", "component"))
-    found = stage(_suspected(first.pairs(), partners), "similar-first")
-    joined = _verified(docs, prints, found.where("v is not null").select("u", "v").distinct(), shingle, text)
-    open_ = found.where("v is null").drop("v").withColumnRenamed("u", "node")
-    component = stage(connected_components(joined, "similar"), "similar-components").withColumnRenamed("component", "c")
-    placed = prints.select("node", "fp", "n", "more").dropDuplicates(["node"]).join(component, "node", "left").withColumn("component", F.coalesce("c", "node")).drop("c")
-    placed = stage(placed, "similar-placed")
-    again = _Tiles(placed, FIRST_BITS, tile, ("n", "more", "component"))
-    held = F.struct("node", "fp", "n", "more", "component")
-    rows = open_.join(placed, "node").groupBy("key", "part", "other", "other_part").agg(F.collect_list(held).alias("g"))
-    rows = rows.select("key", "part", "other", "other_part", _columnar(("node", "fp", "n", "more", "component")).alias("g"))
-    right = again.rows.select(F.col("key").alias("other"), F.col("part").alias("other_part"), F.col("g").alias("h"))
-    rest = stage(_suspected(rows.join(right, ["other", "other_part"]).select("key", "part", "other", "other_part", "g", "h"), None), "similar-rest")
-    return joined.unionByName(_verified(docs, prints, rest.select("u", "v").distinct(), shingle, text))
+    near = stage(_suspects(_Tiles(prints, FIRST_BITS, tile, ("n", "more")).pairs()), "similar-suspects")
+    sets = _sets(docs, prints, near.select("node").distinct(), shingle, text)
+    known = prints.select("node", "fp", "more").dropDuplicates(["node"]).join(sets, "node")
+    held = F.collect_list(F.struct("side", "node", "fp", "more", F.size("hashes").cast("long").alias("n"), "hashes")).alias("g")
+    groups = near.join(known, "node").groupBy("key", "part", "other", "other_part").agg(held)
+    groups = groups.select((F.expr("key = other and part = other_part")).alias("within"), "g.side", "g.node", "g.fp", F.flatten("g.more").alias("more"), "g.n", F.flatten("g.hashes").alias("hashes"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                within = batch.column(0)[at].as_py()
+                side, node, fp, more, n, flat = (batch.column(i)[at].values.to_numpy() for i in range(1, 7))
+                own = np.split(flat.view(np.uint64), np.cumsum(n)[:-1])
+                prints_of = _prints_of(fp, more, n)
+                a, b = (np.flatnonzero(side == x) for x in ((0, 0) if within else (0, 1)))
+                u, v = _similar_edges(tuple(x[a] for x in prints_of), tuple(x[b] for x in prints_of), within, [own[i] for i in a], [own[i] for i in b])
+                if u:
+                    yield pa.record_batch([pa.array(node[a[u]]), pa.array(node[b[v]])], names=["u", "v"])
+
+    return stage(groups.mapInArrow(run, "u long, v long"), "similar-links")
 
 
 def drop_similar(docs: DataFrame, shingle: int = SET_SHINGLE, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
