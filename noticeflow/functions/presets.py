@@ -16,6 +16,11 @@ AWARD_METHOD = {
     "review": "적격심사", "not_review": "부적격심사", "small": "소액수의", "small_code": "낙030029", "review_code": "낙030001",
     "negotiated": "협상", "negotiated_code": "낙030005",
     "headings": ["낙찰자선정방법", "낙찰방법", "적격심사제", "적격심사대상", "적격심사세부기준", "적격심사기준"],
+    "reasons": {
+        "name": '낙찰방법 필드에서 "{}" 확인', "small": "구조화 상세정보에서 소액수의견적 확인", "code": "낙찰방법 코드에서 적격심사 코드 {} 확인",
+        "negotiated": "구조화 상세정보에서 협상에 의한 계약 확인", "standard": '낙찰방법 적용기준에서 "{}" 확인',
+        "other": "구조화 상세정보에서 적격심사 또는 소액수의견적 근거가 확인되지 않음", "attachment": "첨부문서에서 명확한 적격심사 문맥 확인: {}",
+        "none": "낙찰방법을 판정할 구조화 상세정보 또는 명확한 첨부문서 근거가 없음"},
 }
 ASSESSMENT_CORE = ["개인정보 영향평가", "영향평가", "PIA", "전문인력", "전문교육", "계속교육", "보수교육"]
 ASSESSMENT_SUPPORT = ["자격", "자격증", "갱신", "유효기간", "신청", "접수", "마감"]

@@ -59,6 +59,15 @@ def replace_scopes(existing: DataFrame, incoming: DataFrame, scope: Sequence[str
     return existing.join(incoming.select(*scope).distinct(), list(scope), "left_anti").unionByName(incoming)
 
 
+def replace_succeeded(existing: DataFrame, incoming: DataFrame, states: DataFrame, scope: str) -> DataFrame:
+    """Rows after a refresh of scopes, of which ``states(scope, state, readable)`` has one row each: those of state SUCCESS
+    are replaced as a whole, others keep their rows, and only readable scopes are shown."""
+    known = states.select(scope, (F.col("state") == "SUCCESS").alias("__new"), F.col("readable").alias("__shown"))
+    old = existing.join(known, scope).where("__shown and not __new")
+    new = incoming.join(known, scope).where("__shown and __new")
+    return old.select(*existing.columns).unionByName(new.select(*existing.columns))
+
+
 def sync_actions(have: DataFrame, want: DataFrame, keys: Sequence[str]) -> DataFrame:
     """keys and action: KEEP, INSERT or DELETE."""
     a = have.select(*keys, F.lit(True).alias("h")).distinct()

@@ -67,10 +67,16 @@ def outbox(events: DataFrame, existing: DataFrame, baselines: DataFrame, relevan
     return fresh.dropDuplicates(list(key)).join(existing.select(*key), list(key), "left_anti")
 
 
-def fan_out(pending: DataFrame, subscribers: DataFrame, delivered: DataFrame, event_key: str, subscriber_key: str) -> DataFrame:
-    """One row per pending event and subscriber that has none yet. The product is what is asked for; the events are
-    those of a run, and each side keeps its partitions."""
-    return pending.crossJoin(subscribers).join(delivered.select(event_key, subscriber_key), [event_key, subscriber_key], "left_anti")
+def fan_out(pending: DataFrame, subscribers: DataFrame, delivered: DataFrame, event_key: str, subscriber_key: str, scope: Sequence[str], salt: int = 8) -> DataFrame:
+    """One row per pending event and subscriber of its scope (channel, type) that has none yet.
+
+    All pairs of a scope are what is asked for. They are formed by an equi join on the scope and a salt: events of a
+    scope go to ``salt`` buckets by a hash, its subscribers to each of them, so a scope with most events is many tasks.
+    """
+    dealt = pending.withColumn("__salt", F.pmod(F.xxhash64(event_key), F.lit(salt)).cast("int"))
+    spread = subscribers.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
+    pairs = dealt.join(spread, [*scope, "__salt"]).drop("__salt")
+    return pairs.join(delivered.select(event_key, subscriber_key), [event_key, subscriber_key], "left_anti")
 
 
 def delivery_status(children: DataFrame, key: Sequence[str], status: str, failed: str = "FAILED", sent: str = "SENT") -> DataFrame:

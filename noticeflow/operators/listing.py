@@ -32,7 +32,8 @@ def optional_filters(df: DataFrame, **equals) -> DataFrame:
 
 
 def page(df: DataFrame, order: Sequence[Column], number: int, size: int, largest: int = 100) -> DataFrame:
-    """One page (from 0). ``order`` ends in a unique key; a top-k plan, no full sort."""
+    """One page (from 0) of ``size`` rows, ``largest`` at most (a larger size is the largest). ``order`` ends in a unique
+    key; a top-k plan, no full sort."""
     size = max(1, min(size, largest))
     return df.orderBy(*order).offset(number * size).limit(size)
 
@@ -56,9 +57,11 @@ def without_child(parents: DataFrame, children: DataFrame, on: Column) -> DataFr
 
 
 def first_wins(df: DataFrame, keys: Sequence[str | Column], order: Sequence[Column]) -> DataFrame:
-    """The first row of each key by a total order."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("__place", F.row_number().over(w)).where("__place = 1").drop("__place")
+    """The first row of each key by an ascending total order: one aggregation that combines before the shuffle."""
+    named = {f"__key{i}": F.col(k) if isinstance(k, str) else k for i, k in enumerate(keys)}
+    places = F.struct(*[F.struct(c.isNull().alias("last"), c.alias("at")).alias(f"o{i}") for i, c in enumerate(order)])
+    best = df.withColumns(named).groupBy(*named).agg(F.min_by(F.struct(*df.columns), places).alias("__row"))
+    return best.select(*[F.col(f"__row.{c}").alias(c) for c in df.columns])
 
 
 def last_wins(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -95,8 +98,14 @@ def priority_budget(df: DataFrame, priority: Column, order: Sequence[Column], bu
 
 
 def collision_free_names(df: DataFrame, per: Sequence[str], name: str, order: Sequence[Column]) -> DataFrame:
-    """Names that differ without regard to case get (2), (3)… before their extension in order."""
-    w = Window.partitionBy(*per, F.lower(F.col(name))).orderBy(*order)
-    n = F.row_number().over(w)
-    stem, ext = F.regexp_extract(name, r"^(.*?)(\.[^.]*)?$", 1), F.regexp_extract(name, r"^(.*?)(\.[^.]*)?$", 2)
-    return df.withColumn("entry_name", F.when(n == 1, F.col(name)).otherwise(F.concat(stem, F.lit(" ("), n.cast("string"), F.lit(")"), ext)))
+    """Names that are equal without regard to case get (2), (3)… before their extension in order; a number is passed over
+    where the name it makes is itself given, so all names of a group differ."""
+    parts = [F.regexp_extract(name, r"^(.*?)(\.[^.]*)?$", i) for i in (1, 2)]
+    numbered = F.regexp_extract(parts[0], r"^(.*) \(([0-9]{1,9})\)$", 2)
+    base = F.lower(F.concat(F.regexp_extract(parts[0], r"^(.*) \(([0-9]{1,9})\)$", 1), parts[1]))
+    given = df.where(numbered != "").groupBy(*per, base.alias("__base")).agg(F.array_sort(F.collect_set(numbered.cast("int"))).alias("__given"))
+    n = F.row_number().over(Window.partitionBy(*per, F.col("__base")).orderBy(*order))
+    ranked = df.withColumn("__base", F.lower(F.col(name))).withColumn("__n", n).join(given, [*per, "__base"], "left")
+    free = F.aggregate(F.coalesce("__given", F.array().cast("array<int>")), F.col("__n"), lambda at, x: F.when(x <= at, at + 1).otherwise(at))
+    made = F.when(F.col("__n") == 1, F.col(name)).otherwise(F.concat(parts[0], F.lit(" ("), free.cast("string"), F.lit(")"), parts[1]))
+    return ranked.withColumn("entry_name", made).select(*df.columns, "entry_name")

@@ -46,21 +46,28 @@ def title_relevance(title: Column, lists: dict) -> Column:
 
 
 def award_method(name: Column, code: Column, standard: Column, evidence: Column, lists: dict) -> Column:
-    """struct(category, status, source) by ordered rules over name, code and standard, then over attachment texts."""
+    """struct(category, status, reason, source) by ordered rules over name, code and standard, then over attachment
+    texts. ``lists["reasons"]`` has a text per rule, with {} where the value that decided stands."""
     n, c, s = (squeeze(F.coalesce(x, F.lit(""))) for x in (name, code, standard))
     review = lambda x: F.contains(x, F.lit(lists["review"])) & ~F.contains(x, F.lit(lists["not_review"]))
-    found = F.exists(F.coalesce(evidence, F.array().cast("array<string>")), lambda x: review(squeeze(x)) & any_in(squeeze(x), lists["headings"]))
-    row = lambda *v: F.struct(*[F.lit(x).alias(k) for k, x in zip(("category", "status", "source"), v)])
+    found = F.filter(F.coalesce(evidence, F.array().cast("array<string>")), lambda x: review(squeeze(x)) & any_in(squeeze(x), lists["headings"]))
     detail = "STRUCTURED_DETAIL"
+
+    def row(category: str, status: str, rule: str, source: str, value: Column | None = None) -> Column:
+        shown = F.lit("") if value is None else F.trim(F.regexp_replace(F.coalesce(value, F.lit("")), r"\s+", " "))
+        parts = lists.get("reasons", {}).get(rule, "").split("{}")
+        reason = F.lit(parts[0]) if len(parts) == 1 else F.concat(F.lit(parts[0]), shown, F.lit(parts[1]))
+        return F.struct(F.lit(category).alias("category"), F.lit(status).alias("status"), reason.alias("reason"), F.lit(source).alias("source"))
+
     return (
-        F.when(review(n), row("QUALIFICATION_REVIEW", "CONFIRMED", detail))
-        .when(F.contains(n, F.lit(lists["small"])) | (c == lists["small_code"]), row("SMALL_AMOUNT_ESTIMATE", "CONFIRMED", detail))
-        .when(c == lists["review_code"], row("QUALIFICATION_REVIEW", "CONFIRMED", detail))
-        .when((c == lists["negotiated_code"]) | F.contains(n, F.lit(lists["negotiated"])), row("OTHER", "NOT_DETECTED", detail))
-        .when(review(s), row("QUALIFICATION_REVIEW", "CONFIRMED", detail))
-        .when((n != "") | (c != "") | (s != ""), row("OTHER", "NOT_DETECTED", detail))
-        .when(found, row("QUALIFICATION_REVIEW", "LIKELY", "ATTACHMENT_DOCUMENT"))
-        .otherwise(row("UNKNOWN", "UNKNOWN", "NOT_AVAILABLE")))
+        F.when(review(n), row("QUALIFICATION_REVIEW", "CONFIRMED", "name", detail, name))
+        .when(F.contains(n, F.lit(lists["small"])) | (c == lists["small_code"]), row("SMALL_AMOUNT_ESTIMATE", "CONFIRMED", "small", detail))
+        .when(c == lists["review_code"], row("QUALIFICATION_REVIEW", "CONFIRMED", "code", detail, F.lit(lists["review_code"])))
+        .when((c == lists["negotiated_code"]) | F.contains(n, F.lit(lists["negotiated"])), row("OTHER", "NOT_DETECTED", "negotiated", detail))
+        .when(review(s), row("QUALIFICATION_REVIEW", "CONFIRMED", "standard", detail, standard))
+        .when((n != "") | (c != "") | (s != ""), row("OTHER", "NOT_DETECTED", "other", detail))
+        .when(F.size(found) > 0, row("QUALIFICATION_REVIEW", "LIKELY", "attachment", "ATTACHMENT_DOCUMENT", F.get(found, F.lit(0))))
+        .otherwise(row("UNKNOWN", "UNKNOWN", "none", "NOT_AVAILABLE")))
 
 
 def keyword_class(title: Column, body: Column, core: Sequence[str], support: Sequence[str]) -> Column:

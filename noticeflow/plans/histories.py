@@ -12,7 +12,7 @@ from noticeflow.operators import changes, constraints, incremental, listing
 from noticeflow.plans.registry import Tables, query
 
 _PREV = "select doc_id, source, text as body, date '2024-01-01' as first_seen, date '2024-01-05' as last_seen from documents where doc_id % 7 <> 0"
-_CUR = "select doc_id, source, case when doc_id % 3 = 0 then text || ' (new)' else text end as body, date '2024-01-03' as first_seen, date '2024-01-04' as last_seen from documents where doc_id % 5 <> 0"
+_CUR = "select doc_id, source, case when doc_id % 3 = 0 then text || ' (new)' else text end as body, date '2024-01-03' as first_seen, date '2024-01-04' as last_seen from documents where not (doc_id % 5 = 0 and doc_id % 7 <> 0)"
 _HASH = "sha256(length(source) || ':' || source || length(body) || ':' || body) as digest"
 _BOTH = f"with p as (select *, {_HASH} from ({_PREV})), c as (select *, {_HASH} from ({_CUR}))"
 _CHANGE = "case when p.doc_id is null then 'NEW' when c.doc_id is null then 'MISSING' when p.digest = c.digest then 'UNCHANGED' else 'UPDATED' end"
@@ -24,7 +24,7 @@ def _snapshots(t: Tables) -> tuple[DataFrame, DataFrame]:
         return stamped.withColumn("digest", fingerprint([F.col("source"), F.col("body")]))
 
     docs = t.documents.select("doc_id", "source", F.col("text").alias("body"))
-    changed = docs.where("doc_id % 5 <> 0").withColumn("body", F.when(F.col("doc_id") % 3 == 0, F.concat("body", F.lit(" (new)"))).otherwise(F.col("body")))
+    changed = docs.where("not (doc_id % 5 = 0 and doc_id % 7 <> 0)").withColumn("body", F.when(F.col("doc_id") % 3 == 0, F.concat("body", F.lit(" (new)"))).otherwise(F.col("body")))
     return dated(docs.where("doc_id % 7 <> 0"), "2024-01-01", "2024-01-05"), dated(changed, "2024-01-03", "2024-01-04")
 
 
@@ -76,10 +76,10 @@ def replaced_scopes(t: Tables) -> DataFrame:
     return changes.replace_scopes(rows, rows.where("c_nationkey = 3 and c_custkey % 2 = 0").withColumn("c_mktsegment", F.lit("NEW")), ["c_nationkey"])
 
 
-@query("""with h as (select p_partkey from part where p_partkey % 2 = 0), w as (select p_partkey from part where p_partkey % 3 = 0)
+@query("""with h as (select p_partkey from part where p_partkey % 2 = 0), w as (select p_partkey from part where p_partkey % 3 = 0 or p_partkey % 2 = 1)
 select coalesce(h.p_partkey, w.p_partkey) as p_partkey, case when h.p_partkey is null then 'INSERT' when w.p_partkey is null then 'DELETE' else 'KEEP' end as action from h full join w on h.p_partkey = w.p_partkey""")
 def set_sync_actions(t: Tables) -> DataFrame:
-    return changes.sync_actions(t.part.where("p_partkey % 2 = 0"), t.part.where("p_partkey % 3 = 0"), ["p_partkey"])
+    return changes.sync_actions(t.part.where("p_partkey % 2 = 0"), t.part.where("p_partkey % 3 = 0 or p_partkey % 2 = 1"), ["p_partkey"])
 
 
 @query("""select o_orderkey, o_orderstatus, case when o_orderkey % 2 = 0 then cast(2 as int) else cast(1 as int) end as version,
@@ -93,7 +93,7 @@ def compare_and_set(t: Tables) -> DataFrame:
 def first_wins_dedup(t: Tables) -> DataFrame:
     from noticeflow.functions.text import squeeze
 
-    return listing.first_wins(t.documents.select("doc_id", "source", squeeze(F.col("text")).alias("k")), ["k"], [F.col("doc_id")]).select("doc_id", "source")
+    return listing.first_wins(t.documents.select("doc_id", "source", F.sha2(squeeze(F.col("text")), 256).alias("k")), ["k"], [F.col("doc_id")]).select("doc_id", "source")
 
 
 @query("""with u as (select 0 as rank, doc_id as id, text from documents union all select 1, conv_id * 1000 + turn, text from conversations)
@@ -103,7 +103,7 @@ def union_sources(t: Tables) -> DataFrame:
 
     docs = t.documents.select(F.lit(0).alias("rank"), F.col("doc_id").alias("id"), "text")
     turns = t.conversations.select(F.lit(1).alias("rank"), (F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
-    both = docs.unionByName(turns).withColumn("k", F.sha2(squeeze(F.col("text")), 256))
+    both = docs.unionByName(turns).select("rank", "id", F.sha2(squeeze(F.col("text")), 256).alias("k"))
     return listing.first_wins(both, ["k"], [F.col("rank"), F.col("id")]).select("rank", "id")
 
 
@@ -169,12 +169,35 @@ def backoff_delay(t: Tables) -> DataFrame:
     return runs.select("event_id", F.col("failures").cast("bigint").alias("failures"), incremental.backoff_seconds(F.col("failures")).alias("delay"))
 
 
-@query("""with s as (select event_type as source, max(ts) as last_at from events group by 1)
-select source, date '2030-01-01' - 6 as first, date '2030-01-01' as last from s where last_at + interval 1 hour <= timestamp '2030-01-01 00:00:00' and source <> 'error'""")
+@query("""with s as (select user_id, max(ts) + interval 12 hour as next_run from events group by 1)
+select c_custkey as source, date '2024-01-30' - 6 as first, date '2024-01-30' as last from customer left join s on user_id = c_custkey where c_acctbal > 0 and (next_run is null or next_run <= timestamp '2024-01-30 12:00:00')""")
 def due_sources(t: Tables) -> DataFrame:
-    state = t.events.groupBy(F.col("event_type").alias("source")).agg((F.max("ts") + F.expr("interval 1 hour")).alias("next_run"))
-    schedule = t.events.select(F.col("event_type").alias("source")).distinct().withColumn("enabled", F.col("source") != "error")
-    return incremental.due_sources(schedule, state, F.lit("2030-01-01 00:00:00").cast("timestamp_ntz"), F.lit(7))
+    """Some sources are disabled, some have no state, some are due and some are not."""
+    state = t.events.groupBy(F.col("user_id").alias("source")).agg((F.max("ts") + F.expr("interval 12 hours")).alias("next_run"))
+    schedule = t.customer.select(F.col("c_custkey").alias("source"), (F.col("c_acctbal") > 0).alias("enabled"))
+    return incremental.due_sources(schedule, state, F.lit("2024-01-30 12:00:00").cast("timestamp_ntz"), F.lit(7))
+
+
+@query("""select o_orderkey, case when o_orderkey % 3 = 0 then o_orderstatus else o_orderpriority end as detail, array_to_string(list_sort(list_distinct([o_orderstatus, 'x', o_orderpriority])), ',') as codes from orders""")
+def kept_last_good(t: Tables) -> DataFrame:
+    """A value that could not be fetched leaves the old one; lists in JSON are united."""
+    pair = lambda *c: F.to_json(F.array(*c))
+    united = changes.union_lists(pair(F.col("o_orderstatus"), F.lit("x")), pair(F.col("o_orderpriority"), F.lit("x")))
+    return t.orders.select("o_orderkey", changes.keep_last_good(F.col("o_orderstatus"), F.col("o_orderpriority"), F.col("o_orderkey") % 3 != 0).alias("detail"), F.array_join(F.from_json(united, "array<string>"), ",").alias("codes"))
+
+
+@query("""select c_custkey, c_nationkey, case when c_nationkey % 4 = 1 then c_mktsegment || '*' else c_mktsegment end as c_mktsegment from customer where c_nationkey % 4 <> 3""")
+def root_snapshots(t: Tables) -> DataFrame:
+    """Roots that succeeded are replaced, a failed one keeps its snapshot, and one never read to the end shows nothing."""
+    rows = t.customer.select("c_custkey", "c_nationkey", "c_mktsegment")
+    states = t.nation.select(F.col("n_nationkey").alias("c_nationkey"), F.when(F.col("n_nationkey") % 4 == 1, "SUCCESS").otherwise("FAILED").alias("state"), (F.col("n_nationkey") % 4 != 3).alias("readable"))
+    return changes.replace_succeeded(rows, rows.withColumn("c_mktsegment", F.concat("c_mktsegment", F.lit("*"))), states, "c_nationkey")
+
+
+@query("""select event_type, max_by(user_id, struct_pack(a := ts, b := event_id)) as user_id, max(ts) as ts from events group by 1""")
+def audit_last_state(t: Tables) -> DataFrame:
+    rows = t.events.select("event_type", "user_id", "ts", "event_id")
+    return changes.last_state(rows, ["event_type"], ["ts", "event_id"]).select("event_type", "user_id", "ts")
 
 
 @query("""select cast(o_orderdate as date) as day, o_orderkey, row_number() over (partition by cast(o_orderdate as date) order by case o_orderpriority when '1-URGENT' then 0 when '2-HIGH' then 1 else 2 end, o_orderkey) as place from orders qualify place <= 2""")

@@ -177,10 +177,11 @@ def preferred_first(t: Tables) -> DataFrame:
     return rows.orderBy("class", F.col("o_totalprice").desc_nulls_last(), "o_orderkey").limit(50).select("o_orderpriority", "o_orderkey", "class")
 
 
-@query("""select page_id, url from pages where starts_with(regexp_replace(url, '^https?://[^/]*', ''), '/a/') or starts_with(regexp_replace(url, '^https?://[^/]*', ''), '/page/') or regexp_replace(url, '^https?://[^/]*', '') like '/p%'""")
+@query("""with p as (select page_id, regexp_replace(url, '^https?://[^/]*', '') as path from pages)
+select page_id, starts_with(path, '/en/') as below, starts_with(path, '/fr/') as below_slash, true as below_root, path = '/de' or starts_with(path, '/de/') or starts_with('/de', rtrim(path, '/') || '/') as overlaps from p""")
 def path_scope(t: Tables) -> DataFrame:
     path = F.regexp_replace("url", "^https?://[^/]*", "")
-    return t.pages.where(listing.below_folder(path, "/a") | listing.below_folder(path, "/page/") | path.startswith("/p")).select("page_id", "url")
+    return t.pages.select("page_id", listing.below_folder(path, "/en").alias("below"), listing.below_folder(path, "/fr/").alias("below_slash"), listing.below_folder(path, "/").alias("below_root"), listing.overlapping_roots(path, "/de").alias("overlaps"))
 
 
 @query("""select event_type, cast(ts as date) as day, count(*) as n, count(*) filter (value is null) as without_value from events group by 1, 2""")
@@ -198,10 +199,46 @@ def latest_run(t: Tables) -> DataFrame:
     return listing.last_wins(t.events.select("event_type", F.col("event_id").alias("last_event"), F.col("ts").alias("last_at")), ["event_type"], ["last_at", "last_event"])
 
 
-@query("""select p_partkey, p_brand, p_name, case when n = 1 then p_brand else p_brand || ' (' || n || ')' end as entry_name
-from (select p_partkey, p_brand, p_name, row_number() over (partition by p_size, lower(p_brand) order by p_partkey) as n from part)""")
+@query(r"""with p as (select p_partkey, p_size % 5 as box, case when p_partkey % 7 = 0 then p_brand || ' (2).txt' when p_partkey % 7 = 1 then upper(p_brand) || '.txt' else p_brand || '.txt' end as name from part),
+r as (select *, row_number() over (partition by box, lower(name) order by p_partkey) as n from p),
+g as (select box, regexp_extract(lower(name), '^(.*) \(([0-9]+)\)\.txt$', 1) || '.txt' as base, list_sort(list(distinct cast(regexp_extract(lower(name), '^(.*) \(([0-9]+)\)\.txt$', 2) as bigint))) as given
+from p where regexp_matches(lower(name), ' \([0-9]+\)\.txt$') group by 1, 2)
+select p_partkey, case when n = 1 then name else name[:-5] || ' (' || list_reduce(list_prepend(n, coalesce(given, [])), lambda a, x: case when x <= a then a + 1 else a end) || ').txt' end as entry_name
+from r left join g on g.box = r.box and g.base = lower(r.name)""")
 def archive_names(t: Tables) -> DataFrame:
-    return listing.collision_free_names(t.part, ["p_size"], "p_brand", [F.col("p_partkey")]).select("p_partkey", "p_brand", "p_name", "entry_name")
+    name = F.when(F.col("p_partkey") % 7 == 0, F.concat("p_brand", F.lit(" (2).txt"))).when(F.col("p_partkey") % 7 == 1, F.concat(F.upper("p_brand"), F.lit(".txt"))).otherwise(F.concat("p_brand", F.lit(".txt")))
+    files = t.part.select("p_partkey", (F.col("p_size") % 5).alias("box"), name.alias("name"))
+    return listing.collision_free_names(files, ["box"], "name", [F.col("p_partkey")]).select("p_partkey", "entry_name")
+
+
+@query("""select o_orderkey, coalesce(case when o_orderstatus = 'F' then null else o_orderdate end, timestamp '1990-01-01') as shown from orders
+order by coalesce(case when o_orderstatus = 'F' then null else o_orderdate end, timestamp '1990-01-01') desc nulls last, o_orderkey desc limit 50""")
+def coalesced_sort_key(t: Tables) -> DataFrame:
+    shown = F.coalesce(F.when(F.col("o_orderstatus") != "F", F.col("o_orderdate")), F.lit("1990-01-01").cast("timestamp_ntz"))
+    rows = t.orders.select("o_orderkey", shown.alias("shown"))
+    return listing.page(rows, [F.col("shown").desc_nulls_last(), F.desc("o_orderkey")], 0, 50)
+
+
+@query("""select o_orderkey from orders where o_orderstatus = 'O' and o_orderpriority = '1-URGENT'""")
+def optional_filters(t: Tables) -> DataFrame:
+    return listing.optional_filters(t.orders, o_orderstatus="O", o_orderpriority="1-URGENT", o_custkey=None).select("o_orderkey")
+
+
+@query("""select c_custkey from customer where contains(lower(coalesce(c_name, '')), '_1%') or contains(lower(coalesce(c_name, '')), '#00000001') or contains(lower(coalesce(c_mktsegment, '')), '#00000001')""")
+def search_columns(t: Tables) -> DataFrame:
+    from noticeflow.functions.text import search_columns as found
+
+    columns = [F.col("c_name"), F.col("c_mktsegment")]
+    return t.customer.where(found(columns, "_1%") | found(columns, "#00000001")).select("c_custkey")
+
+
+@query("""select p.p_partkey, case when s_suppkey is not null then 'REFERENCE' when p.p_type = 'SMALL' then 'NAME' else 'NONE' end as level from part p left join supplier on s_suppkey = p_partkey
+order by case when s_suppkey is not null then 0 when p.p_type = 'SMALL' then 1 else 2 end, p_retailprice desc nulls last, p_partkey limit 50""")
+def match_level_order(t: Tables) -> DataFrame:
+    matched = t.part.join(t.supplier.select("s_suppkey"), F.col("s_suppkey") == F.col("p_partkey"), "left")
+    rank = F.when(F.col("s_suppkey").isNotNull(), 0).when(F.col("p_type") == "SMALL", 1).otherwise(2)
+    best = matched.withColumn("rank", rank).orderBy("rank", F.col("p_retailprice").desc_nulls_last(), "p_partkey").limit(50)
+    return best.select("p_partkey", F.get(F.array(*map(F.lit, ("REFERENCE", "NAME", "NONE"))), F.col("rank")).alias("level"))
 
 
 @query("select s_suppkey, s_name, s_acctbal >= 0 as active from supplier")
@@ -222,14 +259,14 @@ def executable_configs(t: Tables) -> DataFrame:
     return ready.groupBy("r_name", "n_name").agg(F.count("s_suppkey").alias("suppliers"))
 
 
-@query("""with b as (select event_id, user_id from events where event_type = 'error' and ts >= timestamp '1970-01-01' order by ts, event_id limit 20),
-c as (select c_custkey from customer where c_mktsegment = 'BUILDING'), d as (select event_id, user_id as c_custkey from events)
-select event_id, c_custkey from b, c where not exists (select 1 from d where d.event_id = b.event_id and d.c_custkey = c.c_custkey)""")
+@query("""with b as (select event_id, user_id % 25 as scope from events where event_type = 'error'), c as (select c_custkey, c_nationkey as scope from customer where c_mktsegment = 'BUILDING'),
+d as (select event_id, user_id as c_custkey from events)
+select event_id, c_custkey from b join c on b.scope = c.scope where not exists (select 1 from d where d.event_id = b.event_id and d.c_custkey = c.c_custkey)""")
 def fanout_pending(t: Tables) -> DataFrame:
-    pending = listing.page(t.events.where("event_type = 'error'"), [F.col("ts"), F.col("event_id")], 0, 20).select("event_id")
-    subscribers = t.customer.where("c_mktsegment = 'BUILDING'").select("c_custkey")
+    pending = t.events.where("event_type = 'error'").select("event_id", (F.col("user_id") % 25).alias("scope"))
+    subscribers = t.customer.where("c_mktsegment = 'BUILDING'").select("c_custkey", F.col("c_nationkey").cast("bigint").alias("scope"))
     delivered = t.events.select("event_id", F.col("user_id").alias("c_custkey"))
-    return incremental.fan_out(pending, subscribers, delivered, "event_id", "c_custkey").select("event_id", "c_custkey")
+    return incremental.fan_out(pending, subscribers, delivered, "event_id", "c_custkey", ["scope"]).select("event_id", "c_custkey")
 
 
 @query("""with n as (select p_name, min(p_partkey) as entry_id, min(p_brand) as client from part group by 1),

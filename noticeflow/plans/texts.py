@@ -16,7 +16,8 @@ _TITLES = {
     "irrelevant": ["smallring"], "compounds": [(["red"], ["bolt", "nut"]), (["blue", "widget"], [])], "audit": "gear", "other_audits": ["green", "brass"],
     "privacy_phrases": ["largepanel"], "privacy_word": "steel", "privacy_abbreviation": "promo", "actions": ["widget", "valve", "bolt"],
     "technology": ["economy", "standard"], "technology_abbreviation": "red"}
-_AWARDS = {"review": "high", "not_review": "nothigh", "small": "low", "small_code": "x", "review_code": "p", "negotiated_code": "f", "negotiated": "medium", "headings": ["urgent"]}
+_AWARDS = {"review": "high", "not_review": "nothigh", "small": "low", "small_code": "x", "review_code": "p", "negotiated_code": "f", "negotiated": "medium", "headings": ["urgent"],
+    "reasons": {"name": "name {}", "small": "small", "code": "code {}", "negotiated": "negotiated", "standard": "standard {}", "other": "other", "attachment": "text {}", "none": "none"}}
 
 
 def _sql_any(x: str, words) -> str:
@@ -38,11 +39,21 @@ def title_relevance(t: Tables) -> DataFrame:
 _O = "lower(regexp_replace(o_orderpriority, '\\s+', '', 'g'))"
 
 
-@query(f"""select o_orderkey, case when contains({_O}, 'high') then 'QUALIFICATION_REVIEW' when contains({_O}, 'low') then 'SMALL_AMOUNT_ESTIMATE' when lower(o_orderstatus) = 'p' then 'QUALIFICATION_REVIEW'
-when lower(o_orderstatus) = 'f' or contains({_O}, 'medium') then 'OTHER' else 'OTHER' end as category,
-case when contains({_O}, 'high') or contains({_O}, 'low') or lower(o_orderstatus) = 'p' then 'CONFIRMED' else 'NOT_DETECTED' end as status, 'STRUCTURED_DETAIL' as source from orders""")
+@query(f"""with i as (select o_orderkey, case when o_orderkey % 4 = 0 then o_orderpriority end as name, case when o_orderkey % 4 in (0, 1) then lower(o_orderstatus) end as code,
+case when o_orderkey % 4 = 2 then o_orderpriority end as standard, case when o_orderkey % 4 = 3 then o_orderpriority || ' urgent' end as evidence from orders),
+n as (select *, {_O.replace("o_orderpriority", "coalesce(name, '')")} as n, {_O.replace("o_orderpriority", "coalesce(standard, '')")} as s, {_O.replace("o_orderpriority", "coalesce(evidence, '')")} as e from i),
+r as (select *, case when contains(n, 'high') then 'name' when contains(n, 'low') or code = 'x' then 'small' when code = 'p' then 'code' when code = 'f' or contains(n, 'medium') then 'negotiated' when contains(s, 'high') then 'standard'
+when n <> '' or coalesce(code, '') <> '' or s <> '' then 'other' when contains(e, 'high') then 'attachment' else 'none' end as rule from n)
+select o_orderkey, case when rule in ('name', 'code', 'standard', 'attachment') then 'QUALIFICATION_REVIEW' when rule = 'small' then 'SMALL_AMOUNT_ESTIMATE' when rule = 'none' then 'UNKNOWN' else 'OTHER' end as category,
+case when rule in ('name', 'small', 'code', 'standard') then 'CONFIRMED' when rule = 'attachment' then 'LIKELY' when rule = 'none' then 'UNKNOWN' else 'NOT_DETECTED' end as status,
+case rule when 'name' then 'name ' || name when 'code' then 'code p' when 'standard' then 'standard ' || standard when 'attachment' then 'text ' || evidence else rule end as reason,
+case rule when 'attachment' then 'ATTACHMENT_DOCUMENT' when 'none' then 'NOT_AVAILABLE' else 'STRUCTURED_DETAIL' end as source from r""")
 def award_method(t: Tables) -> DataFrame:
-    found = rules.award_method(F.col("o_orderpriority"), F.col("o_orderstatus"), F.lit(None).cast("string"), F.lit(None).cast("array<string>"), _AWARDS)
+    """Every rule decides for some rows: name and code, code alone, the standard alone, attachments alone."""
+    k = F.col("o_orderkey") % 4
+    given = lambda *v: F.when(k.isin(*v), F.col("o_orderpriority"))
+    evidence = F.when(k == 3, F.array(F.lit("else"), F.concat("o_orderpriority", F.lit(" urgent"))))
+    found = rules.award_method(given(0), F.when(k.isin(0, 1), F.col("o_orderstatus")), given(2), evidence, _AWARDS)
     return t.orders.select("o_orderkey", found.alias("a")).select("o_orderkey", "a.*")
 
 
@@ -112,12 +123,12 @@ def matched_codes(t: Tables) -> DataFrame:
     return _groups(t).select("l_orderkey", F.array_join(codes, ",").alias("codes"), F.when(F.size(codes) > 0, "INDUSTRY_CODE").otherwise("SUPPLEMENTAL").alias("kind"))
 
 
-@query("""select doc_id, array_to_string(list_distinct(list_filter(regexp_split_to_array(text, '[^0-9]+'), lambda v: length(v) = 4)), ',') is not null as any_list,
+@query("""select doc_id, len(list_distinct(list_filter(regexp_split_to_array(text, '[^0-9]+'), lambda v: length(v) = 4))) > 0 as any_list,
 len(list_distinct(list_filter(regexp_split_to_array(text, '[^0-9]+'), lambda v: length(v) = 4))) as n_codes,
 array_to_string(list_sort(list_distinct(list_filter(regexp_split_to_array(text, '[^0-9]+'), lambda v: length(v) = 4))), ',') as codes from documents""")
 def code_extract(t: Tables) -> DataFrame:
     codes = text.four_digit_codes(F.col("text"))
-    return t.documents.select("doc_id", F.lit(True).alias("any_list"), F.size(codes).cast("bigint").alias("n_codes"), F.array_join(F.array_sort(codes), ",").alias("codes"))
+    return t.documents.select("doc_id", (F.size(codes) > 0).alias("any_list"), F.size(codes).cast("bigint").alias("n_codes"), F.array_join(F.array_sort(codes), ",").alias("codes"))
 
 
 @query("""select page_id, lower(regexp_extract(url, '^https?://([^/:?#]+)', 1)) as host, lower(regexp_extract(url, '^https?://([^/:?#]+)', 1)) = 'example.net' or lower(regexp_extract(url, '^https?://([^/:?#]+)', 1)) like '%.example.net' as reference from pages""")
@@ -235,6 +246,67 @@ def text_forms(t: Tables) -> DataFrame:
     return t.customer.select("c_custkey", text.after_last(n, "#").alias("after"), text.squeeze(n).alias("squeezed"), text.abbreviate(n, 12, dots=True).alias("short"), text.join_distinct(n, F.col("c_mktsegment")).alias("joined"), text.name_key(n).alias("key"))
 
 
+@query(r"""with x as (select c_custkey, '  ' || c_name || chr(9) || ' ' || c_mktsegment || ' ' as t, case when c_custkey % 3 = 0 then '  ' else c_mktsegment end as m, '/a/' || c_mktsegment || '/' || c_name || case when c_custkey % 2 = 0 then '.PDF' else '' end as p from customer)
+select c_custkey, trim(regexp_replace(t, '\s+', ' ', 'g')) as collapsed, nullif(trim(m), '') as filled, nullif(trim(regexp_replace(t, '\s+', ' ', 'g')), '') as cell, regexp_replace(t, '[\s:*]', '', 'g') as label,
+regexp_replace(c_custkey || '. ' || trim(t), '\s+', '', 'g') as item, coalesce(nullif(trim(m), ''), trim(t)) as first_given, regexp_replace(p, '/[^/]*$', '') as folder, case when c_custkey % 2 = 0 then 'pdf' else '' end as extension,
+regexp_replace(p, '[\\/:*?"<>|]', '_', 'g') as file_name, case when c_custkey % 4 = 0 then 'Y' when c_custkey % 4 = 1 then 'N' end as yes, 'a=1&token=[REDACTED]&b=' || c_custkey as redacted,
+c_mktsegment || ',z' as listed, case when c_custkey % 5 <> 0 then 'user' || c_custkey || '@example.com' end as email from x join customer using (c_custkey)""")
+def cleaned_forms(t: Tables) -> DataFrame:
+    k, name, segment = F.col("c_custkey"), F.col("c_name"), F.col("c_mktsegment")
+    loose = F.concat(F.lit("  "), name, F.lit("\t "), segment, F.lit(" "))
+    blank = F.when(k % 3 == 0, "  ").otherwise(segment)
+    path = F.concat(F.lit("/a/"), segment, F.lit("/"), name, F.when(k % 2 == 0, ".PDF").otherwise(""))
+    answer = F.when(k % 4 == 0, " YES ").when(k % 4 == 1, "아니오").otherwise("maybe")
+    mail = F.concat(F.lit(" User"), k.cast("string"), F.when(k % 5 == 0, " at example.com").otherwise("@example.com "))
+    return t.customer.select(
+        "c_custkey", text.collapse(loose).alias("collapsed"), text.blank_to_null(blank).alias("filled"), text.clean_cell(loose).alias("cell"), text.label_key(loose).alias("label"),
+        text.item_key(F.concat(F.lit(" - "), k.cast("string"), F.lit(". "), loose)).alias("item"), text.first_non_blank(blank, loose).alias("first_given"), text.before_last(path).alias("folder"), text.file_extension(path).alias("extension"),
+        text.safe_file_name(path).alias("file_name"), text.yes_no(answer).alias("yes"), text.redact(F.concat(F.lit("a=1&token=abc&b="), k.cast("string"))).alias("redacted"),
+        F.array_join(text.clean_list(F.array(F.array(blank, segment), F.array(F.lit(" z "), F.lit("")))), ",").alias("listed"), text.email_key(mail).alias("email"))
+
+
+@query("""select o_orderkey, case o_orderkey % 4 when 0 then o_orderdate end as lenient, case when o_orderkey % 3 = 0 then null else date_trunc('minute', o_orderdate) end as paired, cast(o_orderdate as date) + interval 10 year as in_name, date_diff('day', cast(o_orderdate as date), date '1998-06-01') * -1 as days
+from (select o_orderkey, date_trunc('second', o_orderdate) as o_orderdate from orders)""")
+def date_forms(t: Tables) -> DataFrame:
+    at, k = F.col("o_orderdate"), F.col("o_orderkey")
+    raw = F.when(k % 4 == 0, F.date_format(at, "yyyy-MM-dd HH:mm:ss")).when(k % 4 == 1, "-").when(k % 4 == 2, "추후 공지").otherwise("00000000")
+    day = F.when(k % 3 == 0, "00000000").otherwise(F.date_format(at, "yyyyMMdd"))
+    later = F.add_months(F.to_date("o_orderdate"), 120)
+    name = F.concat(F.lit("report_2001.01.02_"), F.date_format(later, "yyyy-MM-dd"), F.lit("_20019999.pdf"))
+    return t.orders.select(
+        "o_orderkey", dates.parse_lenient(raw, ["추후"]).alias("lenient"), dates.pair_time(day, F.date_format(at, "HHmm")).alias("paired"), dates.latest_date_in_name(name).cast("timestamp_ntz").alias("in_name"),
+        dates.days_left(F.to_date("o_orderdate"), F.lit(_DAY).cast("date")).cast("bigint").alias("days"))
+
+
+@query(r"""with x as (select doc_id, list_distinct(list_transform(regexp_extract_all(text, 'https?://[^\s"''<>\])}]+'), lambda u: regexp_replace(u, '[.,;:!?]+$', ''))) as found from documents)
+select doc_id, array_to_string(list_sort(found), ' ') as urls from x where len(found) > 0""")
+def text_urls(t: Tables) -> DataFrame:
+    return t.documents.select("doc_id", F.array_join(F.array_sort(urls.extract_urls(F.col("text"))), " ").alias("urls")).where("urls <> ''")
+
+
+@query(r"""select page_id, regexp_extract(url, '^https?://([^/?&#]+)/([^/?&#]+)/(\d+)', 2) as lang, 'https://' || regexp_extract(url, '^https?://([^/?&#]+)/', 1) || '/' || regexp_extract(url, '^https?://([^/?&#]+)/([^/?&#]+)/([^/?&#]+)', 3) as filled
+from pages where regexp_matches(url, '^https?://[^/?&#]+/[^/?&#]+/[^/?&#]+$')""")
+def url_templates(t: Tables) -> DataFrame:
+    places = urls.match_template(F.regexp_replace("url", "^http:", "https:"), "https://{host}/{lang}/{key}")
+    rows = t.pages.select("page_id", places.alias("m")).where("m is not null")
+    return rows.select("page_id", F.try_element_at("m", F.lit("lang")).alias("lang"), urls.fill_template("https://{host}/{key}", F.col("m")).alias("filled"))
+
+
+@query("""select p_partkey, case when contains(p_name, 'widget') then 'W' when contains(p_name, 'gear') then 'G' else 'OTHER' end as kind, case when p_size % 3 = 0 then case when contains(p_name, 'widget') then 'W' when contains(p_name, 'gear') then 'G' else 'S' end else case when contains(p_name, 'widget') then 'W' when contains(p_name, 'gear') then 'G' end end as nearest,
+case when p_size % 2 = 0 then p_type || ' dept' end as department, case p_partkey % 3 when 0 then p_size % 2 = 0 when 1 then p_size % 2 = 1 else p_size > 10 end as valid from part""")
+def file_decisions(t: Tables) -> DataFrame:
+    size, key = F.col("p_size"), F.col("p_partkey")
+    kinds = [("W", ["widget"]), ("G", ["gear"]), ("S", ["smallfolder"])]
+    path = F.concat(F.lit("/root/"), F.when(size % 3 == 0, "small folder").otherwise("other"), F.lit("/"), "p_name")
+    folder = F.concat(F.lit("/root/"), "p_type", F.when(size % 2 == 0, " dept").otherwise(""), F.lit("/x/name dept"))
+    day = lambda d: F.lit(d).cast("date")
+    status = F.get(F.array(*map(F.lit, ("NEEDED", "REQUESTED", "RECEIVED"))), (key % 3).cast("int"))
+    asked = F.when(key % 3 == 0, F.when(size % 2 == 1, day("2024-01-01"))).otherwise(day("2024-01-01"))
+    answered = F.when(key % 3 == 1, F.when(size % 2 == 0, day("2024-01-02"))).when(key % 3 == 2, F.when(size > 10, day("2024-01-02")).otherwise(day("2023-12-31")))
+    return t.part.select(
+        "p_partkey", rules.file_kind(F.col("p_name"), kinds[:2]).alias("kind"), rules.nearest_kind(path, kinds).alias("nearest"), rules.deepest_label(folder, [" dept"]).alias("department"), rules.request_valid(status, asked, answered).alias("valid"))
+
+
 @query()
 def page_links(t: Tables) -> DataFrame:
     """Links of every page, their canonical address and the compact form of their text."""

@@ -27,7 +27,9 @@ def test_title_relevance(spark, title, want):
     ("", "", "", ["낙찰자 선정방법: 적격심사"], ("QUALIFICATION_REVIEW", "LIKELY", "ATTACHMENT_DOCUMENT")), ("", "", "", ["적격심사"], ("UNKNOWN", "UNKNOWN", "NOT_AVAILABLE"))])
 def test_award_method(spark, name, code, standard, evidence, want):
     found = rules.award_method(F.lit(name), F.lit(code), F.lit(standard), F.array(*map(F.lit, evidence)).cast("array<string>"), presets.AWARD_METHOD)
-    assert tuple(one(spark, found)) == want
+    got = one(spark, found)
+    assert (got.category, got.status, got.source) == want
+    assert got.reason and "{}" not in got.reason and all(x in got.reason for x in ([name] if want[1] == "CONFIRMED" and "적격심사" in name else evidence if want[1] == "LIKELY" else []))
 
 
 @pytest.mark.parametrize(("qualification", "relevance", "want"), [
