@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 GRAMS, BUCKETS = 3, 1 << 16
 #: Labelled documents (expected) that teach each language; passes over them; share kept for the temperature.
 SAMPLE_PER_LANG, PASSES, CALIBRATION = 800, 2, 0.2
+#: Features of a sampled text that teach, the most frequent ones, so the driver's sample is bounded.
+SAMPLE_FEATURES = 8192
 #: Fixed values of the training: learning rate, smoothing, and the penalties of absolute and of squared weights.
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 2e-4, 1e-4
 
@@ -39,6 +41,11 @@ def grams(text: str) -> tuple[np.ndarray, np.ndarray]:
     return index, counts[index]
 
 
+def _most_frequent(index: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    kept = np.sort(np.argsort(-counts, kind="stable")[:SAMPLE_FEATURES])
+    return index[kept], counts[kept]
+
+
 def _weighed(index: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     x = (1 + np.log(counts)) * idf[index]
     return x / max(np.sqrt((x * x).sum()), 1e-12)
@@ -146,7 +153,7 @@ def train(labelled: DataFrame, key: Column, sample_per_lang: int = SAMPLE_PER_LA
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            found = [grams(t) for t in pdf["text"]]
+            found = [_most_frequent(*grams(t)) for t in pdf["text"]]
             yield pd.DataFrame({"lang": pdf["lang"], "place": pdf["place"], "i": [i.astype(np.int32) for i, _ in found], "c": [c.astype(np.int32) for _, c in found]})
 
     sample = picked.mapInPandas(features, "lang string, place double, i array<int>, c array<int>").toPandas().sort_values(["place", "lang"], kind="stable")

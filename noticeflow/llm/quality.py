@@ -3,6 +3,7 @@ forward-backward marginals aggregate into the document's quality."""
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -17,6 +18,8 @@ from noticeflow.llm.langid import remainder
 
 #: Labelled documents of each label (expected) that teach the model, and steps of its training.
 SAMPLE_PER_LABEL, STEPS, ROUNDS = 2000, 120, 3
+#: Lines of a labelled document that teach (a run of lines from a seeded place), so the driver's sample is bounded.
+SAMPLE_LINES = 500
 #: A document is good from this score on.
 THRESHOLD = 0.3
 #: Documents whose marginals are computed together.
@@ -61,6 +64,12 @@ def line_features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     return out, np.array([len(x) for x in lines] or [1], np.float64)
 
 
+def _some_lines(key, features: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """At most ``SAMPLE_LINES`` lines in a row, from a place that the key gives."""
+    a = zlib.crc32(str(key).encode()) % max(1, len(features) - SAMPLE_LINES + 1)
+    return features[a : a + SAMPLE_LINES], lengths[a : a + SAMPLE_LINES]
+
+
 def marginals(emission: np.ndarray, sizes: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Forward-backward over many documents at once.
 
@@ -211,7 +220,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            found = [line_features(t) for t in pdf["text"]]
+            found = [_some_lines(i, *line_features(t)) for i, t in zip(pdf["id"], pdf["text"])]
             yield pd.DataFrame({"id": pdf["id"].astype(str), "good": pdf["good"], "f": [x.ravel() for x, _ in found], "w": [w for _, w in found]})
 
     sample = taught.mapInPandas(run, "id string, good int, f array<float>, w array<double>").toPandas().sort_values(["id", "good"], kind="stable")

@@ -298,8 +298,8 @@ def _suspects(pairs: DataFrame) -> DataFrame:
     return pairs.mapInArrow(run, "key int, part int, other int, other_part int, side int, node long")
 
 
-def _sets(docs: DataFrame, prints: DataFrame, nodes: DataFrame, shingle: int, text: str) -> DataFrame:
-    """(node, n, hashes): the sets of ``nodes``, made again from a text of each."""
+def _sets(docs: DataFrame, prints: DataFrame, nodes: DataFrame, shingle: int, doc_id: str, text: str) -> DataFrame:
+    """(node, hashes): the sets of ``nodes``, made again from the text of one document of each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -309,10 +309,11 @@ def _sets(docs: DataFrame, prints: DataFrame, nodes: DataFrame, shingle: int, te
             values = pa.array(np.concatenate([np.zeros(0, np.int64), *(x.view(np.int64) for x in sets)]))
             yield pa.record_batch([pa.array(names.view(np.int64)), pa.ListArray.from_arrays(offsets, values)], names=["node", "hashes"])
 
-    chosen = prints.groupBy("node").agg(F.min("text_key").alias("key")).join(nodes, "node", "left_semi").select("key")
-    texts = docs.where(F.col(text).isNotNull()).select(F.col(text).alias("text")).withColumn("key", F.xxhash64("text"))
-    found = texts.join(chosen, "key", "left_semi").dropDuplicates(["key"]).select("text")
-    return stage(found.mapInArrow(run, "node long, hashes array<long>"), "similar-sets")
+    one = prints.groupBy("node").agg(F.min(F.struct("doc_id", "text_key")).alias("k")).join(nodes, "node", "left_semi")
+    one = one.select(F.col("k.doc_id").alias("one_id"), F.col("k.text_key").alias("one_key"))
+    found = _keyed(docs, doc_id, text).join(one, F.col("doc_id").eqNullSafe(F.col("one_id")) & (F.col("text_key") == F.col("one_key")), "left_semi")
+    sets = found.select("text").mapInArrow(run, "node long, hashes array<long>")
+    return stage(sets.dropDuplicates(["node"]), "similar-sets")  # of rows equal in id and text one
 
 
 def _alike(a: np.ndarray, b: np.ndarray) -> bool:
@@ -346,7 +347,7 @@ def _similar_edges(left: tuple, right: tuple, within: bool, of_left: list[np.nda
     return u, v
 
 
-def similar_links(docs: DataFrame, prints: DataFrame, shingle: int = SET_SHINGLE, text: str = "text", tile: int | None = None) -> DataFrame:
+def similar_links(docs: DataFrame, prints: DataFrame, shingle: int = SET_SHINGLE, doc_id: str = "doc_id", text: str = "text", tile: int | None = None) -> DataFrame:
     """Edges (u, v) that connect the nodes of ``set_prints`` whose sets have a Jaccard similarity of ``JACCARD`` or more.
 
     Copies are one node before. Tiles of fingerprints are compared whole; those sets of a pair of tiles that may have a
@@ -354,7 +355,7 @@ def similar_links(docs: DataFrame, prints: DataFrame, shingle: int = SET_SHINGLE
     until what is similar is connected. Edges come out, fewer than a pair of tiles has sets: never all pairs.
     """
     near = stage(_suspects(_Tiles(prints, FIRST_BITS, tile, ("n", "more")).pairs()), "similar-suspects")
-    sets = _sets(docs, prints, near.select("node").distinct(), shingle, text)
+    sets = _sets(docs, prints, near.select("node").distinct(), shingle, doc_id, text)
     known = prints.select("node", "fp", "more").dropDuplicates(["node"]).join(sets, "node")
     held = F.collect_list(F.struct("side", "node", "fp", "more", F.size("hashes").cast("long").alias("n"), "hashes")).alias("g")
     groups = near.join(known, "node").groupBy("key", "part", "other", "other_part").agg(held)
@@ -379,5 +380,5 @@ def drop_similar(docs: DataFrame, shingle: int = SET_SHINGLE, doc_id: str = "doc
     """``drop_near_duplicates`` with groups linked by the Jaccard similarity of the sets of shingles, ``JACCARD`` or
     more. Texts without words are equal."""
     prints = set_prints(docs, shingle, doc_id, text)
-    members = prints.join(_components(prints, similar_links(docs, prints, shingle, text)), "node")
+    members = prints.join(_components(prints, similar_links(docs, prints, shingle, doc_id, text)), "node")
     return _one_of_each(docs, members, doc_id, text)

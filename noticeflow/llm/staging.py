@@ -12,9 +12,12 @@ _SETTING = "spark.checkpoint.dir"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; only where the session names none (tests), a local folder is set."""
+    """The cluster's shared folder. Where the session names none, a local master (tests) gets a local folder, and
+    anything else is an error: executors would write to their own disks."""
     found = spark.conf.get(_SETTING, None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"{_SETTING} must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="noticeflow-")
         spark.conf.set(_SETTING, found)
     return found.rstrip("/")
