@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -65,3 +65,36 @@ def requirements(lines: DataFrame, key: str, signals: Sequence[str], kinds: Sequ
     low = F.lower("line")
     hits = lines.where(any_in(low, signals)).select(key, "pos", "line", file_kind(F.col("line"), kinds).alias("kind"), F.when(any_in(low, conditional), "CONDITIONAL").otherwise("REQUIRED").alias("need"))
     return distinct_lines(hits, key, name_key(F.col("line")))
+
+
+def line_lists(lines: DataFrame, key: str, lists: Mapping[str, Mapping[str, Sequence[str]]]) -> DataFrame:
+    """One row per document: an array of lines for each named list, in the document's order, each normalised form once.
+
+    A list takes a line that holds one of ``words`` and none of ``unless``, and every line of a section that one of
+    ``headings`` starts (a line that begins with it), up to the next heading of any list. The heading itself is no entry.
+    One window and one aggregation on the same key, so one shuffle; a document without an entry has empty arrays.
+    """
+    from noticeflow.functions.text import name_key
+    from noticeflow.operators.rules import any_in
+
+    low = F.lower("line")
+    heads = [(name, h.lower()) for name, spec in lists.items() for h in spec.get("headings", ())]
+    mark = F.coalesce(F.lit(None).cast("string"), *[F.when(F.startswith(low, F.lit(h)), F.lit(name)) for name, h in heads])
+    w = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    tagged = lines.withColumn("__mark", mark).withColumn("__in", F.last("__mark", ignorenulls=True).over(w))
+
+    def taken(name: str, spec: Mapping[str, Sequence[str]]) -> Column:
+        said = any_in(low, [x.lower() for x in spec["words"]]) if spec.get("words") else F.lit(False)
+        if spec.get("unless"):
+            said = said & ~any_in(low, [x.lower() for x in spec["unless"]])
+        return F.col("__mark").isNull() & (said | F.coalesce(F.col("__in") == name, F.lit(False)))
+
+    entry = F.struct("pos", "line", name_key(F.col("line")).alias("norm"))
+
+    def firsts(entries: Column) -> Column:
+        seen = F.aggregate(F.array_sort(entries), F.struct(F.array().cast("array<string>").alias("norms"), F.array().cast("array<string>").alias("lines")), lambda acc, x: F.when(
+            F.array_contains(acc["norms"], x["norm"]), acc).otherwise(F.struct(F.array_append(acc["norms"], x["norm"]).alias("norms"), F.array_append(acc["lines"], x["line"]).alias("lines"))))
+        return seen["lines"]
+
+    gathered = tagged.groupBy(key).agg(*[F.collect_list(F.when(taken(n, s), entry)).alias(n) for n, s in lists.items()])
+    return gathered.select(key, *[firsts(F.col(n)).alias(n) for n in lists])

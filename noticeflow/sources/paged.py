@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
@@ -49,6 +50,53 @@ class PagedJsonReader(DataSourceReader):
             yield partition.number, int(body.get("totalCount") or 0), json.dumps(item, ensure_ascii=False)
 
 
+def paged_files(spark: SparkSession, path: str) -> DataFrame:
+    """(file, total, item) of stored pages, one JSON object each, read by Spark from any file system it knows. ``items`` is
+    a list or one object; what is no JSON gives no rows."""
+    body = F.from_json("value", "items string, totalCount bigint")
+    items = F.when(F.startswith(F.ltrim("b.items"), F.lit("[")), F.from_json("b.items", "array<string>")).when(F.col("b.items").isNotNull(), F.array("b.items"))
+    pages = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), body.alias("b"))
+    return pages.select("file", F.coalesce("b.totalCount", F.lit(0)).alias("total"), F.explode(items).alias("item"))
+
+
+def fetch_listings(requests: DataFrame, key: str, fetch: Callable[[str, int], dict], size: int, tasks: int = 32) -> DataFrame:
+    """(key, page, total, item, error) of paged listings, one for each distinct key.
+
+    ``fetch(key, page)`` runs in the tasks and gives {"items", "totalCount"}; pages from 1 to ceil(total of page 1 / size).
+    A failure ends its own listing only: the rows of the pages before it stay, and one row (item null) names the
+    page and the kind of error. Keys are dealt to ``tasks`` tasks; a page is sent on as soon as it is read.
+    """
+    kinds = pa.schema([("key", pa.string()), ("page", pa.int32()), ("total", pa.int64()), ("item", pa.string()), ("error", pa.string())])
+
+    def rows(k: str, page: int, total: int | None, items: list, error: str | None) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pylist([{"key": k, "page": page, "total": total, "item": x, "error": error} for x in items], kinds)
+
+    def listing(k: str) -> Iterator[pa.RecordBatch]:
+        page, last, total = 1, 1, None
+        while page <= last:
+            try:
+                body = fetch(k, page)
+                given = body.get("items") or []
+                total = int(body.get("totalCount") or 0)
+                items = [json.dumps(x, ensure_ascii=False) for x in (given if isinstance(given, list) else [given])]
+            except Exception as e:  # a listing that fails must not stop the others; the row tells
+                yield rows(k, page, total, [None], type(e).__name__)
+                return
+            if page == 1:
+                last = -(-total // size)
+            yield rows(k, page, total, items, None)
+            page += 1
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in batch.column(0).to_pylist():
+                yield from listing(k)
+
+    keys = requests.select(F.col(key).cast("string").alias("key")).where("key is not null").distinct().repartition(tasks, "key")
+    found = keys.mapInArrow(read, "key string, page int, total bigint, item string, error string")
+    return found.withColumnRenamed("key", key)
+
+
 def page_numbers(totals: DataFrame, total: str, size: int) -> DataFrame:
     """The pages that listings ask for: ceil(total / size) rows each."""
     pages = F.ceil(F.col(total) / F.lit(float(size))).cast("int")

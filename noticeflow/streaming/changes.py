@@ -34,6 +34,11 @@ class SnapshotTable:
         found = [v for v in self._versions() if before is None or v < before]
         return self.spark.read.schema(self.schema).parquet(f"{self.root}/v{found[-1]}") if found else self.spark.createDataFrame([], self.schema)
 
+    def read_all(self, before: int | None = None) -> DataFrame:
+        """All rows of the versions (below one) of a table to which each version only adds."""
+        found = [f"{self.root}/v{v}" for v in self._versions() if before is None or v < before]
+        return self.spark.read.schema(self.schema).parquet(*found) if found else self.spark.createDataFrame([], self.schema)
+
     def write(self, df: DataFrame, version: int) -> None:
         df.write.mode("overwrite").parquet(f"{self.root}/v{version}")
 
@@ -41,6 +46,7 @@ class SnapshotTable:
 def merge_batches(stream: DataFrame, current: SnapshotTable, archive: SnapshotTable, changes: SnapshotTable, keys: Sequence[str], digest: str, first_seen: str, last_seen: str, order: Sequence[str], checkpoint: str) -> StreamingQuery:
     """Each micro-batch is merged into ``current``; replaced rows go to ``archive``, changes to ``changes``.
 
+    ``archive`` and ``changes`` get only the batch's own rows (``read_all`` gives the whole), ``current`` is a full snapshot.
     Snapshots carry the batch's number and start from the ones before it, so a batch that runs again after a failure
     gives the same tables: at-least-once delivery, exactly-once result. Of several rows of a key in one batch the
     last by ``order`` counts.
@@ -50,8 +56,7 @@ def merge_batches(stream: DataFrame, current: SnapshotTable, archive: SnapshotTa
         incoming = last_wins(batch, keys, order).persist()
         before = current.read(number)
         changes.write(detect_changes(before, incoming, keys, digest).where("change in ('NEW', 'UPDATED')"), number)
-        kept = archive.read(number)
-        archive.write(kept.unionByName(archive_versions(before, incoming, kept, keys, digest)), number)
+        archive.write(archive_versions(before, incoming, archive.read_all(number), keys, digest), number)
         current.write(merge_current(before, incoming, keys, digest, first_seen, last_seen), number)
         incoming.unpersist()
 
