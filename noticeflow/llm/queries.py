@@ -95,9 +95,16 @@ def op11_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame
     return rebuilt_trie(_table(spark, sf_dir, "conversations")).drop("preorder", "subtree_end")
 
 
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of every document's tokens by two tokenizers."""
+    from noticeflow.llm.align import align
+
+    return align(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), _tokenizer("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_mix_sources, op2_language_id, op3_embedding_near_dedup, op4_line_dedup, op5_simhash_near_dedup, op6_token_binary, op7_secret_scan,
-    op8_nearest_neighbours, op9_quality, op10_packing, op11_conversation_prefix_trie)}
+    op8_nearest_neighbours, op9_quality, op10_packing, op11_conversation_prefix_trie, op12_tokenizer_alignment)}
 
 #: Paths are lists of hashes here, which is quadratic in a conversation's turns.
 _TRIE = r"""
