@@ -17,12 +17,21 @@ from pyspark.sql import functions as F
 
 from noticeflow.llm.staging import stage
 
-#: Characters of text whose distinct pieces are aligned together, and id pairs up to which their counts are broadcast (24 bytes each).
-TOGETHER, BROADCAST_PAIRS = 4_000_000, 2_000_000
+#: Characters of text whose distinct pieces are numbered together, characters of a part of a long text, and id pairs up to
+#: which their counts are broadcast (24 bytes each).
+TOGETHER, PART, BROADCAST_PAIRS = 16_000_000, 2_000_000, 2_000_000
 _CUT = re.compile(r"(?<=\S)(?= )")
-_TOKENS = "array<struct<n: bigint, a_ids: array<int>, a_ends: array<int>, b_ids: array<int>, b_ends: array<int>>>"
-_DOCS = "array<struct<row: bigint, doc_id: bigint, part: int, parts: int, codes: array<int>>>"
+_TEXTS = "batch bigint, pieces array<struct<piece: string, n: bigint>>, docs array<struct<row: bigint, doc_id: bigint, part: int, parts: int, codes: array<int>>>"
 _SUMS = ["n_a", "n_b", "n_groups", "n_best", "count_sum"]
+_KNOWN = "piece string, n bigint, sound boolean, a_ids array<int>, a_ends array<int>, b_ids array<int>, b_ends array<int>"
+
+
+def pieces_of(text: str) -> list[str]:
+    """What stands between the cuts of a space and ``text``, each without the space it begins with. Cuts are before
+    spaces that follow a character other than white space."""
+    if re.search(r"\s ", text) or text[:1] == " ":
+        return [x[1:] for x in _CUT.split(" " + text)]
+    return text.split(" ")
 
 
 class _Vocabulary:
@@ -74,14 +83,8 @@ class PairTokenizer:
         self.bytes_b = _Vocabulary({i: bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in pieces.items()})
         self.space_b = self.b.encode("a ")[-1:]
 
-    def pieces(self, text: str) -> list[str]:
-        """What stands between the cuts of a space and ``text``, each without the space it begins with."""
-        if re.search(r"\s ", text) or text[:1] == " ":
-            return [x[1:] for x in _CUT.split(" " + text)]
-        return text.split(" ")
-
-    def encode(self, pieces: list[str]) -> tuple[list, list, np.ndarray]:
-        """(ids, sizes) of A and of B over pieces in turn, and which pieces either does not give back as they were."""
+    def encode(self, pieces: list[str]) -> tuple[list, np.ndarray]:
+        """(ids, sizes) of A and of B over pieces in turn, and which pieces both give back as they were."""
         whole = [" " + p for p in pieces]
         of_a = [x.ids for x in self.a.encode_batch_fast(whole, add_special_tokens=False)]
         of_b = [x or self.space_b for x in self.b.encode(pieces, num_threads=1)]
@@ -91,10 +94,10 @@ class PairTokenizer:
         if all(np.array_equal(v.joined(f), want) for v, f in zip((self.bytes_a, self.bytes_b), flat)):
             given = np.fromiter((len(p.encode()) for p in whole), np.int64, len(whole))
             lengths = [np.add.reduceat(v.sizes[f], np.cumsum(n) - n) if len(n) else n for v, f, n in zip((self.bytes_a, self.bytes_b), flat, sizes)]
-            bad = (lengths[0] != given) | (lengths[1] != given)
+            sound = (lengths[0] == given) & (lengths[1] == given)
         else:
-            bad = np.array([any(b"".join(v.tokens[i] for i in x) != p.encode() for v, x in ((self.bytes_a, a), (self.bytes_b, b))) for p, a, b in zip(whole, of_a, of_b)], bool)
-        return list(zip(flat, sizes)), [self.bytes_a, self.bytes_b], bad
+            sound = np.array([all(b"".join(v.tokens[i] for i in x) == p.encode() for v, x in ((self.bytes_a, a), (self.bytes_b, b))) for p, a, b in zip(whole, of_a, of_b)], bool)
+        return list(zip(flat, sizes)), sound
 
 
 _loaded: dict[tuple[str, str], PairTokenizer] = {}
@@ -107,10 +110,10 @@ def _pair_tokenizer(path_a: str, path_b: str) -> PairTokenizer:
 
 
 def _parts(text: str) -> list[str]:
-    """A text in parts of about ``TOGETHER`` characters, cut where pieces part; the space at a cut belongs to none."""
-    out, a = [], 0
-    while len(text) - a > TOGETHER:
-        hit = re.compile(r"(?<=\S) ").search(text, a + TOGETHER)
+    """A text in parts of about ``PART`` characters, cut where pieces part; the space at a cut belongs to none."""
+    out, a, cut = [], 0, re.compile(r"(?<=\S) ")
+    while len(text) - a > PART:
+        hit = cut.search(text, a + PART)
         if hit is None:
             break
         out.append(text[a : hit.start()])
@@ -118,75 +121,80 @@ def _parts(text: str) -> list[str]:
     return [*out, text[a:]]
 
 
-def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
-    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(values.astype(np.int32)))
-
-
 class _Batch:
-    """Texts whose distinct pieces are numbered and encoded together."""
+    """Texts whose distinct pieces are numbered together."""
 
-    def __init__(self, tokenizer: PairTokenizer):
-        self.tokenizer, self.codes, self.rows, self.chars = tokenizer, {}, [], 0
+    def __init__(self):
+        self.codes, self.times, self.rows, self.chars = {}, [], [], 0
 
     def add(self, row: int, doc_id, part: int, parts: int, text: str | None) -> None:
         codes, n = self.codes, None
         if text or parts > 1:
-            n = np.array([codes.setdefault(p, len(codes)) for p in self.tokenizer.pieces(text)], np.int32)
+            n = np.array([codes.setdefault(p, len(codes)) for p in pieces_of(text)], np.int32)
+            self.times.append(n)
             self.chars += len(text) + 1
         self.rows.append((row, doc_id, part, parts, n))
 
     def close(self, number: int) -> pa.RecordBatch:
-        tokens, vocabularies, bad = self.tokenizer.encode(list(self.codes))
-        found = [None if r[4] is None or bad[r[4]].any() else r[4] for r in self.rows]
-        times = np.zeros(len(self.codes), np.int64)
-        for codes in found:
-            if codes is not None:
-                times += np.bincount(codes, minlength=len(times))
-        columns = [pa.array(times)]
-        for (ids, sizes), vocabulary in zip(tokens, vocabularies):
-            ends = np.cumsum(vocabulary.sizes[ids])
-            before = np.concatenate([[0], ends])[np.cumsum(sizes) - sizes]
-            columns += [_lists(ids, sizes), _lists(ends - np.repeat(before, sizes), sizes)]
-        pieces = pa.StructArray.from_arrays(columns, names=["n", "a_ids", "a_ends", "b_ids", "b_ends"])
-        row, doc_id, part, parts, _ = zip(*self.rows)
-        given = [pa.array(row, pa.int64()), pa.array(doc_id, pa.int64()), pa.array(part, pa.int32()), pa.array(parts, pa.int32()), pa.array(found, pa.list_(pa.int32()))]
+        times = np.bincount(np.concatenate([np.zeros(0, np.int32), *self.times]), minlength=len(self.codes))
+        pieces = pa.StructArray.from_arrays([pa.array(list(self.codes), pa.string()), pa.array(times)], names=["piece", "n"])
+        row, doc_id, part, parts, codes = zip(*self.rows)
+        given = [pa.array(row, pa.int64()), pa.array(doc_id, pa.int64()), pa.array(part, pa.int32()), pa.array(parts, pa.int32()), pa.array(codes, pa.list_(pa.int32()))]
         docs = pa.StructArray.from_arrays(given, names=["row", "doc_id", "part", "parts", "codes"])
         one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
         return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), one(pieces), one(docs)], names=["batch", "pieces", "docs"])
 
 
-def _tokenised(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
-    """A row per about ``TOGETHER`` characters: its distinct pieces (times in texts that count, ids and byte ends by A
-    and B), and its documents as numbers of pieces (null: no tokens). Longer texts come in parts."""
+def _cut_up(docs: DataFrame) -> DataFrame:
+    """A row per about ``TOGETHER`` characters: its distinct pieces and their times, and its documents as numbers of
+    pieces (null: no text). Longer texts come in parts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, task = _pair_tokenizer(path_a, path_b), TaskContext.get().partitionId() << 40
-        held, number, row = _Batch(tokenizer), task, task
+        number = row = TaskContext.get().partitionId() << 40
+        held = _Batch()
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                text = text.as_py()
-                parts = _parts(text or "")
-                if len(parts) > 1 and any(tokenizer.encode(list(set(tokenizer.pieces(p))))[2].any() for p in parts):
-                    parts = [""]
+                parts = _parts(text.as_py() or "")
                 for k, part in enumerate(parts):
                     held.add(row, doc_id, k, len(parts), part)
                     if held.chars >= TOGETHER or len(held.rows) >= 100_000:
                         yield held.close(number)
-                        held, number = _Batch(tokenizer), number + 1
+                        held, number = _Batch(), number + 1
                 row += 1
         if held.rows:
             yield held.close(number)
 
-    return docs.mapInArrow(run, f"batch bigint, pieces {_TOKENS}, docs {_DOCS}")
+    return docs.mapInArrow(run, _TEXTS)
+
+
+def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(values.astype(np.int32)))
+
+
+def _tokenised(pieces: DataFrame, path_a: str, path_b: str) -> DataFrame:
+    """Ids and byte ends of (piece, n) by A and B; a piece that either does not give back as it was is not sound and has no tokens."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokenizer = _pair_tokenizer(path_a, path_b)
+        for batch in batches:
+            tokens, sound = tokenizer.encode(batch.column(0).to_pylist())
+            columns = [batch.column(0), batch.column(1), pa.array(sound)]
+            for (ids, sizes), vocabulary in zip(tokens, (tokenizer.bytes_a, tokenizer.bytes_b)):
+                ids, sizes = ids[np.repeat(sound, sizes)], np.where(sound, sizes, 0)
+                ends = np.concatenate([[0], np.cumsum(vocabulary.sizes[ids])])
+                columns += [_lists(ids, sizes), _lists(ends[1:] - np.repeat(ends[np.cumsum(sizes) - sizes], sizes), sizes)]
+            yield pa.RecordBatch.from_arrays(columns, names=["piece", "n", "sound", "a_ids", "a_ends", "b_ids", "b_ends"])
+
+    return pieces.mapInArrow(run, _KNOWN)
 
 
 _SHIFT, _B, _PLACE = 33, 1 << 32, (1 << 32) - 1  # a token in the order of ends: end, whether it is B's, place
 
 
-def _merged(p: Column) -> Column:
+def _merged() -> Column:
     """A's and B's tokens of a piece in one ascending order of ends; where both end, A's comes first."""
     key = lambda side: lambda e, i: F.shiftleft(e.cast("long"), _SHIFT).bitwiseOR(i.cast("long") + F.lit(side))
-    return F.sort_array(F.concat(F.transform(p["a_ends"], key(0)), F.transform(p["b_ends"], key(_B))))
+    return F.sort_array(F.concat(F.transform("a_ends", key(0)), F.transform("b_ends", key(_B))))
 
 
 def _end(x: Column) -> Column:
@@ -201,53 +209,38 @@ def _is_b(x: Column) -> Column:
     return x.bitwiseAND(F.lit(_B)) != 0
 
 
-def _shared(merged: Column, b: bool) -> Column:
-    """How many of A's (of B's) tokens end at or before each cut."""
-    beside = (lambda x, j: _is_b(x) & (_end(x) == _end(F.get(merged, j - 1)))) if b else (lambda x, j: ~_is_b(x) & (_end(x) == _end(F.get(merged, j + 1))))
-    return F.transform(F.filter(merged, beside), lambda x: _place(x) + 1)
-
-
-def _link(q: Column, x: Column, j: Column) -> Column:
+def _link(x: Column, j: Column) -> Column:
     """The ids, A's above B's 32 bits, that the bytes before an end of ``merged`` lie in: each such stretch is the overlap
     of one linked pair. The tokens of the other side that end before are those between. Null at B's side of a cut."""
     other = j - _place(x)
     pair = lambda a, b: F.shiftleft(a.cast("long"), 32).bitwiseOR(b.cast("long"))
     return (
-        F.when(~_is_b(x), pair(F.get(q["a_ids"], _place(x)), F.get(q["b_ids"], other)))
-        .when(_end(x) != F.coalesce(_end(F.get(q["merged"], j - 1)), F.lit(-1)), pair(F.get(q["a_ids"], other), F.get(q["b_ids"], _place(x)))))
+        F.when(~_is_b(x), pair(F.get("a_ids", _place(x)), F.get("b_ids", other)))
+        .when(_end(x) != F.coalesce(_end(F.get("merged", j - 1)), F.lit(-1)), pair(F.get("a_ids", other), F.get("b_ids", _place(x)))))
 
 
-def _grouped(r: Column) -> Column:
-    """`a1,a2|b1;a3|b2` of a piece."""
-    def side(ids: Column, through: Column, g: Column) -> Column:
-        start = F.coalesce(F.get(through, g - 1), F.lit(0))
-        return F.array_join(F.slice(ids, start + 1, F.get(through, g) - start), ",")
-
-    return F.array_join(F.transform(r["cuts"], lambda c, g: F.concat(side(r["a_text"], r["a_through"], g), F.lit("|"), side(r["b_text"], r["b_through"], g))), ";")
+def _written(b: bool) -> Column:
+    """One side's ids in order, each group's joined by commas, as an array of groups."""
+    ids, beside = ("b_ids", -1) if b else ("a_ids", 1)
+    cut = lambda x, j: F.when(_end(F.get("merged", j + beside)) == _end(x), F.lit(";")).otherwise(F.lit(","))
+    one = lambda x, j: F.when(_is_b(x) == F.lit(b), F.concat(F.get(ids, _place(x)).cast("string"), cut(x, j)))
+    return F.split(F.rtrim(F.array_join(F.transform("merged", one), ""), F.lit(";")), ";")
 
 
 def _aligned(tokens: DataFrame) -> DataFrame:
-    """Each row's pieces as (n, links), and its documents with their counts and groups (the digest, or the text of a part)."""
-    merged = F.transform("pieces", lambda p: F.struct(
-        p["n"].alias("n"), p["a_ids"].alias("a_ids"), p["b_ids"].alias("b_ids"), F.array_intersect(p["a_ends"], p["b_ends"]).alias("cuts"), _merged(p).alias("merged")))
-    placed = F.transform("merged", lambda q: F.struct(
-        q["n"].alias("n"), q["cuts"].alias("cuts"), q["a_ids"].cast("array<string>").alias("a_text"), q["b_ids"].cast("array<string>").alias("b_text"), _shared(q["merged"], False).alias("a_through"), _shared(q["merged"], True).alias("b_through"),
-        F.filter(F.transform(q["merged"], lambda x, j: _link(q, x, j)), lambda x: x.isNotNull()).alias("links")))
-    pieces = F.transform("placed", lambda r: F.struct(
-        r["n"].alias("n"), r["links"].alias("links"), F.size(r["a_text"]).alias("n_a"), F.size(r["b_text"]).alias("n_b"), F.size(r["cuts"]).alias("n_groups"), _grouped(r).alias("groups")))
-
-    def doc(d: Column) -> Column:
-        text = F.array_join(F.transform(d["codes"], lambda c: F.get(F.col("whole"), c)["groups"]), ";")
-        sums = [_total(d["codes"], lambda c, n=n: F.get(F.col("whole"), c)[n]).alias(n) for n in _SUMS[:3]]
-        return F.struct(d["row"].alias("row"), d["doc_id"].alias("doc_id"), d["part"].alias("part"), d["parts"].alias("parts"), d["codes"].alias("codes"), *sums, F.when(d["parts"] > 1, text).otherwise(F.sha2(text, 256)).alias("groups"))
+    """Of each piece: its counts, links and groups (`a1,a2|b1;a3|b2`)."""
+    held = tokens.withColumns({"cuts": F.array_intersect("a_ends", "b_ends"), "merged": _merged()})
+    links = F.filter(F.transform("merged", _link), lambda x: x.isNotNull())
+    groups = F.array_join(F.zip_with(_written(False), _written(True), lambda a, b: F.concat(a, F.lit("|"), b)), ";")
+    return held.select("piece", "n", "sound", F.size("a_ids").alias("n_a"), F.size("b_ids").alias("n_b"), F.size("cuts").alias("n_groups"), links.alias("links"), groups.alias("groups"))
 
-    held = tokens.select("batch", "docs", merged.alias("merged")).select("batch", "docs", placed.alias("placed")).select("batch", "docs", pieces.alias("whole"))
-    narrow = F.transform("whole", lambda w: F.struct(w["n"].alias("n"), w["links"].alias("links")))
-    return held.select("batch", narrow.alias("pieces"), F.transform("docs", doc).alias("docs"))
 
-
-def _total(codes: Column, value) -> Column:
-    return F.aggregate(codes, F.lit(0).cast("long"), lambda s, c: s + value(c).cast("long"))
+def _unsound_times(texts: DataFrame, places: DataFrame, unsound: DataFrame) -> DataFrame:
+    """(piece, n): how often pieces stand in texts that hold an unsound piece."""
+    codes = places.join(unsound, "piece").groupBy("batch").agg(F.collect_set("code").alias("unsound"))
+    docs = texts.select("batch", F.explode("docs").alias("d")).select("batch", "d.row", "d.codes")
+    rows = docs.join(codes, "batch").where(F.arrays_overlap("codes", "unsound")).select("row").distinct()
+    return docs.join(rows, "row").select("batch", F.explode("codes").alias("code")).groupBy("batch", "code").agg(F.count("*").alias("times")).join(places, ["batch", "code"]).groupBy("piece").agg(F.sum("times").alias("less"))
 
 
 def align(docs: DataFrame, path_a: str, path_b: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -255,33 +248,44 @@ def align(docs: DataFrame, path_a: str, path_b: str, doc_id: str = "doc_id", tex
 
     A text that is null or empty, or whose tokens' bytes by A or B are not a space and the text, has no tokens: zeros
     and an empty digest. Repeated rows and null ids are rows like others; other columns play no part; an empty table
-    gives no rows. Texts beyond ``TOGETHER`` characters are worked on in parts; only the string of their groups, from
+    gives no rows. Texts beyond ``PART`` characters are worked on in parts; only the string of their groups, from
     which the digest is made, stands in one row. A text without spaces is one piece.
 
-    An id pair's count is how many links of the corpus hold it; n_best counts links whose pair has the highest count of
-    its B id. Counts come from distinct pieces and their times, and are broadcast while they are few.
+    Texts are cut into pieces that no token crosses, so tokens, groups and links are made once for each distinct piece
+    of the corpus; an id pair's count is how many links of the corpus hold it, and n_best counts links whose pair has
+    the highest count of its B id. What is known of pieces then goes to the batches of texts that hold them.
     """
-    spark = docs.sparkSession
     narrow = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    units = stage(_aligned(_tokenised(narrow, path_a, path_b)), "aligned")
-
-    counts = units.select(F.explode("pieces").alias("p")).where("p.n > 0").select("p.n", F.explode("p.links").alias("pair")).groupBy("pair").agg(F.sum("n").alias("times"))
-    of_b = Window.partitionBy(F.col("pair").bitwiseAND(F.lit(_PLACE)))
+    texts = stage(_cut_up(narrow), "texts")
+    places = texts.select("batch", F.posexplode("pieces").alias("code", "p")).select("batch", "code", "p.piece", "p.n")
+    known = stage(_aligned(_tokenised(places.groupBy("piece").agg(F.sum("n").alias("n")), path_a, path_b)), "pieces")
+    times = known
+    unsound = known.where("not sound").select("piece")
+    if not unsound.isEmpty():
+        times = known.join(_unsound_times(texts, places.drop("n"), unsound), "piece", "left").withColumn("n", F.col("n") - F.coalesce("less", F.lit(0))).drop("less")
+
+    counts = times.where("n > 0").select("n", F.explode("links").alias("pair")).groupBy("pair").agg(F.sum("n").alias("times"))
+    of_b = Window.partitionBy(F.col("pair").bitwiseAND(F.lit(_PLACE)))  # as many as A has ids
     pairs = stage(counts.withColumn("best", (F.col("times") == F.max("times").over(of_b)).cast("long")), "pairs")
     if pairs.count() <= BROADCAST_PAIRS:
         pairs = F.broadcast(pairs)
-    links = units.select("batch", F.posexplode("pieces").alias("code", "p")).select("batch", "code", F.explode_outer("p.links").alias("pair"))
-    scored = links.join(pairs, "pair", "left").groupBy("batch", "code").agg(F.coalesce(F.sum("best"), F.lit(0)).alias("n_best"), F.coalesce(F.sum("times"), F.lit(0)).alias("count_sum"))
-    scores = scored.groupBy("batch").agg(F.sort_array(F.collect_list(F.struct("code", "n_best", "count_sum"))).alias("scores"))  # as many as a batch has pieces
+    scored = known.select("piece", F.explode("links").alias("pair")).join(pairs, "pair").groupBy("piece").agg(F.sum("best").alias("n_best"), F.sum("times").alias("count_sum"))
+    both = lambda a, b: F.shiftleft(F.col(a).cast("long"), 32).bitwiseOR(F.coalesce(F.col(b), F.lit(0)).cast("long"))  # noqa: E731  two counts in one long: a batch has less than 2^31 tokens
+    told = known.join(scored, "piece", "left").select("piece", "sound", both("n_a", "n_b").alias("tokens"), both("n_groups", "n_best").alias("marks"), F.coalesce("count_sum", F.lit(0)).alias("count_sum"), "groups")
+    lists = places.select("batch", "code", "piece").join(told, "piece").groupBy("batch").agg(F.sort_array(F.collect_list(F.struct("code", "sound", "tokens", "marks", "count_sum", "groups"))).alias("told"))  # as many as a batch has pieces
+
+    keys = ["row", "doc_id", "part", "parts"]
+    looked_up = F.transform("docs", lambda d: F.struct(*[d[c].alias(c) for c in keys], F.transform(d["codes"], lambda c: F.get(F.col("told"), c)).alias("told")))
 
     def doc(d: Column) -> Column:
-        sums = [_total(d["codes"], lambda c, n=n: F.get(F.col("scores"), c)[n]).alias(n) for n in _SUMS[3:]]
-        return F.struct(*[d[c].alias(c) for c in ("row", "doc_id", "part", "parts", *_SUMS[:3])], *sums, d["groups"].alias("groups"))
-
-    found = units.select("batch", "docs").join(scores, "batch", "left").select(F.explode(F.transform("docs", doc)).alias("d")).select("d.*")
-    zero = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in _SUMS]
-    whole = found.where("parts <= 1").select("doc_id", *zero, F.coalesce("groups", F.lit("")).alias("groups_sha256"))
-    strings = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("part", "groups"))), lambda x: x["groups"]), ";")
-    long = found.where("parts > 1").groupBy("row").agg(F.first("doc_id").alias("doc_id"), *[F.sum(c).alias(c) for c in _SUMS], F.sha2(strings, 256).alias("groups_sha256")).drop("row")
-    every = whole.unionByName(long)
-    return every.select("doc_id", "n_a", "n_b", "n_groups", (F.col("n_a") + F.col("n_b") - F.col("n_groups")).alias("n_links"), "n_best", "count_sum", "groups_sha256")
+        told, string = d["told"], F.array_join(d["told"]["groups"], ";")
+        sums = [F.aggregate(told[c], F.lit(0).cast("long"), lambda s, x: s + x).alias(c) for c in ("tokens", "marks", "count_sum")]
+        return F.struct(*[d[c].alias(c) for c in keys], (~F.array_contains(told["sound"], F.lit(False))).alias("sound"), *sums, F.when(d["parts"] > 1, string).otherwise(F.sha2(string, 256)).alias("groups"))
+
+    found = texts.select("batch", "docs").join(lists, "batch", "left").select(F.explode(F.transform(looked_up, doc)).alias("d")).select("d.*").withColumn("sound", F.coalesce("sound", F.lit(False)))
+    high, low = (lambda c: F.shiftright(c, 32)), (lambda c: F.col(c).bitwiseAND(F.lit(_PLACE)))
+    found = found.select("row", "doc_id", "part", "parts", "sound", high("tokens").alias("n_a"), low("tokens").alias("n_b"), high("marks").alias("n_groups"), low("marks").alias("n_best"), "count_sum", "groups")
+    strings = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("part", "groups"))), lambda x: x["groups"]), ";")  # the digest, or the parts' texts
+    whole = found.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.bool_and("sound").alias("sound"), *[F.sum(c).alias(c) for c in _SUMS], F.max("parts").alias("parts"), strings.alias("groups"))
+    every = whole.withColumns({"groups": F.when(F.col("parts") > 1, F.sha2("groups", 256)).otherwise(F.col("groups")), "n_links": F.col("n_a") + F.col("n_b") - F.col("n_groups")})
+    return every.select("doc_id", *[F.when(F.col("sound"), F.col(c)).otherwise(F.lit(0)).cast("long").alias(c) for c in ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")], F.when(F.col("sound"), F.col("groups")).otherwise(F.lit("")).alias("groups_sha256"))

@@ -113,7 +113,7 @@ def test_long_texts_go_in_parts(spark, libraries, monkeypatch):
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").coalesce(1)
     want = found(module.align(frame, A, B))
     parts = module._parts
-    monkeypatch.setattr(module, "TOGETHER", 100)
+    monkeypatch.setattr(module, "PART", 100)
     assert all(len(parts(t)) > 1 for t in texts[1:])
     assert [" ".join(parts(t)) for t in texts] == texts
     assert found(_with_parts(spark, frame)) == want
@@ -124,27 +124,23 @@ def _with_parts(spark, frame):
     """``align`` with small parts in the workers too."""
     from noticeflow.llm import align as module
 
-    def small(docs, a, b):
-        def run(batches):
-            module.TOGETHER = 100
-            yield from inner(batches)
-
-        inner = None
-
-        class Catch:
+    def small(docs):
+        class Caught:
             def mapInArrow(self, f, schema):
-                nonlocal inner
-                inner = f
+                def run(batches):
+                    module.PART, module.TOGETHER = 100, 300
+                    yield from f(batches)
+
                 return docs.mapInArrow(run, schema)
 
-        return tokenised(Catch(), a, b)
+        return cut_up(Caught())
 
-    tokenised = module._tokenised
-    module._tokenised = small
+    cut_up = module._cut_up
+    module._cut_up = small
     try:
         return module.align(frame, A, B)
     finally:
-        module._tokenised = tokenised
+        module._cut_up = cut_up
 
 
 def test_many_pairs_are_joined_by_shuffle(spark, monkeypatch):
