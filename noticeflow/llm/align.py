@@ -15,23 +15,24 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from noticeflow.llm.staging import stage
+from noticeflow.llm.staging import remove, stage, stage_at
 
 #: Characters of text whose distinct pieces are numbered together, characters of a part of a long text, and id pairs up to
 #: which their counts are broadcast (24 bytes each).
-TOGETHER, PART, BROADCAST_PAIRS = 16_000_000, 2_000_000, 2_000_000
-_CUT = re.compile(r"(?<=\S)(?= )")
+TOGETHER, PART, BROADCAST_PAIRS = 32_000_000, 2_000_000, 2_000_000
+#: Letters, and marks before which a text is cut where they follow a letter.
+_LETTERS, _MARKS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f", ".,;:!?"
+_PIECE = re.compile(rf"(?s).(?:[^ {_MARKS}]+|(?<=\s) |(?<![{_LETTERS}])[{_MARKS}])*")
+_CROSSING = re.compile(rf"[^▁]▁|[{_LETTERS}][{_MARKS}]|\n")
 _TEXTS = "batch bigint, pieces array<struct<piece: string, n: bigint>>, docs array<struct<row: bigint, doc_id: bigint, part: int, parts: int, codes: array<int>>>"
 _SUMS = ["n_a", "n_b", "n_groups", "n_best", "count_sum"]
 _KNOWN = "piece string, n bigint, sound boolean, a_ids array<int>, a_ends array<int>, b_ids array<int>, b_ends array<int>"
 
 
 def pieces_of(text: str) -> list[str]:
-    """What stands between the cuts of a space and ``text``, each without the space it begins with. Cuts are before
-    spaces that follow a character other than white space."""
-    if re.search(r"\s ", text) or text[:1] == " ":
-        return [x[1:] for x in _CUT.split(" " + text)]
-    return text.split(" ")
+    """What stands between the cuts of ``text``: before spaces that follow a character other than white space, and before
+    marks that follow a letter."""
+    return _PIECE.findall(text)
 
 
 class _Vocabulary:
@@ -78,25 +79,25 @@ class PairTokenizer:
         self.bytes_a = _Vocabulary({i: t.encode() if i in added else _byte_level(t) for t, i in self.a.get_vocab().items()})
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
         pieces = {i: self.b.id_to_piece(i) for i in range(self.b.get_piece_size())}
-        if any(re.search("[^▁]▁", p) for p in pieces.values()):
-            raise ValueError("pieces that go on beyond a space are not supported")
+        if any(_CROSSING.search(p) for p in pieces.values()):
+            raise ValueError("pieces that go on beyond a cut or hold a line's end are not supported")
         self.bytes_b = _Vocabulary({i: bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in pieces.items()})
-        self.space_b = self.b.encode("a ")[-1:]
+        self.space_b, self.line_b = self.b.encode("a ")[-1:], self.b.encode("\n")
 
     def encode(self, pieces: list[str]) -> tuple[list, np.ndarray]:
         """(ids, sizes) of A and of B over pieces in turn, and which pieces both give back as they were."""
-        whole = [" " + p for p in pieces]
-        of_a = [x.ids for x in self.a.encode_batch_fast(whole, add_special_tokens=False)]
-        of_b = [x or self.space_b for x in self.b.encode(pieces, num_threads=1)]
+        of_a = [x.ids for x in self.a.encode_batch_fast(pieces, add_special_tokens=False)]
+        of_b = self.b.encode([p[1:] if p[0] == " " else "\n" + p for p in pieces], num_threads=1)  # no token goes beyond a line's end
+        of_b = [x or self.space_b if p[0] == " " else x[len(self.line_b) :] for p, x in zip(pieces, of_b)]
         flat = [np.fromiter(chain.from_iterable(x), np.int32) for x in (of_a, of_b)]
         sizes = [np.fromiter(map(len, x), np.int64, len(pieces)) for x in (of_a, of_b)]
-        want = np.frombuffer("".join(whole).encode(), np.uint8)
+        want = np.frombuffer("".join(pieces).encode(), np.uint8)
         if all(np.array_equal(v.joined(f), want) for v, f in zip((self.bytes_a, self.bytes_b), flat)):
-            given = np.fromiter((len(p.encode()) for p in whole), np.int64, len(whole))
+            given = np.fromiter((len(p.encode()) for p in pieces), np.int64, len(pieces))
             lengths = [np.add.reduceat(v.sizes[f], np.cumsum(n) - n) if len(n) else n for v, f, n in zip((self.bytes_a, self.bytes_b), flat, sizes)]
             sound = (lengths[0] == given) & (lengths[1] == given)
         else:
-            sound = np.array([all(b"".join(v.tokens[i] for i in x) == p.encode() for v, x in ((self.bytes_a, a), (self.bytes_b, b))) for p, a, b in zip(whole, of_a, of_b)], bool)
+            sound = np.array([all(b"".join(v.tokens[i] for i in x) == p.encode() for v, x in ((self.bytes_a, a), (self.bytes_b, b))) for p, a, b in zip(pieces, of_a, of_b)], bool)
         return list(zip(flat, sizes)), sound
 
 
@@ -110,14 +111,14 @@ def _pair_tokenizer(path_a: str, path_b: str) -> PairTokenizer:
 
 
 def _parts(text: str) -> list[str]:
-    """A text in parts of about ``PART`` characters, cut where pieces part; the space at a cut belongs to none."""
+    """A text in parts of about ``PART`` characters, cut where pieces part."""
     out, a, cut = [], 0, re.compile(r"(?<=\S) ")
     while len(text) - a > PART:
         hit = cut.search(text, a + PART)
         if hit is None:
             break
         out.append(text[a : hit.start()])
-        a = hit.end()
+        a = hit.start()
     return [*out, text[a:]]
 
 
@@ -127,12 +128,12 @@ class _Batch:
     def __init__(self):
         self.codes, self.times, self.rows, self.chars = {}, [], [], 0
 
-    def add(self, row: int, doc_id, part: int, parts: int, text: str | None) -> None:
+    def add(self, row: int, doc_id, part: int, parts: int, text: str) -> None:
         codes, n = self.codes, None
-        if text or parts > 1:
+        if text:
             n = np.array([codes.setdefault(p, len(codes)) for p in pieces_of(text)], np.int32)
             self.times.append(n)
-            self.chars += len(text) + 1
+            self.chars += len(text)
         self.rows.append((row, doc_id, part, parts, n))
 
     def close(self, number: int) -> pa.RecordBatch:
@@ -146,15 +147,16 @@ class _Batch:
 
 
 def _cut_up(docs: DataFrame) -> DataFrame:
-    """A row per about ``TOGETHER`` characters: its distinct pieces and their times, and its documents as numbers of
-    pieces (null: no text). Longer texts come in parts."""
+    """A row per about ``TOGETHER`` characters: its distinct pieces and their times, and its documents, each a space and
+    its text, as numbers of pieces (null: no text). Longer texts come in parts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = row = TaskContext.get().partitionId() << 40
         held = _Batch()
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                parts = _parts(text.as_py() or "")
+                text = text.as_py()
+                parts = _parts(" " + text if text else "")
                 for k, part in enumerate(parts):
                     held.add(row, doc_id, k, len(parts), part)
                     if held.chars >= TOGETHER or len(held.rows) >= 100_000:
@@ -235,10 +237,10 @@ def _aligned(tokens: DataFrame) -> DataFrame:
     return held.select("piece", "n", "sound", F.size("a_ids").alias("n_a"), F.size("b_ids").alias("n_b"), F.size("cuts").alias("n_groups"), links.alias("links"), groups.alias("groups"))
 
 
-def _unsound_times(texts: DataFrame, places: DataFrame, unsound: DataFrame) -> DataFrame:
+def _unsound_times(held: DataFrame, places: DataFrame, unsound: DataFrame) -> DataFrame:
     """(piece, n): how often pieces stand in texts that hold an unsound piece."""
     codes = places.join(unsound, "piece").groupBy("batch").agg(F.collect_set("code").alias("unsound"))
-    docs = texts.select("batch", F.explode("docs").alias("d")).select("batch", "d.row", "d.codes")
+    docs = held.select("batch", F.explode("docs").alias("d")).select("batch", "d.row", "d.codes")
     rows = docs.join(codes, "batch").where(F.arrays_overlap("codes", "unsound")).select("row").distinct()
     return docs.join(rows, "row").select("batch", F.explode("codes").alias("code")).groupBy("batch", "code").agg(F.count("*").alias("times")).join(places, ["batch", "code"]).groupBy("piece").agg(F.sum("times").alias("less"))
 
@@ -256,13 +258,16 @@ def align(docs: DataFrame, path_a: str, path_b: str, doc_id: str = "doc_id", tex
     the highest count of its B id. What is known of pieces then goes to the batches of texts that hold them.
     """
     narrow = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    texts = stage(_cut_up(narrow), "texts")
-    places = texts.select("batch", F.posexplode("pieces").alias("code", "p")).select("batch", "code", "p.piece", "p.n")
-    known = stage(_aligned(_tokenised(places.groupBy("piece").agg(F.sum("n").alias("n")), path_a, path_b)), "pieces")
+    spark = docs.sparkSession
+    texts, at_texts = stage_at(_cut_up(narrow), "texts")
+    places, at_places = stage_at(texts.select("batch", F.posexplode("pieces").alias("code", "p")).select("batch", "code", "p.piece", "p.n"), "places")
+    held = stage(texts.select("batch", "docs"), "documents")
+    remove(spark, at_texts)
+    known, at_known = stage_at(_aligned(_tokenised(places.groupBy("piece").agg(F.sum("n").alias("n")), path_a, path_b)), "pieces", free=True)
     times = known
     unsound = known.where("not sound").select("piece")
     if not unsound.isEmpty():
-        times = known.join(_unsound_times(texts, places.drop("n"), unsound), "piece", "left").withColumn("n", F.col("n") - F.coalesce("less", F.lit(0))).drop("less")
+        times = known.join(_unsound_times(held, places.drop("n"), unsound), "piece", "left").withColumn("n", F.col("n") - F.coalesce("less", F.lit(0))).drop("less")
 
     counts = times.where("n > 0").select("n", F.explode("links").alias("pair")).groupBy("pair").agg(F.sum("n").alias("times"))
     of_b = Window.partitionBy(F.col("pair").bitwiseAND(F.lit(_PLACE)))  # as many as A has ids
@@ -272,7 +277,10 @@ def align(docs: DataFrame, path_a: str, path_b: str, doc_id: str = "doc_id", tex
     scored = known.select("piece", F.explode("links").alias("pair")).join(pairs, "pair").groupBy("piece").agg(F.sum("best").alias("n_best"), F.sum("times").alias("count_sum"))
     both = lambda a, b: F.shiftleft(F.col(a).cast("long"), 32).bitwiseOR(F.coalesce(F.col(b), F.lit(0)).cast("long"))  # noqa: E731  two counts in one long: a batch has less than 2^31 tokens
     told = known.join(scored, "piece", "left").select("piece", "sound", both("n_a", "n_b").alias("tokens"), both("n_groups", "n_best").alias("marks"), F.coalesce("count_sum", F.lit(0)).alias("count_sum"), "groups")
-    lists = places.select("batch", "code", "piece").join(told, "piece").groupBy("batch").agg(F.sort_array(F.collect_list(F.struct("code", "sound", "tokens", "marks", "count_sum", "groups"))).alias("told"))  # as many as a batch has pieces
+    placed = stage_at(places.select("batch", "code", "piece").join(told, "piece").drop("piece"), "placed", free=True)[0]
+    remove(spark, at_places)
+    remove(spark, at_known)
+    lists = placed.groupBy("batch").agg(F.sort_array(F.collect_list(F.struct("code", "sound", "tokens", "marks", "count_sum", "groups"))).alias("told"))  # as many as a batch has pieces
 
     keys = ["row", "doc_id", "part", "parts"]
     looked_up = F.transform("docs", lambda d: F.struct(*[d[c].alias(c) for c in keys], F.transform(d["codes"], lambda c: F.get(F.col("told"), c)).alias("told")))
@@ -282,7 +290,7 @@ def align(docs: DataFrame, path_a: str, path_b: str, doc_id: str = "doc_id", tex
         sums = [F.aggregate(told[c], F.lit(0).cast("long"), lambda s, x: s + x).alias(c) for c in ("tokens", "marks", "count_sum")]
         return F.struct(*[d[c].alias(c) for c in keys], (~F.array_contains(told["sound"], F.lit(False))).alias("sound"), *sums, F.when(d["parts"] > 1, string).otherwise(F.sha2(string, 256)).alias("groups"))
 
-    found = texts.select("batch", "docs").join(lists, "batch", "left").select(F.explode(F.transform(looked_up, doc)).alias("d")).select("d.*").withColumn("sound", F.coalesce("sound", F.lit(False)))
+    found = held.join(lists, "batch", "left").select(F.explode(F.transform(looked_up, doc)).alias("d")).select("d.*").withColumn("sound", F.coalesce("sound", F.lit(False)))
     high, low = (lambda c: F.shiftright(c, 32)), (lambda c: F.col(c).bitwiseAND(F.lit(_PLACE)))
     found = found.select("row", "doc_id", "part", "parts", "sound", high("tokens").alias("n_a"), low("tokens").alias("n_b"), high("marks").alias("n_groups"), low("marks").alias("n_best"), "count_sum", "groups")
     strings = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("part", "groups"))), lambda x: x["groups"]), ";")  # the digest, or the parts' texts

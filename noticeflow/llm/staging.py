@@ -9,6 +9,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _SETTING = "spark.checkpoint.dir"
+_FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -44,11 +45,17 @@ def new_dir(spark: SparkSession, name: str) -> str:
     return path
 
 
-def stage_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """Write ``df`` as Parquet in the shared folder; the table read back, and its path."""
+def stage_at(df: DataFrame, name: str, free: bool = False) -> tuple[DataFrame, str]:
+    """Write ``df`` as Parquet in the shared folder; the table read back, and its path. ``free``: the shuffle files that
+    the write needed go when it ends, not when the driver's memory is next collected."""
     spark = df.sparkSession
     path = new_dir(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(_FREE, "false")
+    spark.conf.set(_FREE, "true" if free else before)
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_FREE, before)
     return spark.read.schema(df.schema).parquet(path), path
 
 

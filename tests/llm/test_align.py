@@ -115,7 +115,7 @@ def test_long_texts_go_in_parts(spark, libraries, monkeypatch):
     parts = module._parts
     monkeypatch.setattr(module, "PART", 100)
     assert all(len(parts(t)) > 1 for t in texts[1:])
-    assert [" ".join(parts(t)) for t in texts] == texts
+    assert ["".join(parts(t)) for t in texts] == texts
     assert found(_with_parts(spark, frame)) == want
     check(spark, libraries, texts)
 
