@@ -102,9 +102,16 @@ def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), _tokenizer("piece_bpe_32k.model"))
 
 
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's toxicity, by a model of two thirds of the labelled ones."""
+    from noticeflow.llm.toxicity import score_documents
+
+    return score_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_mix_sources, op2_language_id, op3_embedding_near_dedup, op4_line_dedup, op5_simhash_near_dedup, op6_token_binary, op7_secret_scan,
-    op8_nearest_neighbours, op9_quality, op10_packing, op11_conversation_prefix_trie, op12_tokenizer_alignment)}
+    op8_nearest_neighbours, op9_quality, op10_packing, op11_conversation_prefix_trie, op12_tokenizer_alignment, op13_toxicity)}
 
 #: Paths are lists of hashes here, which is quadratic in a conversation's turns.
 _TRIE = r"""
