@@ -19,7 +19,7 @@ from noticeflow.llm.staging import remove, stage, stage_at
 
 #: Characters of text whose distinct pieces are numbered together, characters of a part of a long text, and id pairs up to
 #: which their counts are broadcast (24 bytes each).
-TOGETHER, PART, BROADCAST_PAIRS = 32_000_000, 2_000_000, 2_000_000
+TOGETHER, PART, BROADCAST_PAIRS = 16_000_000, 2_000_000, 2_000_000
 #: Letters, and marks before which a text is cut where they follow a letter.
 _LETTERS, _MARKS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f", ".,;:!?"
 _PIECE = re.compile(rf"(?s).(?:[^ {_MARKS}]+|(?<=\s) |(?<![{_LETTERS}])[{_MARKS}])*")
@@ -283,14 +283,16 @@ def align(docs: DataFrame, path_a: str, path_b: str, doc_id: str = "doc_id", tex
     lists = placed.groupBy("batch").agg(F.sort_array(F.collect_list(F.struct("code", "sound", "tokens", "marks", "count_sum", "groups"))).alias("told"))  # as many as a batch has pieces
 
     keys = ["row", "doc_id", "part", "parts"]
-    looked_up = F.transform("docs", lambda d: F.struct(*[d[c].alias(c) for c in keys], F.transform(d["codes"], lambda c: F.get(F.col("told"), c)).alias("told")))
 
     def doc(d: Column) -> Column:
-        told, string = d["told"], F.array_join(d["told"]["groups"], ";")
-        sums = [F.aggregate(told[c], F.lit(0).cast("long"), lambda s, x: s + x).alias(c) for c in ("tokens", "marks", "count_sum")]
-        return F.struct(*[d[c].alias(c) for c in keys], (~F.array_contains(told["sound"], F.lit(False))).alias("sound"), *sums, F.when(d["parts"] > 1, string).otherwise(F.sha2(string, 256)).alias("groups"))
+        def summed(told: Column) -> Column:
+            string = F.array_join(told["groups"], ";")
+            sums = [F.aggregate(told[c], F.lit(0).cast("long"), lambda s, x: s + x).alias(c) for c in ("tokens", "marks", "count_sum")]
+            return F.struct(*[d[c].alias(c) for c in keys], (~F.array_contains(told["sound"], F.lit(False))).alias("sound"), *sums, F.when(d["parts"] > 1, string).otherwise(F.sha2(string, 256)).alias("groups"))
 
-    found = held.join(lists, "batch", "left").select(F.explode(F.transform(looked_up, doc)).alias("d")).select("d.*").withColumn("sound", F.coalesce("sound", F.lit(False)))
+        return F.get(F.transform(F.array(F.transform(d["codes"], lambda c: F.get(F.col("told"), c))), summed), F.lit(0))  # looked up once, a text at a time
+
+    found = held.join(lists, "batch", "left").select(F.explode(F.transform("docs", doc)).alias("d")).select("d.*").withColumn("sound", F.coalesce("sound", F.lit(False)))
     high, low = (lambda c: F.shiftright(c, 32)), (lambda c: F.col(c).bitwiseAND(F.lit(_PLACE)))
     found = found.select("row", "doc_id", "part", "parts", "sound", high("tokens").alias("n_a"), low("tokens").alias("n_b"), high("marks").alias("n_groups"), low("marks").alias("n_best"), "count_sum", "groups")
     strings = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("part", "groups"))), lambda x: x["groups"]), ";")  # the digest, or the parts' texts
