@@ -4,7 +4,7 @@ follow-the-regularised-leader with elastic-net penalties, then calibrated by a t
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -13,12 +13,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from noticeflow.llm.staging import stage
+
 #: n-grams of 1 to GRAMS characters, hashed to BUCKETS features.
 GRAMS, BUCKETS = 3, 1 << 16
 #: Labelled documents (expected) that teach each language; passes over them; share kept for the temperature.
 SAMPLE_PER_LANG, PASSES, CALIBRATION = 800, 2, 0.2
-#: Features of a sampled text that teach, the most frequent ones, so the driver's sample is bounded.
-SAMPLE_FEATURES = 8192
 #: Fixed values of the training: learning rate, smoothing, and the penalties of absolute and of squared weights.
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 2e-4, 1e-4
 
@@ -41,11 +41,6 @@ def grams(text: str) -> tuple[np.ndarray, np.ndarray]:
     return index, counts[index]
 
 
-def _most_frequent(index: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    kept = np.sort(np.argsort(-counts, kind="stable")[:SAMPLE_FEATURES])
-    return index[kept], counts[kept]
-
-
 def _weighed(index: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     x = (1 + np.log(counts)) * idf[index]
     return x / max(np.sqrt((x * x).sum()), 1e-12)
@@ -78,15 +73,16 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return p / p.sum(axis=-1, keepdims=True)
 
 
-def train_ftrl(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, classes: int, passes: int = PASSES) -> tuple[np.ndarray, np.ndarray]:
-    """Weights (BUCKETS, classes) and bias by per-coordinate follow-the-proximally-regularised-leader."""
+def train_ftrl(rows: Callable[[], Iterable[tuple[np.ndarray, np.ndarray, int]]], classes: int, passes: int = PASSES) -> tuple[np.ndarray, np.ndarray]:
+    """Weights (BUCKETS, classes) and bias by per-coordinate follow-the-proximally-regularised-leader. ``rows()`` gives
+    each text's features, their values and its label, one text after another, once for each pass."""
     z, n = np.zeros((BUCKETS + 1, classes)), np.zeros((BUCKETS + 1, classes))
 
     def weights(zs: np.ndarray, ns: np.ndarray) -> np.ndarray:
         return np.where(np.abs(zs) > L1, -(zs - np.sign(zs) * L1) / ((BETA + np.sqrt(ns)) / ALPHA + L2), 0.0)
 
     for _ in range(passes):
-        for (index, x), label in zip(rows, labels):
+        for index, x, label in rows():
             index, x = np.append(index, BUCKETS), np.append(x, 1.0)  # the last feature is the bias
             zs, ns = z[index], n[index]
             w = weights(zs, ns)
@@ -138,8 +134,9 @@ def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
 
 def train(labelled: DataFrame, key: Column, sample_per_lang: int = SAMPLE_PER_LANG) -> LanguageModel:
     """A model from ``labelled(text, lang)``: document frequencies over all rows, weights from a seeded sample of
-    about ``sample_per_lang`` rows a language (expected; by a hash of ``key``). Rows without text or lang teach
-    nothing; no rows give a model that answers ``und``."""
+    about ``sample_per_lang`` rows a language (expected; by a hash of ``key``). The whole texts of the sample teach:
+    their features are staged in the order of a hash and read back one text at a time, of which each has at most
+    BUCKETS. Rows without text or lang teach nothing; no rows give a model that answers ``und``."""
     rows = labelled.where("text is not null and lang is not null")
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     langs = sorted(counts)
@@ -149,26 +146,31 @@ def train(labelled: DataFrame, key: Column, sample_per_lang: int = SAMPLE_PER_LA
     share = F.lit(0.0)
     for lang in langs:
         share = F.when(F.col("lang") == lang, min(1.0, sample_per_lang / counts[lang])).otherwise(share)
-    picked = rows.withColumn("place", place).where(F.col("place") < share).select("text", "lang", "place")
+    picked = rows.select("text", "lang", place.alias("place"), share.alias("share")).where("place < share")
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            found = [_most_frequent(*grams(t)) for t in pdf["text"]]
-            yield pd.DataFrame({"lang": pdf["lang"], "place": pdf["place"], "i": [i.astype(np.int32) for i, _ in found], "c": [c.astype(np.int32) for _, c in found]})
+            found = [grams(t) for t in pdf["text"]]
+            yield pd.DataFrame({"lang": pdf["lang"], "spread": pdf["spread"], "i": [i.astype("<i4").tobytes() for i, _ in found], "c": [c.astype("<i4").tobytes() for _, c in found]})
 
-    sample = picked.mapInPandas(features, "lang string, place double, i array<int>, c array<int>").toPandas().sort_values(["place", "lang"], kind="stable")
     # Places order the rows of one language only up to its share, so they are spread over the unit interval first.
-    spread = (sample["place"] / sample["lang"].map({x: min(1.0, sample_per_lang / n) for x, n in counts.items()})).to_numpy()
-    sample = sample.iloc[np.argsort(spread, kind="stable")]
-    labels = sample["lang"].map({x: k for k, x in enumerate(langs)}).to_numpy(np.int64)
-    features_of = [(np.array(i, np.int32), _weighed(np.asarray(i), np.asarray(c), idf).astype(np.float32)) for i, c in zip(sample.pop("i"), sample.pop("c"))]
-    cut = int(len(labels) * (1 - CALIBRATION))
-    weights, bias = train_ftrl(features_of[:cut], labels[:cut], max(1, len(langs)))
-    scores = np.array([x @ weights[i] + bias for i, x in features_of[cut:]]).reshape(-1, max(1, len(langs)))
+    spread = picked.select("text", "lang", (F.col("place") / F.col("share")).alias("spread"))
+    sample = stage(spread.mapInPandas(features, "lang string, spread double, i binary, c binary").orderBy("spread", "lang", "i", "c"), "features")
+    number = {x: k for k, x in enumerate(langs)}
+
+    def rows_of(part: str) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+        """A text at a time; each has at most BUCKETS features."""
+        for r in sample.where(part).toLocalIterator(prefetchPartitions=True):
+            i = np.frombuffer(r["i"], "<i4")
+            yield i, _weighed(i, np.frombuffer(r["c"], "<i4"), idf).astype(np.float32), number[r["lang"]]
+
+    weights, bias = train_ftrl(lambda: rows_of(f"spread < {1 - CALIBRATION}"), max(1, len(langs)))
+    tested = [(x @ weights[i] + bias, label) for i, x, label in rows_of(f"spread >= {1 - CALIBRATION}")]
+    scores, labels = np.array([s for s, _ in tested]).reshape(-1, max(1, len(langs))), np.array([k for _, k in tested], np.int64)
     used = np.flatnonzero(np.abs(weights).sum(axis=1))
     row_of = np.zeros(BUCKETS, np.int32)
     row_of[used] = np.arange(1, len(used) + 1)
-    return LanguageModel(langs, row_of, np.concatenate([np.zeros((1, weights.shape[1])), weights[used]]), bias, idf, temperature(scores, labels[cut:]))
+    return LanguageModel(langs, row_of, np.concatenate([np.zeros((1, weights.shape[1])), weights[used]]), bias, idf, temperature(scores, labels))
 
 
 def remainder(doc_id: Column, by: int) -> Column:
@@ -181,8 +183,8 @@ def predict_languages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
 
     Rows whose crc32(doc_id as text) mod 4 is 2 are held out; the others with text and lang teach the model, if none
     is given. A text that is null or has no letter is ``und`` with score 0; so is every text where nothing could be
-    learned. A null id is not held out and teaches. Repeated rows teach and are answered each time. Empty table: no
-    rows. Other columns play no part.
+    learned. A null id is not held out and teaches. Repeated rows teach and are answered each time. A text of any
+    length is one vector of at most BUCKETS features. Empty table: no rows. Other columns play no part.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(remainder(F.col(doc_id), 4) == 2, F.lit(False)).alias("held_out"), F.col(text).alias("text"), F.col(lang).alias("lang"))
     if model is None:
