@@ -4,6 +4,7 @@ aggregate."""
 
 from __future__ import annotations
 
+import ctypes
 import os
 import re
 from collections.abc import Iterator
@@ -122,6 +123,15 @@ def _parts(text: str) -> list[str]:
     return [*out, text[a:]]
 
 
+def _give_back() -> None:
+    """Return what this worker has freed to the system: workers live on, idle, while the JVM works."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # not this C library
+        pass
+
+
 class _Batch:
     """Texts whose distinct pieces are numbered together."""
 
@@ -165,6 +175,8 @@ def _cut_up(docs: DataFrame) -> DataFrame:
                 row += 1
         if held.rows:
             yield held.close(number)
+        del held
+        _give_back()
 
     return docs.mapInArrow(run, _TEXTS)
 
@@ -186,6 +198,7 @@ def _tokenised(pieces: DataFrame, path_a: str, path_b: str) -> DataFrame:
                 ends = np.concatenate([[0], np.cumsum(vocabulary.sizes[ids])])
                 columns += [_lists(ids, sizes), _lists(ends[1:] - np.repeat(ends[np.cumsum(sizes) - sizes], sizes), sizes)]
             yield pa.RecordBatch.from_arrays(columns, names=["piece", "n", "sound", "a_ids", "a_ends", "b_ids", "b_ends"])
+        _give_back()
 
     return pieces.mapInArrow(run, _KNOWN)
 
