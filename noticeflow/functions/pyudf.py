@@ -12,6 +12,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+@F.pandas_udf(T.StringType())
+def nfkc(values: pd.Series) -> pd.Series:
+    """The text in NFKC."""
+    return values.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFKC", x))
+
+
 @F.pandas_udf(T.StringType())
 def compact_nfkc(values: pd.Series) -> pd.Series:
     """NFKC, lower case, letters and numbers only."""

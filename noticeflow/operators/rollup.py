@@ -7,6 +7,9 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from noticeflow.functions.presets import RANKING_STOP_WORDS
+from noticeflow.functions.pyudf import nfkc
+
 
 def child_counts(parents: DataFrame, key: str, children: Mapping[str, tuple[DataFrame, Column]]) -> DataFrame:
     """One count per name: rows of a child table (with a column ``key``) for which its condition holds. Each child is
@@ -46,10 +49,10 @@ def with_latest_flag(df: DataFrame, per: Sequence[str], at: str) -> DataFrame:
     return df.withColumns({"latest_at": last, "is_latest": F.coalesce(F.col(at) == last, F.lit(False))})
 
 
-def tokens(name: Column, stop_words: Sequence[str], shortest: int = 2) -> Column:
+def tokens(name: Column, stop_words: Sequence[str], shortest: int = 2, years: str = "^(19|20)[0-9]{2}년?$") -> Column:
     """Distinct lower-case tokens of letters and digits, without years, stop words and short ones."""
     parts = F.split(F.lower(name), r"[^\p{L}\p{N}]+")
-    return F.array_distinct(F.filter(parts, lambda t: (F.length(t) >= shortest) & ~t.rlike("^(19|20)[0-9]{2}$") & ~t.isin(*stop_words)))
+    return F.array_distinct(F.filter(parts, lambda t: (F.length(t) >= shortest) & ~t.rlike(years) & ~t.isin(*stop_words)))
 
 
 #: Letters of the pieces by which names meet.
@@ -62,30 +65,35 @@ def _pieces(x: Column, n: Column | int) -> Column:
     return F.filter(F.transform(F.sequence(F.lit(1), F.greatest(F.length(x), F.lit(1))), lambda at: F.substr(x, at, n)), lambda p: F.length(p) == F.greatest(n, F.lit(1)))
 
 
-def rank_candidates(entries: DataFrame, files: DataFrame, k: int = 30, stop_words: Sequence[str] = ("사업", "용역", "프로젝트", "수립"), prefilter: bool = True) -> DataFrame:
+def rank_candidates(entries: DataFrame, files: DataFrame, k: int = 30, stop_words: Sequence[str] = RANKING_STOP_WORDS) -> DataFrame:
     """The ``k`` best files for each entry by token coverage and client.
 
-    ``entries(entry_id, name, client)``, ``files(file_id, file_name, path, modified)``. A file is a candidate if its
-    name holds the whole squeezed entry name, or enough of its tokens: at least min(2, tokens) and half of them with
-    the client in its path, three quarters without. Score = coverage (1 if exact) * 0.8 + client * 0.2; ties by
-    newest, nulls last, then path. A token counts wherever it stands in the squeezed file name, inside longer words too,
-    and an exact name needs no token. Tokens and whole names meet file names by their rarest piece of ``_PIECE``
-    letters (all of a shorter one), and are then looked for, so no pair of unrelated rows is formed.
+    ``entries(entry_id, name, client)``, ``files(file_id, file_name, path, modified)``. Names are compared in NFKC and
+    lower case. A file is a candidate if its name holds the whole squeezed entry name, or enough of its tokens: at least
+    min(2, tokens) and half of them with the client in the file's name too, three quarters without. Score = coverage
+    (1 if exact) * 0.8 + client * 0.2; ties by newest, nulls last, then path. A token counts wherever it stands in the
+    squeezed file name, inside longer words too, and an exact name needs no token.
+
+    Tokens and whole names meet file names by their rarest piece of ``_PIECE`` letters (all of a shorter one), and are
+    then looked for, so no pair of unrelated rows is formed; only pieces that some entry asks for leave a file's name.
     """
     squeezed = lambda x: F.regexp_replace(F.lower(x), r"[^\p{L}\p{N}]", "")
-    e = entries.select("entry_id", squeezed(F.col("name")).alias("whole"), squeezed(F.col("client")).alias("client"), tokens(F.col("name"), stop_words).alias("wanted"))
-    f = files.select("file_id", "path", "modified", squeezed(F.col("file_name")).alias("file"), squeezed(F.concat_ws("", "path", "file_name")).alias("place"))
+    named = entries.select("entry_id", nfkc("name").alias("name"), nfkc("client").alias("client"))
+    e = named.select("entry_id", squeezed(F.col("name")).alias("whole"), squeezed(F.col("client")).alias("client"), tokens(F.col("name"), stop_words).alias("wanted"))
+    f = files.select("file_id", "path", "modified", squeezed(nfkc("file_name")).alias("file"))
     units = e.select("entry_id", F.explode(F.array_distinct(F.concat("wanted", F.array("whole")))).alias("unit")).where("unit <> ''")
-    held = f.select("file_id", "file", F.explode(F.array_distinct(F.concat(*[_pieces(F.col("file"), n) for n in range(1, _PIECE + 1)]))).alias("piece"))
-    often = held.groupBy("piece").agg(F.count("*").alias("n"))
     asked = units.select("unit").distinct().select("unit", F.explode(F.array_distinct(_pieces(F.col("unit"), F.least(F.length("unit"), F.lit(_PIECE))))).alias("piece"))
+    lengths = sorted(r[0] for r in asked.select(F.length("piece")).distinct().collect())  # at most _PIECE of them
+    pieces = F.array_distinct(F.concat(F.array().cast("array<string>"), *[_pieces(F.col("file"), n) for n in lengths]))
+    held = f.select("file_id", "file", F.explode(pieces).alias("piece")).join(asked.select("piece").distinct(), "piece", "left_semi")
+    often = held.groupBy("piece").agg(F.count("*").alias("n"))
     rarest = asked.join(often, "piece", "left").groupBy("unit").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "piece"))["piece"].alias("piece"))
     met = rarest.join(held, "piece").where(F.contains("file", "unit")).select("unit", "file_id")
     pairs = units.join(met, "unit").select("entry_id", "file_id").distinct().join(e, "entry_id").join(f, "file_id")
     pairs = pairs.withColumn("hits", F.size(F.filter("wanted", lambda t: F.contains(F.col("file"), t))))
     coverage = F.when(F.size("wanted") > 0, F.col("hits") / F.size("wanted")).otherwise(0.0)
     exact = (F.col("whole") != "") & F.contains("file", "whole")
-    client = F.coalesce((F.col("client") != "") & F.contains("place", "client"), F.lit(False))
+    client = F.coalesce((F.col("client") != "") & F.contains("file", "client"), F.lit(False))
     score = F.when(exact, 1.0).otherwise(coverage) * 0.8 + F.when(client, 0.2).otherwise(0.0)
     enough = (F.size("wanted") > 0) & (F.col("hits") >= F.least(F.lit(2), F.size("wanted"))) & (coverage >= F.when(client, 0.5).otherwise(0.75))
     scored = pairs.where(exact | enough).select("entry_id", "file_id", "path", "modified", F.round(score, 6).alias("score"))

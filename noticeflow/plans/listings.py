@@ -269,20 +269,21 @@ def fanout_pending(t: Tables) -> DataFrame:
     return incremental.fan_out(pending, subscribers, delivered, "event_id", "c_custkey", ["scope"]).select("event_id", "c_custkey")
 
 
-@query("""with n as (select p_name, min(p_partkey) as entry_id, min(p_brand) as client from part group by 1),
+_FILE_NAME = "concat_ws(' ', case when p_size % 2 = 0 then p_brand end, p_name, p_type)"
+
+
+@query(f"""with n as (select p_name, min(p_partkey) as entry_id, min(p_brand) as client from part group by 1),
 e as (select entry_id, list_distinct(list_filter(regexp_split_to_array(lower(p_name), '[^a-z0-9]+'), lambda x: length(x) >= 2)) as wanted,
 regexp_replace(lower(p_name), '[^a-z0-9]', '', 'g') as whole, regexp_replace(lower(client), '[^a-z0-9]', '', 'g') as client from n),
-f as (select p_partkey as file_id, p_brand || '/' || p_size as path, p_retailprice as modified,
-list_distinct(list_filter(regexp_split_to_array(lower(p_name || ' ' || p_type), '[^a-z0-9]+'), lambda x: length(x) >= 2)) as has,
-regexp_replace(lower(p_name || ' ' || p_type), '[^a-z0-9]', '', 'g') as file, regexp_replace(lower(p_brand || p_size || p_name || p_type), '[^a-z0-9]', '', 'g') as place from part),
-h as (select entry_id, file_id, path, modified, len(list_intersect(wanted, has)) as hits, len(wanted) as n, contains(file, whole) as exact, client <> '' and contains(place, client) as cl
-from e, f where len(list_intersect(wanted, has)) > 0),
+f as (select p_partkey as file_id, p_brand || '/' || p_size as path, p_retailprice as modified, regexp_replace(lower({_FILE_NAME}), '[^a-z0-9]', '', 'g') as file from part),
+h as (select entry_id, file_id, path, modified, len(list_filter(wanted, lambda x: contains(file, x))) as hits, len(wanted) as n, whole <> '' and contains(file, whole) as exact, client <> '' and contains(file, client) as cl
+from e, f where contains(file, whole) or len(list_filter(wanted, lambda x: contains(file, x))) > 0),
 s as (select entry_id, file_id, path, modified, round((case when exact then 1.0::double else hits::double / n end) * 0.8::double + (case when cl then 0.2::double else 0.0::double end), 6) as score from h
-where exact or (hits >= least(2, n) and hits::double / n >= (case when cl then 0.5 else 0.75 end)))
+where exact or (n > 0 and hits >= least(2, n) and hits::double / n >= (case when cl then 0.5 else 0.75 end)))
 select entry_id, file_id, path, modified, score, row_number() over (partition by entry_id order by score desc, modified desc nulls last, path, file_id) as place from s qualify place <= 30""")
 def candidate_rank(t: Tables) -> DataFrame:
     entries = t.part.groupBy(F.col("p_name").alias("name")).agg(F.min("p_partkey").alias("entry_id"), F.min("p_brand").alias("client"))
-    files = t.part.select(F.col("p_partkey").alias("file_id"), F.concat_ws(" ", "p_name", "p_type").alias("file_name"), F.concat_ws("/", "p_brand", F.col("p_size").cast("string")).alias("path"), F.col("p_retailprice").alias("modified"))
+    files = t.part.select(F.col("p_partkey").alias("file_id"), F.expr(_FILE_NAME).alias("file_name"), F.concat_ws("/", "p_brand", F.col("p_size").cast("string")).alias("path"), F.col("p_retailprice").alias("modified"))
     return rollup.rank_candidates(entries, files).withColumn("place", F.col("place").cast("bigint"))
 
 

@@ -53,7 +53,7 @@ def test_backoff_and_retries(spark):
 def test_ranking_rules(spark):
     entries = spark.createDataFrame([(1, "보안 관제 체계 사업 2023", "한국공사"), (2, "사업 용역", "x")], "entry_id int, name string, client string")
     files = spark.createDataFrame([
-        (1, "보안관제체계사업2023.pdf", "a", 1), (2, "보안 관제.pdf", "한국공사", 2), (3, "보안 관제.pdf", "z", 3), (4, "보안 관제 체계.pdf", "z", None), (5, "보안 관제 체계.pdf", "y", 5)], "file_id int, file_name string, path string, modified int")
+        (1, "보안관제체계사업2023.pdf", "a", 1), (2, "보안 관제(한국공사).pdf", "b", 2), (3, "보안 관제.pdf", "z", 3), (4, "보안 관제 체계.pdf", "z", None), (5, "보안 관제 체계.pdf", "y", 5)], "file_id int, file_name string, path string, modified int")
     got = rollup.rank_candidates(entries, files).orderBy("place").collect()
     # The first file's name holds the whole squeezed name of the entry.
     assert [r.file_id for r in got] == [5, 1, 4, 2] and abs(got[3].score - (2 / 3 * 0.8 + 0.2)) < 1e-6
@@ -68,6 +68,21 @@ def test_candidates_by_substring(spark):
     assert got == {(1, 1): 1.0, (1, 2): 0.8, (2, 3): 0.8, (3, 4): 0.8, (3, 5): 0.8, (6, 8): 0.8}
 
 
+def test_candidates_follow_the_file_name(spark):
+    """The client counts in the file's name only; years in words and full-width letters make no difference."""
+    entries = [
+        (1, "alpha beta gamma delta", "seoul"), (2, "alpha beta 2020년", ""), (3, "ＡＢＣ river", ""), (4, "AI콜봇구축사업 개인정보 영향평가", "한국장학재단"),
+        (5, "2026년 AI 기반 지역관광 문제해결 프로젝트 가이드라인 수립", "한국관광공사")]
+    files = [
+        (1, "alpha beta.pdf", "/seoul"), (2, "alphabeta.pdf", "/x"), (3, "abc_RIVER.hwp", "/x"), (4, "alpha beta (SEOUL).pdf", "/y"), (5, "154_260515_실적증명서(한국장학재단) AI콜봇 구축 사업 개인정보 영향평가.pdf", "/cert"),
+        (6, "한국관광공사 AI 기반 지역관광 문제해결 가이드라인 실적증명원.pdf", "/cert"), (7, "2026 AI기반 지역관광 문제해결 프로젝트 가이드라인 수립 실적증명서.pdf", "/cert"), (8, "한국관광공사 전혀다른사업 실적증명서.pdf", "/cert")]
+    e = spark.createDataFrame(entries, "entry_id long, name string, client string")
+    f = spark.createDataFrame([(*x, None) for x in files], "file_id long, file_name string, path string, modified long")
+    got = {(x.entry_id, x.file_id): x.score for x in rollup.rank_candidates(e, f).collect()}
+    assert got == {(1, 4): 0.6, (2, 1): 0.8, (2, 2): 0.8, (2, 4): 0.8, (3, 3): 0.8, (4, 5): 1.0, (5, 6): 1.0, (5, 7): 0.8}
+    assert rollup.rank_candidates(e.where("false"), f).count() == 0
+
+
 def test_document_lines(spark):
     text = "head\nH: a\nx\n\ny\nB end\nz\nH: b\n1. one\nmore\n2. two"
     df = lines.to_lines(spark.createDataFrame([(1, text)], "id int, text string"), "id", "text")
