@@ -289,19 +289,19 @@ def align(docs: DataFrame, path_a: str, path_b: str, doc_id: str = "doc_id", tex
         pairs = F.broadcast(pairs)
     scored = known.select("piece", F.explode("links").alias("pair")).join(pairs, "pair").groupBy("piece").agg(F.sum("best").alias("n_best"), F.sum("times").alias("count_sum"))
     both = lambda a, b: F.shiftleft(F.col(a).cast("long"), 32).bitwiseOR(F.coalesce(F.col(b), F.lit(0)).cast("long"))  # noqa: E731  two counts in one long: a batch has less than 2^31 tokens
-    told = known.join(scored, "piece", "left").select("piece", "sound", both("n_a", "n_b").alias("tokens"), both("n_groups", "n_best").alias("marks"), F.coalesce("count_sum", F.lit(0)).alias("count_sum"), "groups")
-    placed = stage_at(places.select("batch", "code", "piece").join(told, "piece").drop("piece"), "placed", free=True)[0]
+    groups = F.when(F.col("sound"), F.col("groups"))  # null: the texts that hold the piece have no tokens
+    told = known.join(scored, "piece", "left").select("piece", both("n_a", "n_b").alias("tokens"), both("n_groups", "n_best").alias("marks"), F.coalesce("count_sum", F.lit(0)).alias("count_sum"), groups.alias("groups"))
+    placed = stage_at(places.select("batch", "code", "piece").join(told, "piece").select("batch", F.struct("code", "tokens", "marks", "count_sum", "groups").alias("told")), "placed", free=True)[0]
     remove(spark, at_places)
     remove(spark, at_known)
-    lists = placed.groupBy("batch").agg(F.sort_array(F.collect_list(F.struct("code", "sound", "tokens", "marks", "count_sum", "groups"))).alias("told"))  # as many as a batch has pieces
-
+    lists = placed.groupBy("batch").agg(F.sort_array(F.collect_list("told")).alias("told"))  # as many as a batch has pieces
     keys = ["row", "doc_id", "part", "parts"]
 
     def doc(d: Column) -> Column:
         def summed(told: Column) -> Column:
             string = F.array_join(told["groups"], ";")
             sums = [F.aggregate(told[c], F.lit(0).cast("long"), lambda s, x: s + x).alias(c) for c in ("tokens", "marks", "count_sum")]
-            return F.struct(*[d[c].alias(c) for c in keys], (~F.array_contains(told["sound"], F.lit(False))).alias("sound"), *sums, F.when(d["parts"] > 1, string).otherwise(F.sha2(string, 256)).alias("groups"))
+            return F.struct(*[d[c].alias(c) for c in keys], (~F.exists(told["groups"], lambda g: g.isNull())).alias("sound"), *sums, F.when(d["parts"] > 1, string).otherwise(F.sha2(string, 256)).alias("groups"))
 
         return F.get(F.transform(F.array(F.transform(d["codes"], lambda c: F.get(F.col("told"), c))), summed), F.lit(0))  # looked up once, a text at a time
 
