@@ -272,7 +272,7 @@ def align(docs: DataFrame, path_a: str, path_b: str, doc_id: str = "doc_id", tex
     """
     narrow = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     spark = docs.sparkSession
-    texts, at_texts = stage_at(_cut_up(narrow), "texts")
+    texts, at_texts = stage_at(_cut_up(narrow), "texts", arrow_rows=1000)
     places, at_places = stage_at(texts.select("batch", F.posexplode("pieces").alias("code", "p")).select("batch", "code", "p.piece", "p.n"), "places")
     held = stage(texts.select("batch", "docs"), "documents")
     remove(spark, at_texts)

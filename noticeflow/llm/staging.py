@@ -9,6 +9,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _SETTING = "spark.checkpoint.dir"
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -45,17 +46,21 @@ def new_dir(spark: SparkSession, name: str) -> str:
     return path
 
 
-def stage_at(df: DataFrame, name: str, free: bool = False) -> tuple[DataFrame, str]:
+def stage_at(df: DataFrame, name: str, free: bool = False, arrow_rows: int | None = None) -> tuple[DataFrame, str]:
     """Write ``df`` as Parquet in the shared folder; the table read back, and its path. ``free``: the shuffle files that
-    the write needed go when it ends, not when the driver's memory is next collected."""
+    the write needed go when it ends, not when the driver's memory is next collected. ``arrow_rows``: rows that go to
+    Python workers at a time, where rows are large."""
     spark = df.sparkSession
     path = new_dir(spark, name)
-    before = spark.conf.get(_FREE, "false")
-    spark.conf.set(_FREE, "true" if free else before)
+    wish = ({_FREE: "true"} if free else {}) | ({_ROWS: str(arrow_rows)} if arrow_rows else {})
+    before = {k: spark.conf.get(k) for k in wish}
+    for k, v in wish.items():
+        spark.conf.set(k, v)
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.set(_FREE, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(path), path
 
 
