@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from itertools import product
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -231,17 +232,6 @@ def near_duplicates(docs: DataFrame, radius: int = 3, shingle: int = 3, doc_id:
     return found.select("doc_id", F.lower(F.lpad(F.hex("node"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, radius: int = 3, shingle: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows of ``docs``, all columns, with one document of each group of ``near_duplicates``: that of the smallest id.
-
-    Among rows with that id the one of the smallest text key stays, and of rows equal in id and text one.
-    Groups of null ids keep one row.
-    """
-    prints = fingerprints(docs, shingle, doc_id, text)
-    members = prints.join(_components(prints, links(prints, radius)), "node")
-    return _one_of_each(docs, members, doc_id, text)
-
-
 def _one_of_each(docs: DataFrame, members: DataFrame, doc_id: str, text: str) -> DataFrame:
     """Rows of ``docs`` with the first of each component of ``members(component, doc_id, text_key)``."""
     kept = members.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key")).alias("k"))
@@ -254,21 +244,35 @@ def _one_of_each(docs: DataFrame, members: DataFrame, doc_id: str, text: str) ->
 
 #: Jaccard similarity of near-duplicates as a fraction, and words of a shingle.
 JACCARD, SET_SHINGLE = (4, 5), 5
-#: Differing bits up to which a pair is verified: of the first 64, and of all 256 where both sets have ``LARGE`` shingles
-#: or more, and where one has fewer. At just 0.8 a bit differs with probability 0.155 (sets of 4 and 5: 0.19), so of 256
-#: it is 40 in the mean with a deviation of 5.8 (49, 6.3): less than 1 pair in 2500 at just 0.8 has more.
-FIRST_BITS, ALL_BITS, SMALL_BITS, LARGE = 24, 62, 74, 64
+_BLOCK = ["key", "part", "other", "other_part", "block", "within"]
+#: Shingles that the sets of one group to verify have in all (8 bytes each); only a single larger set makes a larger group.
+GROUP_SHINGLES = 4_000_000
+
+
+class Filter(NamedTuple):
+    """Differing bits up to which a pair of sets is verified: of the first 64, and of all 256 where both sets have
+    ``large`` shingles or more, and where one has fewer. At just 0.8 a bit differs with probability 0.155 (sets of 4
+    and 5: 0.19), so of 256 it is 40 in the mean with a deviation of 5.8 (49, 6.3): less than 1 pair in 2500 at just 0.8
+    has more. ``EXACT`` verifies every pair whose sizes allow it."""
 
+    first: int = 24
+    all: int = 62
+    small: int = 74
+    large: int = 64
 
-def _candidates(left: tuple, right: tuple, within: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+
+LIKELY, EXACT = Filter(), Filter(64, 256, 256)
+
+
+def _candidates(left: tuple, right: tuple, within: bool, bits: Filter) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Blocks of (rows, columns, differing bits) of sets of two tiles (fp, more, n), or within one, that may be similar."""
     part, whole = JACCARD
-    for rows, columns in _pairs(left[0], right[0], FIRST_BITS, within):
+    for rows, columns in _pairs(left[0], right[0], bits.first, within):
         low, high = np.minimum(left[2][rows], right[2][columns]), np.maximum(left[2][rows], right[2][columns])
         keep = whole * low >= part * high
         rows, columns, low = rows[keep], columns[keep], low[keep]
         differ = np.bitwise_count(left[0][rows] ^ right[0][columns]) + np.bitwise_count(left[1][rows] ^ right[1][columns]).sum(axis=1, dtype=np.int64)
-        keep = differ <= np.where(low >= LARGE, ALL_BITS, SMALL_BITS)
+        keep = differ <= np.where(low >= bits.large, bits.all, bits.small)
         yield rows[keep], columns[keep], differ[keep]
 
 
@@ -276,8 +280,19 @@ def _prints_of(fp: np.ndarray, more: np.ndarray, n: np.ndarray) -> tuple[np.ndar
     return fp.view(np.uint64), more.view(np.uint64).reshape(len(fp), MORE_WORDS), n
 
 
-def _suspects(pairs: DataFrame) -> DataFrame:
-    """(key, part, other, other_part, side, node): the sets of each pair of tiles that may have a similar one there."""
+def _chunks(sizes: np.ndarray, hit: np.ndarray, most: int) -> np.ndarray:
+    """Numbers of chunks, for sets that were hit, of about ``most`` shingles; -1 for the others."""
+    out = np.full(len(sizes), -1, np.int64)
+    if hit.any():
+        through = np.cumsum(sizes[hit])
+        out[hit] = (through - sizes[hit]) // most
+    return out
+
+
+def _suspects(pairs: DataFrame, bits: Filter, most: int) -> DataFrame:
+    """(key, part, other, other_part, block, within, side, node): the sets of each pair of tiles that may have a similar
+    one there. Where they have more than ``most`` shingles they are dealt to blocks of a chunk of either side, of which
+    those with a candidate stay."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -287,15 +302,27 @@ def _suspects(pairs: DataFrame) -> DataFrame:
                 h = g if within else h
                 left, right = (_prints_of(*(x[c].values.to_numpy() for c in ("fp", "more", "n"))) for x in (g, h))
                 hit = [np.zeros(len(left[0]), bool), np.zeros(len(right[0]), bool)]
-                for rows, columns, _ in _candidates(left, right, within):
+                for rows, columns, _ in _candidates(left, right, within, bits):
                     hit[0][rows] = hit[0 if within else 1][columns] = True
-                for side, x in enumerate((g, h)):
-                    nodes = x["node"].values.to_numpy()[hit[side]]
-                    if len(nodes):
-                        name = [pa.array(np.full(len(nodes), v, np.int32)) for v in (*(batch.column(i)[at].as_py() for i in range(4)), side)]
-                        yield pa.record_batch([*name, pa.array(nodes)], names=["key", "part", "other", "other_part", "side", "node"])
-
-    return pairs.mapInArrow(run, "key int, part int, other int, other_part int, side int, node long")
+                if within:
+                    hit[1] = hit[0]
+                chunk = [_chunks(x[2], y, max(1, most // 2)) for x, y in zip((left, right), hit)]
+                whole = [max(0, int(x.max(initial=-1))) + 1 for x in chunk]
+                met = np.zeros(whole, bool)
+                if met.size == 1:
+                    met[:] = hit[0].any()
+                else:
+                    for rows, columns, _ in _candidates(left, right, within, bits):
+                        a, b = chunk[0][rows], chunk[1][columns]
+                        met[(np.minimum(a, b), np.maximum(a, b)) if within else (a, b)] = True
+                nodes = [x["node"].values.to_numpy() for x in (g, h)]
+                for i, j in zip(*(x.tolist() for x in np.nonzero(met))):
+                    for side, k in ((0, i),) if within and i == j else ((0, i), (1, j)):
+                        own = nodes[side][chunk[side] == k]
+                        name = [pa.array(np.full(len(own), v, np.int32)) for v in (*(batch.column(c)[at].as_py() for c in range(4)), i * whole[1] + j)]
+                        yield pa.record_batch([*name, pa.array(np.full(len(own), within and i == j)), pa.array(np.full(len(own), side, np.int32)), pa.array(own)], names=[*_BLOCK, "side", "node"])
+
+    return pairs.mapInArrow(run, "key int, part int, other int, other_part int, block int, within boolean, side int, node long")
 
 
 def _sets(docs: DataFrame, prints: DataFrame, nodes: DataFrame, shingle: int, doc_id: str, text: str) -> DataFrame:
@@ -323,7 +350,7 @@ def _alike(a: np.ndarray, b: np.ndarray) -> bool:
     return (part + whole) * shared >= part * (len(a) + len(b))
 
 
-def _similar_edges(left: tuple, right: tuple, within: bool, of_left: list[np.ndarray], of_right: list[np.ndarray]) -> tuple[list[int], list[int]]:
+def _similar_edges(left: tuple, right: tuple, within: bool, bits: Filter, of_left: list[np.ndarray], of_right: list[np.ndarray]) -> tuple[list[int], list[int]]:
     """Edges (place left, place right) that connect what similar sets of two tiles connect. The likeliest pairs come
     first, and pairs that are connected already are not looked at again."""
     shift = 0 if within else len(of_left)
@@ -335,7 +362,7 @@ def _similar_edges(left: tuple, right: tuple, within: bool, of_left: list[np.nda
         return x
 
     u, v = [], []
-    found = list(_candidates(left, right, within))
+    found = list(_candidates(left, right, within, bits))
     rows, columns, differ = (np.concatenate(x) for x in zip(*found)) if found else [np.zeros(0, np.int64)] * 3
     order = np.argsort(differ, kind="stable")
     for i, j in zip(rows[order].tolist(), columns[order].tolist()):
@@ -347,19 +374,20 @@ def _similar_edges(left: tuple, right: tuple, within: bool, of_left: list[np.nda
     return u, v
 
 
-def similar_links(docs: DataFrame, prints: DataFrame, shingle: int = SET_SHINGLE, doc_id: str = "doc_id", text: str = "text", tile: int | None = None) -> DataFrame:
+def similar_links(docs: DataFrame, prints: DataFrame, shingle: int = SET_SHINGLE, doc_id: str = "doc_id", text: str = "text", tile: int | None = None, bits: Filter = LIKELY, most: int = GROUP_SHINGLES) -> DataFrame:
     """Edges (u, v) that connect the nodes of ``set_prints`` whose sets have a Jaccard similarity of ``JACCARD`` or more.
 
     Copies are one node before. Tiles of fingerprints are compared whole; those sets of a pair of tiles that may have a
-    similar one there are made again from the texts and go to the pair of tiles, where pairs are verified on the sets
-    until what is similar is connected. Edges come out, fewer than a pair of tiles has sets: never all pairs.
+    similar one there (``bits``; ``EXACT`` leaves none out) are made again from the texts and go to the pair of tiles,
+    in groups of about ``most`` shingles, where pairs are verified on the sets until what is similar is connected. Edges
+    come out, fewer than a group has sets: never all pairs.
     """
-    near = stage(_suspects(_Tiles(prints, FIRST_BITS, tile, ("n", "more")).pairs()), "similar-suspects")
+    near = stage(_suspects(_Tiles(prints, bits.first, tile, ("n", "more")).pairs(), bits, most), "similar-suspects")
     sets = _sets(docs, prints, near.select("node").distinct(), shingle, doc_id, text)
     known = prints.select("node", "fp", "more").dropDuplicates(["node"]).join(sets, "node")
     held = F.collect_list(F.struct("side", "node", "fp", "more", F.size("hashes").cast("long").alias("n"), "hashes")).alias("g")
-    groups = near.join(known, "node").groupBy("key", "part", "other", "other_part").agg(held)
-    groups = groups.select((F.expr("key = other and part = other_part")).alias("within"), "g.side", "g.node", "g.fp", F.flatten("g.more").alias("more"), "g.n", F.flatten("g.hashes").alias("hashes"))
+    groups = near.join(known, "node").groupBy(*_BLOCK).agg(held)
+    groups = groups.select("within", "g.side", "g.node", "g.fp", F.flatten("g.more").alias("more"), "g.n", F.flatten("g.hashes").alias("hashes"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -369,16 +397,20 @@ def similar_links(docs: DataFrame, prints: DataFrame, shingle: int = SET_SHINGLE
                 own = np.split(flat.view(np.uint64), np.cumsum(n)[:-1])
                 prints_of = _prints_of(fp, more, n)
                 a, b = (np.flatnonzero(side == x) for x in ((0, 0) if within else (0, 1)))
-                u, v = _similar_edges(tuple(x[a] for x in prints_of), tuple(x[b] for x in prints_of), within, [own[i] for i in a], [own[i] for i in b])
+                u, v = _similar_edges(tuple(x[a] for x in prints_of), tuple(x[b] for x in prints_of), within, bits, [own[i] for i in a], [own[i] for i in b])
                 if u:
                     yield pa.record_batch([pa.array(node[a[u]]), pa.array(node[b[v]])], names=["u", "v"])
 
     return stage(groups.mapInArrow(run, "u long, v long"), "similar-links")
 
 
-def drop_similar(docs: DataFrame, shingle: int = SET_SHINGLE, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``drop_near_duplicates`` with groups linked by the Jaccard similarity of the sets of shingles, ``JACCARD`` or
-    more. Texts without words are equal."""
+def drop_similar(docs: DataFrame, shingle: int = SET_SHINGLE, doc_id: str = "doc_id", text: str = "text", bits: Filter = LIKELY) -> DataFrame:
+    """Rows of ``docs``, all columns, with one document of each group linked by a Jaccard similarity of ``JACCARD`` or
+    more of the sets of shingles: that of the smallest id. Texts without words are equal.
+
+    Among rows with that id the one of the smallest text key stays, and of rows equal in id and text one. Groups of null
+    ids keep one row.
+    """
     prints = set_prints(docs, shingle, doc_id, text)
-    members = prints.join(_components(prints, similar_links(docs, prints, shingle, doc_id, text)), "node")
+    members = prints.join(_components(prints, similar_links(docs, prints, shingle, doc_id, text, bits=bits)), "node")
     return _one_of_each(docs, members, doc_id, text)
