@@ -282,6 +282,41 @@ def test_repeated_runs_go_to_their_last_line(spark):
     assert {x.doc_id: x.text for x in dedup_lines(frame(spark, [(i, t, "en", "s") for i, t in docs]).repartition(4)).collect()} == want
 
 
+def test_equal_run_hashes_delete_nothing_unique(spark, monkeypatch):
+    """Runs of different lines with one hash: pairs are compared on their lines, so nothing that stands once goes."""
+    from noticeflow.llm import linededup
+
+    seeds = linededup._seeds
+
+    def collide(shared, run_words, gram_words):
+        return seeds(shared, run_words, gram_words).withColumn("code", F.lit(7).cast("long"))
+
+    passage = [words(3, 30), words(4, 30)]
+    docs = [(1, "\n".join([words(1, 5), *passage])), (2, "\n".join([*passage, words(2, 40)])), (3, "\n".join([words(5, 60), *passage, words(6, 60)]))]
+    plain = {x.doc_id: x.text for x in linededup.dedup_lines(frame(spark, [(i, t, "en", "s") for i, t in docs])).collect()}
+    assert plain == plain_dedup(docs)
+    monkeypatch.setattr(linededup, "_seeds", collide)
+    found = linededup.dedup_lines(frame(spark, [(i, t, "en", "s") for i, t in docs])).collect()
+    unique = {line for i, t in docs for line in t.split("\n") if line not in passage}
+    assert unique <= {line for x in found for line in x.text.split("\n")}
+
+
+def test_matches_are_extended_both_ways():
+    from noticeflow.llm.linededup import extended
+
+    own, other = (np.array([[x, x] for x in xs]) for xs in ([1, 2, 3, 4, 5, 6], [9, 1, 2, 3, 4, 8, 6]))
+    assert extended(own, other, 0, np.array([[1, 2, 2], [2, 3, 3], [5, 6, 6]])) == [(0, 4), (5, 6)]
+    assert extended(own, other[2:], 2, np.array([[1, 2, 2]])) == [(1, 4)] and extended(own, other, 0, np.array([[4, 5, 5]])) == []
+
+
+def test_report_columns_never_clash(spark):
+    from noticeflow.llm.linededup import dedup_lines
+
+    docs = spark.createDataFrame([(1, "a", "x", 5), (1, "a", "x", 5)], "doc_id int, text string, line_runs string, line_count int")
+    got = dedup_lines(docs)
+    assert got.columns == [*docs.columns, "_line_runs", "_line_count", "_line_removed"] and got.count() == 2
+
+
 # --- 5 SimHash
 
 
