@@ -68,11 +68,11 @@ def _cells(vectors: DataFrame, tables: int, probes: int, seed: int) -> DataFrame
 
 
 def _tiled(cells: DataFrame, tile: int, name: str) -> DataFrame:
-    """(cell, part) tiles of about ``tile`` vectors: every cell is cut by a hash into as many parts as it needs. There
+    """(cell, part) tiles of about ``tile`` vectors: every cell is cut by a hash of id and vector into as many parts as it needs. There
     are twice as many cells in a table as the vectors have dimensions, so their counts may be broadcast."""
     rows = cells.select("vec_id", "v", F.explode("cells").alias("cell"))
     parts = rows.groupBy("cell").agg(F.ceil(F.count("*") / tile).alias("parts"))
-    cut = rows.join(F.broadcast(parts), "cell").withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")))
+    cut = rows.join(F.broadcast(parts), "cell").withColumn("part", F.pmod(F.xxhash64("vec_id", "v"), F.col("parts")))
     return cut.groupBy("cell", "part").agg(F.collect_list(F.struct("vec_id", "v")).alias(name)).select("cell", F.col(f"{name}.vec_id").alias(f"{name}_ids"), F.flatten(f"{name}.v").alias(f"{name}_v"))
 
 
