@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from noticeflow.operators.changes import archive_versions, detect_changes, merge_current
 from noticeflow.operators.listing import last_wins
@@ -63,22 +64,45 @@ def merge_batches(stream: DataFrame, current: SnapshotTable, archive: SnapshotTa
     return stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def quota_stream(stream: DataFrame, source: str, at: str, key: str, limit: int) -> DataFrame:
-    """Rows of a stream with ``accepted``: within the first ``limit`` of their source and day, as keyed state."""
+class DayQuota(StatefulProcessor):
+    """Counts a source's calls by day. Days older than the newest ``days`` leave the state when a newer one comes, and a
+    source that is not heard of for as long leaves it by its time to live, so the state does not grow with time."""
 
-    def count(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        used = state.get[0] if state.exists else 0
-        for pdf in batches:
-            pdf = pdf.sort_values([at, key])
-            place = used + 1 + pd.Series(range(len(pdf)), index=pdf.index)
-            used += len(pdf)
-            yield pd.DataFrame({source: group[0], "day": group[1], key: pdf[key], "accepted": place <= limit})
-        state.update((used,))
+    def __init__(self, names: Sequence[str], limit: int, days: int):
+        self.names, self.limit, self.days = names, limit, days
 
-    keyed = stream.withColumn("day", F.date_format(at, "yyyy-MM-dd"))
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.used = handle.getMapState("used", "day string", "used long", ttlDurationMs=self.days * 86_400_000)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+        source, day, call = self.names
+        held = {d[0]: n[0] for d, n in self.used.iterator()}
+        pdf = pd.concat(list(rows)).sort_values(["at", call])
+        newest = max([*held, *pdf["day"]])
+        first = (datetime.date.fromisoformat(newest) - datetime.timedelta(days=self.days - 1)).isoformat()
+        place = pdf.groupby("day").cumcount() + 1 + pdf["day"].map(held).fillna(0).astype(int)
+        late = pdf["day"] < first  # of a day that was counted and has left
+        for d, n in pdf.loc[~late, "day"].value_counts().items():
+            self.used.updateValue((d,), (held.get(d, 0) + int(n),))
+        for d in held:
+            if d < first:
+                self.used.removeKey((d,))
+        yield pd.DataFrame({source: key[0], day: pdf["day"], call: pdf[call], "accepted": (place <= self.limit) & ~late})
+
+    def close(self) -> None:
+        pass
+
+
+def quota_stream(stream: DataFrame, source: str, at: str, key: str, limit: int, days: int = 2) -> DataFrame:
+    """Rows of a stream with ``accepted``: within the first ``limit`` of their source and day, as keyed state.
+
+    The state holds ``days`` days of a source, whatever the stream's length. Calls of an older day come too late to be
+    counted and are not accepted. Needs the RocksDB state store.
+    """
     kinds = dict(stream.dtypes)
-    return keyed.select(source, "day", key, at).groupBy(source, "day").applyInPandasWithState(
-        count, f"{source} {kinds[source]}, day string, {key} {kinds[key]}, accepted boolean", "used long", "append", GroupStateTimeout.NoTimeout)
+    keyed = stream.select(F.col(source), F.date_format(at, "yyyy-MM-dd").alias("day"), F.col(key), F.col(at).alias("at"))
+    return keyed.groupBy(source).transformWithStateInPandas(
+        DayQuota((source, "day", key), limit, days), f"{source} {kinds[source]}, day string, {key} {kinds[key]}, accepted boolean", "append", "processingTime")
 
 
 def for_each(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
