@@ -62,7 +62,8 @@ def join_distinct(*columns: Column, separator: str = ", ") -> Column:
 
 def before_last(x: Column, separator: str = "/") -> Column:
     """What stands before the last separator; the whole text if there is none."""
-    return F.when(F.instr(x, separator) > 0, F.regexp_extract(x, f"^(.*){separator}[^{separator}]*$", 1)).otherwise(x)
+    left = F.length(x) - F.length(F.substring_index(x, separator, -1)) - len(separator)
+    return F.when(F.instr(x, separator) > 0, F.substr(x, F.lit(1), left)).otherwise(x)
 
 
 def after_last(x: Column, separator: str = "/") -> Column:

@@ -92,7 +92,10 @@ def unique_codes(df: DataFrame, code: str, fixed: DataFrame) -> DataFrame:
 
 
 def priority_budget(df: DataFrame, priority: Column, order: Sequence[Column], budget: int, per: Sequence[str] = ()) -> DataFrame:
-    """The first ``budget`` rows per group by priority, then order."""
+    """The first ``budget`` rows per group by priority, then order. Without groups each task first gives its own best
+    ``budget`` rows, and only these meet."""
+    if not per:
+        df = df.orderBy(priority, *order).limit(budget)
     w = Window.partitionBy(*per).orderBy(priority, *order)
     return df.withColumn("place", F.row_number().over(w)).where(F.col("place") <= budget)
 

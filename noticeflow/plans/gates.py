@@ -78,18 +78,23 @@ def replaced_codes(t: Tables) -> DataFrame:
     return gates.replace_codes(current, asked.where("c_nationkey % 4 <> 1").withColumnRenamed("c_nationkey", "scope"), "scope", "code")
 
 
-@query("""with p as (select n_name, cast(unnest(range(1, 2 + length(n_name) // 3)) as int) as page from nation), g as (select * from p where not (ends_with(n_name, '7') and page >= 2)),
-i as (select n_name, page, unnest(range((page - 1) * 3, least(page * 3, length(n_name)))) as n from g where page <= (length(n_name) + 2) // 3)
-select n_name, page, cast(n as bigint) as n, cast(null as varchar) as error from i union all select n_name, 2, null, 'TimeoutError' from nation where ends_with(n_name, '7')""")
+@query("""with d as (select lang, doc_id, row_number() over (partition by lang order by doc_id) as n, count(*) over (partition by lang) as total from documents where lang is not null)
+select lang, cast((n + 49) // 50 as int) as page, doc_id, cast(null as varchar) as error from d where lang <> 'fr' or n <= 100
+union all select lang, 3, null, 'TimeoutError' from d where lang = 'fr' and total > 100 group by 1""")
 def keyword_listings(t: Tables) -> DataFrame:
-    """Each keyword's pages of three; those of keywords that end in 7 fail on the second page, which stops no other."""
+    """Each language's stored documents in pages of fifty; French fails on the third page, which stops no other."""
+    store = f"{t.sf_dir}/documents.parquet"
+
     def fetch(keyword: str, page: int) -> dict:
-        if keyword.endswith("7") and page == 2:
+        import pyarrow.dataset as ds
+
+        if keyword == "fr" and page == 3:
             raise TimeoutError
-        return {"items": [{"n": i} for i in range((page - 1) * 3, min(page * 3, len(keyword)))], "totalCount": len(keyword)}
+        held = sorted(ds.dataset(store).to_table(columns=["doc_id"], filter=ds.field("lang") == keyword)["doc_id"].to_pylist())
+        return {"items": [{"doc_id": i} for i in held[(page - 1) * 50 : page * 50]], "totalCount": len(held)}
 
-    found = fetch_listings(t.nation, "n_name", fetch, 3)
-    return found.select("n_name", "page", F.get_json_object("item", "$.n").cast("bigint").alias("n"), "error")
+    found = fetch_listings(t.documents, "lang", fetch, 50)
+    return found.select("lang", "page", F.get_json_object("item", "$.doc_id").cast("bigint").alias("doc_id"), "error")
 
 
 #: List name: words of its lines, words that speak against, headings of its sections.

@@ -194,10 +194,10 @@ def root_snapshots(t: Tables) -> DataFrame:
     return changes.replace_succeeded(rows, rows.withColumn("c_mktsegment", F.concat("c_mktsegment", F.lit("*"))), states, "c_nationkey")
 
 
-@query("""select event_type, max_by(user_id, struct_pack(a := ts, b := event_id)) as user_id, max(ts) as ts from events group by 1""")
+@query("""select user_id, max_by(event_type, struct_pack(a := ts, b := event_id)) as state, max(ts) as ts from events group by 1""")
 def audit_last_state(t: Tables) -> DataFrame:
-    rows = t.events.select("event_type", "user_id", "ts", "event_id")
-    return changes.last_state(rows, ["event_type"], ["ts", "event_id"]).select("event_type", "user_id", "ts")
+    rows = t.events.select("user_id", F.col("event_type").alias("state"), "ts", "event_id")
+    return changes.last_state(rows, ["user_id"], ["ts", "event_id"]).select("user_id", "state", "ts")
 
 
 @query("""select cast(o_orderdate as date) as day, o_orderkey, row_number() over (partition by cast(o_orderdate as date) order by case o_orderpriority when '1-URGENT' then 0 when '2-HIGH' then 1 else 2 end, o_orderkey) as place from orders qualify place <= 2""")
@@ -263,11 +263,13 @@ def content_digest(t: Tables) -> DataFrame:
     return joined.select("o_orderkey", content_hash([("status", F.col("o_orderstatus")), ("priority", F.col("o_orderpriority"))], [("line", F.col("flags"))]).alias("digest"))
 
 
-@query("""with d as (select cast(unnest(generate_series(timestamp '1995-01-15', timestamp '1996-01-10', interval 1 month)) as date) as first)
-select first, least(cast(first + interval 1 month as date) - 1, date '1996-01-10') as last from d""")
+@query("""with r as (select o_orderpriority, cast(date_trunc('month', min(o_orderdate)) as date) + 14 as a, cast(max(o_orderdate) as date) as z from orders group by 1),
+d as (select o_orderpriority, z, cast(unnest(generate_series(cast(a as timestamp), cast(z as timestamp), interval 1 month)) as date) as first from r)
+select o_orderpriority, first, least(cast(first + interval 1 month as date) - 1, z) as last from d""")
 def month_windows(t: Tables) -> DataFrame:
-    one = t.spark.range(1).select(F.explode(month_chunks(F.lit("1995-01-15").cast("date"), F.lit("1996-01-10").cast("date"))).alias("c"))
-    return one.select("c.first", "c.last")
+    """The months from the middle of each priority's first month to its last order."""
+    span = t.orders.groupBy("o_orderpriority").agg(F.date_add(F.trunc(F.min("o_orderdate"), "month"), 14).alias("a"), F.max("o_orderdate").cast("date").alias("z"))
+    return span.select("o_orderpriority", F.explode(month_chunks(F.col("a"), F.col("z"))).alias("c")).select("o_orderpriority", "c.first", "c.last")
 
 
 @query("""with l as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) - 1 as pos from documents)

@@ -42,9 +42,10 @@ def run_scoped_page(t: Tables) -> DataFrame:
     return listing.page(run_scoped_notices(t).select("o_orderkey", "o_orderdate"), [F.col("o_orderdate").desc_nulls_last(), F.desc("o_orderkey")], 0, 25)
 
 
-@query("select c_custkey, c_name from customer where not exists (select 1 from orders where o_custkey = c_custkey)")
+@query("select c_custkey, c_name from customer where not exists (select 1 from orders where o_custkey = c_custkey and o_orderdate >= timestamp '1998-01-01' and o_orderstatus = 'O')")
 def parents_without_child(t: Tables) -> DataFrame:
-    return listing.without_child(t.customer, t.orders, F.col("o_custkey") == F.col("c_custkey")).select("c_custkey", "c_name")
+    recent = t.orders.where("o_orderdate >= timestamp '1998-01-01' and o_orderstatus = 'O'")
+    return listing.without_child(t.customer, recent, F.col("o_custkey") == F.col("c_custkey")).select("c_custkey", "c_name")
 
 
 @query("""select o_custkey, count(*) filter (l_returnflag = 'R') as needed,
@@ -135,9 +136,9 @@ def like_any(t: Tables) -> DataFrame:
     return t.part.where(contains_any(F.col("p_name"), ["Green", "blue", "1"]) | contains_any(F.col("p_type"), ["STEEL"])).select("p_partkey", "p_name")
 
 
-@query("select p_partkey, p_name from part where contains(lower(p_name), 'p') and contains(lower(p_name), '2')")
+@query("select p_partkey, p_name from part where contains(lower(p_name), 'e') and contains(lower(p_name), 'r')")
 def like_all(t: Tables) -> DataFrame:
-    return t.part.where(contains_all(F.col("p_name"), ["P", "2"])).select("p_partkey", "p_name")
+    return t.part.where(contains_all(F.col("p_name"), ["E", "r"])).select("p_partkey", "p_name")
 
 
 @query("select p_partkey from part where p_name not like 'part_1%'")
@@ -287,7 +288,7 @@ def candidate_rank(t: Tables) -> DataFrame:
     return rollup.rank_candidates(entries, files).withColumn("place", F.col("place").cast("bigint"))
 
 
-@query("""select p_size, p_partkey, p_type from (select *, min(r) over (partition by p_size) as b from (select *, case when p_type like '%STEEL%' then 1 when p_type like '%COPPER%' then 2 end as r from part)) where r = b""")
+@query("""select p_size, p_partkey, p_type from (select *, min(r) over (partition by p_size) as b from (select *, case when p_type like '%STANDARD%' then 1 when p_type like '%LARGE%' then 2 end as r from part)) where r = b""")
 def best_kind(t: Tables) -> DataFrame:
-    kind = F.when(F.col("p_type").contains("STEEL"), "STEEL").when(F.col("p_type").contains("COPPER"), "COPPER")
-    return rollup.best_kind(t.part.withColumn("kind", kind), ["p_size"], "kind", ["STEEL", "COPPER"]).select("p_size", "p_partkey", "p_type")
+    kind = F.when(F.col("p_type").contains("STANDARD"), "STANDARD").when(F.col("p_type").contains("LARGE"), "LARGE")
+    return rollup.best_kind(t.part.withColumn("kind", kind), ["p_size"], "kind", ["STANDARD", "LARGE"]).select("p_size", "p_partkey", "p_type")

@@ -73,14 +73,14 @@ def keyword_class(t: Tables) -> DataFrame:
     return t.conversations.select("conv_id", "turn", in_role.alias("k")).select("conv_id", "turn", "k.related", "k.reason")
 
 
-@query("""with b as (select o_orderkey, o_orderstatus = 'F' as excluded, o_orderpriority = '4-NOT SPECIFIED' as unknown, o_totalprice > 200000 as big, o_custkey % 5 = 0 as region,
+@query("""with b as (select o_orderkey, o_orderstatus = 'F' or o_custkey % 7 = 1 as excluded, o_orderpriority = '4-NOT SPECIFIED' as unknown, o_totalprice > 200000 as big, o_custkey % 5 = 0 as region,
 concat_ws(', ', case when o_totalprice > 200000 then 'big' end, case when o_custkey % 5 = 0 then 'region' end) as why from orders)
 select o_orderkey, case when excluded then '제외' when unknown or why <> '' then '추가확인필요' else '검토대상' end as status, case when not excluded and (unknown or why <> '') then why else '' end as reasons from b""")
 def review_status(t: Tables) -> DataFrame:
     from noticeflow.functions.presets import REVIEW_LABELS
 
     found = rules.review_status(
-        F.col("o_orderstatus") == "F", F.col("o_orderpriority") == "4-NOT SPECIFIED", F.lit("SATISFIED"),
+        F.col("o_orderstatus") == "F", F.col("o_orderpriority") == "4-NOT SPECIFIED", F.when(F.col("o_custkey") % 7 == 1, "MISMATCH").when(F.col("o_custkey") % 7 == 2, "UNKNOWN").otherwise("SATISFIED"),
         [(F.col("o_totalprice") > 200000, "big"), (F.col("o_custkey") % 5 == 0, "region")], REVIEW_LABELS)
     return t.orders.select("o_orderkey", found.alias("r")).select("o_orderkey", "r.*")
 
@@ -196,11 +196,11 @@ def section_lines(t: Tables) -> DataFrame:
     return lines.section_lines(_lines(t), "doc_id", F.col("line").startswith("The"), F.col("line").startswith("Of")).select("doc_id", "pos", "heading_pos")
 
 
-@query(f"""with {_LINES}, n as (select *, row_number() over (partition by doc_id order by pos) as n, contains(line, 'license') or contains(line, 'License') as k, starts_with(line, 'The') as s from l),
+@query(f"""with {_LINES}, n as (select *, row_number() over (partition by doc_id order by pos) as n, contains(line, '@') or contains(line, 'License') as k, starts_with(line, 'The') as s from l),
 b as (select *, max(case when k then n end) over w as a, max(case when s then n end) over w as st from n window w as (partition by doc_id order by pos rows between 3 preceding and 1 preceding))
 select doc_id, pos from b where a is not null and (st is null or st < a)""")
 def context_lines(t: Tables) -> DataFrame:
-    keyword = F.contains("line", F.lit("license")) | F.contains("line", F.lit("License"))
+    keyword = F.contains("line", F.lit("@")) | F.contains("line", F.lit("License"))
     return lines.context_before(_lines(t), "doc_id", keyword, 3, F.col("line").startswith("The")).select("doc_id", "pos")
 
 
@@ -278,10 +278,14 @@ def date_forms(t: Tables) -> DataFrame:
         dates.days_left(F.to_date("o_orderdate"), F.lit(_DAY).cast("date")).cast("bigint").alias("days"))
 
 
-@query(r"""with x as (select doc_id, list_distinct(list_transform(regexp_extract_all(text, 'https?://[^\s"''<>\])}]+'), lambda u: regexp_replace(u, '[.,;:!?]+$', ''))) as found from documents)
-select doc_id, array_to_string(list_sort(found), ' ') as urls from x where len(found) > 0""")
+@query(r"""with s as (select page_id, 'See ' || url || '. Also <' || replace(url, '?', '/x?') || '>, (' || url || ') and https://own.example.net/' || page_id || ';' as text, regexp_extract(url, '^https?://([^/:?#]+)', 1) as host from pages),
+x as (select page_id, host, list_distinct(list_transform(regexp_extract_all(text, 'https?://[^\s"''<>\])}]+'), lambda u: regexp_replace(u, '[.,;:!?]+$', ''))) as found from s)
+select page_id, array_to_string(list_sort(list_filter(found, lambda u: not contains(u, 'own.example.net') and not regexp_matches(u, '^https?://([^/]*\.)?thth[^/]*/'))), ' ') as urls from x""".replace("([^/]*\\.)?thth[^/]*/", "ththre\\.example\\.com"))
 def text_urls(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", F.array_join(F.array_sort(urls.extract_urls(F.col("text"))), " ").alias("urls")).where("urls <> ''")
+    """Addresses in a text, each once, without those of the page's own sites."""
+    u = F.col("url")
+    said = F.concat(F.lit("See "), u, F.lit(". Also <"), F.replace(u, F.lit("?"), F.lit("/x?")), F.lit(">, ("), u, F.lit(") and https://own.example.net/"), F.col("page_id").cast("string"), F.lit(";"))
+    return t.pages.select("page_id", F.array_join(F.array_sort(urls.extract_urls(said, ["example.net", "ththre.example.com"])), " ").alias("urls"))
 
 
 @query(r"""select page_id, regexp_extract(url, '^https?://([^/?&#]+)/([^/?&#]+)/(\d+)', 2) as lang, 'https://' || regexp_extract(url, '^https?://([^/?&#]+)/', 1) || '/' || regexp_extract(url, '^https?://([^/?&#]+)/([^/?&#]+)/([^/?&#]+)', 3) as filled

@@ -66,8 +66,8 @@ def is_header(cells: Column, names: list[str]) -> Column:
 
 
 def zipped_sections(spark: SparkSession, path: str, entry: str = r"Contents/section\d+\.xml", most_entries: int = 1000, most_bytes: int = 50_000_000, most_chars: int = 2_000_000) -> DataFrame:
-    """(path, text, error) of zipped XML documents: the text of their sections in order, with limits on entries,
-    unpacked bytes and characters."""
+    """(path, text, error) of zipped XML documents: the text of their sections in order, whole, or the error LIMIT
+    where entries, unpacked bytes or characters are more than allowed."""
     files = spark.read.format("binaryFile").load(path).select("path", "content")
 
     @F.pandas_udf("struct<text:string,error:string>")
@@ -81,7 +81,9 @@ def zipped_sections(spark: SparkSession, path: str, entry: str = r"Contents/sect
                         raise ValueError("LIMIT")
                     names = sorted(i.filename for i in infos if re.fullmatch(entry, i.filename))
                     text = "\n".join(t.strip() for n in names for t in ElementTree.fromstring(z.read(n)).itertext() if t.strip())
-                rows.append((text[:most_chars], None))
+                if len(text) > most_chars:
+                    raise ValueError("LIMIT")
+                rows.append((text, None))
             except (ValueError, zipfile.BadZipFile, ElementTree.ParseError) as e:
                 rows.append((None, type(e).__name__ if str(e) != "LIMIT" else "LIMIT"))
         return pd.DataFrame(rows, columns=["text", "error"])

@@ -23,6 +23,7 @@ def test_text(spark):
     assert v(text.collapse(F.lit("  a   b\n"))) == "a b" and v(text.collapse(F.lit(None).cast("string"))) == ""
     assert v(text.clean_cell(F.lit("  \t"))) is None and v(text.first_non_blank(F.lit(" "), F.lit(" x "))) == "x"
     assert v(text.join_distinct(F.lit("b"), F.lit(" a "), F.lit("b"), F.lit(None).cast("string"), F.lit(""))) == "b, a"
+    assert v(text.before_last(F.lit("a.b*c"), ".")) == "a" and v(text.before_last(F.lit("a||b||c"), "||")) == "a||b" and v(text.before_last(F.lit("/a"))) == ""
     assert v(text.before_last(F.lit("a/b/c"))) == "a/b" and v(text.before_last(F.lit("abc"))) == "abc" and v(text.after_last(F.lit("a/b"))) == "b"
     assert v(text.file_extension(F.lit("a.b.PDF"))) == "pdf" and v(text.file_extension(F.lit("none"))) == ""
     assert v(text.safe_file_name(F.lit('a/b:c*..d.. '))) == "a_b_c__d_"
