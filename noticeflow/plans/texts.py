@@ -285,7 +285,7 @@ def text_urls(t: Tables) -> DataFrame:
     """Addresses in a text, each once, without those of the page's own sites."""
     u = F.col("url")
     said = F.concat(F.lit("See "), u, F.lit(". Also <"), F.replace(u, F.lit("?"), F.lit("/x?")), F.lit(">, ("), u, F.lit(") and https://own.example.net/"), F.col("page_id").cast("string"), F.lit(";"))
-    return t.pages.select("page_id", F.array_join(F.array_sort(urls.extract_urls(said, ["example.net", "ththre.example.com"])), " ").alias("urls"))
+    return t.pages.select("page_id", F.array_join(F.array_sort(urls.extract_urls(said, ["own.example.net", "ththre.example.com"])), " ").alias("urls"))
 
 
 @query(r"""select page_id, regexp_extract(url, '^https?://([^/?&#]+)/([^/?&#]+)/(\d+)', 2) as lang, 'https://' || regexp_extract(url, '^https?://([^/?&#]+)/', 1) || '/' || regexp_extract(url, '^https?://([^/?&#]+)/([^/?&#]+)/([^/?&#]+)', 3) as filled
