@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from noticeflow.plans import analysis, gates, histories, listings, matches, texts  # noqa: F401  (importing registers)
+from noticeflow.plans import analysis, gates, histories, listings, matches, sources, texts  # noqa: F401  (importing registers)
 from noticeflow.plans.registry import ORACLE_SQL, QUERIES
 
 FLAGSHIP = QUERIES["run_scoped_page"]

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 from collections.abc import Callable, Iterator
 
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
@@ -59,12 +61,13 @@ def paged_files(spark: SparkSession, path: str) -> DataFrame:
     return pages.select("file", F.coalesce("b.totalCount", F.lit(0)).alias("total"), F.explode(items).alias("item"))
 
 
-def fetch_listings(requests: DataFrame, key: str, fetch: Callable[[str, int], dict], size: int, tasks: int = 32) -> DataFrame:
+def fetch_listings(requests: DataFrame, key: str, fetch: Callable[[str, int], dict], size: int, tasks: int = 32, most_pages: int = 10_000) -> DataFrame:
     """(key, page, total, item, error) of paged listings, one for each distinct key.
 
     ``fetch(key, page)`` runs in the tasks and gives {"items", "totalCount"}; pages from 1 to ceil(total of page 1 / size).
     A failure ends its own listing only: the rows of the pages before it stay, and one row (item null) names the
-    page and the kind of error. Keys are dealt to ``tasks`` tasks; a page is sent on as soon as it is read.
+    page and the kind of error: that of ``fetch``, REPEATED_PAGE for a page equal to an earlier one, EMPTY_BEFORE_END for
+    one without items before the last, TOO_MANY_PAGES beyond ``most_pages``. Keys are dealt to ``tasks`` tasks; a page is sent on as soon as it is read.
     """
     kinds = pa.schema([("key", pa.string()), ("page", pa.int32()), ("total", pa.int64()), ("item", pa.string()), ("error", pa.string())])
 
@@ -72,8 +75,11 @@ def fetch_listings(requests: DataFrame, key: str, fetch: Callable[[str, int], di
         return pa.RecordBatch.from_pylist([{"key": k, "page": page, "total": total, "item": x, "error": error} for x in items], kinds)
 
     def listing(k: str) -> Iterator[pa.RecordBatch]:
-        page, last, total = 1, 1, None
+        page, last, total, seen = 1, 1, None, set()
         while page <= last:
+            if page > most_pages:
+                yield rows(k, page, total, [None], "TOO_MANY_PAGES")
+                return
             try:
                 body = fetch(k, page)
                 given = body.get("items") or []
@@ -84,6 +90,12 @@ def fetch_listings(requests: DataFrame, key: str, fetch: Callable[[str, int], di
                 return
             if page == 1:
                 last = -(-total // size)
+            content = hashlib.sha256("\n".join(items).encode()).digest()
+            fault = "EMPTY_BEFORE_END" if not items and (page - 1) * size < total else "REPEATED_PAGE" if items and content in seen else None
+            if fault:
+                yield rows(k, page, total, [None], fault)
+                return
+            seen.add(content)
             yield rows(k, page, total, items, None)
             page += 1
 
@@ -97,6 +109,34 @@ def fetch_listings(requests: DataFrame, key: str, fetch: Callable[[str, int], di
     return found.withColumnRenamed("key", key)
 
 
+def fetch_details(listed: DataFrame, key: str, needs: Column, fetch: Callable[[str], dict], table: str, tasks: int = 32) -> DataFrame:
+    """``listed`` with detail (JSON) and detail_error: a second phase that fetches what the list does not give.
+
+    ``fetch(key)`` runs in the tasks, once for each distinct key of the rows that ``needs`` holds for; the answers are
+    written to ``table`` and joined back, so reading the result again fetches nothing. A failure gives its kind and no
+    detail, and stops no other. Rows that need nothing have neither.
+    """
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for k in batch.column(0).to_pylist():
+                try:
+                    rows.append((k, json.dumps(fetch(k), ensure_ascii=False), None))
+                except Exception as e:  # a detail that fails must not stop the others; the row tells
+                    rows.append((k, None, type(e).__name__))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in zip(*rows)], names=["k", "detail", "detail_error"])
+
+    wanted = listed.where(needs).select(F.col(key).cast("string").alias("k")).where("k is not null").distinct().repartition(tasks, "k")
+    schema = "k string, detail string, detail_error string"
+    wanted.mapInArrow(read, schema).write.parquet(table)
+    details = listed.sparkSession.read.schema(schema).parquet(table)
+    marked = listed.withColumn("__needs", F.coalesce(needs, F.lit(False)))
+    joined = marked.join(details, F.col("__needs") & (F.col(key).cast("string") == F.col("k")), "left")
+    return joined.drop("__needs", "k")
+
+
 def page_numbers(totals: DataFrame, total: str, size: int) -> DataFrame:
     """The pages that listings ask for: ceil(total / size) rows each."""
     pages = F.ceil(F.col(total) / F.lit(float(size))).cast("int")
@@ -124,6 +164,53 @@ def nested_json(df: DataFrame, raw: str, schema: str) -> DataFrame:
     return df.withColumn("parsed", F.from_json(outer["data"], schema))
 
 
+@F.pandas_udf("array<string>")
+def largest_array(values: pd.Series) -> pd.Series:
+    """The items, as JSON, of the largest array anywhere in a JSON text; arrays inside arrays do not count, and of equal
+    ones the first does. Empty where there is none, null for a null or malformed text."""
+
+    def one(text):
+        try:
+            stack = [json.loads(text)]
+        except (TypeError, ValueError):
+            return None
+        best: list = []
+        while stack:
+            now = stack.pop()
+            if isinstance(now, list):
+                best = now if len(now) > len(best) else best
+            elif isinstance(now, dict):
+                stack += reversed(now.values())
+        return [json.dumps(x, ensure_ascii=False) for x in best]
+
+    return values.map(one)
+
+
+def nested_groups(df: DataFrame, pattern: str, out: str = "groups") -> DataFrame:
+    """``df`` with ``out``: array<struct<group, requirements: array<struct<seq, name>>>> from the columns whose names
+    match ``pattern`` (group number, place in the group). Blank cells and groups without any go; seq counts what is left."""
+    import re
+
+    found: dict[int, list[tuple[int, str]]] = {}
+    for c in df.columns:
+        if m := re.fullmatch(pattern, c):
+            found.setdefault(int(m[1]), []).append((int(m[2]), c))
+
+    def group(number: int) -> Column:
+        names = F.filter(F.array(*[F.nullif(F.trim(F.col(c).cast("string")), F.lit("")) for _, c in sorted(found[number])]), lambda x: x.isNotNull())
+        return F.struct(F.lit(str(number)).alias("group"), F.transform(names, lambda x, i: F.struct((i + 1).alias("seq"), x.alias("name"))).alias("requirements"))
+
+    empty = "array<struct<group:string,requirements:array<struct<seq:int,name:string>>>>"
+    groups = F.array(*[group(n) for n in sorted(found)]) if found else F.array().cast(empty)
+    return df.withColumn(out, F.filter(groups, lambda g: F.size(g["requirements"]) > 0))
+
+
+def numeric_order(items: Column, by: str) -> Column:
+    """An array of structs by the number that the text ``by`` is; what is no number comes after, as text."""
+    keyed = F.transform(items, lambda x: F.struct(x[by].try_cast("int").isNull().alias("a"), x[by].try_cast("int").alias("b"), x[by].alias("c"), x.alias("item")))
+    return F.transform(F.array_sort(keyed), lambda k: k["item"])
+
+
 def name_value_map(entries) -> object:
     """array<struct<name, value>> as a map; the first value of a name stays."""
     first = F.aggregate(entries, F.create_map().cast("map<string,string>"), lambda acc, e: F.when(F.map_contains_key(acc, e["name"]), acc).otherwise(F.map_concat(acc, F.create_map(e["name"], e["value"]))))
