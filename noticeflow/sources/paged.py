@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, StringType, StructType
 
 
 class Page(InputPartition):
@@ -126,15 +126,15 @@ def fetch_details(listed: DataFrame, key: str, needs: Column, fetch: Callable[[s
                 except Exception as e:  # a detail that fails must not stop the others; the row tells
                     rows.append((k, None, type(e).__name__))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in zip(*rows)], names=["k", "detail", "detail_error"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in zip(*rows)], names=["__key", "detail", "detail_error"])
 
-    wanted = listed.where(needs).select(F.col(key).cast("string").alias("k")).where("k is not null").distinct().repartition(tasks, "k")
-    schema = "k string, detail string, detail_error string"
+    wanted = listed.where(needs).select(F.col(key).cast("string").alias("__key")).where("__key is not null").distinct().repartition(tasks, "__key")
+    schema = "__key string, detail string, detail_error string"
     wanted.mapInArrow(read, schema).write.parquet(table)
     details = listed.sparkSession.read.schema(schema).parquet(table)
     marked = listed.withColumn("__needs", F.coalesce(needs, F.lit(False)))
-    joined = marked.join(details, F.col("__needs") & (F.col(key).cast("string") == F.col("k")), "left")
-    return joined.drop("__needs", "k")
+    joined = marked.join(details, F.col("__needs") & (F.col(key).cast("string") == F.col("__key")), "left")
+    return joined.drop("__needs", "__key")
 
 
 def page_numbers(totals: DataFrame, total: str, size: int) -> DataFrame:
@@ -164,7 +164,7 @@ def nested_json(df: DataFrame, raw: str, schema: str) -> DataFrame:
     return df.withColumn("parsed", F.from_json(outer["data"], schema))
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ArrayType(StringType()))
 def largest_array(values: pd.Series) -> pd.Series:
     """The items, as JSON, of the largest array anywhere in a JSON text; arrays inside arrays do not count, and of equal
     ones the first does. Empty where there is none, null for a null or malformed text."""

@@ -93,8 +93,13 @@ class Selector:
 
     def _path(self, source: str) -> list[tuple[str, object]]:
         out, direct = [], " "
-        for token in re.findall(r"(?:[^\s>\[]|\[[^\]]*\])+|>", source):
+        tokens = re.findall(r"(?:[^\s>\[]|\[[^\]]*\])+|>", source)
+        if "".join(tokens) != re.sub(r"\[[^\]]*\]|\s", lambda m: m[0].strip(), source) or tokens[-1:] == [">"]:
+            raise ValueError(f"selector {source!r}")
+        for token in tokens:
             if token == ">":
+                if direct == ">":
+                    raise ValueError(f"selector {source!r}")
                 direct = ">"
                 continue
             m = _SIMPLE.match(token)
