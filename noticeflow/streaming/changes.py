@@ -97,7 +97,7 @@ def quota_stream(stream: DataFrame, source: str, at: str, key: str, limit: int,
     """Rows of a stream with ``accepted``: within the first ``limit`` of their source and day, as keyed state.
 
     The state holds ``days`` days of a source, whatever the stream's length. Calls of an older day come too late to be
-    counted and are not accepted. Needs the RocksDB state store.
+    counted and are not accepted. Needs the RocksDB state store, and batches without data switched off (``session``).
     """
     kinds = dict(stream.dtypes)
     keyed = stream.select(F.col(source), F.date_format(at, "yyyy-MM-dd").alias("day"), F.col(key), F.col(at).alias("at"))
