@@ -10,11 +10,13 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from noticeflow.llm.staging import free_prefix, stage
+from noticeflow.llm.staging import free_prefix, stage, stage_at
 
 #: Words that a repeated run of whole lines must have to be deleted, and words of the grams that are winnowed.
 RUN_WORDS, GRAM_WORDS = 50, 20
 
+#: Documents that go to a Python worker at a time where their lines go with them.
+_ROWS = 500
 _MIX, _LOW = np.uint64(0x9E3779B97F4A7C15), (1 << 64) - 1
 
 
@@ -165,16 +167,19 @@ def _matches(later: DataFrame, marks: DataFrame) -> DataFrame:
     on both documents' lines; first and end are places among all lines. Of the origin only as many lines come as the
     later document can match."""
     lines = lambda d: F.filter(F.arrays_zip("hashes", "more", "words"), lambda x: x["words"] > 0).alias(d)
+    same = lambda a, b: F.col(f"{a}_id").eqNullSafe(F.col(f"{b}_id")) & (F.col(f"{a}_key") == F.col(f"{b}_key"))
     seeds = later.groupBy("id", "key", F.col("origin.id").alias("o_id"), F.col("origin.key").alias("o_key")).agg(F.collect_list(F.struct("first", "end", F.col("origin.first").alias("there"))).alias("seeds"))
-    mine = marks.select(F.col("id").alias("m_id"), F.col("key").alias("m_key"), "hashes", "more", "words")
-    theirs = marks.select(F.col("id").alias("t_id"), F.col("key").alias("t_key"), lines("other")).dropDuplicates(["t_id", "t_key"])
-    paired = seeds.join(theirs, F.col("o_id").eqNullSafe(F.col("t_id")) & (F.col("o_key") == F.col("t_key")))
+    seeds = stage(seeds.withColumnsRenamed({"id": "l_id", "key": "l_key"}), "line-pairs")
+    own = marks.select(F.col("id").alias("m_id"), F.col("key").alias("m_key"), "hashes", "more", "words")
+    once = lambda side: own.join(seeds.select(f"{side}_id", f"{side}_key").distinct(), same("m", side), "left_semi").dropDuplicates(["m_id", "m_key"])  # noqa: E731  of rows equal in id and text one
+    theirs = once("o").select(F.col("m_id").alias("t_id"), F.col("m_key").alias("t_key"), lines("other"))
+    paired = seeds.join(theirs, same("o", "t"))
     begin = F.greatest(F.lit(0), F.array_min(F.transform("seeds", lambda s: s["there"] - s["first"])))
     until = F.array_max(F.transform("seeds", lambda s: s["there"] - s["first"])) + F.col("m_n")
-    sized = paired.join(mine.withColumn("m_n", F.size(F.filter("words", lambda x: x > 0))).dropDuplicates(["m_id", "m_key"]), F.col("id").eqNullSafe(F.col("m_id")) & (F.col("key") == F.col("m_key")))
+    sized = paired.join(once("l").withColumn("m_n", F.size(F.filter("words", lambda x: x > 0))), same("l", "m"))
     sliced = sized.withColumns({"begin": begin.cast("int"), "until": F.least(until, F.size("other").cast("long")).cast("int")})
     pair = F.slice("other", F.col("begin") + 1, F.greatest(F.lit(0), F.col("until") - F.col("begin")))
-    rows = sliced.select("id", "key", "o_id", "hashes", "more", "words", "begin", F.transform(pair, lambda x: x["hashes"]).alias("a"), F.transform(pair, lambda x: x["more"]).alias("b"), *[F.col(f"seeds.{c}").cast("array<long>").alias(f"s_{c}") for c in ("first", "end", "there")])
+    rows = sliced.select("l_id", "l_key", "o_id", "hashes", "more", "words", "begin", F.transform(pair, lambda x: x["hashes"]).alias("a"), F.transform(pair, lambda x: x["more"]).alias("b"), *[F.col(f"seeds.{c}").cast("array<long>").alias(f"s_{c}") for c in ("first", "end", "there")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -211,12 +216,12 @@ def repeated_runs(docs: DataFrame, run_words: int = RUN_WORDS, gram_words: int =
     shared = stage(shared, "line-prints")  # a table of one row per fingerprint: rows of a frequent one may then be split
     met = positions.join(shared, "print").groupBy(F.col("id").alias("t_id"), F.col("key").alias("t_key")).agg(F.collect_set("at").alias("places"))
     touched = marks.drop("prints", "places").join(met, F.col("id").eqNullSafe(F.col("t_id")) & (F.col("key") == F.col("t_key")))
-    grid = stage(_seeds(touched, run_words, gram_words), "line-runs")
+    grid = stage_at(_seeds(touched, run_words, gram_words), "line-runs", arrow_rows=_ROWS)[0]
     place = F.struct(F.col("id").isNull().alias("last"), "id", "key", "first")
     firsts = grid.groupBy("code").agg(F.min(place).alias("origin"), F.count("*").alias("n")).where("n > 1").select("code", "origin")
     firsts = stage(firsts, "line-firsts")
     later = grid.join(firsts, "code").where(place != F.col("origin"))
-    return _fused(stage(_matches(later, marks), "line-matches"))
+    return _fused(stage_at(_matches(later, marks), "line-matches", arrow_rows=_ROWS)[0])
 
 
 def _fused(later: DataFrame) -> DataFrame:
