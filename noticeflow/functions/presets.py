@@ -111,3 +111,5 @@ DOCUMENT_ANALYSIS = {
     },
     "award": {"words": ["적격심사"], "unless": ["부적격심사"], "with": ["낙찰자선정방법", "낙찰방법", "적격심사제", "적격심사대상", "적격심사세부기준", "적격심사기준"]},
 }
+# Headers of pasted tables.
+PASTED_HEADERS = {"title": ["사업명"], "client": ["발주기관", "발주처"], "period": ["사업기간"], "amount": ["사업금액", "계약금액"]}

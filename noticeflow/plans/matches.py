@@ -40,11 +40,15 @@ def resolved_requirements(t: Tables) -> DataFrame:
     return matching.resolve(t.orders, t.part, "o_orderkey", "p_partkey", [("o_custkey", "p_partkey")], [("o_totalprice", "p_retailprice"), ("o_orderpriority", "p_brand")])
 
 
-@query("""with h as (select page_id, lower(regexp_extract(url, '^https?://([^/:?#]+)', 1)) as host from pages)
-select page_id, host, case when host in (select host from h where page_id % 3 = 0) then 'SUPPORTED' else 'NEW_SITE' end as status from h""")
+@query(r"""with h as (select page_id, regexp_replace(url, '#.*$', '') as address from pages),
+c as (select page_id, lower(regexp_extract(address, '^(https?://[^/?#]+)', 1)) || case when regexp_matches(address, '^https?://[^/?#]+(\?|$)') then '/' else '' end || regexp_extract(address, '^https?://[^/?#]+(.*)$', 1) as address from h)
+select page_id, address, case when address in (select address from c where page_id % 3 = 0) then 'SUPPORTED' else 'NEW_SITE' end as status from c""")
 def site_identification(t: Tables) -> DataFrame:
-    sites = t.pages.select("page_id", urls.host(F.col("url")).alias("host"))
-    return matching.site_status(sites, sites.where("page_id % 3 = 0"), "host").select("page_id", "host", "status")
+    """Pages whose canonical address the catalogue (every third page) has."""
+    from noticeflow.functions.pyudf import canonical_url
+
+    sites = t.pages.select("page_id", canonical_url("url").alias("address"))
+    return matching.site_status(sites, sites.where("page_id % 3 = 0"), "address").select("page_id", "address", "status")
 
 
 @query("""with e as (select p_size as k, 0 as o from part where p_size % 2 = 0 union all select p_size, 1 from part where p_size % 3 = 0 union all select p_size, 2 from part)

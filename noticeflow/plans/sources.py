@@ -7,9 +7,11 @@ import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from noticeflow.functions.presets import PASTED_HEADERS
+from noticeflow.functions.pyudf import person_name, split_items
 from noticeflow.operators import crawl, dictionary
 from noticeflow.plans.registry import Tables, query
-from noticeflow.sources import paged, selectors
+from noticeflow.sources import paged, pasted, selectors
 from noticeflow.streaming import windows
 
 
@@ -131,6 +133,33 @@ def license_groups(t: Tables) -> DataFrame:
     return grouped.select("p_partkey", F.array_join(told, ";").alias("groups"), F.array_join(F.transform(ordered, lambda x: x["no"]), ",").alias("ordered"))
 
 
+@query("""with r as (select p_size, p_partkey, p_name || ' ' || p_partkey as name, row_number() over (partition by p_size order by p_partkey) + case when p_size % 3 = 0 then 1 else 0 end as row from part)
+select p_size, cast(r.row as int) as row, case when p_partkey % 11 = 0 then name else name || '|' || p_brand || '|' || case when p_size % 3 = 1 and p_partkey % 2 = 0 then '2023' else '2024.01 ~ 2025.12' end || '|' || p_partkey % 100 end as fields,
+case when p_partkey % 11 = 0 then 'CELLS' end as reason from r join part using (p_size, p_partkey)""")
+def pasted_tables(t: Tables) -> DataFrame:
+    """A pasted table for each size: with headers in another order, with four cells, with five; short rows are rejected."""
+    size, k, name = F.col("p_size"), F.col("p_partkey"), F.concat("p_name", F.lit(" "), F.col("p_partkey").cast("string"))
+    period, amount = F.when((size % 3 == 1) & (k % 2 == 0), "2023").otherwise("2024.01 ~ 2025.12"), (k % 100).cast("string")
+    cells = F.when(k % 11 == 0, name).when(size % 3 == 0, F.concat_ws("\t", amount, "p_brand", name, period)).when(size % 3 == 1, F.concat_ws("\t", name, "p_brand", period, amount)).otherwise(F.concat_ws("\t", k.cast("string"), name, period, amount, "p_brand"))
+    lines = F.transform(F.sort_array(F.collect_list(F.struct("p_partkey", cells.alias("line")))), lambda x: x["line"])
+    texts = t.part.groupBy("p_size").agg(lines.alias("l")).select("p_size", F.concat(F.when(size % 3 == 0, "계약 금액\t발주처\t사업명\t사업기간\n").otherwise(""), F.array_join("l", "\n")).alias("text"))
+    placed = pasted.placed_cells(texts.select("p_size", F.explode(pasted.pasted_rows("text")).alias("r")).select("p_size", "r.*"), "p_size", PASTED_HEADERS)
+    reason = F.when(F.col("error").isNotNull(), F.col("error")).when(F.size("cells") != 4, "CELLS")
+    return placed.select("p_size", "row", F.array_join("cells", "|").alias("fields"), reason.alias("reason"))
+
+
+@query("""select c_custkey, case when c_custkey % 35 = 0 then '최영희' when c_custkey % 5 = 0 or c_custkey % 7 = 0 then null else case c_custkey % 3 when 0 then '김' when 1 then '이' else '박' end || case when c_custkey % 2 = 0 then '민수' else '지현' end end as person,
+case when c_custkey % 2 = 0 then '홍보물|사본 1부|원본(사본 포함) 2부' else '사본 ' || c_custkey || '부' end as items from customer""")
+def file_people(t: Tables) -> DataFrame:
+    """The one person that a file's name names, and a merged list line in its items."""
+    k = F.col("c_custkey")
+    person = F.concat(F.when(k % 7 == 0, "쿱").when(k % 3 == 0, "김").when(k % 3 == 1, "이").otherwise("박"), F.when(k % 2 == 0, "민수").otherwise("지현"))
+    name = F.concat(F.lit("경력증명서_"), person, F.when(k % 5 == 0, "_최영희").otherwise(""), F.lit("(2024).pdf"))
+    line = F.when(k % 2 == 0, "· 홍보물 · 사본 1부 원본(사본 포함) 2부").otherwise(F.concat(F.lit(" 사본 "), k.cast("string"), F.lit("부 ·")))
+    found = t.customer.select("c_custkey", person_name(["경력증명서"], ["김", "이", "박", "최"])(name).alias("person"), split_items("·", ["사본", "원본"])(line).alias("items"))
+    return found.select("c_custkey", "person", F.array_join("items", "|").alias("items"))
+
+
 @query("""with d as (select min(cast(ts as date)) as first, max(cast(ts as date)) as last from events)
 select event_type as operation, cast(ts as date) as day, event_id, cast(null as varchar) as error from events where not (event_type = 'error' and cast(ts as date) = (select first from d))
 union all select 'error', first, null, 'TimeoutError' from d""")

@@ -5,10 +5,11 @@ from __future__ import annotations
 import io
 import re
 import zipfile
+from collections.abc import Mapping, Sequence
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -65,6 +66,29 @@ def is_header(cells: Column, names: list[str]) -> Column:
     return F.size(F.array_intersect(F.transform(cells, squeeze), F.array(*[F.lit(n) for n in names]))) >= 2
 
 
+def placed_cells(rows: DataFrame, key: str, fields: Mapping[str, Sequence[str]]) -> DataFrame:
+    """Rows (``key``, row, cells, error) of pasted tables as (``key``, row, cells in the order of ``fields``, error).
+
+    ``fields``: four names in order (title, client, period, amount), each with the headers that stand for it. A row that
+    holds a header of each places the rows after it, up to the next such row, and is itself left out, as are blank rows. A
+    row too short for its header stays as it is. Without a header four cells are title, client, period, amount if the
+    third has a year and the second none, else title, period, amount, client; five are number, title, period, amount,
+    client; others stay as they are. One shuffle by ``key``.
+    """
+    named = F.transform("cells", lambda c: F.lower(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", "")))
+    first = lambda headers: F.array_position(F.transform(named, lambda c: c.isin(*[h.lower() for h in headers])), F.lit(True)).cast("int")
+    places = F.array(*[first(h) for h in fields.values()])
+    heads = rows.where(F.exists("cells", lambda c: F.trim(F.coalesce(c, F.lit(""))) != "")).withColumn("__at", places)
+    is_head = F.forall("__at", lambda p: p > 0)
+    last = F.last(F.when(is_head, F.col("__at")), ignorenulls=True).over(Window.partitionBy(key).orderBy("row").rowsBetween(Window.unboundedPreceding, 0))
+    body = heads.withColumns({"__head": is_head, "__last": last}).where("not __head")
+    cell = lambda *at: F.array(*[F.get("cells", F.lit(i)) for i in at])
+    year = lambda i: F.get("cells", F.lit(i)).rlike("[0-9]{4}")
+    by_head = F.when(F.size("cells") < F.array_max("__last"), F.col("cells")).otherwise(F.transform("__last", lambda p: F.get("cells", p - 1)))
+    bare = F.when(F.size("cells") == 4, F.when(year(2) & ~year(1), cell(0, 1, 2, 3)).otherwise(cell(0, 3, 1, 2))).when(F.size("cells") == 5, cell(1, 4, 2, 3)).otherwise(F.col("cells"))
+    return body.select(key, "row", F.when(F.col("__last").isNotNull(), by_head).otherwise(bare).alias("cells"), "error")
+
+
 def zipped_sections(spark: SparkSession, path: str, entry: str = r"Contents/section\d+\.xml", most_entries: int = 1000, most_bytes: int = 50_000_000, most_chars: int = 2_000_000) -> DataFrame:
     """(path, text, error) of zipped XML documents: the text of their sections in order, whole, or the error LIMIT
     where entries, unpacked bytes or characters are more than allowed."""

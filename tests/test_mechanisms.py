@@ -128,3 +128,18 @@ def test_long_sections_are_an_error(spark, tmp_path):
         z.writestr("Contents/section0.xml", "<s><p>one two three</p></s>")
     got = pasted.zipped_sections(spark, str(tmp_path), most_chars=5).first()
     assert (got.text, got.error) == (None, "LIMIT") and pasted.zipped_sections(spark, str(tmp_path)).first().text == "one two three"
+
+
+def test_pasted_tables_find_their_columns(spark):
+    from noticeflow.functions.presets import PASTED_HEADERS
+
+    texts = [
+        (1, "발주처\t사업 명\t사업기간\t계약금액\n한국\t하나\t2024\t5\n\t\t\t\n짧은\t줄\n사업명\t발주기관\t사업금액\t사업기간\n둘\t공사\t7\t2023"), (2, "이름\t발주\t2024.01\t9"), (3, "이름\t2024.01\t9\t발주"), (4, "1\t이름\t2024\t9\t발주"),
+        (5, '"닫히지\t않은\t따옴표 2024\t8\n이름\t발주\t2024\t9'), (6, "<table><tr><th>사업명<th>발주처<th>사업기간<th>사업금액<tr><td>가<td>나<td>다<td>라</table>")]
+    rows_of = spark.createDataFrame(texts, "id int, text string").select("id", F.explode(pasted.pasted_rows("text")).alias("r")).select("id", "r.*")
+    got = {}
+    for x in pasted.placed_cells(rows_of, "id", PASTED_HEADERS).orderBy("id", "row").collect():
+        got.setdefault(x.id, []).append((x.cells, x.error))
+    assert got[1] == [(["하나", "한국", "2024", "5"], None), (["짧은", "줄"], None), (["둘", "공사", "2023", "7"], None)]
+    assert got[2] == got[3] == [(["이름", "발주", "2024.01", "9"], None)] and got[4] == [(["이름", "발주", "2024", "9"], None)]
+    assert got[5][0][1] == "UNCLOSED_QUOTE" and got[5][1] == (["이름", "발주", "2024", "9"], None) and got[6] == [(["가", "나", "다", "라"], None)]
