@@ -19,6 +19,10 @@ class _Reader(HTMLParser):
         self.title, self.in_title = "", False
 
     def handle_starttag(self, tag, attrs):
+        if tag in ("td", "th", "tr") and self.cell is not None:  # cells and rows may be left open
+            self.handle_endtag("td")
+        if tag == "tr" and self.row:
+            self.handle_endtag("tr")
         if tag in ("script", "style"):
             self.skip += 1
         elif tag == "tr":
@@ -39,7 +43,9 @@ class _Reader(HTMLParser):
         elif tag in ("td", "th") and self.cell is not None:
             self.row.append(" ".join(self.cell.split()))
             self.cell = None
-        elif tag == "tr" and self.row is not None:
+        elif tag in ("tr", "table") and self.row is not None:
+            if self.cell is not None:
+                self.handle_endtag("td")
             if self.row:
                 self.rows.append(self.row)
             self.row = None
@@ -141,14 +147,14 @@ class _RowReader(_Reader):
         self.found, self.heads, self.before = [], False, 0
 
     def handle_starttag(self, tag, attrs):
+        super().handle_starttag(tag, attrs)
         if tag == "tr":
             self.heads, self.before = True, len(self.links)
         elif tag == "td":
             self.heads = False
-        super().handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag):
         row = self.row
         super().handle_endtag(tag)
-        if tag == "tr" and row and not self.heads:
+        if tag in ("tr", "table") and row and self.row is None and not self.heads:
             self.found.append((row, self.links[self.before] if len(self.links) > self.before else None))
