@@ -107,3 +107,22 @@ def test_quota_equals_the_batch_and_its_state_stays_small(spark, tmp_path):
     spark.createDataFrame(more, kinds).coalesce(1).write.mode("append").parquet(f"{tmp_path}/calls")
     _, out = quota(spark, tmp_path)
     assert {(r.source, r.id) for r in out.where("accepted and id > 900").collect()} == {("a", 998), ("c", 997)}
+
+
+def test_buckets_that_a_batch_does_not_touch_stay(spark, tmp_path):
+    """Merging by buckets gives the tables of the whole snapshots, and writes only what the batch touches."""
+    from noticeflow.streaming.changes import SnapshotTable, merge_batches
+
+    schema = "id int, h string, first int, last int, seq int"
+    batches = [[(i, "a", 1, 1, i) for i in range(40)], [(3, "b", 2, 2, 100), (5, "a", 2, 2, 101), (99, "n", 2, 2, 102)], [(3, "a", 3, 3, 200)], [(3, "b", 4, 4, 300)]]
+    got = {}
+    for name, keys in (("whole", ()), ("buckets", ["id"])):
+        root = f"{tmp_path}/{name}"
+        tables = [SnapshotTable(spark, f"{root}/{n}", s, keys, 16) for n, s in (("current", schema), ("archive", schema), ("changes", "id int, change string"))]
+        for batch in batches:
+            spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(f"{root}/in")
+            merge_batches(spark.readStream.schema(schema).parquet(f"{root}/in"), *tables, ["id"], "h", "first", "last", ["seq"], f"{root}/cp").awaitTermination()
+        got[name] = [sorted(map(tuple, x.collect())) for x in (tables[0].read().select("id", "h", "first", "last"), tables[1].read_all().select("id", "h"), tables[2].read_all())]
+    assert got["whole"] == got["buckets"] and len(got["buckets"][0]) == 41 and got["buckets"][1] == [(3, "a"), (3, "b")]
+    last = [n for n in os.listdir(f"{tmp_path}/buckets/current/v3") if n.startswith("__bucket")]
+    assert len(last) == 1 and len(os.listdir(f"{tmp_path}/buckets/current/v0")) > 10
