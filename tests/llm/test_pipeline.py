@@ -1,5 +1,9 @@
 """The pipeline's stages, each on what the one before kept, against plain Python where it is exact."""
 
+import re
+import zlib
+
+import numpy as np
 import pytest
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
@@ -54,15 +58,69 @@ def test_one_document_of_each_group_stays(tables):
     assert sorted(x.doc_id for x in after.collect()) == sorted(rows[c][0] for c in set(similar_groups(rows)))
 
 
+def test_quality_keeps_what_plain_python_keeps(spark, tables):
+    from noticeflow.llm.quality import THRESHOLD, train
+    from tests.llm.test_models import plain_quality
+
+    _, before, after = tables[0]
+    model = train(before, spark.read.parquet(f"{DATA}/labels.parquet"))
+    want = sorted(x.doc_id for x in before.collect() if plain_quality(model, x.text) >= THRESHOLD)
+    assert sorted(x.doc_id for x in after.collect()) == want
+
+
+def test_mixing_meets_its_targets(tables):
+    """Whole texts and one cut text a source, in numbers that plain water-filling asks for."""
+    from tests.llm.test_operators import fill
+
+    _, before, after = tables[3]
+    words = lambda t: re.findall(r"[^\x20\x09-\x0D]+", t or "")
+    texts, sizes, taken, cut = {}, {}, {}, {}
+    for x in before.collect():
+        texts[x.doc_id] = words(x.text)
+        sizes[x.source] = sizes.get(x.source, 0) + len(words(x.text))
+    for x in after.collect():
+        w = words(x.text)
+        assert w == texts[x.doc_id][: len(w)] and x.n_chars == len(x.text)
+        taken[x.source] = taken.get(x.source, 0) + len(w)
+        cut[x.source] = cut.get(x.source, 0) + (len(w) < len(texts[x.doc_id]))
+    want = fill(sizes)
+    assert all(abs(taken.get(s, 0) - want[s]) <= 1 for s in sizes) and all(n <= 1 for n in cut.values())
+
+
 def test_packing_holds_every_document(tables):
+    """Every copy's ids lie in pieces, each once, as the library gives them; sequences are gapless and without padding."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     _, before, after = tables[4]
-    pieces = after.groupBy("doc_id").sum("length").collect()
-    assert {x.doc_id for x in pieces} == {x.doc_id for x in before.collect()}
-    assert after.groupBy("sequence_id").sum("length").where("`sum(length)` > 4096").count() == 0
+    want, got, bins = {}, {}, {}
+    for x in before.collect():
+        ids = np.array([*plain.encode(x.text or "", add_special_tokens=False).ids, 2], "<u4")
+        want.setdefault(x.doc_id, []).append(ids)
+    for x in after.collect():
+        got.setdefault((x.doc_id, x.doc_tokens), []).append((x.start, x.length, x.ids_crc32))
+        bins.setdefault(x.sequence_id, []).append((x.offset, x.length))
+    for key, copies in want.items():
+        for n in {len(c) for c in copies}:
+            same = [c for c in copies if len(c) == n]
+            pieces = got.pop((key, n))
+            seen = np.zeros(n, int)
+            for start, length, crc in pieces:
+                assert any(crc == zlib.crc32(c[start : start + length].tobytes()) for c in same)
+                seen[start : start + length] += 1
+            assert (seen == len(same)).all()
+    assert not got
+    for own in bins.values():
+        own.sort()
+        assert [o for o, _ in own] == [0, *np.cumsum([n for _, n in own])[:-1].tolist()]
+        full = sum(n for _, n in own)
+        assert full <= 4096 and full & (full - 1) == 0
 
 
 def test_run_gives_the_last_stage(spark, tables):
-    assert corpus_pipeline.run(spark, DATA).count() == tables[-1][2].count()
+    rows = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    assert rows(corpus_pipeline.run(spark, DATA)) == rows(tables[-1][2])
 
 
 def test_stages_take_edge_cases(spark):
