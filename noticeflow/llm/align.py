@@ -20,7 +20,9 @@ from noticeflow.llm.staging import remove, stage, stage_at
 
 #: Characters of text whose distinct pieces are numbered together, characters of a part of a long text, and id pairs up to
 #: which their counts are broadcast (24 bytes each).
-TOGETHER, PART, BROADCAST_PAIRS = 16_000_000, 2_000_000, 2_000_000
+TOGETHER, PART, BROADCAST_PAIRS = 8_000_000, 2_000_000, 2_000_000
+#: Most tasks to which batches are dealt one by one.
+_TASKS = 10_000
 #: Letters, and marks before which a text is cut where they follow a letter.
 _LETTERS, _MARKS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f", ".,;:!?"
 _PIECE = re.compile(rf"(?s).(?:[^ {_MARKS}]+|(?<=\s) |(?<![{_LETTERS}])[{_MARKS}])*")
@@ -274,7 +276,7 @@ def align(docs: DataFrame, path_a: str, path_b: str, doc_id: str = "doc_id", tex
     spark = docs.sparkSession
     texts, at_texts = stage_at(_cut_up(narrow), "texts", arrow_rows=1000)
     places, at_places = stage_at(texts.select("batch", F.posexplode("pieces").alias("code", "p")).select("batch", "code", "p.piece", "p.n"), "places")
-    held = stage(texts.select("batch", "docs"), "documents")
+    held = stage_at(texts.select("batch", "docs"), "documents", compression="zstd")[0]
     remove(spark, at_texts)
     known, at_known = stage_at(_aligned(_tokenised(places.groupBy("piece").agg(F.sum("n").alias("n")), path_a, path_b)), "pieces", free=True)
     times = known
@@ -291,10 +293,11 @@ def align(docs: DataFrame, path_a: str, path_b: str, doc_id: str = "doc_id", tex
     both = lambda a, b: F.shiftleft(F.col(a).cast("long"), 32).bitwiseOR(F.coalesce(F.col(b), F.lit(0)).cast("long"))  # noqa: E731  two counts in one long: a batch has less than 2^31 tokens
     groups = F.when(F.col("sound"), F.col("groups"))  # null: the texts that hold the piece have no tokens
     told = known.join(scored, "piece", "left").select("piece", both("n_a", "n_b").alias("tokens"), both("n_groups", "n_best").alias("marks"), F.coalesce("count_sum", F.lit(0)).alias("count_sum"), groups.alias("groups"))
-    placed = stage_at(places.select("batch", "code", "piece").join(told, "piece").select("batch", F.struct("code", "tokens", "marks", "count_sum", "groups").alias("told")), "placed", free=True)[0]
+    placed = stage_at(places.select("batch", "code", "piece").join(told, "piece").select("batch", F.struct("code", "tokens", "marks", "count_sum", "groups").alias("told")), "placed", free=True, compression="zstd")[0]
     remove(spark, at_places)
     remove(spark, at_known)
-    lists = placed.groupBy("batch").agg(F.sort_array(F.collect_list("told")).alias("told"))  # as many as a batch has pieces
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(2 * held.count(), _TASKS))  # about a batch in each
+    lists = placed.repartition(tasks, "batch").groupBy("batch").agg(F.sort_array(F.collect_list("told")).alias("told"))  # as many as a batch has pieces
     keys = ["row", "doc_id", "part", "parts"]
 
     def doc(d: Column) -> Column:
@@ -305,7 +308,7 @@ def align(docs: DataFrame, path_a: str, path_b: str, doc_id: str = "doc_id", tex
 
         return F.get(F.transform(F.array(F.transform(d["codes"], lambda c: F.get(F.col("told"), c))), summed), F.lit(0))  # looked up once, a text at a time
 
-    found = held.join(lists, "batch", "left").select(F.explode(F.transform("docs", doc)).alias("d")).select("d.*").withColumn("sound", F.coalesce("sound", F.lit(False)))
+    found = held.repartition(tasks, "batch").join(lists, "batch", "left").select(F.explode(F.transform("docs", doc)).alias("d")).select("d.*").withColumn("sound", F.coalesce("sound", F.lit(False)))
     high, low = (lambda c: F.shiftright(c, 32)), (lambda c: F.col(c).bitwiseAND(F.lit(_PLACE)))
     found = found.select("row", "doc_id", "part", "parts", "sound", high("tokens").alias("n_a"), low("tokens").alias("n_b"), high("marks").alias("n_groups"), low("marks").alias("n_best"), "count_sum", "groups")
     strings = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("part", "groups"))), lambda x: x["groups"]), ";")  # the digest, or the parts' texts

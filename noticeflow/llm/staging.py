@@ -46,10 +46,10 @@ def new_dir(spark: SparkSession, name: str) -> str:
     return path
 
 
-def stage_at(df: DataFrame, name: str, free: bool = False, arrow_rows: int | None = None) -> tuple[DataFrame, str]:
+def stage_at(df: DataFrame, name: str, free: bool = False, arrow_rows: int | None = None, compression: str | None = None) -> tuple[DataFrame, str]:
     """Write ``df`` as Parquet in the shared folder; the table read back, and its path. ``free``: the shuffle files that
     the write needed go when it ends, not when the driver's memory is next collected. ``arrow_rows``: rows that go to
-    Python workers at a time, where rows are large."""
+    Python workers at a time, where rows are large. ``compression``: another than the session's."""
     spark = df.sparkSession
     path = new_dir(spark, name)
     wish = ({_FREE: "true"} if free else {}) | ({_ROWS: str(arrow_rows)} if arrow_rows else {})
@@ -57,7 +57,7 @@ def stage_at(df: DataFrame, name: str, free: bool = False, arrow_rows: int | Non
     for k, v in wish.items():
         spark.conf.set(k, v)
     try:
-        df.write.parquet(path)
+        df.write.parquet(path, compression=compression)
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
