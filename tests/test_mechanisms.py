@@ -143,3 +143,22 @@ def test_pasted_tables_find_their_columns(spark):
     assert got[1] == [(["하나", "한국", "2024", "5"], None), (["짧은", "줄"], None), (["둘", "공사", "2023", "7"], None)]
     assert got[2] == got[3] == [(["이름", "발주", "2024.01", "9"], None)] and got[4] == [(["이름", "발주", "2024", "9"], None)]
     assert got[5][0][1] == "UNCLOSED_QUOTE" and got[5][1] == (["이름", "발주", "2024", "9"], None) and got[6] == [(["가", "나", "다", "라"], None)]
+
+
+def test_bounded_reads_of_a_database(spark):
+    """Derby, which comes with Spark, in memory."""
+    from noticeflow.sources.company import bounded_read
+
+    url = "jdbc:derby:memory:company;create=true"
+    people = spark.createDataFrame([(i, f"name {i}" if i % 3 else "O'Neil", i % 2 == 0) for i in range(1200)], "id int, name string, active boolean")
+    people.repartition(3).write.format("jdbc").options(url=url, dbtable="people", driver="org.apache.derby.jdbc.EmbeddedDriver", createTableColumnTypes="name VARCHAR(100)").mode("overwrite").save()
+    driver = {"driver": "org.apache.derby.jdbc.EmbeddedDriver"}
+    read = lambda **kind: bounded_read(spark, url, "people", ['id', 'name'], "id", properties=driver, **kind)
+    first = read().collect()
+    assert [r.id for r in first] == list(range(500)) and all(r.more for r in first) and first[1].name == "name 1"
+    named = read(where=[("name", "=", "O'Neil")], most_rows=1000).collect()
+    assert [r.id for r in named] == list(range(0, 1200, 3)) and not any(r.more for r in named)
+    assert read(where=[("name", "LIKE", "%none")]).count() == 0
+    for bad in (dict(table="people; DROP TABLE people"), dict(columns=["id", "1 FROM x"]), dict(where=[("name", "= '' OR", "x")])):
+        with pytest.raises(ValueError):
+            bounded_read(spark, url, bad.get("table", "people"), bad.get("columns", ["id"]), "id", where=bad.get("where", ()))
