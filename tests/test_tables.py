@@ -161,3 +161,14 @@ def test_declared_extraction(spark):
     get = mapped_rows({"id": "column(1)", "title": "link::text", "href": "link@href", "url": "https://a.kr/v/{id}"})
     got = spark.createDataFrame([(page,)], "p string").select(get("p").alias("r")).first().r
     assert got == [{"id": "7", "title": "One", "href": "/v/7", "url": "https://a.kr/v/7"}]
+
+
+def test_parents_without_child_looks_at_every_child(spark, tmp_path):
+    from noticeflow.plans.catalog import ORACLE_SQL, QUERIES
+
+    customers = spark.createDataFrame([(1, "old order"), (2, "closed order"), (3, "none")], "c_custkey bigint, c_name string")
+    orders = spark.createDataFrame([(1, 1, "O", "1995-01-01"), (2, 2, "F", "1999-01-01")], "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_orderdate string")
+    customers.write.parquet(f"{tmp_path}/customer.parquet")
+    orders.withColumn("o_orderdate", F.col("o_orderdate").cast("timestamp")).write.parquet(f"{tmp_path}/orders.parquet")
+    assert rows(QUERIES["parents_without_child"](spark, str(tmp_path))) == [(3, "none")]
+    assert "o_orderdate" not in ORACLE_SQL["parents_without_child"] and "o_orderstatus" not in ORACLE_SQL["parents_without_child"]
