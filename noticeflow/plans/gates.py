@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import json
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from noticeflow.operators import gates, lines
@@ -83,17 +85,19 @@ select lang, cast((n + 49) // 50 as int) as page, doc_id, cast(null as varchar)
 union all select lang, 3, null, 'TimeoutError' from d where lang = 'fr' and total > 100 group by 1""")
 def keyword_listings(t: Tables) -> DataFrame:
     """Each language's stored documents in pages of fifty; French fails on the third page, which stops no other."""
-    store = f"{t.sf_dir}/documents.parquet"
-
-    def fetch(keyword: str, page: int) -> dict:
-        import pyarrow.dataset as ds
 
+    def fetch(keyword: str, page: int, body: str | None) -> dict:
         if keyword == "fr" and page == 3:
             raise TimeoutError
-        held = sorted(ds.dataset(store).to_table(columns=["doc_id"], filter=ds.field("lang") == keyword)["doc_id"].to_pylist())
-        return {"items": [{"doc_id": i} for i in held[(page - 1) * 50 : page * 50]], "totalCount": len(held)}
-
-    found = fetch_listings(t.documents, "lang", fetch, 50)
+        return json.loads(body)
+
+    w = Window.partitionBy("lang")
+    placed = t.documents.where("lang is not null").select("lang", "doc_id", F.ceil(F.row_number().over(w.orderBy("doc_id")) / 50).cast("int").alias("page"))
+    totals = placed.groupBy("lang").agg(F.count("*").alias("total"))
+    items = F.transform(F.sort_array(F.collect_list("doc_id")), lambda i: F.struct(i.alias("doc_id")))
+    pages = placed.groupBy("lang", "page").agg(items.alias("items")).join(totals, "lang")
+    body = F.to_json(F.struct("items", F.col("total").alias("totalCount")))
+    found = fetch_listings(t.documents, "lang", fetch, 50, most_pages=2**31 - 1, stored=pages.select("lang", "page", body.alias("body")))
     return found.select("lang", "page", F.get_json_object("item", "$.doc_id").cast("bigint").alias("doc_id"), "error")
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import json
 from collections.abc import Callable, Iterator
 
@@ -61,27 +62,30 @@ def paged_files(spark: SparkSession, path: str) -> DataFrame:
     return pages.select("file", F.coalesce("b.totalCount", F.lit(0)).alias("total"), F.explode(items).alias("item"))
 
 
-def fetch_listings(requests: DataFrame, key: str, fetch: Callable[[str, int], dict], size: int, tasks: int = 32, most_pages: int = 10_000) -> DataFrame:
+def fetch_listings(requests: DataFrame, key: str, fetch: Callable[..., dict], size: int, tasks: int = 32, most_pages: int = 10_000, stored: DataFrame | None = None) -> DataFrame:
     """(key, page, total, item, error) of paged listings, one for each distinct key.
 
     ``fetch(key, page)`` runs in the tasks and gives {"items", "totalCount"}; pages from 1 to ceil(total of page 1 / size).
     A failure ends its own listing only: the rows of the pages before it stay, and one row (item null) names the
     page and the kind of error: that of ``fetch``, REPEATED_PAGE for a page equal to an earlier one, EMPTY_BEFORE_END for
     one without items before the last, TOO_MANY_PAGES beyond ``most_pages``. Keys are dealt to ``tasks`` tasks; a page is sent on as soon as it is read.
+
+    With ``stored(key, page, body)``, pages that Spark holds come to the task of their listing in order, each once, and
+    ``fetch(key, page, body)`` reads the page's own body (null where none is stored): no page costs a look through the others.
     """
     kinds = pa.schema([("key", pa.string()), ("page", pa.int32()), ("total", pa.int64()), ("item", pa.string()), ("error", pa.string())])
 
     def rows(k: str, page: int, total: int | None, items: list, error: str | None) -> pa.RecordBatch:
         return pa.RecordBatch.from_pylist([{"key": k, "page": page, "total": total, "item": x, "error": error} for x in items], kinds)
 
-    def listing(k: str) -> Iterator[pa.RecordBatch]:
+    def listing(k: str, ask: Callable[[str, int], dict]) -> Iterator[pa.RecordBatch]:
         page, last, total, seen = 1, 1, None, set()
         while page <= last:
             if page > most_pages:
                 yield rows(k, page, total, [None], "TOO_MANY_PAGES")
                 return
             try:
-                body = fetch(k, page)
+                body = ask(k, page)
                 given = body.get("items") or []
                 total = int(body.get("totalCount") or 0)
                 items = [json.dumps(x, ensure_ascii=False) for x in (given if isinstance(given, list) else [given])]
@@ -102,10 +106,29 @@ def fetch_listings(requests: DataFrame, key: str, fetch: Callable[[str, int], di
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in batch.column(0).to_pylist():
-                yield from listing(k)
-
-    keys = requests.select(F.col(key).cast("string").alias("key")).where("key is not null").distinct().repartition(tasks, "key")
-    found = keys.mapInArrow(read, "key string, page int, total bigint, item string, error string")
+                yield from listing(k, fetch)
+
+    def read_stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        given = ((r["key"], r["page"], r["body"]) for batch in batches for at in range(0, batch.num_rows, 256) for r in batch.slice(at, 256).to_pylist())
+        for k, pages in itertools.groupby(given, key=lambda r: r[0]):
+            now = (None, 0, None)
+
+            def ask(name: str, page: int, pages=pages) -> dict:
+                nonlocal now
+                while now is not None and (now[1] is None or now[1] < page):
+                    now = next(pages, None)
+                return fetch(name, page, now[2] if now is not None and now[1] == page else None)
+
+            yield from listing(k, ask)
+
+    kind = "key string, page int, total bigint, item string, error string"
+    keys = requests.select(F.col(key).cast("string").alias("key")).where("key is not null").distinct()
+    if stored is None:
+        found = keys.repartition(tasks, "key").mapInArrow(read, kind)
+    else:
+        held = stored.select(F.col(key).cast("string").alias("key"), F.col("page").cast("int").alias("page"), F.col("body").cast("string").alias("body"))
+        given = keys.join(held, "key", "left").repartition(tasks, "key").sortWithinPartitions("key", "page")
+        found = given.mapInArrow(read_stored, kind)
     return found.withColumnRenamed("key", key)
 
 

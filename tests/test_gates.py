@@ -62,3 +62,33 @@ def test_document_lists(spark):
     lists = {"papers": {"headings": ["papers"]}, "dates": {"headings": ["dates"]}, "rights": {"words": ["License"], "unless": ["no "]}}
     got = {r.id: (r.papers, r.dates, r.rights) for r in lines.line_lists(lines.to_lines(docs, "id", "text"), "id", lists).collect()}
     assert got == {1: (["- form A", "license needed"], ["by May, together", "no license"], ["license needed"]), 2: ([], [], [])}
+
+
+def test_stored_pages_come_once_in_order(spark):
+    asked = spark.sparkContext.accumulator(0)
+
+    def fetch(key, page, body):
+        asked.add(1)
+        if body == "stop":
+            raise TimeoutError
+        return json.loads(body)
+
+    page = lambda n, total: json.dumps({"items": [{"n": n}], "totalCount": total})
+    stored = [("long", n, page(n, 700)) for n in range(700, 0, -1)] + [("stop", 1, page(1, 3)), ("stop", 2, "stop"), ("stop", 3, page(3, 3)), ("gap", 1, page(1, 3)), ("gap", 3, page(3, 3)), ("same", 1, page(1, 2)), ("same", 2, page(1, 2)), ("unasked", 1, page(1, 1))]
+    keys = spark.createDataFrame([("long",), ("stop",), ("gap",), ("same",), ("absent",), ("long",)], "k string")
+    found = fetch_listings(keys, "k", fetch, 1, tasks=2, stored=spark.createDataFrame(stored, "k string, page int, body string")).collect()
+    got = sorted((r.k, r.page, r.item, r.error) for r in found if r.k != "long")
+    assert got == [("absent", 1, None, "TypeError"), ("gap", 1, '{"n": 1}', None), ("gap", 2, None, "TypeError"), ("same", 1, '{"n": 1}', None), ("same", 2, None, "REPEATED_PAGE"), ("stop", 1, '{"n": 1}', None), ("stop", 2, None, "TimeoutError")]
+    assert [r.item for r in found if r.k == "long"] == [json.dumps({"n": n}) for n in range(1, 701)]
+    assert asked.value == 700 + 2 + 2 + 2 + 1
+
+
+def test_keyword_listings_read_their_store_through_spark(spark, tmp_path):
+    from noticeflow.plans.catalog import QUERIES
+
+    docs = spark.range(130).selectExpr("id as doc_id", "case when id < 120 then 'en' when id < 125 then 'fr' end as lang")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    # A path that only Spark's readers open.
+    spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.stored.link./in", f"file://{tmp_path}")
+    got = sorted((r.lang, r.page, r.doc_id, r.error) for r in QUERIES["keyword_listings"](spark, "viewfs://stored/in").collect())
+    assert got == [("en", i // 50 + 1, i, None) for i in range(120)] + [("fr", 1, i, None) for i in range(120, 125)]
