@@ -67,16 +67,23 @@ def outbox(events: DataFrame, existing: DataFrame, baselines: DataFrame, relevan
     return fresh.dropDuplicates(list(key)).join(existing.select(*key), list(key), "left_anti")
 
 
-def fan_out(pending: DataFrame, subscribers: DataFrame, delivered: DataFrame, event_key: str, subscriber_key: str, scope: Sequence[str], salt: int = 8) -> DataFrame:
+def fan_out(pending: DataFrame, subscribers: DataFrame, delivered: DataFrame, event_key: str, subscriber_key: str, scope: Sequence[str], salt: int = 8, few: int = 64) -> DataFrame:
     """One row per pending event and subscriber of its scope (channel, type) that has none yet.
 
     All pairs of a scope are what is asked for. They are formed by an equi join on the scope and a salt: events of a
     scope go to ``salt`` buckets by a hash, its subscribers to each of them, so a scope with most events is many tasks.
+    An event with at most ``few`` deliveries brings their subscribers along, so its pairs leave as they are formed and are
+    never shuffled; only the pairs of other events meet the deliveries in a join.
     """
-    dealt = pending.withColumn("__salt", F.pmod(F.xxhash64(event_key), F.lit(salt)).cast("int"))
+    mine = delivered.select(event_key, subscriber_key).where(F.col(subscriber_key).isNotNull()).join(pending.select(event_key), event_key, "left_semi")
+    counted = mine.withColumn("__n", F.count("*").over(Window.partitionBy(event_key)))
+    known = counted.groupBy(event_key).agg(F.max("__n").alias("__n"), F.collect_set(F.when(F.col("__n") <= few, F.col(subscriber_key))).alias("__done"))
+    dealt = pending.withColumn("__salt", F.pmod(F.xxhash64(event_key), F.lit(salt)).cast("int")).join(known, event_key, "left")
     spread = subscribers.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
-    pairs = dealt.join(spread, [*scope, "__salt"]).drop("__salt")
-    return pairs.join(delivered.select(event_key, subscriber_key), [event_key, subscriber_key], "left_anti")
+    on, many = [*scope, "__salt"], F.coalesce(F.col("__n") > few, F.lit(False))
+    light = dealt.where(~many).join(spread, on).where(~F.coalesce(F.array_contains("__done", F.col(subscriber_key)), F.lit(False)))
+    heavy = dealt.where(many).join(spread, on).join(delivered.select(event_key, subscriber_key), [event_key, subscriber_key], "left_anti")
+    return light.drop("__salt", "__n", "__done").unionByName(heavy.drop("__salt", "__n", "__done"))
 
 
 def delivery_status(children: DataFrame, key: Sequence[str], status: str, failed: str = "FAILED", sent: str = "SENT") -> DataFrame:

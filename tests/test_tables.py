@@ -172,3 +172,30 @@ def test_parents_without_child_looks_at_every_child(spark, tmp_path):
     orders.withColumn("o_orderdate", F.col("o_orderdate").cast("timestamp")).write.parquet(f"{tmp_path}/orders.parquet")
     assert rows(QUERIES["parents_without_child"](spark, str(tmp_path))) == [(3, "none")]
     assert "o_orderdate" not in ORACLE_SQL["parents_without_child"] and "o_orderstatus" not in ORACLE_SQL["parents_without_child"]
+
+
+def test_fan_out_forms_pairs_without_shuffling_them(spark):
+    pending = spark.createDataFrame([(1, "a"), (2, "a"), (2, "a"), (3, "b"), (4, None), (None, "a")], "e int, scope string")
+    people = spark.createDataFrame([(k, "a") for k in range(6)] + [(7, "b"), (None, "b"), (8, None)], "s int, scope string")
+    done = spark.createDataFrame([(1, 0), (1, 0), (1, 5), (1, None), (3, 7), (9, 1), (None, 2)] + [(2, k) for k in range(5)], "e int, s int")
+    want = sorted([(1, k) for k in (1, 2, 3, 4)] + [(2, 5)] * 2 + [(3, None)] + [(None, k) for k in range(6)], key=repr)
+    for few in (0, 3, 64):
+        got = incremental.fan_out(pending, people, done, "e", "s", ["scope"], few=few)
+        assert set(got.columns) == {"e", "s", "scope"}
+        assert sorted(((r.e, r.s) for r in got.collect()), key=repr) == want
+    # Each event and each subscriber once a salt go through a shuffle, pairs do not.
+    many = spark.range(2000).select(F.col("id").alias("e"), F.lit(1).alias("scope"))
+    each = spark.range(500).select(F.col("id").alias("s"), F.lit(1).alias("scope"))
+    limit, before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold"), _shuffled(spark)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert incremental.fan_out(many, each, many.selectExpr("e", "e as s"), "e", "s", ["scope"]).agg(F.count("*")).first()[0] == 2000 * 500 - 500
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert _shuffled(spark) - before < 100_000
+
+
+def _shuffled(spark):
+    """Records that shuffles wrote so far."""
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
