@@ -12,26 +12,26 @@ from noticeflow.functions.text import four_digit_codes
 
 #: Names of one automaton; a larger dictionary is read in so many shards.
 NAMES = 200_000
+#: Rows that a worker reads and sends on at a time.
+ROWS = 1_000
 
 
 def _squeezed(c: str):
     return F.regexp_replace(F.coalesce(F.col(c).cast("string"), F.lit("")), r"\s+", "")
 
 
-def names_found(df: DataFrame, key: str, text: str, names: DataFrame, name: str = "name", most: int = NAMES) -> DataFrame:
-    """(``key``, ``name``) of the names that stand in a text, white space left out in both; each pair once.
+def with_names(df: DataFrame, text: str, names: DataFrame, name: str = "name", out: str = "names", most: int = NAMES) -> DataFrame:
+    """``df`` with ``out``: the distinct names that stand in each row's text, in order, white space left out in both.
 
     The automaton of at most ``most`` names is built once in a worker and reads each text once, whatever the number of
-    names. A larger dictionary is dealt to shards by a hash, and each shard reads the texts. Null and blank names match
-    nothing; rows of one key count as one text each.
+    names. A larger dictionary is dealt to shards by a hash, and rows go through one shard after the other. Rows stay
+    whole and where they are: nothing is shuffled. Null and blank names match nothing.
     """
     spark = df.sparkSession
     wanted = names.select(F.col(name).alias("name"), _squeezed(name).alias("form")).where("form <> ''").distinct()
     shards = max(1, -(-wanted.count() // most))
     given = wanted.withColumn("shard", F.pmod(F.xxhash64("form"), F.lit(shards)))
-    rows = df.select(F.col(key).alias("key"), _squeezed(text).alias("form"))
-    kind = dict(rows.dtypes)["key"]
-    out = None
+    rows = df.withColumn("__form", _squeezed(text)).withColumn(out, F.array().cast("array<string>"))
     for k in range(shards):
         part = {}
         for r in given.where(F.col("shard") == k).select("form", "name").toLocalIterator():  # about ``most`` names
@@ -44,20 +44,25 @@ def names_found(df: DataFrame, key: str, text: str, names: DataFrame, name: str
             automaton = ahocorasick.Automaton()
             for form, own in shared.value.items():
                 automaton.add_word(form, own)
-            if not shared.value:
-                return
             automaton.make_automaton()
             for batch in batches:
-                places, found = [], []
-                for i, form in enumerate(batch.column(1).to_pylist()):
-                    hits = {n for _, own in automaton.iter(form) for n in own}
-                    places += [i] * len(hits)
-                    found += sorted(hits)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(places, pa.int64())), pa.array(found, pa.string())], names=["key", "name"])
-
-        hits = rows.mapInArrow(run, f"key {kind}, name string")
-        out = hits if out is None else out.unionByName(hits)
-    return out.distinct().select(F.col("key").alias(key), F.col("name").alias(name))
+                for at in range(0, batch.num_rows, ROWS):
+                    some = batch.slice(at, ROWS)
+                    form, before = some.column("__form").to_pylist(), some.column(out).to_pylist()
+                    found = [sorted({*b, *(n for _, own in automaton.iter(x) for n in own)}) for x, b in zip(form, before)]
+                    yield some.set_column(some.schema.get_field_index(out), out, pa.array(found, pa.list_(pa.string())))
+
+        if part:
+            rows = rows.mapInArrow(run, rows.schema)
+    return rows.drop("__form")
+
+
+def names_found(df: DataFrame, key: str, text: str, names: DataFrame, name: str = "name", most: int = NAMES) -> DataFrame:
+    """(``key``, ``name``) of the names that stand in a text, by ``with_names``; each pair once. Rows of one key count as
+    one text each."""
+    rows = df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
+    found = with_names(rows, "text", names, name, most=most)
+    return found.select(F.col("key").alias(key), F.explode("names").alias(name)).distinct()
 
 
 def license_codes(df: DataFrame, key: str, text: str, verified: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from noticeflow.functions.presets import RANKING_STOP_WORDS
 from noticeflow.functions.pyudf import nfkc
+from noticeflow.operators.dictionary import with_names
 
 
 def child_counts(parents: DataFrame, key: str, children: Mapping[str, tuple[DataFrame, Column]]) -> DataFrame:
@@ -55,14 +56,8 @@ def tokens(name: Column, stop_words: Sequence[str], shortest: int = 2, years: st
     return F.array_distinct(F.filter(parts, lambda t: (F.length(t) >= shortest) & ~t.rlike(years) & ~t.isin(*stop_words)))
 
 
-#: Letters of the pieces by which names meet.
-_PIECE = 3
-
-
-def _pieces(x: Column, n: Column | int) -> Column:
-    """The substrings of ``n`` letters, in order; none of a shorter text."""
-    n = n if isinstance(n, Column) else F.lit(n)
-    return F.filter(F.transform(F.sequence(F.lit(1), F.greatest(F.length(x), F.lit(1))), lambda at: F.substr(x, at, n)), lambda p: F.length(p) == F.greatest(n, F.lit(1)))
+#: Rows of tokens up to which a join sends them to every task.
+_FEW = 200_000
 
 
 def rank_candidates(entries: DataFrame, files: DataFrame, k: int = 30, stop_words: Sequence[str] = RANKING_STOP_WORDS) -> DataFrame:
@@ -74,22 +69,29 @@ def rank_candidates(entries: DataFrame, files: DataFrame, k: int = 30, stop_word
     (1 if exact) * 0.8 + client * 0.2; ties by newest, nulls last, then path. A token counts wherever it stands in the
     squeezed file name, inside longer words too, and an exact name needs no token.
 
-    Tokens and whole names meet file names by their rarest piece of ``_PIECE`` letters (all of a shorter one), and are
-    then looked for, so no pair of unrelated rows is formed; only pieces that some entry asks for leave a file's name.
+    An entry of n tokens that needs m of them is met by one of its n - m + 1 rarest, since a file without these has too
+    few; without tokens, by its whole name. An automaton of these words reads each file's name once, and a pair is formed
+    by the first of them that the name holds, so each pair comes once and is judged where it is formed: no pair is
+    shuffled before it is a candidate, and files are never sent whole to every task.
     """
     squeezed = lambda x: F.regexp_replace(F.lower(x), r"[^\p{L}\p{N}]", "")
     named = entries.select("entry_id", nfkc("name").alias("name"), nfkc("client").alias("client"))
     e = named.select("entry_id", squeezed(F.col("name")).alias("whole"), squeezed(F.col("client")).alias("client"), tokens(F.col("name"), stop_words).alias("wanted"))
     f = files.select("file_id", "path", "modified", squeezed(nfkc("file_name")).alias("file"))
-    units = e.select("entry_id", F.explode(F.array_distinct(F.concat("wanted", F.array("whole")))).alias("unit")).where("unit <> ''")
-    asked = units.select("unit").distinct().select("unit", F.explode(F.array_distinct(_pieces(F.col("unit"), F.least(F.length("unit"), F.lit(_PIECE))))).alias("piece"))
-    lengths = sorted(r[0] for r in asked.select(F.length("piece")).distinct().collect())  # at most _PIECE of them
-    pieces = F.array_distinct(F.concat(F.array().cast("array<string>"), *[_pieces(F.col("file"), n) for n in lengths]))
-    held = f.select("file_id", "file", F.explode(pieces).alias("piece")).join(asked.select("piece").distinct(), "piece", "left_semi")
-    often = held.groupBy("piece").agg(F.count("*").alias("n"))
-    rarest = asked.join(often, "piece", "left").groupBy("unit").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "piece"))["piece"].alias("piece"))
-    met = rarest.join(held, "piece").where(F.contains("file", "unit")).select("unit", "file_id")
-    pairs = units.join(met, "unit").select("entry_id", "file_id").distinct().join(e, "entry_id").join(f, "file_id")
+    words = e.select(F.explode("wanted").alias("word")).distinct().unionByName(e.where(F.size("wanted") == 0).select(F.col("whole").alias("word"))).where("word <> ''").distinct()
+    read = with_names(f, "file", words, "word", "held")
+    often = read.select(F.explode("held").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    by_rarity = F.array_sort(F.collect_set(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word")))
+    asked = e.select("wanted", F.explode("wanted").alias("word")).join(often, "word", "left").groupBy("wanted").agg(by_rarity["word"].alias("sorted"))
+    n = F.size("wanted")
+    least = F.greatest(F.least(F.lit(2), n), F.ceil(n / 2).cast("int"))
+    keys = F.when(n > 0, F.slice("sorted", F.lit(1), n - least + 1)).when(F.col("whole") != "", F.array("whole")).otherwise(F.array().cast("array<string>"))
+    met = e.join(asked, "wanted", "left").select("*", keys.alias("keys")).drop("sorted").select("*", F.explode("keys").alias("word"))
+    small = (e.agg(F.sum(F.greatest(n, F.lit(1)))).first()[0] or 0) <= _FEW
+    met = F.broadcast(met) if small else met.hint("merge")
+    offered = read.select("file_id", "path", "modified", "file", "held", F.explode("held").alias("word"))
+    first = F.get(F.filter("keys", lambda x: F.array_contains(F.col("held"), x)), F.lit(0))
+    pairs = offered.join(met, "word").where(F.col("word") == first)
     pairs = pairs.withColumn("hits", F.size(F.filter("wanted", lambda t: F.contains(F.col("file"), t))))
     coverage = F.when(F.size("wanted") > 0, F.col("hits") / F.size("wanted")).otherwise(0.0)
     exact = (F.col("whole") != "") & F.contains("file", "whole")

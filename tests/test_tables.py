@@ -199,3 +199,32 @@ def _shuffled(spark):
     """Records that shuffles wrote so far."""
     stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
     return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_candidates_send_no_files_to_every_task(spark, monkeypatch):
+    """All pairs judged one by one, both ways of the join; what is broadcast holds entries only."""
+    parts = ["alpha", "beta", "gamma", "al", "gam", "2020", "x"]
+    entries = [(i, " ".join(parts[j] for j in range(7) if i >> j & 1), ["", "acme", None][i % 3]) for i in range(1, 128)]
+    files = [(i, "-".join(parts[(i * k + k) % 7] for k in range(1, 2 + i % 4)) + [".pdf", " ACME", ""][i % 3], f"/{i % 5}", i % 4) for i in range(60)] + [(60, None, "/", 1)]
+    want = {}
+    for eid, name, client in entries:
+        wanted, whole = [w for w in name.split() if len(w) > 1 and w != "2020"], name.replace(" ", "")
+        for fid, file, _, _ in files:
+            file = "".join(c for c in (file or "").lower() if c.isalnum())
+            hits, own = sum(w in file for w in wanted), bool(client) and client in file
+            if whole in file or wanted and hits >= min(2, len(wanted)) and hits / len(wanted) >= (0.5 if own else 0.75):
+                want[eid, fid] = round((1 if whole in file else hits / len(wanted)) * 0.8 + 0.2 * own, 6)
+    e = spark.createDataFrame(entries, "entry_id long, name string, client string")
+    f = spark.createDataFrame(files, "file_id long, file_name string, path string, modified long")
+    for few in (0, 200_000):
+        monkeypatch.setattr(rollup, "_FEW", few)
+        found = rollup.rank_candidates(e, f, k=100)
+        got = [((r.entry_id, r.file_id), r.score) for r in found.collect()]
+        assert len(got) == len(want) and dict(got) == want
+        plan, within = rollup.rank_candidates(e, f)._jdf.queryExecution().executedPlan().toString().splitlines(), None
+        for line in plan:
+            depth = len(line) - len(line.lstrip(" :+-"))
+            within = None if within is not None and (depth <= within or "Aggregate" in line) else within
+            assert within is None or "path" not in line
+            if "BroadcastExchange" in line:
+                within = depth
