@@ -60,7 +60,7 @@ def document_items(line: Column, spec: Mapping) -> Column:
     stands before the first name of a part goes."""
     outside = r"(?<!\([^()]{0,200})"  # of the innermost bracket
     parts = F.filter(F.split(F.trim(line), spec["separators"]), lambda p: F.trim(p) != "")
-    marked = F.transform(parts, lambda p: F.regexp_replace(F.trim(p), f"(?i){outside}({spec['item']})", "\u0001$1"))
+    marked = F.transform(parts, lambda p: F.regexp_replace(F.trim(p), f"(?iu){outside}({spec['item']})", "\u0001$1"))
     named = F.transform(marked, lambda p: F.when(F.contains(p, F.lit("\u0001")), F.slice(F.split(p, "\u0001"), 2, F.greatest(F.size(F.split(p, "\u0001")) - 1, F.lit(1)))).otherwise(F.array(p)))
     clean = lambda x: F.trim(reduce(lambda a, pattern: F.regexp_replace(a, pattern, ""), spec["trims"], F.trim(x)))
     return F.transform(F.flatten(named), clean)
@@ -143,7 +143,7 @@ def analyse_documents(df: DataFrame, rules: Mapping, key: str = "doc_id", text:
 
     table_head = F.startswith(squeezed, F.lit(docs["table_heading"])) | squeezed.isin(*docs["table_headers"])
     items = F.when(~table_head & (F.col("in_docs") | any_in(line, docs["headings"])), F.filter(document_items(line, docs), lambda i: _is_document(i, rules)))
-    clauses = F.transform(F.split(line, joint["clauses"], -1), F.trim)
+    clauses = F.transform(F.split(line, joint["clauses"], -1), lambda c: F.trim(c))  # F.trim alone would take the place for the letters to trim
     conditions = F.filter(clauses, lambda c: (F.col("in_joint") | any_in(c, joint["headings"])) & _kept(c, joint) & ~is_heading(c, joint["headings"], rules))
     entry = lambda x: F.struct("pos", F.lit(0).alias("part"), x.alias("text"))
     entries = lambda xs: F.transform(xs, lambda x, i: F.struct(F.col("pos"), i.alias("part"), x.alias("text")))

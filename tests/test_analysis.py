@@ -162,3 +162,21 @@ def test_deadlines_equal_a_walk_through_the_lines(spark):
     for i, text in docs:
         lines = [x for x in text.split("\n") if x]
         assert got[i] == walk(lines), text
+
+
+def test_clauses_keep_their_digits_and_names_meet_in_any_letter_case(spark, tmp_path):
+    import duckdb
+
+    from noticeflow.plans.catalog import ORACLE_SQL, QUERIES
+
+    texts = ["nothing to ration 500 ; to nation 11", "0 to ration; 1 to nation 1 ;  0 du eau", "then CIÓN uno ción; dos CIÓNtion ÜNGEN theAND ración", "the Ünction UNGEN ration • CIÓN nación"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = QUERIES["document_analysis"](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute(ORACLE_SQL["document_analysis"])
+    columns = [c[0] for c in want.description]
+    left = {r.doc_id: r for r in got.select(*columns).collect()}
+    assert sorted(map(tuple, left.values())) == sorted(want.fetchall())
+    assert left[0].joint_conditions == "nothing to ration 500\n; to nation 11"
+    assert left[2].required_documents == "ción\nCIÓNtion ÜNGEN"
