@@ -315,8 +315,8 @@ def file_decisions(t: Tables) -> DataFrame:
 def page_links(t: Tables) -> DataFrame:
     """Links of every page, their canonical address and the compact form of their text."""
     from noticeflow.functions.pyudf import canonical_url, compact_nfkc
-    from noticeflow.sources.html import links
+    from noticeflow.sources.html import link_rows
 
-    rows = t.pages.select("page_id", "url", F.posexplode(links("html")).alias("pos", "link"))
-    absolute = F.when(F.col("link.href").startswith("/"), F.concat(F.regexp_extract("url", "^(https?://[^/?#]+)", 1), F.col("link.href"))).otherwise(F.col("link.href"))
-    return rows.select("page_id", "pos", canonical_url(absolute).alias("target"), compact_nfkc(F.col("link.text")).alias("label"))
+    rows = link_rows(t.pages.select("page_id", "url", "html"), "html")
+    absolute = F.when(F.col("href").startswith("/"), F.concat(F.regexp_extract("url", "^(https?://[^/?#]+)", 1), F.col("href"))).otherwise(F.col("href"))
+    return rows.select("page_id", "pos", canonical_url(absolute).alias("target"), compact_nfkc(F.col("text")).alias("label"))

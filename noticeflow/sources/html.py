@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -85,6 +87,28 @@ def links(pages: pd.Series) -> pd.Series:
     return pages.map(lambda x: [{"href": h, "text": t} for h, t in _read(x).links])
 
 
+#: Pages whose links a worker holds at a time.
+_PAGES = 64
+
+
+def link_rows(df: DataFrame, page: str) -> DataFrame:
+    """``df`` without ``page``, one row for each link of it: pos (from 0), href and text, as ``links`` gives them. Rows
+    leave a worker after each ``_PAGES`` pages, so its memory depends neither on the table nor on the batch it is sent."""
+    kept = [c for c in df.columns if c != page]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, _PAGES):
+                some = batch.slice(at, _PAGES)
+                found = [(i, n, h, t) for i, x in enumerate(some.column(page)) for n, (h, t) in enumerate(_read(x.as_py()).links)]
+                rows = pa.array([f[0] for f in found], pa.int64())
+                own = [pa.array([f[k] for f in found], kind) for k, kind in ((1, pa.int32()), (2, pa.string()), (3, pa.string()))]
+                yield pa.RecordBatch.from_arrays([*[some.column(c).take(rows) for c in kept], *own], names=[*kept, "pos", "href", "text"])
+
+    schema = df.select(*kept, F.lit(0).alias("pos"), F.lit("").alias("href"), F.lit("").alias("text")).schema
+    return df.mapInArrow(run, schema)
+
+
 def labelled_values(rows: Column) -> Column:
     """Label-value rows of two or four cells as a map; the first value of a label stays."""
     from noticeflow.functions.text import label_key

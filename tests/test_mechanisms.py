@@ -162,3 +162,22 @@ def test_bounded_reads_of_a_database(spark):
     for bad in (dict(table="people; DROP TABLE people"), dict(columns=["id", "1 FROM x"]), dict(where=[("name", "= '' OR", "x")])):
         with pytest.raises(ValueError):
             bounded_read(spark, url, bad.get("table", "people"), bad.get("columns", ["id"]), "id", where=bad.get("where", ()))
+
+
+def test_links_leave_a_worker_a_few_pages_at_a_time(spark, monkeypatch):
+    import pyarrow as pa
+
+    from noticeflow.sources import html
+
+    pages = [(i, None if i == 5 else "".join(f'<a href="/{i}/{k}">x  <b>{k}</b></a>' for k in range(i % 4))) for i in range(300)]
+    df = spark.createDataFrame(pages, "id long, page string").coalesce(1)
+    want = sorted((r.id, r.pos, r.link.href, r.link.text) for r in df.select("id", F.posexplode(html.links("page")).alias("pos", "link")).collect())
+    found = html.link_rows(df, "page")
+    assert found.columns == ["id", "pos", "href", "text"] and sorted(map(tuple, found.collect())) == want
+    # The worker's own function: a batch of 300 pages goes out in pieces of at most 64 pages.
+    kept = []
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, run, schema: kept.append(run) or self)
+    html.link_rows(df, "page")
+    batch = pa.RecordBatch.from_pylist([{"id": i, "page": x} for i, x in pages])
+    pieces = [len(set(b.column("id").to_pylist())) for b in kept[0](iter([batch]))]
+    assert len(pieces) == 5 and max(pieces) <= 64
