@@ -20,15 +20,16 @@ def _squeezed(c: str):
     return F.regexp_replace(F.coalesce(F.col(c).cast("string"), F.lit("")), r"\s+", "")
 
 
-def with_names(df: DataFrame, text: str, names: DataFrame, name: str = "name", out: str = "names", most: int = NAMES) -> DataFrame:
-    """``df`` with ``out``: the distinct names that stand in each row's text, in order, white space left out in both.
+def with_names(df: DataFrame, text: str, names: DataFrame, name: str = "name", out: str = "names", most: int = NAMES, value: str | None = None) -> DataFrame:
+    """``df`` with ``out``: the distinct names that stand in each row's text, in order, white space left out in both; of
+    names with another ``value`` column, its distinct values.
 
     The automaton of at most ``most`` names is built once in a worker and reads each text once, whatever the number of
     names. A larger dictionary is dealt to shards by a hash, and rows go through one shard after the other. Rows stay
     whole and where they are: nothing is shuffled. Null and blank names match nothing.
     """
     spark = df.sparkSession
-    wanted = names.select(F.col(name).alias("name"), _squeezed(name).alias("form")).where("form <> ''").distinct()
+    wanted = names.select(F.col(value or name).cast("string").alias("name"), _squeezed(name).alias("form")).where("form <> ''").distinct()
     shards = max(1, -(-wanted.count() // most))
     given = wanted.withColumn("shard", F.pmod(F.xxhash64("form"), F.lit(shards)))
     rows = df.withColumn("__form", _squeezed(text)).withColumn(out, F.array().cast("array<string>"))
@@ -49,7 +50,7 @@ def with_names(df: DataFrame, text: str, names: DataFrame, name: str = "name", o
                 for at in range(0, batch.num_rows, ROWS):
                     some = batch.slice(at, ROWS)
                     form, before = some.column("__form").to_pylist(), some.column(out).to_pylist()
-                    found = [sorted({*b, *(n for _, own in automaton.iter(x) for n in own)}) for x, b in zip(form, before)]
+                    found = [sorted({*b, *(n for _, own in automaton.iter(x) for n in own)}, key=lambda n: (n is None, n)) for x, b in zip(form, before)]
                     yield some.set_column(some.schema.get_field_index(out), out, pa.array(found, pa.list_(pa.string())))
 
         if part:
@@ -65,10 +66,13 @@ def names_found(df: DataFrame, key: str, text: str, names: DataFrame, name: str
     return found.select(F.col("key").alias(key), F.explode("names").alias(name)).distinct()
 
 
-def license_codes(df: DataFrame, key: str, text: str, verified: DataFrame) -> DataFrame:
+def license_codes(df: DataFrame, key: str, text: str, verified: DataFrame, unique: bool = False) -> DataFrame:
     """(``key``, code, official_name): codes of four digits that a field names, and those of ``verified(code, name)``
-    whose names stand in it. The official name of a code is that of ``verified``, else empty; each code once."""
-    said = df.select(key, F.explode(four_digit_codes(F.col(text))).alias("code"))
-    named = names_found(df, key, text, verified).join(verified.select("name", "code"), "name").select(key, "code")
+    whose names stand in it. The official name of a code is that of ``verified``, else empty; each code once.
+
+    A row's codes come together in the row; rows of one key are brought together, unless each key is ``unique``."""
+    named = with_names(df.select(key, F.col(text).cast("string").alias("__text")), "__text", verified, out="__named", value="code")
+    said = F.coalesce(four_digit_codes(F.col("__text")), F.array().cast("array<string>"))
+    codes = named.select(key, F.explode(F.array_distinct(F.concat(said, "__named"))).alias("code"))
     official = verified.groupBy("code").agg(F.min("name").alias("official_name"))
-    return said.unionByName(named).distinct().join(official, "code", "left").select(key, "code", F.coalesce("official_name", F.lit("")).alias("official_name"))
+    return (codes if unique else codes.distinct()).join(official, "code", "left").select(key, "code", F.coalesce("official_name", F.lit("")).alias("official_name"))

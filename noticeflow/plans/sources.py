@@ -15,6 +15,9 @@ from noticeflow.sources import paged, pasted, selectors
 from noticeflow.streaming import windows
 
 
+_LINES = 250_000
+
+
 @query("""with n as (select p_name as name, lpad(cast(min(p_partkey) % 10000 as varchar), 4, '0') as code from part group by 1),
 x as (select l_orderkey, string_agg(case when l_linenumber = 1 then lpad(cast(l_suppkey % 10000 as varchar), 4, '0') || ', ' else '' end || replace(p_name, ' ', '  '), ' / ' order by l_linenumber) as text from lineitem join part on p_partkey = l_partkey group by 1),
 c as (select l_orderkey, unnest(list_filter(regexp_extract_all(text, '[0-9]+'), lambda d: length(d) = 4)) as code from x
@@ -27,8 +30,10 @@ def named_codes(t: Tables) -> DataFrame:
     verified = t.part.groupBy(F.col("p_name").alias("name")).agg(F.min("p_partkey").alias("k")).select("name", four("k").alias("code"))
     said = F.concat(F.when(F.col("l_linenumber") == 1, F.concat(four("l_suppkey"), F.lit(", "))).otherwise(""), F.replace("p_name", F.lit(" "), F.lit("  ")))
     lines = t.lineitem.join(t.part, F.col("p_partkey") == F.col("l_partkey")).select("l_orderkey", "l_linenumber", said.alias("said"))
+    # About ``_LINES`` lines a task, whatever the table's size: a task's sort needs no more memory as the table grows.
+    lines = lines.repartition(max(8, -(-t.lineitem.count() // _LINES)), "l_orderkey")
     texts = lines.groupBy("l_orderkey").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", "said"))), lambda x: x["said"]), " / ").alias("text"))
-    return dictionary.license_codes(texts, "l_orderkey", "text", verified)
+    return dictionary.license_codes(texts, "l_orderkey", "text", verified, unique=True)
 
 
 _PLAIN = lambda x: f"trim(regexp_replace(replace(replace(replace(replace(replace({x}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#x27;', ''''), '&amp;', '&'), '\\s+', ' ', 'g'))"

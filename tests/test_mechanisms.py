@@ -181,3 +181,14 @@ def test_links_leave_a_worker_a_few_pages_at_a_time(spark, monkeypatch):
     batch = pa.RecordBatch.from_pylist([{"id": i, "page": x} for i, x in pages])
     pieces = [len(set(b.column("id").to_pylist())) for b in kept[0](iter([batch]))]
     assert len(pieces) == 5 and max(pieces) <= 64
+
+
+def test_codes_of_a_row_meet_in_the_row(spark):
+    texts = spark.createDataFrame([(1, "1234 Alpha  Beta"), (2, "beta alpha 12345"), (3, None), (4, "gamma 0007 Alpha Beta")], "k long, text string")
+    verified = spark.createDataFrame([("alpha", "0001"), ("Alpha Beta", "0002"), ("gamma", "0007"), ("Gam ma", "0007"), ("", "0009")], "name string, code string")
+    want = [(1, "0002", "Alpha Beta"), (1, "1234", ""), (2, "0001", "alpha"), (4, "0002", "Alpha Beta"), (4, "0007", "Gam ma")]
+    for unique in (True, False):
+        found = license_codes(texts, "k", "text", verified, unique=unique)
+        assert rows(found) == want
+        plan = license_codes(texts.repartition(2, "k"), "k", "text", verified.limit(1).cache(), unique=unique)._jdf.queryExecution().optimizedPlan().toString()
+        assert ("Union" not in plan) and (plan.count("Aggregate") == (1 if unique else 2))
