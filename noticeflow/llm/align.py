@@ -274,9 +274,9 @@ def align(docs: DataFrame, path_a: str, path_b: str, doc_id: str = "doc_id", tex
     """
     narrow = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     spark = docs.sparkSession
-    texts, at_texts = stage_at(_cut_up(narrow), "texts", arrow_rows=1000)
+    texts, at_texts = stage_at(_cut_up(narrow), "texts", arrow_rows=1000, large_rows=True)
     places, at_places = stage_at(texts.select("batch", F.posexplode("pieces").alias("code", "p")).select("batch", "code", "p.piece", "p.n"), "places")
-    held = stage_at(texts.select("batch", "docs"), "documents", compression="zstd")[0]
+    held = stage_at(texts.select("batch", "docs"), "documents", compression="zstd", large_rows=True)[0]
     remove(spark, at_texts)
     known, at_known = stage_at(_aligned(_tokenised(places.groupBy("piece").agg(F.sum("n").alias("n")), path_a, path_b)), "pieces", free=True)
     times = known

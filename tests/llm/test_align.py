@@ -143,6 +143,29 @@ def _with_parts(spark, frame):
         module._cut_up = cut_up
 
 
+def test_batches_are_staged_in_groups_of_few_rows(spark, monkeypatch):
+    """A reader holds the rows of a group together, and a writer those it has not yet looked at."""
+    from pyarrow import parquet
+
+    from noticeflow.llm import align as module
+    from noticeflow.llm import staging
+
+    groups = {}
+
+    def looked_at(df, name, **how):
+        frame, path = staging.stage_at(df, name, **how)
+        files = [parquet.ParquetFile(f.removeprefix("file://")).metadata for f in frame.inputFiles()]
+        groups[name] = [f.row_group(i).num_rows for f in files for i in range(f.num_row_groups)]
+        return frame, path
+
+    monkeypatch.setattr(module, "stage_at", looked_at)
+    monkeypatch.setattr(module, "TOGETHER", 300)
+    monkeypatch.setattr(staging, "GROUP", 1, raising=False)
+    frame = spark.createDataFrame([(i, f"text {i} " * 60) for i in range(20)], "doc_id int, text string").coalesce(1)
+    assert module.align(frame, A, B).count() == 20
+    assert groups["texts"] == groups["documents"] == [1] * 20
+
+
 def test_many_pairs_are_joined_by_shuffle(spark, monkeypatch):
     from noticeflow.llm import align as module
 
