@@ -67,11 +67,14 @@ def outbox(events: DataFrame, existing: DataFrame, baselines: DataFrame, relevan
     return fresh.dropDuplicates(list(key)).join(existing.select(*key), list(key), "left_anti")
 
 
-def fan_out(pending: DataFrame, subscribers: DataFrame, delivered: DataFrame, event_key: str, subscriber_key: str, scope: Sequence[str], salt: int = 8, few: int = 64) -> DataFrame:
+def fan_out(pending: DataFrame, subscribers: DataFrame, delivered: DataFrame, event_key: str, subscriber_key: str, scope: Sequence[str], salt: int = 8, few: int = 64, block: int = 256) -> DataFrame:
     """One row per pending event and subscriber of its scope (channel, type) that has none yet.
 
     All pairs of a scope are what is asked for. They are formed by an equi join on the scope and a salt: events of a
     scope go to ``salt`` buckets by a hash, its subscribers to each of them, so a scope with most events is many tasks.
+    Subscribers come in blocks of up to ``block``, and a task takes one block after another through its events: pairs of
+    an event stand together and the same few subscribers come again and again, so that the result takes little room
+    wherever it is written in order (a columnar file has an event once for each block, and of its subscribers next to nothing).
     An event with at most ``few`` deliveries brings their subscribers along, so its pairs leave as they are formed and are
     never shuffled; only the pairs of other events meet the deliveries in a join.
     """
@@ -79,11 +82,22 @@ def fan_out(pending: DataFrame, subscribers: DataFrame, delivered: DataFrame, ev
     counted = mine.withColumn("__n", F.count("*").over(Window.partitionBy(event_key)))
     known = counted.groupBy(event_key).agg(F.max("__n").alias("__n"), F.collect_set(F.when(F.col("__n") <= few, F.col(subscriber_key))).alias("__done"))
     dealt = pending.withColumn("__salt", F.pmod(F.xxhash64(event_key), F.lit(salt)).cast("int")).join(known, event_key, "left")
-    spread = subscribers.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
+    bucket = [*scope, F.pmod(F.xxhash64(subscriber_key), F.lit(salt))]
+    placed = subscribers.withColumn("__block", F.floor((F.row_number().over(Window.partitionBy(*bucket).orderBy(subscriber_key)) - 1) / block))
+    own = [c for c in subscribers.columns if c not in scope]
+    blocks = placed.groupBy(*bucket, "__block").agg(F.collect_list(F.struct(*own)).alias("__subscribers")).select(*scope, "__subscribers")
+    spread = blocks.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
     on, many = [*scope, "__salt"], F.coalesce(F.col("__n") > few, F.lit(False))
-    light = dealt.where(~many).join(spread, on).where(~F.coalesce(F.array_contains("__done", F.col(subscriber_key)), F.lit(False)))
-    heavy = dealt.where(many).join(spread, on).join(delivered.select(event_key, subscriber_key), [event_key, subscriber_key], "left_anti")
-    return light.drop("__salt", "__n", "__done").unionByName(heavy.drop("__salt", "__n", "__done"))
+    tasks = int(pending.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def pairs(events: DataFrame) -> DataFrame:
+        events = events.repartition(tasks, *on)  # a few MB make billions of pairs: no tasks are put together for their size
+        met = spread.join(events.hint("merge"), on)  # a merge goes through the blocks, a broadcast of them through the events
+        return met.withColumn("__one", F.explode("__subscribers")).select("*", *[F.col("__one")[c].alias(c) for c in own]).drop("__subscribers", "__one", "__salt")
+
+    light = pairs(dealt.where(~many)).where(~F.coalesce(F.array_contains("__done", F.col(subscriber_key)), F.lit(False)))
+    heavy = pairs(dealt.where(many)).join(delivered.select(event_key, subscriber_key), [event_key, subscriber_key], "left_anti")
+    return light.drop("__n", "__done").unionByName(heavy.drop("__n", "__done"))
 
 
 def delivery_status(children: DataFrame, key: Sequence[str], status: str, failed: str = "FAILED", sent: str = "SENT") -> DataFrame:

@@ -195,6 +195,19 @@ def test_fan_out_forms_pairs_without_shuffling_them(spark):
     assert _shuffled(spark) - before < 100_000
 
 
+def test_fan_out_gives_pairs_in_blocks_that_take_little_room(spark, tmp_path):
+    pending = spark.range(3000).select(F.xxhash64("id").alias("e"), (F.col("id") % 2).alias("scope"))
+    people = spark.range(6001).select(F.xxhash64(F.col("id") + 7).alias("s"), (F.col("id") % 2).alias("scope"), F.col("id").alias("place"))
+    done = spark.range(3000).select(F.xxhash64("id").alias("e"), F.xxhash64(F.col("id") + 7).alias("s"))
+    incremental.fan_out(pending, people, done, "e", "s", ["scope"]).write.parquet(str(tmp_path / "out"))
+    got = spark.read.parquet(str(tmp_path / "out"))
+    n = 1500 * 3001 + 1500 * 3000 - 3000
+    assert set(got.columns) == {"e", "s", "scope", "place"}
+    assert got.count() == got.select("e", "s").distinct().count() == n and got.join(done, ["e", "s"]).count() == 0
+    assert got.join(people, ["s", "scope", "place"], "left_anti").count() == got.join(pending, ["e", "scope"], "left_anti").count() == 0
+    assert sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet")) < 0.8 * n  # bytes
+
+
 def _shuffled(spark):
     """Records that shuffles wrote so far."""
     stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
